@@ -156,7 +156,8 @@ def packets(ticks: DataFrame, anchor_ids: Sequence[int], source: str = "udp", ke
 
 def complete_ticks(ranges: DataFrame, anchor_ids: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
     """Relational division on the long table: anchors seen per stamp and completeness."""
-    bits = F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("anchor_id")))
+    # one bit per anchor: a fixed-width buffer that combines on the map side
+    bits = F.bit_or(F.expr("shiftleft(1L, anchor_id)"))
     return (
         ranges.where(F.col("anchor_id").isin(*anchor_ids))
         .groupBy(*keys, "t")
