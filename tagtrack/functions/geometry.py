@@ -11,7 +11,12 @@ from tagtrack import constants as K
 
 
 def clamp(v: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
+    # greatest and least skip NULL, so a missing value is kept missing by hand
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(lo)), F.lit(hi)))
+
+
+def floor_at(v: Column, lo: float) -> Column:
+    return F.when(v.isNotNull(), F.greatest(v, F.lit(lo)))
 
 
 def distance_2d(ax, ay, bx, by) -> Column:
@@ -29,7 +34,7 @@ def lerp(a, b, u) -> Column:
 def ground_distance(slant: Column, anchor_height: float = K.ANCHOR_Z, tag_height: float = K.TAG_BASE_Z) -> Column:
     """Slant range to the range on the floor for an assumed tag height."""
     dz = anchor_height - tag_height
-    return F.sqrt(F.greatest(F.lit(0.0), slant * slant - F.lit(dz * dz)))
+    return F.sqrt(floor_at(slant * slant - F.lit(dz * dz), 0.0))
 
 
 def ground_ranges(raw_3d: Column, anchor_height: float = K.ANCHOR_Z, tag_height: float = K.TAG_BASE_Z) -> Column:
@@ -39,8 +44,7 @@ def ground_ranges(raw_3d: Column, anchor_height: float = K.ANCHOR_Z, tag_height:
 
 def precision_percent(err: Column, tolerance: float | Column) -> Column:
     """100 at no error, 0 at the tolerance; NULL error stays NULL."""
-    pct = F.lit(100.0) * (F.lit(1.0) - err / tolerance)
-    return F.when(err.isNotNull(), clamp(pct, 0.0, 100.0))
+    return clamp(F.lit(100.0) * (F.lit(1.0) - err / tolerance), 0.0, 100.0)
 
 
 def alpha_for_dt(alpha: float | Column, dt: Column) -> Column:
@@ -60,7 +64,7 @@ def filter_delay(alpha: float | Column, dt: Column) -> Column:
     a = F.lit(alpha) if not isinstance(alpha, Column) else alpha
     keep = F.greatest(F.lit(1e-6), F.lit(1.0) - a)
     # keep = 1 has log 0; that case is the a <= 0 branch
-    delay = F.greatest(F.lit(0.0), -dt / F.log(F.when(keep < 1, keep)))
+    delay = floor_at(-dt / F.log(F.when(keep < 1, keep)), 0.0)
     return F.when((a <= 0) | (dt <= 0), F.lit(0.0)).otherwise(delay)
 
 
@@ -93,7 +97,7 @@ def millis(s: Column) -> Column:
 
 
 def jump_height(z: Column) -> Column:
-    return F.greatest(F.lit(0.0), z - F.lit(K.TAG_BASE_Z))
+    return floor_at(z - F.lit(K.TAG_BASE_Z), 0.0)
 
 
 def on_court(x: Column, y: Column) -> Column:
@@ -150,7 +154,8 @@ def court_zone(x: Column, y: Column) -> Column:
     inside_corner = (from_end <= arc_reach) & (side <= K.COURT_WIDTH / 2 - K.CORNER_THREE)
     inside_arc = (from_end > arc_reach) & (hoop <= K.THREE_POINT_R)
     return (
-        F.when(~on_court(x, y), F.lit("out"))
+        F.when(x.isNull() | y.isNull(), F.lit(None).cast("string"))
+        .when(~on_court(x, y), F.lit("out"))
         .when(hoop <= K.RESTRICTED_R, F.lit("restricted"))
         .when((from_end <= K.KEY_LENGTH) & (side <= K.KEY_WIDTH / 2), F.lit("paint"))
         .when((to_ft <= K.FREE_THROW_R) & (from_end > K.KEY_LENGTH), F.lit("free_throw"))

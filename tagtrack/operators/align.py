@@ -117,6 +117,39 @@ def hold(
     return out.select(*keys, scan.CHUNK, "t", *extra, *fresh)
 
 
+def hold_events(
+    ticks: DataFrame,
+    anchor_ids: Sequence[int],
+    max_age_s: float = K.MAX_AGE_S,
+    keys: Sequence[str] = KEYS,
+    width: float = scan.CHUNK_S,
+) -> DataFrame:
+    """The same hold where the arrival stamps themselves are the ticks.
+
+    Takes the rows of :func:`event_ticks`; arrivals and clock are one table, so
+    there is no union: the end of a chunk is lent to the chunks it can reach.
+    Adds ``f<n>``, the value that arrived on this tick, and makes ``d<n>`` the
+    held one.
+    """
+    keys = list(keys)
+    reach = F.sequence(F.col(scan.CHUNK), scan.chunk_of(F.col("t") + F.lit(float(max_age_s)), width))
+    lent = ticks.withColumn("_own", F.col(scan.CHUNK)).withColumn(scan.CHUNK, F.explode(reach))
+    w = scan.chunk_window(keys, ["t"])
+    seen = [
+        F.last(F.when(F.col(dist_col(a)).isNotNull(), F.struct("t", dist_col(a))), ignorenulls=True).over(w).alias(f"_h{a}")
+        for a in sorted(anchor_ids)
+    ]
+    out = lent.select("*", *seen).where(F.col("_own") == F.col(scan.CHUNK))
+    cols = []
+    for a in sorted(anchor_ids):
+        fresh = F.col("t") - F.col(f"_h{a}.t") <= F.lit(float(max_age_s))
+        cols += [
+            F.when(fresh, F.col(f"_h{a}.{dist_col(a)}")).alias(dist_col(a)),
+            F.col(dist_col(a)).alias(f"f{a}"),
+        ]
+    return out.select(*keys, scan.CHUNK, "t", *cols)
+
+
 def complete(anchor_ids: Sequence[int], col=dist_col) -> Column:
     """TRUE when every active anchor has a distance on this tick."""
     ok = F.lit(True)

@@ -68,13 +68,34 @@ def kernel_sums(grid: DataFrame, radius: int = K.HEAT_RADIUS, keys: Sequence[str
 
 
 def kernel_weight(row: Column, col: Column, radius: int = K.HEAT_RADIUS) -> Column:
-    """Sum of the stencil weights that fall inside the grid around a cell."""
-    return F.aggregate(
-        _stencil(radius),
-        F.lit(0.0),
-        lambda s, k: s + F.when(_inside(row + k["dy"], col + k["dx"]), k["w"]).otherwise(F.lit(0.0)),
+    """Sum of the stencil weights that fall inside the grid around a cell.
+
+    Only the distance to each border matters, at most ``radius``: the centre,
+    four arms and four quadrants, each looked up by its clipped reach.
+    """
+    reach = range(radius + 1)
+    arm = F.array(*[F.lit(sum(1.0 / (1 + i * i) for i in range(1, n + 1))) for n in reach])
+    quadrant = F.array(
+        *[
+            F.lit(float(sum(1.0 / (1 + i * i + j * j) for i in range(1, n + 1) for j in range(1, m + 1))))
+            for n in reach
+            for m in reach
+        ]
     )
 
+    def clip(v: Column) -> Column:
+        return F.least(v, F.lit(radius))
+
+    up, down = clip(row), clip(F.lit(K.HEAT_ROWS - 1) - row)
+    left, right = clip(col), clip(F.lit(K.HEAT_COLS - 1) - col)
+    total = F.lit(1.0)
+    for side in (up, down, left, right):
+        total = total + arm[side]
+    for v in (up, down):
+        for h in (left, right):
+            total = total + quadrant[v * (radius + 1) + h]
+    return total
+
 
 def smooth_heat(
     grid: DataFrame, radius: int = K.HEAT_RADIUS, keys: Sequence[str] = align.KEYS, dense: bool = False

@@ -7,7 +7,8 @@ what came before each chunk.  A key has one summary per chunk width of
 recording (a minute by default: 1,440 for a day), however many rows it has.
 
 Rows move once, by (key, chunk); later steps that keep this clustering reuse
-the exchange.  Key columns and the order column must not be NULL.
+the exchange.  Key columns and the order column must not be NULL: a row without
+a tag or a time has no place in an ordered result.
 """
 
 from __future__ import annotations
@@ -21,8 +22,17 @@ CHUNK = "chunk"
 CHUNK_S = 60.0
 
 
+def never_null(chunk: Column) -> Column:
+    """Declare a chunk number as present.
+
+    A nullable join key makes the optimizer filter one use of a table and not
+    the other, and then the exchange below them can no longer be shared.
+    """
+    return F.coalesce(chunk.cast("long"), F.lit(0).cast("long"))
+
+
 def chunk_of(t: Column, width: float) -> Column:
-    return F.floor(t / F.lit(float(width))).cast("long")
+    return never_null(F.floor(t / F.lit(float(width))))
 
 
 def with_chunk(df: DataFrame, t: str = "t", width: float = CHUNK_S) -> DataFrame:
@@ -67,7 +77,7 @@ def _neighbour(
     picked = [
         F.when(F.col("_seen"), F.col(f"_in_{c}")).otherwise(F.col(f"_x_{c}")).alias(prefix + c) for c in columns
     ]
-    return rows.join(carry, [*keys, chunk], "left").select(*df.columns, *picked)
+    return rows.join(carry, [*keys, chunk]).select(*df.columns, *picked)
 
 
 def with_previous(
@@ -128,7 +138,7 @@ def running(
     parts = inputs.groupBy(*keys, chunk).agg(*[kinds[n][0](f"_m_{n}").alias(f"_p_{n}") for n in measures])
     carry = parts.select(*keys, chunk, *[kinds[n][1](f"_p_{n}").over(before).alias(f"_c_{n}") for n in measures])
     done = [kinds[n][2](F.col(f"_c_{n}"), F.col(f"_w_{n}")).alias(n) for n in measures]
-    return rows.join(carry, [*keys, chunk], "left").select(*df.columns, *done)
+    return rows.join(carry, [*keys, chunk]).select(*df.columns, *done)
 
 
 def with_index(

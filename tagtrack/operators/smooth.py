@@ -137,7 +137,7 @@ def smooth(
         *[F.max(F.when(F.col("i") == i, F.col(k))).alias(f"{k}_{i}") for i in range(len(sources)) for k in ("_f0", "_s0")],
     )
 
-    out = rows.join(carry, [*keys, chunk], "left")
+    out = rows.join(carry, [*keys, chunk])
     done = []
     for i, (src, new) in enumerate(columns.items()):
         old = F.col(f"_s0_{i}")

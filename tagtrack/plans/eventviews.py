@@ -24,7 +24,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events numbered per tag in time order; days bound what one task must sort."""
     ev = events(spark, sf_dir).select(
-        "event_id", F.col("user_id").alias("tag_id"), "ts", "value", F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("day")
+        "event_id",
+        F.col("user_id").alias("tag_id"),
+        "ts",
+        "value",
+        scan.never_null(F.datediff("ts", F.lit("1970-01-01"))).alias("day"),
     )
     out = scan.with_index(ev, ["tag_id"], ["ts", "event_id"], "seq", chunk="day")
     return out.select(

@@ -30,18 +30,14 @@ def align_ranges(
     until it is too old.  ``event``: one tick per arrival stamp; a held value
     takes part in the solution but only new arrivals feed the filter.
     """
-    if mode == "frame":
-        clock = align.tick_grid(ranges, hz, max_age_s, width=width)
-    elif mode == "event":
-        clock = ranges.where(F.col("anchor_id").isin(*anchor_ids)).select(*KEYS, "t").distinct()
-    else:
+    if mode == "event":
+        stamps = align.event_ticks(ranges, anchor_ids, width=width)
+        return align.hold_events(stamps, anchor_ids, max_age_s, width=width)
+    if mode != "frame":
         raise ValueError(f"unknown mode {mode!r}")
+    clock = align.tick_grid(ranges, hz, max_age_s, width=width)
     held = align.hold(ranges, clock, anchor_ids, max_age_s, width=width)
-    if mode == "frame":
-        feed = [F.col(align.dist_col(a)).alias(f"f{a}") for a in anchor_ids]
-    else:
-        feed = [F.when(F.col(f"age{a}") == 0, F.col(align.dist_col(a))).alias(f"f{a}") for a in anchor_ids]
-    return held.select("*", *feed)
+    return held.select("*", *[F.col(align.dist_col(a)).alias(f"f{a}") for a in anchor_ids])
 
 
 def locate_2d(

@@ -450,8 +450,7 @@ ORACLES: dict[str, str] = {
  {_r('CASE WHEN smooth_err IS NOT NULL THEN avg(smooth_err) OVER (PARTITION BY tag_id ORDER BY er.t) END', 3, 'avg_smooth_err')} FROM er""",
     ),
     "locate_3d_to_2d": _with(
-        _RANGES.replace("ticks AS (SELECT", "ticks AS (SELECT") + ", slant AS (SELECT event_id, tag_id, t, anchor_id, r3 FROM ranges_v),"
-        + _located("rg").replace("g.rg", "sqrt(greatest(0, g.r3*g.r3-505::DOUBLE*505))")
+        _RANGES + "," + _located("rg").replace("g.rg", "CASE WHEN g.r3 IS NOT NULL THEN sqrt(greatest(0, g.r3*g.r3-505::DOUBLE*505)) END")
         + """, h3 AS (SELECT k.tag_id, k.t, last_value(g.r3 IGNORE NULLS) OVER w AS s1, last_value(g.t IGNORE NULLS) OVER w AS st FROM tickd k
  LEFT JOIN ranges_v g ON g.tag_id=k.tag_id AND g.t=k.t AND g.anchor_id=1
  WINDOW w AS (PARTITION BY k.tag_id ORDER BY k.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",

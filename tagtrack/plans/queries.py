@@ -220,7 +220,7 @@ def tick_window_100ms(spark: SparkSession, sf: str) -> DataFrame:
 def run_segments(spark: SparkSession, sf: str) -> DataFrame:
     ev = V.events(spark, sf).select(
         F.col("user_id").alias("tag_id"), "ts", "event_id", "event_type",
-        F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("chunk"),
+        scan.never_null(F.datediff("ts", F.lit("1970-01-01"))).alias("chunk"),
     )
     runs = align.with_run(ev, TAG, ["ts", "event_id"], F.col("event_type") == "error")
     return runs.select("tag_id", "event_id", "run_id")
@@ -349,7 +349,7 @@ def trail_lines(spark: SparkSession, sf: str) -> DataFrame:
     rows = li.select(
         "l_suppkey",
         (F.col("day").cast("long") * 100000000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
-        F.floor(F.col("day") / 30).cast("long").alias(scan.CHUNK),
+        scan.never_null(F.floor(F.col("day") / 30)).alias(scan.CHUNK),
     )
     return motion.trail(rows, 220, ["l_suppkey"], "pos").select("l_suppkey", "rank", "pos")
 
@@ -358,7 +358,7 @@ def running_total_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Running peak and count over shipments, the ordered operators on a larger table."""
     li = spark.read.parquet(f"{sf}/lineitem.parquet").select(
         "l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity",
-        F.floor(F.datediff("l_shipdate", F.lit("1990-01-01")) / 30).cast("long").alias(scan.CHUNK),
+        scan.never_null(F.floor(F.datediff("l_shipdate", F.lit("1990-01-01")) / 30)).alias(scan.CHUNK),
     )
     out = scan.running(
         li, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber"],

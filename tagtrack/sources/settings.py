@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tagtrack import constants as K
 from tagtrack import schemas
+from tagtrack.functions.geometry import clamp
 
 _NUMBER_TEXT = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
@@ -69,7 +70,7 @@ def sanitize(records: DataFrame, mode: str = "2d", raw: str = "raw") -> DataFram
     for name, (default, lo, hi) in bounds.items():
         v = F.col(f"_v_{name}")
         if lo is not None:
-            v = F.greatest(F.least(v, F.lit(float(hi))), F.lit(float(lo)))
+            v = clamp(v, float(lo), float(hi))
         v = F.when(F.col("_ok"), v).otherwise(F.lit(float(default)))
         out.append(v.cast("int" if isinstance(default, int) else "double").alias(name))
     keep = [c for c in records.columns if c != raw]
@@ -138,4 +139,4 @@ def anchor_table(spark: SparkSession, mode: str = "2d") -> DataFrame:
 
 
 def active_anchor_count(count: Column) -> Column:
-    return F.greatest(F.least(count, F.lit(6)), F.lit(2))
+    return clamp(count, 2, 6)
