@@ -1,20 +1,27 @@
-"""Cutting lineage between the ordered passes of a long job."""
+"""Cutting lineage between the ordered passes of a long job, and where that is kept."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a scratch one only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tagtrack-checkpoint-")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path for a written table or a stream's progress."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the one named in ``spark.checkpoint.dir``.  Only where that is
-    unset, as in local tests, a scratch folder is used.
-    """
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the cluster's checkpoint folder and continue from there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tagtrack-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -83,7 +83,17 @@ def ranges(spark: SparkSession, sf_dir: str, slant: bool = False) -> DataFrame:
     )
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files."""
+    schema = events(spark, sf_dir).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_of(events(spark, sf_dir))
+
+
+def messages_of(source: DataFrame) -> DataFrame:
     """Ten message shapes over the events, from clean lists to device lines and noise."""
     ev = F.col("event_id")
     k = (ev % 4 + 1).cast("string")
@@ -110,7 +120,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.lit(None).cast("string")
     for i, shape in reversed(list(enumerate(shapes))):
         message = F.when(ev % 10 == i, shape).otherwise(message)
-    return events(spark, sf_dir).select(
+    return source.select(
         "event_id",
         F.col("user_id").alias("tag_id"),
         F.col("ts").cast("timestamp").alias("ingest_ts"),

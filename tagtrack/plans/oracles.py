@@ -577,3 +577,22 @@ ORACLES: dict[str, str] = {
     ),
     "alpha_sweep": _sweep(),
 }
+ORACLES["stream_ranges_log"] = ORACLES["ranges_log"].replace(
+    "SELECT strftime", "SELECT raw_message, event, anchor_id, distance_cm, fields_json FROM (SELECT strftime"
+) + ")"
+ORACLES["stream_latest"] = _with(
+    _RNG,
+    """SELECT m.tag_id, p.anchor_id, max(epoch_us(m.ts)) AS last_us, arg_max(p.distance_cm, m.ts) AS distance_cm, count(*) AS n
+ FROM parsed p JOIN messages_v m USING (event_id) GROUP BY 1, 2""",
+)
+ORACLES["stream_tick_window"] = _with(
+    _RNG,
+    """SELECT m.tag_id, p.anchor_id, epoch_us(m.ts)//100000*100 AS tick_ms, arg_max(p.distance_cm, m.ts) AS distance_cm, count(*) AS n
+ FROM parsed p JOIN messages_v m USING (event_id) GROUP BY 1, 2, 3""",
+)
+ORACLES["stream_sessions"] = ORACLES["session_gaps"]
+ORACLES["stream_repeat_suppress"] = _with(_TEL, "SELECT DISTINCT src, cb FROM telemetry")
+ORACLES["stream_track"] = _with(
+    _RANGES + "," + _located("r"),
+    f"SELECT tag_id, {_T}, {_r('x_raw', 3, 'x_raw')}, {_r('y_raw', 3, 'y_raw')}, {_r('x', 3, 'x')}, {_r('y', 3, 'y')} FROM loc",
+)

@@ -13,9 +13,10 @@ from tagtrack.functions import text as X
 from tagtrack.operators import accuracy, align, heatmap, ingest, motion, quality, scan, smooth, solve2d, solve3d, zones
 from tagtrack.plans import eventviews as V
 from tagtrack.plans import locate
-from tagtrack.plans.barrier import shared_checkpoint
+from tagtrack.plans.barrier import fresh_path, shared_checkpoint
 from tagtrack.sources import messages as M
 from tagtrack.sources import settings as S
+from tagtrack.streaming import jobs, tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
 IDS = (1, 2, 3, 4)
@@ -496,6 +497,66 @@ def alpha_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("alpha", "tolerance_cm", "anchor_shift", "n", *_rs(["avg_err", "avg_precision"], 3))
 
 
+# --- streams ------------------------------------------------------------------------
+
+
+def _drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """Run a stream over what is there and read back the table it wrote."""
+    spark = stream.sparkSession
+    out, progress = fresh_path(spark, name), fresh_path(spark, f"{name}-progress")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        # a complete result replaces the table of the batch before
+        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def stream_ranges_log(spark: SparkSession, sf: str) -> DataFrame:
+    live = V.messages_of(V.event_stream(spark, sf))
+    out, progress = fresh_path(spark, "log"), fresh_path(spark, "log-progress")
+    jobs.write_log(live, out, progress).awaitTermination()
+    return spark.read.parquet(out).select("raw_message", "event", "anchor_id", "distance_cm", "fields_json")
+
+
+def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
+    live = ingest.parse_ranges(V.messages_of(V.event_stream(spark, sf)))
+    out = _drain(jobs.latest_ranges(live), "latest", "complete")
+    return out.select("tag_id", "anchor_id", F.unix_micros("last_ts").alias("last_us"), "distance_cm", "n")
+
+
+def stream_tick_window(spark: SparkSession, sf: str) -> DataFrame:
+    live = ingest.parse_ranges(V.messages_of(V.event_stream(spark, sf)))
+    out = _drain(jobs.tick_windows(live), "ticks", "complete")
+    return out.select("tag_id", "anchor_id", F.unix_millis("tick_start").alias("tick_ms"), "distance_cm", "n")
+
+
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    device = V.event_stream(spark, sf).select(
+        F.col("user_id").alias("tag_id"), F.timestamp_millis(F.col("event_id") * 100).alias("device_ts")
+    )
+    out = _drain(jobs.session_gaps(device, "device_ts"), "sessions", "complete")
+    return out.select("tag_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
+
+
+def stream_repeat_suppress(spark: SparkSession, sf: str) -> DataFrame:
+    tel = ingest.telemetry(V.messages_of(V.event_stream(spark, sf)))
+    # device time: copies of a counter value lie within the watermark
+    timed = tel.select("src", "cb", F.timestamp_millis("ms").alias("device_ts"))
+    return _drain(jobs.first_of_repeats(timed, "device_ts", ("src", "cb")), "repeats", "append").select("src", "cb")
+
+
+def stream_track(spark: SparkSession, sf: str) -> DataFrame:
+    """Stateful tracking over the ranges, written out first so that they arrive as files."""
+    table = fresh_path(spark, "ranges")
+    V.ranges(spark, sf).select("run_id", "tag_id", "t", "arrival", "anchor_id", "distance_cm").write.parquet(table)
+    live = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table)
+    out = _drain(tracker.track(live, V.LAYOUT), "track", "append")
+    return out.select("tag_id", _r("t"), *_rs(["x_raw", "y_raw", "x", "y"], 3))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -508,6 +569,7 @@ QUERIES: dict[str, Query] = {
         player_card, player_card_3d, jumps, running_max, trail_220, trail_lines, running_total_lines, heat_cells,
         heatmap_max, heatmap_kernel, heatmap_smooth, heatmap_dense, heatmap_snapshot, heat_rgba, zone_time,
         hoop_distance, error_final_2d, error_running_2d, precision, filter_delay, truth_at_delay, best_delay,
-        error_3d, settings_sanitize, alpha_sweep,
+        error_3d, settings_sanitize, alpha_sweep, stream_ranges_log, stream_latest, stream_tick_window,
+        stream_sessions, stream_repeat_suppress, stream_track,
     )
 }
