@@ -48,77 +48,92 @@ def _scalar(doc: Column, name: str, default: float, whole: bool) -> tuple[Column
     return F.when(found.isNull(), F.lit(float(default))).otherwise(value), found.isNotNull() & value.isNull()
 
 
-def _is_object(doc: Column) -> Column:
-    return F.coalesce(_kind(doc) == "OBJECT", F.lit(False))
+def _layout_entries(doc: Column, mode: str) -> Column:
+    """One struct per default anchor: the document's coordinates where they are usable.
 
-
-def sanitize(records: DataFrame, mode: str = "2d", raw: str = "raw") -> DataFrame:
-    """Replace the JSON column by clamped settings columns and ``layouts_apply``."""
+    ``bad`` marks a list of the right length with a coordinate that is no number.
+    """
+    axes = 3 if mode == "3d" else 2
+    defaults = F.array(
+        *[
+            F.struct(
+                F.lit(layout_id).alias("layout_id"),
+                F.lit(name).alias("layout_name"),
+                F.lit(anchor_id).alias("anchor_id"),
+                F.array(*[F.lit(v) for v in spot]).alias("spot"),
+            )
+            for layout_id, (name, anchors) in K.LAYOUTS[mode].items()
+            for anchor_id, spot in anchors.items()
+        ]
+    )
+    layouts = F.try_variant_get(doc, "$.layouts", "map<string,variant>")
+
+    def entry(d: Column) -> Column:
+        layout = F.try_element_at(layouts, d["layout_id"].cast("string"))
+        anchors = F.try_variant_get(layout, "$.anchors", "map<string,variant>")
+        got = F.try_element_at(anchors, d["anchor_id"].cast("string"))
+        parts = F.when(_kind(got) == "ARRAY", F.try_variant_get(got, "$", "array<variant>"))
+        sized = F.coalesce(F.size(parts) == axes, F.lit(False))
+        coords = F.transform(parts, lambda p: _number(p, False))
+        return F.struct(
+            d["layout_id"].alias("layout_id"),
+            d["anchor_id"].alias("anchor_id"),
+            d["layout_name"].alias("default_name"),
+            d["spot"].alias("default_spot"),
+            F.coalesce(F.try_variant_get(layout, "$.name", "string"), d["layout_name"]).alias("layout_name"),
+            F.when(sized, coords).otherwise(d["spot"]).alias("spot"),
+            (sized & F.exists(coords, lambda c: c.isNull())).alias("bad"),
+        )
+
+    return F.transform(defaults, entry)
+
+
+def _read(records: DataFrame, mode: str, raw: str) -> DataFrame:
+    """Add the parsed scalars, layout entries and whether the document stands."""
     doc = F.col("_doc")
-    bounds = K.SETTINGS[mode]
-    read = records.withColumn("_doc", F.try_parse_json(F.col(raw)))
     version, void = _scalar(doc, "settings_version", 0, True)
     values = {}
-    for name, (default, _, _) in bounds.items():
+    for name, (default, _, _) in K.SETTINGS[mode].items():
         values[name], bad = _scalar(doc, name, default, isinstance(default, int))
         void = void | bad
-    read = read.select(
-        "*", *[v.alias(f"_v_{n}") for n, v in values.items()], version.alias("_version"),
-        (_is_object(doc) & ~void).alias("_ok"),
+    read = records.withColumn("_doc", F.try_parse_json(F.col(raw))).select(
+        "*",
+        *[v.alias(f"_v_{n}") for n, v in values.items()],
+        F.coalesce(_kind(doc) == "OBJECT", F.lit(False)).alias("_object"),
+        void.alias("_void"),
+        (version == K.SETTINGS_VERSION).alias("_current"),
+        _layout_entries(doc, mode).alias("_entries"),
     )
+    spoilt = F.col("_current") & F.exists("_entries", lambda e: e["bad"])
+    stands = F.col("_object") & ~F.col("_void") & ~F.coalesce(spoilt, F.lit(False))
+    return read.withColumn("_ok", stands).withColumn("layouts_apply", F.coalesce(stands & F.col("_current"), F.lit(False)))
+
+
+def sanitize(records: DataFrame, mode: str = "2d", raw: str = "raw") -> DataFrame:
+    """Replace the JSON column by clamped settings columns and ``layouts_apply``."""
     out = []
-    for name, (default, lo, hi) in bounds.items():
+    for name, (default, lo, hi) in K.SETTINGS[mode].items():
         v = F.col(f"_v_{name}")
         if lo is not None:
             v = clamp(v, float(lo), float(hi))
         v = F.when(F.col("_ok"), v).otherwise(F.lit(float(default)))
         out.append(v.cast("int" if isinstance(default, int) else "double").alias(name))
     keep = [c for c in records.columns if c != raw]
-    applies = F.col("_ok") & (F.col("_version") == K.SETTINGS_VERSION)
-    return read.select(*keep, *out, applies.alias("layouts_apply"))
+    return _read(records, mode, raw).select(*keep, *out, "layouts_apply")
 
 
 def layout_rows(records: DataFrame, mode: str = "2d", raw: str = "raw") -> DataFrame:
-    """Anchor rows of every layout of every record, with defaults where they apply."""
-    doc = F.col("_doc")
-    defaults = K.LAYOUTS[mode]
-    axes = 3 if mode == "3d" else 2
-    flags = sanitize(records.withColumn("_raw", F.col(raw)), mode, raw).withColumn("_doc", F.try_parse_json("_raw"))
-    entries, void = [], F.lit(False)
-    for layout_id, (name, anchors) in defaults.items():
-        label = F.try_variant_get(doc, f"$.layouts.{layout_id}.name", "string")
-        for anchor_id, spot in anchors.items():
-            got = _part(doc, f"$.layouts.{layout_id}.anchors.{anchor_id}")
-            parts = [_part(got, f"$[{i}]") for i in range(axes)]
-            sized = (_kind(got) == "ARRAY") & _part(got, f"$[{axes}]").isNull()
-            for p in parts:
-                sized = sized & p.isNotNull()
-            sized = F.coalesce(F.col("layouts_apply") & sized, F.lit(False))
-            coords = [_number(p, False) for p in parts]
-            for c in coords:
-                void = void | (sized & c.isNull())
-            chosen = [F.when(sized, c).otherwise(F.lit(spot[i])) for i, c in enumerate(coords)]
-            spare = [F.lit(v) for v in spot]
-            z = F.lit(None).cast("double")
-            entries.append(
-                F.struct(
-                    F.lit(layout_id).alias("layout_id"),
-                    F.coalesce(F.when(F.col("layouts_apply"), label), F.lit(name)).alias("layout_name"),
-                    F.lit(anchor_id).alias("anchor_id"),
-                    *[F.struct(a.alias("own"), b.alias("default")).alias(n) for n, a, b in zip(
-                        ("ax", "ay", "az"), [*chosen, z][:3], [*spare, z][:3])],
-                    F.lit(name).alias("_default_name"),
-                )
-            )
-    rows = flags.select("*", void.alias("_void"), F.explode(F.array(*entries)).alias("_e"))
+    """Anchor rows of every layout of every document, with defaults where they apply."""
     keep = [c for c in records.columns if c != raw]
-
-    def pick(n: str) -> Column:
-        return F.when(F.col("_void"), F.col(f"_e.{n}.default")).otherwise(F.col(f"_e.{n}.own")).alias(n)
-
-    label = F.when(F.col("_void"), F.col("_e._default_name")).otherwise(F.col("_e.layout_name"))
+    rows = _read(records, mode, raw).select(*keep, "layouts_apply", F.explode("_entries").alias("_e"))
+    own = F.col("layouts_apply")
+    spot = F.when(own, F.col("_e.spot")).otherwise(F.col("_e.default_spot"))
     return rows.select(
-        *keep, "_e.layout_id", label.alias("layout_name"), "_e.anchor_id", pick("ax"), pick("ay"), pick("az")
+        *keep,
+        "_e.layout_id",
+        F.when(own, F.col("_e.layout_name")).otherwise(F.col("_e.default_name")).alias("layout_name"),
+        "_e.anchor_id",
+        *[F.get(spot, F.lit(i)).alias(n) for i, n in enumerate(("ax", "ay", "az"))],
     )
 
 
