@@ -1,8 +1,8 @@
 """Column expressions that read device messages.
 
 All of them run inside the JVM; none needs a shuffle or session settings.
-Each message is scanned once per pattern: a match is kept as text and split
-afterwards, so the heavy expression is never evaluated per capture group.
+Capture groups come out as parallel arrays, and a field is found by position in
+the key array, so the common path has no per-match regex and no nested lambda.
 """
 
 from __future__ import annotations
@@ -21,44 +21,37 @@ def clean_message(raw: Column) -> Column:
     return F.btrim(F.make_valid_utf8(raw.cast("string")), F.lit(SPACE))
 
 
-def _all(text: Column, pattern: str) -> Column:
+def _all(text: Column, pattern: str, group: int) -> Column:
     # (?U): digits, blanks and word edges are Unicode-aware
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group))
 
 
-def _before(match: Column) -> Column:
-    return F.regexp_extract(match, r"(?U)^([^:=]*?)\s*[:=]", 1)
+# A key that fails from its first letter fails from every later one: the
+# look-behind loses nothing and keeps long words linear.
+_PAIR = "(?<![A-Za-z])" + K.KEY_VALUE
 
 
-def _after(match: Column) -> Column:
-    return F.regexp_extract(match, r"(?U)^[^:=]*[:=]\s*(.*)$", 1)
+def field_keys(message: Column) -> Column:
+    """Lower-cased keys of every ``key=value``, last one first."""
+    return F.reverse(F.transform(_all(message, _PAIR, 1), F.lower))
 
 
-def field_pairs(message: Column) -> Column:
-    """Every ``key=value`` of the message in text order, as array<struct<k,v>>.
+def field_values(message: Column) -> Column:
+    """The values beside :func:`field_keys`."""
+    return F.reverse(_all(message, _PAIR, 2))
 
-    A key that fails from its first letter fails from every later one, so the
-    look-behind loses nothing and keeps long words linear.
-    """
-    return F.transform(
-        _all(message, "(?<![A-Za-z])" + K.KEY_VALUE),
-        lambda m: F.struct(F.lower(_before(m)).alias("k"), _after(m).alias("v")),
-    )
 
-
-def fields_map(pairs: Column) -> Column:
-    """Pairs to a key-sorted map in which the last duplicate wins."""
-    keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
-    values = F.transform(
-        keys,
-        lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), F.lit(-1))["v"],
-    )
-    return F.map_from_arrays(keys, values)
+def field(keys: Column, values: Column, key: str) -> Column:
+    """Value of the last occurrence of ``key``; NULL when absent."""
+    return F.get(values, (F.array_position(keys, key) - 1).cast("int"))
 
 
-def field(fields: Column, key: str) -> Column:
-    """Value of ``key``; NULL when absent."""
-    return F.try_element_at(fields, F.lit(key))
+def fields_map(keys: Column, values: Column) -> Column:
+    """Key-sorted map in which the last duplicate wins."""
+    names = F.array_sort(F.array_distinct(keys))
+    return F.map_from_arrays(
+        names, F.transform(names, lambda k: F.get(values, (F.array_position(keys, k) - 1).cast("int")))
+    )
 
 
 def fields_json(fields: Column) -> Column:
@@ -88,46 +81,51 @@ def is_false_flag(text: Column) -> Column:
     return F.lower(F.btrim(text, F.lit(SPACE))).isin(*K.FALSE_FLAGS)
 
 
-def event_label(fields: Column) -> Column:
+def event_label(keys: Column, values: Column) -> Column:
     """Upper-cased ``event``, else ``type``, else the default label."""
-    return F.upper(F.coalesce(*[field(fields, k) for k in K.EVENT_KEYS], F.lit(K.DEFAULT_EVENT)))
+    return F.upper(F.coalesce(*[field(keys, values, k) for k in K.EVENT_KEYS], F.lit(K.DEFAULT_EVENT)))
 
 
-def keyed_distance(fields: Column) -> Column:
-    """Zero or one (anchor, distance) named by separate id and distance keys.
+def keyed_distance(keys: Column, values: Column) -> Column:
+    """(anchor, distance) named by separate id and distance keys; NULL parts when unusable.
 
     The id is the first key present; when it does not parse there is no second
     try.  The distance is the first key that does parse.  A false ``valid``
     flag silences this form only.
     """
-    anchor = to_int(F.coalesce(*[field(fields, k) for k in K.ID_KEYS]))
-    flagged = is_false_flag(F.coalesce(field(fields, "valid"), F.lit("1")))
-    dist = F.coalesce(*[to_float(field(fields, k)) for k in K.DISTANCE_KEYS])
-    one = F.struct(F.when(~flagged, anchor).alias("anchor_id"), dist.alias("distance_cm"))
-    return F.filter(
-        F.array(one).cast(PAIRS), lambda p: p["anchor_id"].isNotNull() & p["distance_cm"].isNotNull()
-    )
-
-
-def indexed_distances(message_upper: Column, pattern: str) -> Column:
-    """Pairs written as ``<word><n> = <number>``; the first digit run is the anchor."""
-    found = F.transform(
-        _all(message_upper, pattern),
-        lambda m: F.struct(
-            F.regexp_extract(m, r"(?U)(\d+)", 1).try_cast("int").alias("anchor_id"),
-            to_float(_after(m)).alias("distance_cm"),
+    anchor = to_int(F.coalesce(*[field(keys, values, k) for k in K.ID_KEYS]))
+    flagged = is_false_flag(F.coalesce(field(keys, values, "valid"), F.lit("1")))
+    dist = F.coalesce(*[to_float(field(keys, values, k)) for k in K.DISTANCE_KEYS])
+    return F.struct(F.when(~flagged, anchor).alias("anchor_id"), dist.alias("distance_cm"))
+
+
+def indexed_anchors(message_upper: Column, pattern: str) -> Column:
+    """Anchor numbers of every ``<word><n> = <number>``."""
+    return _all(message_upper, pattern, 1)
+
+
+def indexed_distances(message_upper: Column, pattern: str, anchors: Column) -> Column:
+    """Pairs of such a form; the text is scanned again only where there are any."""
+    numbers = _all(message_upper, pattern, 2)
+    pairs = F.zip_with(
+        anchors,
+        numbers,
+        lambda a, n: F.struct(
+            a.try_cast("int").alias("anchor_id"),
+            F.replace(n, F.lit(","), F.lit(".")).try_cast("double").alias("distance_cm"),
         ),
     )
-    return F.filter(found, lambda p: p["anchor_id"].isNotNull()).cast(PAIRS)
+    return F.when(F.size(anchors) > 0, pairs.cast(PAIRS)).otherwise(F.array().cast(PAIRS))
 
 
 def last_per_anchor(pairs: Column) -> Column:
     """Keep the last assignment of each anchor, ascending by anchor."""
-    ids = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["anchor_id"])))
-    return F.transform(
-        ids,
-        lambda a: F.element_at(F.filter(pairs, lambda p: p["anchor_id"] == a), F.lit(-1)),
+    known = F.filter(pairs, lambda p: p["anchor_id"].isNotNull() & p["distance_cm"].isNotNull())
+    ids = F.array_sort(F.array_distinct(known["anchor_id"]))
+    latest = F.transform(
+        ids, lambda a: F.element_at(F.filter(pairs, lambda p: p["anchor_id"] == a), F.lit(-1))
     )
+    return F.when(F.size(pairs) <= 1, known).otherwise(latest)
 
 
 def iso_millis(ts: Column) -> Column:

@@ -9,10 +9,25 @@ from tagtrack import constants as K
 from tagtrack.functions import text as X
 
 
+FORMS = (K.ANCHOR_D1, K.ANCHOR_INDEXED, K.D_INDEXED, K.WORD_INDEXED)
+
+
+def _with_keys(messages: DataFrame) -> DataFrame:
+    return messages.withColumns(
+        {"_keys": X.field_keys(F.col("message")), "_values": X.field_values(F.col("message"))}
+    )
+
+
 def with_fields(messages: DataFrame) -> DataFrame:
     """Add ``fields``: the key/value map of each message, lower-cased keys."""
-    pairs = messages.withColumn("_pairs", X.field_pairs(F.col("message")))
-    return pairs.withColumn("fields", X.fields_map(F.col("_pairs"))).drop("_pairs")
+    out = _with_keys(messages).withColumn("fields", X.fields_map(F.col("_keys"), F.col("_values")))
+    return out.drop("_keys", "_values")
+
+
+def with_event(messages: DataFrame) -> DataFrame:
+    """Add ``event``: the label of each message."""
+    out = _with_keys(messages).withColumn("event", X.event_label(F.col("_keys"), F.col("_values")))
+    return out.drop("_keys", "_values")
 
 
 def with_distances(messages: DataFrame, mode: str = "compat") -> DataFrame:
@@ -22,14 +37,20 @@ def with_distances(messages: DataFrame, mode: str = "compat") -> DataFrame:
     only carries ``d1=`` lands on anchor 1.  ``session`` maps well-formed device
     lines to the anchor of their session and leaves other messages as in compat.
     """
+    return _with_distances(_with_keys(messages), mode).drop("_keys", "_values")
+
+
+def _with_distances(keyed: DataFrame, mode: str) -> DataFrame:
     if mode not in ("compat", "session"):
         raise ValueError(f"unknown mode {mode!r}")
-    df = with_fields(messages).withColumn("_up", F.upper(F.col("message")))
-    forms = [X.keyed_distance(F.col("fields"))] + [
-        X.indexed_distances(F.col("_up"), p)
-        for p in (K.ANCHOR_D1, K.ANCHOR_INDEXED, K.D_INDEXED, K.WORD_INDEXED)
-    ]
-    df = df.withColumn("_found", F.concat(*forms))
+    up = F.col("_up")
+    df = keyed.withColumn("_up", F.upper(F.col("message")))
+    df = df.withColumns({f"_n{i}": X.indexed_anchors(up, p) for i, p in enumerate(FORMS)})
+    named = F.array(X.keyed_distance(F.col("_keys"), F.col("_values"))).cast(X.PAIRS)
+    forms = [X.indexed_distances(up, p, F.col(f"_n{i}")) for i, p in enumerate(FORMS)]
+    df = df.withColumn("_named", named)
+    usable = F.col("_named")[0]["anchor_id"].isNotNull() & F.col("_named")[0]["distance_cm"].isNotNull()
+    df = df.withColumn("_found", F.concat(F.when(usable, F.col("_named")).otherwise(F.array().cast(X.PAIRS)), *forms))
     df = df.withColumn("distances", X.last_per_anchor(F.col("_found")))
     if mode == "session":
         anchor, d1 = session_anchor(F.col("_tel.session")), F.col("_tel.d1")
@@ -40,7 +61,7 @@ def with_distances(messages: DataFrame, mode: str = "compat") -> DataFrame:
         df = df.withColumn("_tel", telemetry_struct(F.col("message")))
         df = df.withColumn("distances", F.when(F.col("_tel").isNotNull(), mapped).otherwise(F.col("distances")))
         df = df.drop("_tel")
-    return df.drop("_up", "_found")
+    return df.drop("_up", "_found", "_named", *[f"_n{i}" for i in range(len(FORMS))])
 
 
 def parse_ranges(messages: DataFrame, mode: str = "compat") -> DataFrame:
@@ -56,15 +77,16 @@ def parse_ranges(messages: DataFrame, mode: str = "compat") -> DataFrame:
 
 def log_rows(messages: DataFrame, mode: str = "compat") -> DataFrame:
     """The nine calibration-log columns, one row per (message, anchor)."""
-    df = with_distances(messages, mode).select(
+    df = _with_distances(_with_keys(messages), mode)
+    df = df.withColumn("_fields", X.fields_map(F.col("_keys"), F.col("_values"))).select(
         X.iso_millis(F.col("ingest_ts")).alias("timestamp_iso"),
         (F.unix_micros("ingest_ts") / F.lit(1e6)).alias("timestamp_s"),
         "source_ip",
         "source_port",
-        X.event_label(F.col("fields")).alias("event"),
+        X.event_label(F.col("_keys"), F.col("_values")).alias("event"),
         F.explode_outer("distances").alias("_d"),
         F.col("message").alias("raw_message"),
-        X.fields_json(F.col("fields")).alias("fields_json"),
+        X.fields_json(F.col("_fields")).alias("fields_json"),
     )
     return df.where(F.col("_d").isNotNull()).select(
         "timestamp_iso",

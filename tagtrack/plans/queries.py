@@ -52,8 +52,7 @@ def parse_ranges_session(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_label(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ingest.with_fields(V.messages(spark, sf))
-    return rows.select("event_id", X.event_label(F.col("fields")).alias("event"))
+    return ingest.with_event(V.messages(spark, sf)).select("event_id", "event")
 
 
 def fields_json(spark: SparkSession, sf: str) -> DataFrame:

@@ -64,8 +64,7 @@ def test_fields_last_duplicate_wins(spark):
 
 def test_event_label(spark):
     df = spark.createDataFrame([("event=go type=no",), ("type=probe",), ("hello",)], "message string")
-    got = ingest.with_fields(df).select(X.event_label(F.col("fields")).alias("e")).collect()
-    assert [r.e for r in got] == ["GO", "PROBE", "DISTANCE"]
+    assert [r.event for r in ingest.with_event(df).collect()] == ["GO", "PROBE", "DISTANCE"]
 
 
 def test_session_mode_and_sentinels(spark):
