@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagtrack import constants as K
+from tagtrack.operators import scan
 from tagtrack.operators.ingest import measured
 
 
@@ -87,3 +88,30 @@ def first_of_repeats(telemetry: DataFrame, ts: str = "ingest_ts", keys: Sequence
     return telemetry.groupBy(*keys).agg(
         F.min(ts).alias(ts), *[F.min_by(c, ts).alias(c) for c in rest], F.count(F.lit(1)).alias("copies")
     )
+
+
+def session_spans(
+    df: DataFrame, ts: str, gap_ms: int = K.STALE_MS, keys: Sequence[str] = ("tag_id",), chunk_s: float = 3600.0
+) -> DataFrame:
+    """Start, end and size of the spans without a gap longer than ``gap_ms``.
+
+    The batch form of a session window.  It numbers the spans with the chunked
+    ordered operators, so a tag with most of the rows is not one task; the end
+    is the last row plus the gap.
+    """
+    keys = list(keys)
+    timed = df.select(*keys, F.unix_micros(ts).alias("_us"))
+    timed = timed.withColumn(scan.CHUNK, scan.chunk_of(F.col("_us") / F.lit(1e6), chunk_s))
+    prev = scan.with_previous(timed, keys, "_us", ["_us"], "_before")
+    opens = F.when(F.col("_us") - F.col("_before_us") <= gap_ms * 1000, F.lit(0)).otherwise(F.lit(1))
+    numbered = scan.running(prev, keys, ["_us"], {"_span": ("sum", opens)})
+    return (
+        numbered.groupBy(*keys, "_span")
+        .agg(F.min("_us").alias("_a"), F.max("_us").alias("_b"), F.count(F.lit(1)).alias("n"))
+        .select(
+            *keys,
+            F.timestamp_micros("_a").alias("start"),
+            F.timestamp_micros(F.col("_b") + F.lit(gap_ms * 1000)).alias("end"),
+            "n",
+        )
+    )

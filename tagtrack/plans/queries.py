@@ -133,11 +133,8 @@ def repeat_suppress(spark: SparkSession, sf: str) -> DataFrame:
 
 def session_gaps(spark: SparkSession, sf: str) -> DataFrame:
     device = V.messages(spark, sf).select("tag_id", F.timestamp_millis(F.col("event_id") * 100).alias("device_ts"))
-    return (
-        device.groupBy("tag_id", F.session_window("device_ts", "1500 milliseconds").alias("_s"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("tag_id", F.unix_millis("_s.start").alias("start_ms"), F.unix_millis("_s.end").alias("end_ms"), "n")
-    )
+    out = quality.session_spans(device, "device_ts")
+    return out.select("tag_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
 
 
 def calibration_bias(spark: SparkSession, sf: str) -> DataFrame:
