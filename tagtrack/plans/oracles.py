@@ -596,3 +596,24 @@ ORACLES["stream_track"] = _with(
     _RANGES + "," + _located("r"),
     f"SELECT tag_id, {_T}, {_r('x_raw', 3, 'x_raw')}, {_r('y_raw', 3, 'y_raw')}, {_r('x', 3, 'x')}, {_r('y', 3, 'y')} FROM loc",
 )
+_FRAME60 = _RANGES.replace("tickd AS (", "stampd AS (") + """,
+span AS (SELECT tag_id, CAST(ceil(min(t)*60) AS BIGINT) AS i, CAST(floor((max(t)+2.0)*60) AS BIGINT) AS j FROM ranges_v GROUP BY 1),
+frames AS (SELECT tag_id, unnest(range(i, j+1)) AS tick FROM span),
+tickd AS (SELECT tag_id, tick/60::DOUBLE AS t, 1/60::DOUBLE AS dt FROM frames),
+near AS (SELECT f.tag_id, f.t, f.anchor_id, g.r, f.t - g.t AS age FROM (SELECT * FROM tickd CROSS JOIN anchors) f
+  ASOF LEFT JOIN ranges_v g ON f.tag_id=g.tag_id AND f.anchor_id=g.anchor_id AND f.t >= g.t),
+heldf AS (SELECT tag_id, t, anchor_id, r FROM near WHERE age <= 2.0)"""
+ORACLES["locate_2d_frame"] = _with(
+    _FRAME60 + "," + _solve("raw", "heldf", "x_raw", "y_raw") + "," + _ema_ticks("r", "heldf") + "," + _solve("fine", "sm", "xs", "ys")
+    + """,
+aim AS (SELECT k.tag_id, k.t, k.dt, f.xs, f.ys FROM tickd k LEFT JOIN fine f USING (tag_id, t)),"""
+    + _ema("ex", "aim", "tag_id", "xs", 0.10) + "," + _ema("ey", "aim", "tag_id", "ys", 0.10)
+    + """,
+loc AS (SELECT k.tag_id, k.t, raw.x_raw, raw.y_raw,
+  last_value(ex.s IGNORE NULLS) OVER w AS x, last_value(ey.s IGNORE NULLS) OVER w AS y FROM tickd k
+  LEFT JOIN raw USING (tag_id, t) LEFT JOIN ex USING (tag_id, t) LEFT JOIN ey USING (tag_id, t)
+  WINDOW w AS (PARTITION BY k.tag_id ORDER BY k.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+    f"""SELECT tag_id, {_T}, x_raw IS NOT NULL AS valid, {_r('x_raw', 3, 'x_raw')}, {_r('y_raw', 3, 'y_raw')}, {_r('x', 3, 'x')},
+ {_r('y', 3, 'y')} FROM loc""",
+)
+

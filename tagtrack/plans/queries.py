@@ -273,6 +273,12 @@ def locate_2d_full(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def locate_2d_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The regular-clock mode: a held value is applied at every tick until it is too old."""
+    out = locate.locate_2d(V.ranges(spark, sf), V.LAYOUT, mode="frame")
+    return out.select("tag_id", _r("t"), "valid", *_rs(["x_raw", "y_raw", "x", "y"], 3))
+
+
 def locate_3d_to_2d(spark: SparkSession, sf: str) -> DataFrame:
     out = locate.locate_3d_to_2d(V.ranges(spark, sf, slant=True), V.LAYOUT)
     return out.select("tag_id", _r("t"), *_rs(["x_raw", "y_raw", "x", "y"], 3), _r(F.col("raw_3d")[1], 3, "slant_1"))
@@ -292,8 +298,15 @@ def locate_3d_point(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def locate_3d_track(spark: SparkSession, sf: str) -> DataFrame:
+    out = locate.locate_3d(V.ranges(spark, sf, slant=True), V.LAYOUT_Z)
+    cols = ["x_raw", "y_raw", "z_raw", "x", "y", "z", "delay_total_s"]
+    return out.select("tag_id", _r("t"), *_rs(cols, 3))
+
+
+def score_3d_track(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole 3D job with its delayed truth and running figures."""
     out = locate.locate_3d(V.ranges(spark, sf, slant=True), V.LAYOUT_Z, truth=V.truth(spark, sf))
-    cols = ["x_raw", "y_raw", "z_raw", "x", "y", "z", "err3d", "traj_err_3d", "measured_delay", "avg_err3d", "path_ratio"]
+    cols = ["x", "y", "z", "err3d", "traj_err_3d", "measured_delay", "avg_err3d", "avg_precision", "path_ratio"]
     return out.select("tag_id", _r("t"), *_rs(cols, 3))
 
 
@@ -561,7 +574,7 @@ QUERIES: dict[str, Query] = {
         session_anchor_map, response_rate, stale_anchors, repeat_suppress, session_gaps, calibration_bias,
         latest_per_anchor, live_ranges, asof_hold, anchor_status, packet_rows, complete_ticks, tick_delta,
         tick_window_100ms, run_segments, active_layout, ema_distance, ema_position, project_ground, locate_2d,
-        locate_2d_full, locate_3d_to_2d, circle_pairs, locate_3d_point, locate_3d_track, segment_speed,
+        locate_2d_full, locate_2d_frame, locate_3d_to_2d, circle_pairs, locate_3d_point, locate_3d_track, score_3d_track, segment_speed,
         player_card, player_card_3d, jumps, running_max, trail_220, trail_lines, running_total_lines, heat_cells,
         heatmap_max, heatmap_kernel, heatmap_smooth, heatmap_dense, heatmap_snapshot, heat_rgba, zone_time,
         hoop_distance, error_final_2d, error_running_2d, precision, filter_delay, truth_at_delay, best_delay,
