@@ -221,17 +221,16 @@ seen AS (SELECT h.tag_id, h.t, v.t AS st, h.t - v.t AS delay,
   sqrt((v.x-h.x)*(v.x-h.x)+(v.y-h.y)*(v.y-h.y)+(v.z-h.z)*(v.z-h.z)) AS err
   FROM hist h JOIN truth_v v ON v.tag_id=h.tag_id AND v.t <= h.t AND h.t - v.t <= 1.2 WHERE h.x IS NOT NULL AND h.idx >= 2),
 best AS (SELECT tag_id, t, arg_min(delay, (err, -st)) AS measured_delay, min(err) AS delay_err FROM seen GROUP BY 1, 2)"""
-_NEWTON = """
+_WIDE3 = """
 wide3 AS (SELECT tag_id, t, max(r3) FILTER (anchor_id=1) AS d1, max(r3) FILTER (anchor_id=2) AS d2,
-  max(r3) FILTER (anchor_id=3) AS d3, max(r3) FILTER (anchor_id=4) AS d4 FROM ranges_v GROUP BY 1, 2 HAVING count(*)=4),
-flat AS (SELECT tag_id, t, anchor_id, sqrt(greatest(0, r3*r3-505::DOUBLE*505)) AS r FROM ranges_v),"""
-_STEP = """
-it(k, tag_id, t, d1, d2, d3, d4, x, y, z, qx, qy, qz, qe, live) AS (
- SELECT 0, w.tag_id, w.t, d1, d2, d3, d4, s.x, s.y, 95::DOUBLE, s.x, s.y, 95::DOUBLE, 1e300::DOUBLE, true
- FROM wide3 w JOIN seed s USING (tag_id, t)
- UNION ALL
- SELECT k+1, tag_id, t, d1, d2, d3, d4, nx, ny, nz, CASE WHEN e < qe THEN nx ELSE qx END, CASE WHEN e < qe THEN ny ELSE qy END,
-  CASE WHEN e < qe THEN nz ELSE qz END, least(e, qe), sqrt(sx*sx+sy*sy+sz*sz) >= 0.01 FROM (
+  max(r3) FILTER (anchor_id=3) AS d3, max(r3) FILTER (anchor_id=4) AS d4 FROM ranges_v GROUP BY 1, 2 HAVING count(*)=4)"""
+_FLAT = """
+flat AS (SELECT tag_id, t, anchor_id, sqrt(greatest(0, r3*r3-505::DOUBLE*505)) AS r FROM ranges_v)"""
+
+
+def _newton(src: str) -> str:
+    """One damped step of every row of ``src``: adds the clipped point nx, ny, nz, the step s* and the starting error e."""
+    return f"""(
   SELECT *, least(greatest(x+sx,-450),2950) AS nx, least(greatest(y+sy,-350),2150) AS ny, least(greatest(z+sz,0),580) AS nz FROM (
   SELECT *, (v0*(m11*m22-m12*m12)-m01*(v1*m22-m12*v2)+m02*(v1*m12-m11*v2))/det AS sx,
    (m00*(v1*m22-m12*v2)-v0*(m01*m22-m12*m02)+m02*(m01*v2-v1*m02))/det AS sy,
@@ -246,7 +245,51 @@ it(k, tag_id, t, d1, d2, d3, d4, x, y, z, qx, qy, qz, qe, live) AS (
    (y-1950)/p3 AS y3, (y-1950)/p4 AS y4, (z-600)/p1 AS z1, (z-600)/p2 AS z2, (z-600)/p3 AS z3, (z-600)/p4 AS z4 FROM (
   SELECT *, sqrt((x+250)*(x+250)+(y+150)*(y+150)+(z-600)*(z-600)) AS p1, sqrt((x-2750)*(x-2750)+(y+150)*(y+150)+(z-600)*(z-600)) AS p2,
    sqrt((x-2750)*(x-2750)+(y-1950)*(y-1950)+(z-600)*(z-600)) AS p3, sqrt((x+250)*(x+250)+(y-1950)*(y-1950)+(z-600)*(z-600)) AS p4
-  FROM it WHERE live AND k < 18)))))))"""
+  FROM {src}))))))"""
+
+
+# independent solves of wide3 from seed(tag_id, t, x, y, z)
+_STEP = f"""
+it(k, tag_id, t, d1, d2, d3, d4, x, y, z, qx, qy, qz, qe, live) AS (
+ SELECT 0, w.tag_id, w.t, d1, d2, d3, d4, s.x, s.y, s.z, s.x, s.y, s.z, 1e300::DOUBLE, true
+ FROM wide3 w JOIN seed s USING (tag_id, t)
+ UNION ALL
+ SELECT k+1, tag_id, t, d1, d2, d3, d4, nx, ny, nz, CASE WHEN e < qe THEN nx ELSE qx END, CASE WHEN e < qe THEN ny ELSE qy END,
+  CASE WHEN e < qe THEN nz ELSE qz END, least(e, qe), sqrt(sx*sx+sy*sy+sz*sz) >= 0.01
+ FROM {_newton('it WHERE live AND k < 18')}),
+solved AS (SELECT tag_id, t, qx, qy, qz FROM it QUALIFY row_number() OVER (PARTITION BY tag_id, t ORDER BY k DESC) = 1)"""
+_MIX = "CASE WHEN NOT full4 THEN h{a} WHEN h{a} IS NULL THEN q{a} ELSE 0.08*q{a}+(1-0.08::DOUBLE)*h{a} END"
+# the smoothed track: a row either takes a step or, when done, moves to the next tick of its tag
+_TRACK = (
+    """
+fed3 AS (SELECT tag_id, t, anchor_id, 1/60::DOUBLE AS dt, r3 AS r FROM ranges_v),"""
+    + _ema("em3", "fed3", "tag_id, anchor_id", "r", 0.12)
+    + f""",
+sm3 AS (SELECT k.tag_id, k.t, a.anchor_id, last_value(e.s IGNORE NULLS) OVER (PARTITION BY k.tag_id, a.anchor_id ORDER BY k.t
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
+  FROM tickd k CROSS JOIN anchors a LEFT JOIN em3 e ON e.tag_id=k.tag_id AND e.t=k.t AND e.anchor_id=a.anchor_id),
+sw AS MATERIALIZED (SELECT tag_id, t, row_number() OVER (PARTITION BY tag_id ORDER BY t) AS idx, max(r) FILTER (anchor_id=1) AS d1,
+  max(r) FILTER (anchor_id=2) AS d2, max(r) FILTER (anchor_id=3) AS d3, max(r) FILTER (anchor_id=4) AS d4,
+  count(r)=4 AS full4 FROM sm3 GROUP BY 1, 2),
+trk(tag_id, idx, k, d1, d2, d3, d4, full4, x, y, z, qx, qy, qz, qe, live, hx, hy, hz) AS (
+ SELECT tag_id, idx, 0, d1, d2, d3, d4, full4, 1250::DOUBLE, 900::DOUBLE, 95::DOUBLE, 1250::DOUBLE, 900::DOUBLE, 95::DOUBLE, 1e300::DOUBLE,
+  full4, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM sw WHERE idx = 1
+ UNION ALL
+ SELECT n.tag_id, CASE WHEN step THEN n.idx ELSE s.idx END, CASE WHEN step THEN k+1 ELSE 0 END,
+  CASE WHEN step THEN n.d1 ELSE s.d1 END, CASE WHEN step THEN n.d2 ELSE s.d2 END, CASE WHEN step THEN n.d3 ELSE s.d3 END,
+  CASE WHEN step THEN n.d4 ELSE s.d4 END, CASE WHEN step THEN n.full4 ELSE s.full4 END,
+  CASE WHEN step THEN nx ELSE coalesce(gx, 1250) END, CASE WHEN step THEN ny ELSE coalesce(gy, 900) END,
+  CASE WHEN step THEN nz ELSE coalesce(gz, 95) END,
+  CASE WHEN NOT step THEN coalesce(gx, 1250) WHEN e < qe THEN nx ELSE qx END, CASE WHEN NOT step THEN coalesce(gy, 900) WHEN e < qe THEN ny ELSE qy END,
+  CASE WHEN NOT step THEN coalesce(gz, 95) WHEN e < qe THEN nz ELSE qz END, CASE WHEN NOT step THEN 1e300::DOUBLE ELSE least(e, qe) END,
+  CASE WHEN step THEN sqrt(sx*sx+sy*sy+sz*sz) >= 0.01 ELSE s.full4 END,
+  CASE WHEN step THEN hx ELSE gx END, CASE WHEN step THEN hy ELSE gy END, CASE WHEN step THEN hz ELSE gz END
+ FROM (SELECT *, live AND k < 18 AS step, {_MIX.format(a='x')} AS gx, {_MIX.format(a='y')} AS gy, {_MIX.format(a='z')} AS gz
+  FROM {_newton('trk')}) n LEFT JOIN sw s ON s.tag_id=n.tag_id AND s.idx=n.idx+1 WHERE step OR s.idx IS NOT NULL),
+fin AS (SELECT w.tag_id, w.t, hx, hy, hz, {_MIX.format(a='x').replace('full4', 'w.full4')} AS x, {_MIX.format(a='y').replace('full4', 'w.full4')} AS y,
+  {_MIX.format(a='z').replace('full4', 'w.full4')} AS z FROM trk JOIN sw w USING (tag_id, idx) WHERE NOT (live AND k < 18)),
+seed AS (SELECT tag_id, t, coalesce(hx, 1250) AS x, coalesce(hy, 900) AS y, coalesce(hz, 95) AS z FROM fin)"""
+)
 _ZONE = """CASE WHEN NOT (x BETWEEN -150 AND 2650 AND y BETWEEN 150 AND 1650) THEN 'out' WHEN hoop <= 125 THEN 'restricted'
   WHEN fe <= 580 AND side <= 245 THEN 'paint' WHEN sqrt((fe-580)*(fe-580)+side*side) <= 180 AND fe > 580 THEN 'free_throw'
   WHEN sqrt((x-1250)*(x-1250)+(y-900)*(y-900)) <= 180 THEN 'centre_circle'
@@ -466,9 +509,16 @@ ORACLES: dict[str, str] = {
  {_r('ym-3000*hh/d', 3, 'y2')} FROM p""",
     ),
     "locate_3d_point": _with(
-        _RANGES + "," + _NEWTON + _solve("seed", "flat") + "," + _STEP,
-        f"""SELECT tag_id, {_T}, {_r('qx', 3, 'x')}, {_r('qy', 3, 'y')}, {_r('qz', 3, 'z')} FROM it
- QUALIFY row_number() OVER (PARTITION BY tag_id, it.t ORDER BY k DESC) = 1""",
+        _RANGES + "," + _WIDE3 + "," + _FLAT + "," + _solve("ground", "flat")
+        + ", seed AS (SELECT tag_id, t, x, y, 95::DOUBLE AS z FROM ground)," + _STEP,
+        f"SELECT tag_id, {_T}, {_r('qx', 3, 'x')}, {_r('qy', 3, 'y')}, {_r('qz', 3, 'z')} FROM solved",
+        recursive=True,
+    ),
+    "locate_3d_track": _with(
+        _RANGES + "," + _WIDE3 + "," + _TRACK + "," + _STEP,
+        f"""SELECT f.tag_id, {_r('f.t', 4, 't')}, {_r('qx', 3, 'x_raw')}, {_r('qy', 3, 'y_raw')}, {_r('qz', 3, 'z_raw')}, {_r('f.x', 3, 'x')},
+ {_r('f.y', 3, 'y')}, {_r('f.z', 3, 'z')}, {_r('coalesce(-dt/ln(1-0.12::DOUBLE) - dt/ln(1-0.08::DOUBLE), 0)', 3, 'delay_total_s')}
+ FROM fin f JOIN tickd USING (tag_id, t) LEFT JOIN solved USING (tag_id, t)""",
         recursive=True,
     ),
     "segment_speed": _with(
@@ -616,4 +666,3 @@ loc AS (SELECT k.tag_id, k.t, raw.x_raw, raw.y_raw,
     f"""SELECT tag_id, {_T}, x_raw IS NOT NULL AS valid, {_r('x_raw', 3, 'x_raw')}, {_r('y_raw', 3, 'y_raw')}, {_r('x', 3, 'x')},
  {_r('y', 3, 'y')} FROM loc""",
 )
-
