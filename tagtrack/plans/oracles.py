@@ -666,3 +666,24 @@ loc AS (SELECT k.tag_id, k.t, raw.x_raw, raw.y_raw,
     f"""SELECT tag_id, {_T}, x_raw IS NOT NULL AS valid, {_r('x_raw', 3, 'x_raw')}, {_r('y_raw', 3, 'y_raw')}, {_r('x', 3, 'x')},
  {_r('y', 3, 'y')} FROM loc""",
 )
+_EST3 = """
+est AS (SELECT f.tag_id, f.t, f.x, f.y, f.z, o.qx AS xr, coalesce(-dt/ln(1-0.12::DOUBLE) - dt/ln(1-0.08::DOUBLE), 0) AS dl
+  FROM fin f JOIN tickd USING (tag_id, t) LEFT JOIN solved o USING (tag_id, t)),
+hist AS"""
+ORACLES["score_3d_track"] = _with(
+    _RANGES + "," + _WIDE3 + "," + _TRACK + "," + _STEP + "," + _EST3 + _BEST.split("hist AS", 1)[1] + ","
+    + _at("p.dl", K.TRUTH_HISTORY).replace("{src}", "est")
+    + """, e3 AS (SELECT e.tag_id, e.t, e.x, e.y, e.z, CASE WHEN ok THEN sqrt((v.x-e.x)**2+(v.y-e.y)**2+(v.z-e.z)**2) END AS err3d,
+ CASE WHEN ok THEN sqrt((p.at_x-e.x)**2+(p.at_y-e.y)**2+(p.at_z-e.z)**2) END AS traj_err_3d,
+ CASE WHEN ok THEN coalesce(b.measured_delay, 0) END AS md
+ FROM (SELECT *, x IS NOT NULL AND xr IS NOT NULL AS ok FROM est) e JOIN truth_v v USING (tag_id, t) JOIN past p USING (tag_id, t)
+ LEFT JOIN best b USING (tag_id, t)),
+w3 AS (SELECT *, avg(err3d) OVER w AS a1, avg(traj_err_3d) OVER w AS a3,
+ avg(CASE WHEN err3d IS NOT NULL THEN least(greatest(100*(1-err3d/90),0),100) END) OVER w AS a4 FROM e3
+ WINDOW w AS (PARTITION BY tag_id ORDER BY t))""",
+    f"""SELECT tag_id, {_T}, {_r('x', 3, 'x')}, {_r('y', 3, 'y')}, {_r('z', 3, 'z')}, {_r('err3d', 3, 'err3d')},
+ {_r('traj_err_3d', 3, 'traj_err_3d')}, {_r('md', 3, 'measured_delay')}, {_r('CASE WHEN err3d IS NOT NULL THEN a1 END', 3, 'avg_err3d')},
+ {_r('CASE WHEN err3d IS NOT NULL THEN a4 END', 3, 'avg_precision')},
+ {_r('CASE WHEN err3d IS NOT NULL THEN a1/nullif(a3,0) END', 3, 'path_ratio')} FROM w3""",
+    recursive=True,
+)
