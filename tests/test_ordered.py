@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tagtrack.operators import align, scan, smooth
+from tagtrack.operators import align, quality, scan, smooth
 
 KEYS = ["run_id", "tag_id"]
 
@@ -153,3 +153,13 @@ def test_packets_and_runs(spark):
     marks = spark.createDataFrame([(1, float(i), i in (2, 5)) for i in range(8)], "tag_id long, t double, reset boolean")
     runs = align.with_run(scan.with_chunk(marks, "t", 3.0), ["tag_id"], ["t"], F.col("reset")).orderBy("t").collect()
     assert [x.run_id for x in runs] == [0, 0, 1, 1, 1, 2, 2, 2]
+
+
+@pytest.mark.parametrize("chunk_s", [0.5, 3600.0])
+def test_session_spans_cross_chunks(spark, chunk_s):
+    stamps = [0, 400, 1900, 3401, 3402, 9000, 10500, 12000]
+    df = spark.createDataFrame([(1, s) for s in stamps], "tag_id long, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    out = quality.session_spans(df, "ts", 1500, chunk_s=chunk_s)
+    got = out.select(F.unix_millis("start").alias("a"), F.unix_millis("end").alias("b"), "n").orderBy("a").collect()
+    # a gap of exactly the limit does not end a span
+    assert [tuple(r) for r in got] == [(0, 3400, 3), (3401, 4902, 2), (9000, 13500, 3)]
