@@ -40,7 +40,7 @@ places AS (
         FROM docs, (SELECT DISTINCT size FROM grams) WHERE len(w) >= size)
 ),
 hits AS (SELECT p.doc_id, p.s, p.size, g.item_id FROM places p JOIN grams g ON p.ngram = g.ngram),
-covered AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS at FROM hits) GROUP BY doc_id),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY doc_id),
 owners AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
   FROM (SELECT DISTINCT doc_id, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
