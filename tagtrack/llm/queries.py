@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtrack.llm import chat, decontaminate, licenses, sharding
+from tagtrack.llm import chat, decontaminate, fingerprints, licenses, sharding, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+URL_RULES = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+
+
+def op1_urls(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages").select("page_id", "url")
+    rules = urls.parse_rules(URL_RULES)
+    model = urls.fit(urls.labelled_by_rules(pages, rules))
+    return urls.judged(pages, rules, model).drop("url")
+
+
 def op3_chat(spark: SparkSession, sf: str) -> DataFrame:
     turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -52,9 +62,30 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = fingerprints.with_fingerprint(docs, "text", "fp").select("doc_id", F.struct("text", "fp").alias("d"))
+    rows = fingerprints.with_next(docs, "d", "next")
+    rows = rows.select(
+        "doc_id", F.char_length("d.text").cast("long").alias("n_chars"), F.col("d.fp").alias("fp"), F.col("next.fp").alias("next_fp"),
+        fingerprints.edited(F.col("d.text"), F.col("next.text")).alias("edited"),
+    )
+    rows = fingerprints.with_fingerprint(rows, "edited", "edited_fp")
+    return rows.select(
+        "doc_id", "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("fp")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 QUERIES = {
+    "op1_urls": op1_urls,
     "op3_chat": op3_chat,
     "op6_sharding": op6_sharding,
     "op7_licenses": op7_licenses,
     "op9_decontaminate": op9_decontaminate,
+    "op10_fingerprints": op10_fingerprints,
 }
