@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtrack.plans.barrier import fresh_path
@@ -41,3 +41,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def starts_of(counts: DataFrame, key: str, block: int = 1024) -> DataFrame:
+    """key, start: the sum of ``n`` over all smaller keys of a (key, n) table.
+
+    Running sums inside blocks of keys, then over the blocks: one task sees a row per block only.
+    """
+    inside = Window.partitionBy("block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(key, "n", F.expr(f"{key} div {block}").alias("block"))
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows = counts.select(key, "block", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("own"))
+    return rows.join(blocks, "block").select(key, (F.col("base") + F.col("own")).alias("start"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtrack.llm import chat, decontaminate, fingerprints, licenses, sharding, urls
+from tagtrack.llm import chat, decontaminate, fingerprints, licenses, mixing, sharding, urls, webpages
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,6 +40,16 @@ def op3_chat(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "source")
+    return mixing.mixed(docs)
+
+
+def op5_html(spark: SparkSession, sf: str) -> DataFrame:
+    out = webpages.extracted(_table(spark, sf, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = _table(spark, sf, "documents").select(
@@ -84,6 +94,8 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_urls": op1_urls,
     "op3_chat": op3_chat,
+    "op4_mixing": op4_mixing,
+    "op5_html": op5_html,
     "op6_sharding": op6_sharding,
     "op7_licenses": op7_licenses,
     "op9_decontaminate": op9_decontaminate,
