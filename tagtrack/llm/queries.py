@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtrack.llm import chat, decontaminate, fingerprints, licenses, mixing, sharding, urls, webpages
+from tagtrack.llm import chat, decontaminate, fingerprints, licenses, mixing, quality, sharding, urls, webpages
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op7_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(_table(spark, sf, "documents")).drop("rules")
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _, _ = quality.resampled(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+    return rows
+
+
 def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
     ids: Column = F.array_join("items", ",")
@@ -98,6 +103,7 @@ QUERIES = {
     "op5_html": op5_html,
     "op6_sharding": op6_sharding,
     "op7_licenses": op7_licenses,
+    "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_fingerprints": op10_fingerprints,
 }
