@@ -3,18 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagtrack.llm import decontaminate
+from tagtrack.llm import decontaminate, mixing, neardup, quality, sharding
 from tagtrack.llm.common import saved
 
+SHARDS = 24
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.filtered(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, 80 % alike)."""
+    return neardup.deduplicated(docs)
+
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", decontamination)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order in which their sources interleave."""
+    return mixing.in_order(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard and its slot there."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 8
+    return sharding.sharded(docs, SHARDS, row_bytes=size)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("near dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
+#: the classifier's fit, the sketches and the schedule are no SQL; tests/llm hold the stages against brute force
 ORACLE_SQL = None
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,8 @@ def starts_of(counts: DataFrame, key: str, block: int = 1024) -> DataFrame:
     blocks = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rows = counts.select(key, "block", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("own"))
     return rows.join(blocks, "block").select(key, (F.col("base") + F.col("own")).alias("start"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row, also where the optimizer merges projections or moves a filter."""
+    return F.get(F.transform(F.array(value), body), 0)

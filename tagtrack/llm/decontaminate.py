@@ -166,13 +166,13 @@ def decontaminated(
         bad = contamination(documents, benchmark, width, max_ngrams).where("contaminated")
         ids = bad.select(F.col("doc_id").alias("_bad")).distinct()
         return documents.join(ids, documents["doc_id"].eqNullSafe(ids["_bad"]), "left_anti")
-    w, hit = C.words(F.col("text")), C.free_name(documents, "hits")
-    rows = documents.withColumn(hit, ngrams.hits(w))
+    hits = C.let(C.words(F.col("text")), ngrams.hits)
     if mode == "documents":
-        return rows.where(F.size(hit) == 0).drop(hit)
+        return documents.where(F.size(hits) == 0)
     if mode != "spans":
         raise ValueError(f"unknown mode {mode!r}")
-    return rows.withColumn("text", _cut(F.col("text"), covered(F.col(hit)), F.size(hit) > 0)).drop(hit)
+    hit = C.free_name(documents, "hits")
+    return documents.withColumn(hit, hits).withColumn("text", _cut(F.col("text"), covered(F.col(hit)), F.size(hit) > 0)).drop(hit)
 
 
 def _cut(text: Column, at: Column, any_hit: Column) -> Column:

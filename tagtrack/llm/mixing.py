@@ -130,3 +130,9 @@ def _positions(
     starts = starts_of(each, "slot")
     out = ranked.join(starts, "slot")
     return out.withColumn("position", F.col("start") + F.expr(f"{rank} % {block_rows}L"))
+
+
+def in_order(docs: DataFrame, **options) -> DataFrame:
+    """All rows of ``docs`` and only its columns, sorted into mixing order (files in name order, rows in file order)."""
+    rows = mixed(docs, **options)
+    return rows.orderBy("position").select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot", "position")])

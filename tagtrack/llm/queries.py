@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtrack.llm import chat, decontaminate, fingerprints, licenses, mixing, quality, sharding, urls, webpages
+from tagtrack.llm import chat, decontaminate, fingerprints, licenses, mixing, neardup, quality, sharding, urls, webpages
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judged(pages, rules, model).drop("url")
 
 
+def op2_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.grouped(_table(spark, sf, "documents"), words=2)
+
+
 def op3_chat(spark: SparkSession, sf: str) -> DataFrame:
     turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -98,6 +102,7 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_urls": op1_urls,
+    "op2_neardup": op2_neardup,
     "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_html": op5_html,
