@@ -25,6 +25,7 @@ from tagtrack.llm import common as C
 
 WIDTH = 10
 MAX_NGRAMS = 20_000
+HIT = "struct<start:int,size:int,ngram:string>"
 
 
 def item_ngrams(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -56,7 +57,7 @@ class NgramSet:
     def hits(self, w: Column) -> Column:
         """Array of (start, size, ngram) of every window of ``w`` that is an n-gram of the set; starts from 0."""
         parts = [self._hits(w, n) for n in sorted(self.by_size)]
-        kind = "array<struct<start:int,size:int,ngram:string>>"
+        kind = f"array<{HIT}>"
         return F.concat(*parts).cast(kind) if parts else F.array().cast(kind)
 
     def _hits(self, w: Column, n: int) -> Column:
@@ -71,10 +72,19 @@ class NgramSet:
             lambda s: F.struct(s.alias("start"), F.lit(n).alias("size"), F.concat_ws(" ", F.slice(w, s + 1, n)).alias("ngram")),
         )
         found = F.filter(spelled, lambda x: (x["start"] <= last) & x["ngram"].isin(self.by_size[n]))
-        none = F.array().cast("array<struct<start:int,size:int,ngram:string>>")
+        none = F.array().cast(f"array<{HIT}>")
         return F.when(last >= 0, found).otherwise(none)
 
 
+def _windows(w: Column, n: int) -> Column:
+    """All windows of ``n`` words."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
+    every = F.transform(
+        at, lambda s: F.struct(s.alias("start"), F.lit(n).alias("size"), F.concat_ws(" ", F.slice(w, s + 1, n)).alias("ngram"))
+    )
+    return F.when(F.size(w) >= n, every).otherwise(F.array().cast(f"array<{HIT}>"))
+
+
 def covered(hits: Column) -> Column:
     """Distinct word positions inside any of the (start, size) spans."""
     return F.array_distinct(
@@ -93,22 +103,7 @@ def _with_hits(documents: DataFrame, benchmark: DataFrame, width: int, max_ngram
         first = F.when(F.coalesce("i", F.lit(0)) == 0, 1).otherwise(0).alias("first")
         return grams, rows.select("doc_id", "key", "n_words", first, "h.*"), True
     sizes = [r.size for r in grams.select("size").distinct().limit(width).collect()]
-    kind = "struct<start:int,size:int,ngram:string>"
-    windows = F.concat(
-        F.array(F.lit(None).cast(kind)),
-        *[
-            F.when(
-                F.size("w") >= n,
-                F.transform(
-                    F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))),
-                    lambda s, n=n: F.struct(
-                        s.alias("start"), F.lit(n).alias("size"), F.concat_ws(" ", F.slice("w", s + 1, n)).alias("ngram")
-                    ),
-                ),
-            ).otherwise(F.array().cast(f"array<{kind}>"))
-            for n in sizes
-        ],
-    )
+    windows = F.concat(F.array(F.lit(None).cast(HIT)), *[_windows(F.col("w"), n) for n in sizes])
     rows = base.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.explode(windows).alias("h"))
     rows = rows.select("doc_id", "key", "n_words", F.when(F.col("h").isNull(), 1).otherwise(0).alias("first"), "h.*")
     plain = rows.where("first = 1")

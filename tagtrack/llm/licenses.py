@@ -109,7 +109,7 @@ NOTICES = [
 
 #: every rule's match holds one of these or GATE_CC, so a text without them (A-Z lower-cased) needs no scan
 GATE = ("licen", "gpl", "gfdl", "cc0", "commons", "domain", "reserved", "permission", "redistribution", "wtfpl",
-        "mozilla", "eclipse", "eupl", "ofl", "bsl11", "creative")
+        "mozilla", "eclipse", "eupl", "ofl", "bsl11", "creative", "cddl", "mulan", "consortium")
 GATE_CC = r"(?:^|[^a-z0-9])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 
@@ -124,7 +124,10 @@ def signatures() -> list[tuple[str, str, str, int, float]]:
         rules.append((label, address.split("(")[0].split("[")[0].split(" ")[0], rf"(?:https? )?(?:www )?{address}", 2, 0.95))
         rules.append((label, "under", f"licen[sc]ed under {terms}{name}{tail}", 2, 0.95))
         rules.append((label, "under", f"{given} {terms}{name}(?: public)? licen[sc]e{tail}", 2, 0.95))
-        rules.append((label, key, f"{name} licen[sc]e" if "licen" not in name else name, 3, 0.8))
+        bare = name if "licen" in name else f"{name} licen[sc]e"
+        if key == "apache":  # the word may stand inside the name or after it
+            bare = rf"(?=(?:\S+ ){{1,4}}licen[sc]e){name}"
+        rules.append((label, key, bare, 3, 0.8))
         if label.startswith("cc"):
             rules.append((label, key, name, 3, 0.8))
     rules += NOTICES

@@ -127,9 +127,9 @@ def _positions(
         (F.expr(f"(b div {per}) * {period}L") + F.get(slots, F.expr(f"cast(b % {per} as int)"))).alias("slot"),
         F.least(F.lit(block_rows).cast("long"), F.col("n") - F.col("b") * block_rows).alias("n"),
     )
-    starts = starts_of(each, "slot")
-    out = ranked.join(starts, "slot")
-    return out.withColumn("position", F.col("start") + F.expr(f"{rank} % {block_rows}L"))
+    start = free_name(ranked, "_start")
+    out = ranked.join(starts_of(each, "slot").withColumnRenamed("start", start), "slot")
+    return out.withColumn("position", F.col(start) + F.expr(f"{rank} % {block_rows}L"))
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:

@@ -10,9 +10,11 @@ one value: a very common shingle is retained by a third of all texts, a run of
 three far more seldom. Two sets that are 80 % alike share a run for certain while
 their union fits a sketch, and with a probability of 1 - 5e-7 at the very threshold
 beyond that. Lists of up to ``SHORT`` classes give all their pairs. A longer list,
-such as that of a family of near copies, pairs every member with one centre and
-never all members with each other; members whose component differs after that
-meet another centre in the next round, until a round links nothing new.
+such as that of a family of near copies, never does: in every round it pairs its
+members with two centres only, one drawn from all members and one from those
+outside the first one's component, so that members which nothing has linked yet
+become centres. Rounds end when two in a row have linked nothing new. 256-bit
+marks of the sketches drop pairs that cannot be alike before they leave a list.
 
 Of the candidate pairs, the smallest values of the union of both sketches estimate
 the similarity; what lies over five deviations below the threshold goes. The rest
@@ -21,8 +23,8 @@ Links then give components by label propagation with pointer jumping. All
 intermediate tables are written to the shared folder.
 
 Defined results: texts without words are linked with nothing and kept; a text of
-fewer words than a shingle has one shingle, the whole sequence; a NULL id is
-kept if its group has no other; repeated rows are in one group; other columns play no part.
+fewer words than a shingle has one shingle, the whole sequence; NULL ids
+are kept where no other id is in their group; repeated rows are in one group; other columns play no part.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from tagtrack.llm import arrays as A
 from tagtrack.llm.common import saved
 
-SKETCH, RUN, SHORT, PERCENT, WORDS = 40, 3, 16, 80, 5
+SKETCH, RUN, SHORT, BARREN, PERCENT, WORDS = 40, 3, 16, 2, 80, 5
 #: ids that are broadcast at most; beyond that texts are shuffled to them
 MAX_BROADCAST = 500_000
 NONE = 1 << 62  # stands for a NULL id where the smallest id is sought
@@ -75,10 +77,19 @@ def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(np.array(x, np.uint64).astype(np.int64)) for x in (one, two)]
 
 
+def _marks(sketch: np.ndarray) -> np.ndarray:
+    """A 256-bit set of the sketch's values."""
+    out, at = np.zeros(4, np.uint64), sketch & np.uint64(255)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def _sketches(words: int):
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(texts, words)
-        return [pa.array(np.array([len(s) for s in sets], np.int64)), *_digests(sets), _lists([s[:SKETCH] for s in sets])]
+        marks = np.array([_marks(s[:SKETCH]) for s in sets], np.uint64).reshape(-1, 4).astype(np.int64)
+        sizes = pa.array(np.array([len(s) for s in sets], np.int64))
+        return [sizes, *_digests(sets), *(pa.array(marks[:, k]) for k in range(4)), _lists([s[:SKETCH] for s in sets])]
 
     return run
 
@@ -91,9 +102,18 @@ def _full(words: int):
     return run
 
 
-def _alike(n: Column, m: Column, percent: int) -> Column:
-    """Sizes of which one is at least the threshold's share of the other."""
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+def _may_link(x, y, percent: int) -> Column:
+    """Sizes near enough and marks in common for a link of two members; ``x`` and ``y`` give a member's column by name.
+
+    A linked pair shares at least 18 of 40 retained values but for one in 1e7, so 14
+    marks; smaller sets, all of whose values are retained, share more than 0.35 of them.
+    """
+    n, m = x("n"), y("n")
+    common = F.lit(0)
+    for k in range(4):
+        common = common + F.bit_count(x(f"b{k}").bitwiseAND(y(f"b{k}")))
+    near = (n * 100 >= m * percent) & (m * 100 >= n * percent) & (x("c") != y("c"))
+    return near & (common >= F.least(F.lit(14), F.floor(F.least(n, m) * 0.35)))
 
 
 def _keys(sketch: Column, n: Column) -> Column:
@@ -105,21 +125,25 @@ def _keys(sketch: Column, n: Column) -> Column:
     return F.concat(F.when(n.between(4, 5), runs(2)).otherwise(none), F.when(n >= 5, runs(RUN)).otherwise(none))
 
 
+MEMBER = ("c", "n", "b0", "b1", "b2", "b3")
+
+
 def _centred(posts: DataFrame, salt: int, percent: int) -> DataFrame:
-    """a, b: every member of a list with the list's centre, the member with the smallest salted hash."""
-    rank = F.struct(F.xxhash64(F.lit(salt), "c").alias("h"), "c", "n")
-    centres = posts.groupBy("key").agg(F.min(rank).alias("m")).select("key", F.col("m.c").alias("mc"), F.col("m.n").alias("mn"))
-    pairs = posts.join(centres, "key").where((F.col("c") != F.col("mc")) & _alike(F.col("n"), F.col("mn"), percent))
-    return pairs.select(F.least("c", "mc").alias("a"), F.greatest("c", "mc").alias("b"))
+    """a, b: every member of a list with its centre, the member with the smallest salted hash."""
+    rank = F.struct(F.xxhash64(F.lit(salt), "c", "key").alias("h"), *MEMBER)
+    centres = posts.groupBy("key").agg(F.min(rank).alias("m"))
+    fits = _may_link(F.col, lambda f: F.col(f"m.{f}"), percent)
+    pairs = posts.join(centres, "key").where(fits)
+    return pairs.select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"))
 
 
 def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
     """a, b: all pairs of the members of short lists (at most SHORT members each)."""
-    lists = posts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("m"))
+    lists = posts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*MEMBER))).alias("m"))
     lists = lists.where(F.size("m") > 1)
     first = lists.select("m", F.posexplode("m").alias("i", "x"))
     pairs = first.select("x", F.explode(F.slice("m", F.col("i") + 2, F.lit(SHORT))).alias("y"))
-    pairs = pairs.where((F.col("x.c") != F.col("y.c")) & _alike(F.col("x.n"), F.col("y.n"), percent))
+    pairs = pairs.where(_may_link(lambda f: F.col(f"x.{f}"), lambda f: F.col(f"y.{f}"), percent))
     return pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
 
 
@@ -168,66 +192,84 @@ def components(links: DataFrame) -> DataFrame:
         labels = following.select("v", "label")
 
 
-def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id (smallest id of its group) and kept."""
-    columns = "n bigint, d1 bigint, d2 bigint, sketch array<bigint>"
-    signed = saved(A.with_columns(docs.select("doc_id", "text"), "text", _sketches(words), columns, False), "sketches")
-    ids = F.coalesce("doc_id", F.lit(NONE))
-    classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(ids).alias("rep"), F.first("sketch").alias("sketch"))
-    classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # numbers are fixed by the written table
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    columns = "n bigint, d1 bigint, d2 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, sketch array<bigint>"
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    signed = saved(A.with_columns(rows, "text", _sketches(words), columns, False), "sketches")
+    ids, first = F.coalesce("doc_id", F.lit(NONE)), [F.first(c).alias(c) for c in ("b0", "b1", "b2", "b3", "sketch")]
+    classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(ids).alias("rep"), *first)
+    classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # the written table fixes the numbers
     links = _links(classes, docs, words, percent)
     if links is None:
         named = classes.select("d1", "d2", "n", F.col("rep").alias("least"))
     else:
         marks = components(links)
-        placed = classes.join(marks, classes["c"] == marks["v"], "left").select("d1", "d2", "n", "rep", F.coalesce("label", "c").alias("label"))
+        placed = classes.join(marks, classes["c"] == marks["v"], "left")
+        placed = placed.select("d1", "d2", "n", "rep", F.coalesce("label", "c").alias("label"))
         named = placed.join(placed.groupBy("label").agg(F.min("rep").alias("least")), "label").select("d1", "d2", "n", "least")
-    rows = signed.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    rows = signed.select("doc_id", "text_hash", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     least = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("least") < NONE, F.col("least")))
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"))
+    rows = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), least.alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id (smallest id of its group) and kept."""
+    return _grouped(docs, words, percent).drop("text_hash")
+
+
 def _links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
     """All verified links between classes; None without any."""
-    posts = classes.select("c", "n", F.explode(F.array_distinct(_keys(F.col("sketch"), F.col("n")))).alias("key"))
+    posts = classes.select("c", F.explode(F.array_distinct(_keys(F.col("sketch"), F.col("n")))).alias("key"))
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posts = saved(posts.join(sizes, "key"), "lists")
-    short, long = posts.where(F.col("size") <= SHORT).drop("size"), posts.where(F.col("size") > SHORT).drop("size")
-    tried = _all_pairs(short, percent).unionByName(_centred(long, 0, percent)).distinct()
-    links = saved(_verified(saved(_estimated(tried, classes, percent), "pairs"), classes, docs, words, percent), "links")
-    if not links.limit(1).count():
-        links = None
-    if not long.limit(1).count():
-        return links
-    salt = 0
-    while True:
+    posts = posts.join(sizes, "key").join(classes.select(*MEMBER), "c")
+    posts = saved(posts, "lists")
+    long = posts.where(F.col("size") > SHORT).drop("size")
+    some_long = bool(long.limit(1).count())
+    tried = _all_pairs(posts.where(F.col("size") <= SHORT), percent)
+    if some_long:
+        tried = tried.unionByName(_centred(long, 0, percent))
+    links = _checked(tried.distinct(), classes, docs, words, percent)
+    salt = barren = 0
+    while some_long and barren < BARREN:
         salt += 1
-        rest = long
-        if links is not None:
-            marks = components(links)
-            rest = rest.join(marks, rest["c"] == marks["v"], "left").withColumn("label", F.coalesce("label", "c"))
-            mixed = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-            rest = saved(rest.join(mixed, "key").select("key", "c", "n", "label"), "lists")
-            of = rest.select("c", "label").distinct()
-        pairs = _centred(rest.select("key", "c", "n"), salt, percent).distinct()
+        rest, labels = long.withColumn("label", F.col("c")), None
         if links is not None:
-            pairs = pairs.join(of.select(F.col("c").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("c").alias("b"), F.col("label").alias("lb")), "b")
-            pairs = pairs.where("la <> lb").select("a", "b")
-        pairs = saved(_estimated(pairs, classes, percent), "pairs")
-        if not pairs.limit(1).count():
-            return links
-        found = saved(_verified(pairs, classes, docs, words, percent), "links")
-        if not found.limit(1).count():
-            return links
-        links = found if links is None else saved(links.unionByName(found), "links")
+            labels = components(links)
+            rest = long.join(labels, long["c"] == labels["v"], "left").drop("v").withColumn("label", F.coalesce("label", "c"))
+            ends = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+            rest = rest.join(ends.where("x < y").select("key"), "key")
+        rest = saved(rest, "rest")
+        # one centre from all members, one from those outside the component of the first
+        head = rest.groupBy("key").agg(F.min_by("label", F.xxhash64(F.lit(salt), "c", "key")).alias("head"))
+        outside = rest.join(head, "key").where("label <> head").drop("head")
+        rank = F.struct(F.xxhash64(F.lit(salt), "c", "key").alias("h"), *MEMBER, "label")
+        centres = rest.groupBy("key").agg(F.min(rank).alias("m")).unionByName(outside.groupBy("key").agg(F.min(rank).alias("m")))
+        fits = _may_link(F.col, lambda f: F.col(f"m.{f}"), percent) & (F.col("label") != F.col("m.label"))
+        pairs = rest.join(centres, "key").where(fits).select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"))
+        found = _checked(pairs.distinct(), classes, docs, words, percent)
+        if found is None:
+            barren += 1
+        else:
+            barren, links = 0, found if links is None else saved(links.unionByName(found), "links")
+    return links
+
+
+def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """The linked ones of the candidate pairs, or None."""
+    pairs = saved(_estimated(pairs, classes, percent), "pairs")
+    if not pairs.limit(1).count():
+        return None
+    found = saved(_verified(pairs, classes, docs, words, percent), "links")
+    return found if found.limit(1).count() else None
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group with all its columns: the one with the smallest id."""
-    rows = saved(grouped(docs, words, percent), "groups")
-    gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    rows = saved(_grouped(docs, words, percent), "groups")
+    gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct()
     small = gone.count() <= MAX_BROADCAST
-    out = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    twice = rows.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_text"])
+    out = docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    twice = rows.where("kept AND n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if twice else out
