@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tagtrack import constants as K
 
-PAIRS = "array<struct<anchor_id:int,distance_cm:double>>"
+PAIRS = "array<struct<anchor_id:bigint,distance_cm:double>>"
 SPACE = " \t\n\r\x0b\x0c"
 
 
@@ -26,9 +26,9 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group))
 
 
-# A key that fails from its first letter fails from every later one: the
-# look-behind loses nothing and keeps long words linear.
-_PAIR = "(?<![A-Za-z])" + K.KEY_VALUE
+# A key starts at the first letter of its word and is never given back
+# (possessive): a word is read once, so letter-digit text of any length is linear.
+_PAIR = r"(?<![A-Za-z0-9_])[0-9_]*([A-Za-z][A-Za-z0-9_]*+)\s*[:=]\s*([^,;\s]+)"
 
 
 def field_keys(message: Column) -> Column:
@@ -74,7 +74,7 @@ def to_float(text: Column) -> Column:
 
 def to_int(text: Column) -> Column:
     t = F.btrim(text, F.lit(SPACE))
-    return F.replace(F.regexp_extract(t, _INT, 0), F.lit("_"), F.lit("")).try_cast("int")
+    return F.replace(F.regexp_extract(t, _INT, 0), F.lit("_"), F.lit("")).try_cast("bigint")
 
 
 def is_false_flag(text: Column) -> Column:
@@ -111,7 +111,7 @@ def indexed_distances(message_upper: Column, pattern: str, anchors: Column) -> C
         anchors,
         numbers,
         lambda a, n: F.struct(
-            a.try_cast("int").alias("anchor_id"),
+            a.try_cast("bigint").alias("anchor_id"),
             F.replace(n, F.lit(","), F.lit(".")).try_cast("double").alias("distance_cm"),
         ),
     )

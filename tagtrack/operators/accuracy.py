@@ -13,10 +13,36 @@ from tagtrack.operators import align, scan
 
 
 def with_truth(estimates: DataFrame, truth: DataFrame, keys: Sequence[str] = align.KEYS) -> DataFrame:
-    """Attach the true position of the same tick as true_x, true_y[, true_z]."""
+    """Attach the true position of the same tick as true_x, true_y[, true_z].
+
+    The same tick is the same microsecond: equal times may be different doubles.
+    Truth with stamps of its own is interpolated by :func:`with_truth_between`.
+    """
     axes = [c for c in ("x", "y", "z") if c in truth.columns]
-    named = truth.select(*keys, "t", *[F.col(c).alias(f"true_{c}") for c in axes])
-    return estimates.join(named, [*keys, "t"], "left")
+    micros = F.round(F.col("t") * F.lit(1e6)).cast("long").alias("_us")
+    named = truth.select(*keys, micros, *[F.col(c).alias(f"true_{c}") for c in axes])
+    return estimates.select("*", micros).join(named, [*keys, "_us"], "left").drop("_us")
+
+
+def with_truth_between(estimates: DataFrame, truth: DataFrame, keys: Sequence[str] = align.KEYS) -> DataFrame:
+    """True positions at the ticks from truth samples at other times, interpolated; NULL outside the samples."""
+    keys = list(keys)
+    known = truth_brackets(scan.with_chunk(truth), keys)
+    sample = ("t", "x", "y", "z", "next_t", "next_x", "next_y", "next_z")
+    side0 = known.select(*keys, scan.CHUNK, F.col("t").alias("_when"), F.lit(0).alias("_side"), F.struct(*sample).alias("_b"))
+    extra = [c for c in estimates.columns if c not in (*keys, scan.CHUNK)]
+    side1 = estimates.select(*keys, scan.chunk_of(F.col("t"), scan.CHUNK_S).alias(scan.CHUNK), F.col("t").alias("_when"), F.lit(1).alias("_side"), *extra)
+    both = side0.unionByName(side1, allowMissingColumns=True)
+    inside = F.last("_b", ignorenulls=True).over(scan.chunk_window(keys, ["_when", "_side"]))
+    parts = both.groupBy(*keys, scan.CHUNK).agg(F.max_by("_b", F.when(F.col("_side") == 0, F.col("_when"))).alias("_end"))
+    carry = parts.select(*keys, scan.CHUNK, F.last("_end", ignorenulls=True).over(scan.earlier_chunks(keys)).alias("_before"))
+    rows = both.withColumn("_b", inside).where("_side = 1").join(carry, [*keys, scan.CHUNK])
+    b = F.coalesce("_b", "_before")
+    u = (F.col("t") - b["t"]) / (b["next_t"] - b["t"])
+    here = F.col("t") == b["t"]
+    true = [F.when(here, b[c]).otherwise(G.lerp(b[c], b[f"next_{c}"], u)).alias(f"true_{c}") for c in ("x", "y", "z")]
+    kept = [scan.CHUNK] if scan.CHUNK in estimates.columns else []
+    return rows.select(*keys, *kept, *extra, *true)
 
 
 def errors_2d(rows: DataFrame, tolerance: float) -> DataFrame:
@@ -153,18 +179,19 @@ def best_delay(
     the estimate wins, the newest on a tie.  The samples reach a tick through a
     range frame over time (bounded by the window), never as joined pairs; the
     end of a chunk is lent to the next one so that no frame is cut off.
-    Adds measured_delay and delay_err, NULL without an estimate or with fewer
-    than two samples so far.
+    Ticks without truth are no samples.  Adds measured_delay and delay_err, NULL
+    without an estimate or with fewer than two samples so far.
     """
     keys = list(keys)
-    held = scan.with_index(scan.with_chunk(rows, "t", width), keys, ["t"], "_idx")
+    true = F.col("true_x").isNotNull()
+    held = scan.running(scan.with_chunk(rows, "t", width), keys, ["t"], {"_idx": ("count", F.when(true, F.lit(1)))})
     reach = F.sequence(F.col(scan.CHUNK), scan.chunk_of(F.col("t") + F.lit(window_s), width))
     lent = held.withColumn("_own", F.col(scan.CHUNK)).withColumn(scan.CHUNK, F.explode(reach))
     # the frame is a little wide in whole microseconds; the exact test follows
     lent = lent.withColumn("_us", F.round(F.col("t") * 1e6).cast("long"))
     frame = Window.partitionBy(*keys, scan.CHUNK).orderBy("_us").rangeBetween(-int(window_s * 1e6) - 10, 0)
     sample = F.struct("t", F.col("true_x").alias("x"), F.col("true_y").alias("y"), F.col("true_z").alias("z"))
-    seen = lent.withColumn("_seen", F.collect_list(sample).over(frame)).where(F.col("_own") == F.col(scan.CHUNK))
+    seen = lent.withColumn("_seen", F.collect_list(F.when(true, sample)).over(frame)).where(F.col("_own") == F.col(scan.CHUNK))
     age = lambda s: F.col("t") - s["t"]
     recent = F.slice(F.array_sort("_seen"), -F.least(F.size("_seen"), F.lit(history)), F.lit(history))
     usable = F.filter(recent, lambda s: (age(s) >= 0) & (age(s) <= window_s))

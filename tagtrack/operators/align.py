@@ -58,7 +58,8 @@ def tick_grid(
     """A regular clock per key from its first range to ``hold_s`` past its last.
 
     Only the bounds of a key are aggregated; ticks are generated chunk by chunk
-    after the chunks have been spread over the cluster.
+    after the chunks have been spread over the cluster.  The number of partitions
+    is given, or the small rows before the ticks would be merged into one task.
     """
     span = ranges.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
     per_chunk = int(width * hz)
@@ -68,7 +69,7 @@ def tick_grid(
         span.select(*keys, first.alias("_i"), last.alias("_j"))
         .where("_i <= _j")
         .withColumn("_k", F.explode(F.expr(f"sequence(_i div {per_chunk}, _j div {per_chunk})")))
-        .repartition(*keys, "_k")
+        .repartition(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_k")
     )
     low = F.greatest(F.col("_i"), F.col("_k") * per_chunk)
     high = F.least(F.col("_j"), F.col("_k") * per_chunk + (per_chunk - 1))
@@ -189,12 +190,12 @@ def packets(ticks: DataFrame, anchor_ids: Sequence[int], source: str = "udp", ke
 
 def complete_ticks(ranges: DataFrame, anchor_ids: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
     """Relational division on the long table: anchors seen per stamp and completeness."""
-    # one bit per anchor: a fixed-width buffer that combines on the map side
-    bits = F.bit_or(F.expr("shiftleft(1L, anchor_id)"))
+    # a set of at most the active anchors, which combines on the map side
+    seen = F.size(F.collect_set("anchor_id"))
     return (
         ranges.where(F.col("anchor_id").isin(*anchor_ids))
         .groupBy(*keys, "t")
-        .agg(F.bit_count(bits).alias("n_anchors"))
+        .agg(seen.alias("n_anchors"))
         .withColumn("complete", F.col("n_anchors") == len(set(anchor_ids)))
     )
 

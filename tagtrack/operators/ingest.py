@@ -75,6 +75,44 @@ def parse_ranges(messages: DataFrame, mode: str = "compat") -> DataFrame:
     return rows.where(F.col("_d").isNotNull()).select(*keep, "_d.anchor_id", "_d.distance_cm")
 
 
+def oversized(messages: DataFrame) -> DataFrame:
+    """Messages with an anchor number that fits no 64-bit integer; their other anchors are parsed."""
+    up = F.upper(F.col("message"))
+    wide = F.lit(False)
+    for p in FORMS:
+        wide = wide | F.exists(X.indexed_anchors(up, p), lambda a: a.try_cast("bigint").isNull())
+    return messages.where(wide)
+
+
+def ranges_of(messages: DataFrame, mode: str = "compat", time: str = "ingest") -> tuple[DataFrame, DataFrame]:
+    """Ranges (run_id, tag_id, t, arrival, anchor_id, distance_cm) of messages, and the rejected rows.
+
+    ``t`` is in seconds: of the stamp, or with ``time="device"`` of the board's own
+    clock (``ms`` of a device line).  Missing run, tag and arrival columns stand for
+    one run, one tag and one arrival.  Rows without a tag or a time, and with a
+    distance that is no finite number, have no place in an ordered result: they are
+    the second table, with a ``reason``.
+    """
+    if time not in ("ingest", "device"):
+        raise ValueError(f"unknown time basis {time!r}")
+    for name in ("run_id", "tag_id", "arrival"):
+        if name not in messages.columns:
+            messages = messages.withColumn(name, F.lit(0).cast("long"))
+    stamp = F.unix_micros("ingest_ts") if time == "ingest" else telemetry_struct(F.col("message"))["ms"] * 1000
+    rows = parse_ranges(messages.withColumn("_us", stamp), mode)
+    bad = F.isnan("distance_cm") | (F.abs("distance_cm") == float("inf"))
+    reason = (
+        F.when(F.col("run_id").isNull() | F.col("tag_id").isNull(), F.lit("no tag"))
+        .when(F.col("_us").isNull(), F.lit("no time"))
+        .when(bad, F.lit("no distance"))
+    )
+    rows = rows.withColumn("reason", reason)
+    kept = rows.where(F.col("reason").isNull()).select(
+        "run_id", "tag_id", (F.col("_us") / F.lit(1e6)).alias("t"), "arrival", "anchor_id", "distance_cm"
+    )
+    return kept, rows.where(F.col("reason").isNotNull()).drop("_us")
+
+
 def log_rows(messages: DataFrame, mode: str = "compat") -> DataFrame:
     """The nine calibration-log columns, one row per (message, anchor)."""
     df = _with_distances(_with_keys(messages), mode)

@@ -70,6 +70,10 @@ def pair_points(layout: Layout, col=align.dist_col) -> Column:
     return F.when(both, pts).otherwise(none)
 
 
+#: rows of an anchor table that are broadcast at most
+MAX_ANCHORS = 10_000
+
+
 def weight_table(anchors: DataFrame) -> DataFrame:
     """The same weights for every layout of an anchor table.
 
@@ -116,14 +120,20 @@ def weight_table(anchors: DataFrame) -> DataFrame:
 def solve_long(ranges: DataFrame, anchors: DataFrame, keys: Sequence[str] = (*align.KEYS, "t")) -> DataFrame:
     """Positions straight from long range rows that carry ``layout_id``.
 
-    One equi-join with the weight table and one aggregate; ticks that miss an
-    active anchor are dropped.  The join strategy is left to the optimizer: it
-    broadcasts the table only when its measured size allows.
-    Ranges must be unique per (keys, anchor).
+    Ticks that miss an active anchor are dropped; of an anchor's repeats on a tick
+    the last arrival counts.  Rows move once, by tick.  The weight table is
+    broadcast after a check of its size; a larger one is left to the optimizer.
     """
     sq = F.col("distance_cm") * F.col("distance_cm")
+    weights = weight_table(anchors)
+    small = len(anchors.limit(MAX_ANCHORS + 1).collect()) <= MAX_ANCHORS
+    by_tick = ranges.repartition(*keys)
+    if "arrival" in ranges.columns:
+        by_tick = by_tick.groupBy(*keys, "layout_id", "anchor_id").agg(
+            F.max_by("distance_cm", "arrival").alias("distance_cm")
+        )
     return (
-        ranges.join(weight_table(anchors), ["layout_id", "anchor_id"])
+        by_tick.join(F.broadcast(weights) if small else weights, ["layout_id", "anchor_id"])
         .groupBy(*keys)
         .agg(
             F.sum(F.col("wx") * sq).alias("_x"),

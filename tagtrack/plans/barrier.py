@@ -7,11 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a scratch one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tagtrack-checkpoint-")
+    """The folder named in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a local session gets one scratch folder; a cluster has no
+    folder that could stand in, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="tagtrack-checkpoint-")
+    return _scratch[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -20,7 +34,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's checkpoint folder and continue from there."""
+    """Write ``df`` once to the cluster's checkpoint folder and continue from there.
+
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes what nothing refers to any more.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))

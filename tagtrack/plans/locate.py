@@ -135,16 +135,27 @@ def locate_3d(
     layout: solve3d.Layout3,
     settings: Mapping[str, float] | None = None,
     truth: DataFrame | None = None,
+    mode: str = "stamp",
+    max_age_s: float = K.MAX_AGE_S,
+    hz: float = K.TICK_HZ,
     barrier: Barrier = shared_checkpoint,
     **pieces: float,
 ) -> DataFrame:
     """Sequential 3D track and, with ``truth``, its instant and delayed errors.
 
-    One tick per stamp; smoothing factors are constant per tick.
+    Smoothing factors are constant per tick.  ``stamp``: one tick per stamp with the
+    ranges of that stamp alone.  ``event`` and ``frame``: as in :func:`locate_2d`, a
+    range is held until it is too old, on the arrivals or on a regular clock.
     """
     use = {**K.default_settings("3d"), **(settings or {})}
     ids = sorted(layout)
-    ticks = align.with_dt(align.event_ticks(ranges, ids))
+    if mode == "stamp":
+        ticks = align.with_dt(align.event_ticks(ranges, ids))
+    else:
+        ticks = align_ranges(ranges, ids, mode, scan.CHUNK_S, max_age_s, hz)
+        if mode == "event":
+            ticks = align.with_dt(ticks)
+        ticks = ticks.select(*KEYS, scan.CHUNK, "t", "dt", *[align.dist_col(a) for a in ids])
     indexed = solve3d.with_track_index(barrier(ticks))
     track = solve3d.locate_track(indexed, layout, use["alpha_dist"], use["alpha_pos"], barrier=barrier, **pieces)
     dt = F.coalesce(F.col("dt"), F.lit(0.0))

@@ -34,13 +34,13 @@ fm AS (SELECT event_id, max(v) FILTER (k='anchor') AS anchor, max(v) FILTER (k='
 
 def _form(n: int, pattern: str) -> str:
     return f"""SELECT event_id, {n} AS form, unnest(range(len(regexp_extract_all(upper(message), '{pattern}', 1)))) AS pos,
-  CAST(unnest(regexp_extract_all(upper(message), '{pattern}', 1)) AS INTEGER) AS anchor_id,
+  CAST(unnest(regexp_extract_all(upper(message), '{pattern}', 1)) AS BIGINT) AS anchor_id,
   CAST(replace(unnest(regexp_extract_all(upper(message), '{pattern}', 2)), ',', '.') AS DOUBLE) AS d FROM messages_v"""
 
 
 _RNG = _KV + f""",
 forms AS (
- SELECT event_id, 0 AS form, 0 AS pos, TRY_CAST(coalesce(anchor, id, a) AS INTEGER) AS anchor_id,
+ SELECT event_id, 0 AS form, 0 AS pos, TRY_CAST(coalesce(anchor, id, a) AS BIGINT) AS anchor_id,
   coalesce(TRY_CAST(d1 AS DOUBLE), TRY_CAST(dist AS DOUBLE), TRY_CAST(distance AS DOUBLE), TRY_CAST(rng AS DOUBLE),
    TRY_CAST(r AS DOUBLE)) AS d
  FROM fm WHERE lower(coalesce(valid, '1')) NOT IN ('0','false','off','ko','invalid','none','nan')
@@ -397,8 +397,9 @@ ORACLES: dict[str, str] = {
     ),
     "response_rate": _with(
         _TEL,
-        f"""SELECT session, ms//60000*60000 AS window_ms, count(*) AS lines,
- {_r('(arg_max(cb, ms)-arg_min(cb, ms))/600.0::DOUBLE', 6, 'rate')} FROM telemetry GROUP BY 1, 2""",
+        f""", steps AS (SELECT *, cb - lag(cb) OVER (PARTITION BY tag_id, session, src ORDER BY ms) AS step FROM telemetry)
+ SELECT tag_id, session, src, ms//60000*60000 AS window_ms, count(*) AS lines, count(*) FILTER (step < 0) AS restarts,
+ {_r('sum(CASE WHEN step < 0 THEN cb ELSE step END)/600.0::DOUBLE', 6, 'rate')} FROM steps GROUP BY 1, 2, 3, 4""",
     ),
     "stale_anchors": _with(
         _TEL,
@@ -407,8 +408,10 @@ ORACLES: dict[str, str] = {
     ),
     "repeat_suppress": _with(
         _TEL,
-        """SELECT src, cb, min(ms) AS ms, arg_min(status, ms) AS status,
- first(d1 ORDER BY ms) AS d1, count(*) AS copies FROM telemetry GROUP BY 1, 2""",
+        """, c AS (SELECT src, cb % 20 AS cb, ms, status, d1 FROM telemetry),
+ g AS (SELECT *, CASE WHEN cb = lag(cb) OVER (PARTITION BY src ORDER BY ms) THEN 0 ELSE 1 END AS fresh FROM c),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY src ORDER BY ms) AS part FROM g)
+ SELECT src, cb, min(ms) AS ms, arg_min(status, ms) AS status, first(d1 ORDER BY ms) AS d1, count(*) AS copies FROM s GROUP BY src, cb, part""",
     ),
     "session_gaps": """WITH d AS (SELECT user_id AS tag_id, event_id*100 AS ms FROM events),
  g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY tag_id ORDER BY ms) <= 1500 THEN 0 ELSE 1 END AS fresh FROM d),

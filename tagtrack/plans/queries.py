@@ -117,7 +117,7 @@ def session_anchor_map(spark: SparkSession, sf: str) -> DataFrame:
 def response_rate(spark: SparkSession, sf: str) -> DataFrame:
     tel = ingest.telemetry(V.messages(spark, sf)).withColumn("device_ts", F.timestamp_millis("ms"))
     out = quality.response_rate(tel, "device_ts", "60 seconds", 60.0)
-    return out.select("session", F.unix_millis("window_start").alias("window_ms"), "lines", _r("rate", 6))
+    return out.select("tag_id", "session", "src", F.unix_millis("window_start").alias("window_ms"), "lines", "restarts", _r("rate", 6))
 
 
 def stale_anchors(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,8 +127,9 @@ def stale_anchors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def repeat_suppress(spark: SparkSession, sf: str) -> DataFrame:
-    tel = ingest.telemetry(V.messages(spark, sf)).select("src", "cb", "ms", "status", "d1")
-    return quality.first_of_repeats(tel, "ms", ["src", "cb"])
+    """Device measurements by board, with a counter that restarts every twentieth measurement."""
+    tel = ingest.telemetry(V.messages(spark, sf)).select("src", F.pmod("cb", F.lit(20)).alias("cb"), "ms", "status", "d1")
+    return quality.first_of_repeats(tel, "ms", ["src"])
 
 
 def session_gaps(spark: SparkSession, sf: str) -> DataFrame:

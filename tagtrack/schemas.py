@@ -19,7 +19,7 @@ RANGES_LOG = T.StructType(
         T.StructField("source_ip", T.StringType()),
         T.StructField("source_port", T.IntegerType()),
         T.StructField("event", T.StringType()),
-        T.StructField("anchor_id", T.IntegerType()),
+        T.StructField("anchor_id", T.LongType()),
         T.StructField("distance_cm", T.DoubleType()),
         T.StructField("raw_message", T.StringType()),
         T.StructField("fields_json", T.StringType()),
@@ -43,7 +43,7 @@ RANGES = T.StructType(
         T.StructField("tag_id", T.LongType()),
         T.StructField("t", T.DoubleType()),
         T.StructField("arrival", T.LongType()),
-        T.StructField("anchor_id", T.IntegerType()),
+        T.StructField("anchor_id", T.LongType()),
         T.StructField("distance_cm", T.DoubleType()),
     ]
 )

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # call-site capture costs several driver round trips per column expression
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # checkpoints go when their data frames do
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagtrack import schemas
 from tagtrack.functions import text as X
@@ -12,44 +13,72 @@ FORMATS = ("parquet", "orc", "json", "csv")
 
 
 def _shape(df: DataFrame, message: Column) -> DataFrame:
+    """The message columns in order, then whatever else the caller's table has."""
     cols = set(df.columns)
     optional = {"source_ip": "string", "source_port": "int"}
     extra = [F.col(c) if c in cols else F.lit(None).cast(t).alias(c) for c, t in optional.items()]
-    return df.select("ingest_ts", *extra, message.alias("message"))
+    rest = [c for c in df.columns if c not in ("ingest_ts", "message", "value", *optional)]
+    return df.select("ingest_ts", *extra, message.alias("message"), *rest)
 
 
-def read_messages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Message table from files.  ``text`` has one message per line, stamped with the file time."""
+def _schema(extra: str | None) -> T.StructType:
+    more = T._parse_datatype_string(extra).fields if extra else []
+    return T.StructType([*schemas.MESSAGES.fields, *more])
+
+
+def _numbered(rows: DataFrame, wanted: bool) -> DataFrame:
+    if not wanted or "arrival" in rows.columns:
+        return rows
+    return rows.withColumn("arrival", F.monotonically_increasing_id())
+
+
+def _csv(reader):
+    # quotes inside a quoted field are doubled, as the log writes them
+    return reader.option("header", True).option("escape", '"').option("multiLine", True)
+
+
+def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", extra: str | None = None, numbered: bool = False) -> DataFrame:
+    """Message table from files.  ``text`` has one message per line, stamped with the file time.
+
+    ``extra`` names further columns of the files that are kept, such as
+    ``run_id long, tag_id long``.  ``numbered`` adds ``arrival``, the rows in file
+    order, where the files bring none; a filter on the stamps then comes after the read.
+    """
     if fmt == "text":
         lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("ingest_ts"))
-        return _shape(lines, X.clean_message(F.col("value")))
+        return _shape(_numbered(lines, numbered), X.clean_message(F.col("value")))
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
-    reader = spark.read.schema(schemas.MESSAGES)
+    reader = spark.read.schema(_schema(extra))
     if fmt == "csv":
-        reader = reader.option("header", True)
-    return _shape(reader.format(fmt).load(path), X.clean_message(F.col("message")))
+        reader = _csv(reader)
+    return _shape(_numbered(reader.format(fmt).load(path), numbered), X.clean_message(F.col("message")))
 
 
 def stream_messages(
-    spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None
+    spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None, extra: str | None = None
 ) -> DataFrame:
-    """The same table as a stream of arriving files."""
-    reader = spark.readStream.schema(schemas.MESSAGES).format(fmt)
+    """The same table as a stream of arriving files; an order of arrival is one of the ``extra`` columns."""
+    reader = spark.readStream.schema(_schema(extra)).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = _csv(reader)
     return _shape(reader.load(path), X.clean_message(F.col("message")))
 
 
 def from_kafka(records: DataFrame) -> DataFrame:
-    """Kafka records (batch or stream) to messages: value is the text, key the sender address."""
+    """Kafka records (batch or stream) to messages: value is the text, key the sender address.
+
+    A sender's records share a partition, so ``arrival``, the offset, orders equal stamps.
+    """
     return records.select(
         F.col("timestamp").alias("ingest_ts"),
         F.col("key").cast("string").alias("source_ip"),
         F.lit(None).cast("int").alias("source_port"),
         X.clean_message(F.col("value")).alias("message"),
+        *[F.col(c) for c in ("partition",) if c in records.columns],
+        *[F.col("offset").alias("arrival") for c in ("offset",) if c in records.columns],
     )
 
 

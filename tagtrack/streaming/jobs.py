@@ -6,7 +6,7 @@ carry a watermark equal to the freshness limit, which bounds their state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -34,10 +34,16 @@ def write_log(messages: DataFrame, path: str, checkpoint: str, mode: str = "comp
     )
 
 
+def _order(ranges: DataFrame, ts: str) -> Column:
+    return F.struct(ts, *[c for c in ("arrival",) if c in ranges.columns])
+
+
 def latest_ranges(ranges: DataFrame, ts: str = "ingest_ts") -> DataFrame:
-    """Last value and stamp of each anchor of each tag (update or complete mode)."""
+    """Last value and stamp of each anchor of each tag (update or complete mode); the last arrival of equal stamps."""
     return ranges.groupBy("tag_id", "anchor_id").agg(
-        F.max(ts).alias("last_ts"), F.max_by("distance_cm", ts).alias("distance_cm"), F.count(F.lit(1)).alias("n")
+        F.max(ts).alias("last_ts"),
+        F.max_by("distance_cm", _order(ranges, ts)).alias("distance_cm"),
+        F.count(F.lit(1)).alias("n"),
     )
 
 
@@ -52,7 +58,7 @@ def tick_windows(ranges: DataFrame, ts: str = "ingest_ts", width: str = f"{K.SUP
     return (
         ranges.withWatermark(ts, WATERMARK)
         .groupBy("tag_id", "anchor_id", F.window(ts, width).alias("tick"))
-        .agg(F.max_by("distance_cm", ts).alias("distance_cm"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max_by("distance_cm", _order(ranges, ts)).alias("distance_cm"), F.count(F.lit(1)).alias("n"))
         .select("tag_id", "anchor_id", F.col("tick.start").alias("tick_start"), "distance_cm", "n")
     )
 
