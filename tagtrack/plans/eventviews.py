@@ -128,3 +128,13 @@ def messages_of(source: DataFrame) -> DataFrame:
         F.lit(K.UDP_PORT).alias("source_port"),
         message.alias("message"),
     )
+
+
+def range_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges as a tag would send them: a message per anchor, stamped, in order of arrival."""
+    r = ranges(spark, sf_dir)
+    number = F.round("distance_cm", 2).cast("string")
+    return r.select(
+        "run_id", "tag_id", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")).alias("ingest_ts"),
+        "arrival", F.concat(F.lit("A"), F.col("anchor_id").cast("string"), F.lit("="), number).alias("message"),
+    )

@@ -690,3 +690,30 @@ w3 AS (SELECT *, avg(err3d) OVER w AS a1, avg(traj_err_3d) OVER w AS a3,
  {_r('CASE WHEN err3d IS NOT NULL THEN a1/nullif(a3,0) END', 3, 'path_ratio')} FROM w3""",
     recursive=True,
 )
+
+_SENT = _RANGES + "," + _located("rg").replace("g.rg", "round(g.r, 2)")
+ORACLES["messages_to_positions"] = _with(
+    _SENT,
+    f"SELECT tag_id, {_T}, x_raw IS NOT NULL AS valid, {_r('x_raw', 3, 'x_raw')}, {_r('y_raw', 3, 'y_raw')}, {_r('x', 3, 'x')}, {_r('y', 3, 'y')} FROM loc",
+)
+ORACLES["stream_messages_to_positions"] = _with(
+    _SENT, f"SELECT tag_id, {_T}, {_r('x_raw', 3, 'x_raw')}, {_r('y_raw', 3, 'y_raw')}, {_r('x', 3, 'x')}, {_r('y', 3, 'y')} FROM loc"
+)
+_ESTIMATE = _RANGES + "," + _located("r") + ", pos2d AS (SELECT tag_id, t, x, y FROM loc WHERE x IS NOT NULL)"
+ORACLES["card_from_locate_2d"] = ORACLES["player_card"].replace(_POS, _ESTIMATE)
+ORACLES["heat_from_locate_2d"] = ORACLES["heat_rgba"].replace(_POS, _ESTIMATE)
+_ASYNC = (
+    _RANGES.replace("ticks AS (", "ticks0 AS (").replace("tickd AS (", "tickd0 AS (").replace("FROM ticks)", "FROM ticks0)")
+    + """,
+thin AS (SELECT * FROM ranges_v WHERE anchor_id = CAST(round(t/0.05) AS INTEGER)%4+1),
+tickd AS (SELECT tag_id, t, t - lag(t) OVER (PARTITION BY tag_id ORDER BY t) AS dt FROM (SELECT DISTINCT tag_id, t FROM thin)),"""
+    + _held("r3").replace("ranges_v", "thin")
+    + """,
+thin4 AS (SELECT tag_id, t, anchor_id, r AS r3 FROM held),"""
+)
+ORACLES["locate_3d_async"] = _with(
+    _ASYNC + (_WIDE3 + "," + _TRACK + "," + _STEP).replace("ranges_v", "thin4"),
+    f"""SELECT f.tag_id, {_r('f.t', 4, 't')}, {_r('qx', 3, 'x_raw')}, {_r('qy', 3, 'y_raw')}, {_r('qz', 3, 'z_raw')}, {_r('f.x', 3, 'x')},
+ {_r('f.y', 3, 'y')}, {_r('f.z', 3, 'z')} FROM fin f JOIN tickd USING (tag_id, t) LEFT JOIN solved USING (tag_id, t)""",
+    recursive=True,
+)

@@ -558,15 +558,66 @@ def stream_repeat_suppress(spark: SparkSession, sf: str) -> DataFrame:
     return _drain(jobs.first_of_repeats(timed, "device_ts", ("src", "cb")), "repeats", "append").select("src", "cb")
 
 
+PARTS = 4
+
+
+def _arriving(rows: DataFrame, name: str, t: Column, anchor: Column) -> DataFrame:
+    """Rows as a stream of files in time order, one per batch, cut in the middle of a stamp."""
+    spark, table = rows.sparkSession, fresh_path(rows.sparkSession, name)
+    part = F.floor((t / V.TICK_S + (anchor - 1) / 4 + 0.5) / 20)
+    for k in range(PARTS):
+        here = part == k if k < PARTS - 1 else part >= k
+        rows.where(here).coalesce(1).write.mode("append").parquet(table)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(table)
+
+
 def stream_track(spark: SparkSession, sf: str) -> DataFrame:
     """Stateful tracking over the ranges, written out first so that they arrive as files."""
-    table = fresh_path(spark, "ranges")
-    V.ranges(spark, sf).select("run_id", "tag_id", "t", "arrival", "anchor_id", "distance_cm").write.parquet(table)
-    live = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table)
-    out = _drain(tracker.track(live, V.LAYOUT), "track", "append")
+    rows = V.ranges(spark, sf).select("run_id", "tag_id", "t", "arrival", "anchor_id", "distance_cm")
+    live = _arriving(rows, "ranges", F.col("t"), F.col("anchor_id"))
+    out = tracker.final_ticks(_drain(tracker.track(live, V.LAYOUT), "track", "append"))
     return out.select("tag_id", _r("t"), *_rs(["x_raw", "y_raw", "x", "y"], 3))
 
 
+def messages_to_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole road: texts to ranges to held, smoothed positions."""
+    ranges, _ = ingest.ranges_of(V.range_messages(spark, sf))
+    out = locate.locate_2d(shared_checkpoint(ranges), V.LAYOUT)
+    return out.select("tag_id", _r("t"), "valid", *_rs(["x_raw", "y_raw", "x", "y"], 3))
+
+
+def stream_messages_to_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same road over a stream of messages."""
+    sent = V.range_messages(spark, sf)
+    anchor = F.substring("message", 2, 1).cast("int")
+    live = _arriving(sent, "messages", F.unix_micros("ingest_ts") / 1e6, anchor)
+    ranges, _ = ingest.ranges_of(live)
+    out = tracker.final_ticks(_drain(tracker.track(ranges, V.LAYOUT), "positions", "append"))
+    return out.select("tag_id", _r("t"), *_rs(["x_raw", "y_raw", "x", "y"], 3))
+
+
+def card_from_locate_2d(spark: SparkSession, sf: str) -> DataFrame:
+    """Player card of the smoothed, carried estimate."""
+    card = motion.player_card(shared_checkpoint(locate.locate_2d(V.ranges(spark, sf), V.LAYOUT)))
+    return card.select("tag_id", "samples", *_rs(_CARD, 4), "jump_count", "max_jump_cm")
+
+
+def heat_from_locate_2d(spark: SparkSession, sf: str) -> DataFrame:
+    """Heat report of the estimate: cells, smoothing and colours in one chain."""
+    placed = locate.locate_2d(V.ranges(spark, sf), V.LAYOUT).where(F.col("x").isNotNull())
+    smoothed = heatmap.smooth_heat(heatmap.heat(placed, ["run_id"]), keys=["run_id"])
+    return heatmap.coloured(smoothed.withColumn("value", F.round("value", 6)), ["run_id"]).select("row", "col", "r", "g", _r("b", 3), "a")
+
+
+def locate_3d_async(spark: SparkSession, sf: str) -> DataFrame:
+    """3D track from stamps of one anchor each: ranges are held between their arrivals."""
+    seq = F.round(F.col("t") / V.TICK_S).cast("int")
+    one = V.ranges(spark, sf, slant=True).where(F.col("anchor_id") == seq % 4 + 1)
+    out = locate.locate_3d(one, V.LAYOUT_Z, mode="event")
+    return out.select("tag_id", _r("t"), *_rs(["x_raw", "y_raw", "z_raw", "x", "y", "z"], 3))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -580,6 +631,7 @@ QUERIES: dict[str, Query] = {
         heatmap_max, heatmap_kernel, heatmap_smooth, heatmap_dense, heatmap_snapshot, heat_rgba, zone_time,
         hoop_distance, error_final_2d, error_running_2d, precision, filter_delay, truth_at_delay, best_delay,
         error_3d, settings_sanitize, alpha_sweep, stream_ranges_log, stream_latest, stream_tick_window,
-        stream_sessions, stream_repeat_suppress, stream_track,
+        stream_sessions, stream_repeat_suppress, stream_track, messages_to_positions,
+        stream_messages_to_positions, card_from_locate_2d, heat_from_locate_2d, locate_3d_async,
     )
 }

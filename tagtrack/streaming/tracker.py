@@ -4,6 +4,12 @@ The streaming counterpart of the event-mode planar job: per (run, tag) it keeps
 the latest and smoothed distance of each anchor, the smoothed position and the
 player totals.  One state value per tag; rows of a micro-batch are taken in
 (t, arrival) order, and the source options bound how many there are.
+
+The clock never runs back: rows older than the tag's open stamp are counted as
+late and leave the track alone.  The last stamp stays open: its rows are kept in
+the state, and rows of it that come with a later micro-batch give its tick again,
+from the state before it and with a higher ``n_ranges``.  Per (tag, t) the row with
+most ranges is the final one, wherever the batches are cut.
 """
 
 from __future__ import annotations
@@ -12,8 +18,10 @@ import math
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tagtrack import constants as K
@@ -23,11 +31,12 @@ from tagtrack.session import ROCKSDB
 
 STATE = (
     "last_t double, x double, y double, has_pos boolean, samples long, distance_cm double, speed_sum_cm_s double, "
-    "max_speed_cm_s double, value array<double>, seen_t array<double>, ema array<double>"
+    "max_speed_cm_s double, value array<double>, seen_t array<double>, ema array<double>, "
+    "late long, open_t double, open_anchor array<long>, open_distance array<double>, open_arrival array<long>"
 )
 OUTPUT = (
     "run_id long, tag_id long, t double, x_raw double, y_raw double, x double, y double, samples long, "
-    "distance_cm double, speed_sum_cm_s double, max_speed_cm_s double"
+    "distance_cm double, speed_sum_cm_s double, max_speed_cm_s double, n_ranges long, late long"
 )
 NEVER = -math.inf
 
@@ -58,43 +67,69 @@ class TagTracker(StatefulProcessor):
             const[axis] + sum(weights[a][axis] * d * d for a, d in zip(self.ids, dist)) for axis in (0, 1)
         )
 
+    def _tick(self, held: list, t: float, anchors: Sequence[int], distances: Sequence[float]) -> tuple[list, tuple]:
+        """The state after one tick and its output; the state given is left as it is."""
+        last_t, x, y, has_pos, samples, path, speeds, top, value, seen, ema = held
+        value, seen, ema = list(value), list(seen), list(ema)
+        dt = None if last_t is None else t - last_t
+        keep_d, keep_p = (math.exp(-r * (dt if dt is not None and dt > 0 else 1.0 / K.TICK_HZ)) for r in self.rates)
+        for anchor, d in dict(zip(anchors, distances)).items():
+            i = self.ids.index(anchor)
+            ema[i] = d if seen[i] == NEVER else (1.0 - keep_d) * d + keep_d * ema[i]
+            value[i], seen[i] = d, t
+        raw = self._position([v if t - s <= self.max_age_s else None for v, s in zip(value, seen)])
+        fine = self._position([e if s != NEVER else None for e, s in zip(ema, seen)])
+        before = (x, y) if has_pos else None
+        if fine is not None:
+            if has_pos:
+                x, y = ((1.0 - keep_p) * f + keep_p * p for f, p in zip(fine, (x, y)))
+            else:
+                (x, y), has_pos = fine, True
+        if has_pos:
+            samples += 1
+            if before is not None and dt is not None and dt > 0:
+                step = math.hypot(x - before[0], y - before[1])
+                path, speeds, top = path + step, speeds + step / dt, max(top, step / dt)
+        now = (x, y) if has_pos else (None, None)
+        out = (t, *(raw or (None, None)), *now, samples, path, speeds, top)
+        return [t, x, y, has_pos, samples, path, speeds, top, value, seen, ema], out
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         n = len(self.ids)
         if self.state.exists():
-            last_t, x, y, has_pos, samples, path, speeds, top, value, seen, ema = self.state.get()
-            value, seen, ema = list(value), list(seen), list(ema)
+            *held, late, open_t, open_anchor, open_distance, open_arrival = self.state.get()
         else:
-            last_t, x, y, has_pos, samples, path, speeds, top = None, 0.0, 0.0, False, 0, 0.0, 0.0, 0.0
-            value, seen, ema = [0.0] * n, [NEVER] * n, [0.0] * n
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch[batch["anchor_id"].isin(self.ids)].sort_values(["t", "arrival"], kind="stable")
+            held = [None, 0.0, 0.0, False, 0, 0.0, 0.0, 0.0, [0.0] * n, [NEVER] * n, [0.0] * n]
+            late, open_t, open_anchor, open_distance, open_arrival = 0, None, [], [], []
+        part = pd.concat(list(rows), ignore_index=True)
+        part = part[part["anchor_id"].isin(self.ids)]
+        t, anchor = part["t"].to_numpy(float), part["anchor_id"].to_numpy(np.int64)
+        distance, arrival = part["distance_cm"].to_numpy(float), part["arrival"].to_numpy(np.int64)
+        if open_t is not None:
+            old = t < open_t
+            late += int(old.sum())
+            t, anchor, distance, arrival = (a[~old] for a in (t, anchor, distance, arrival))
+        new = set(t.tolist())
+        if open_t is not None:  # the rows of the open stamp once more, before whatever came now
+            t = np.concatenate([np.full(len(open_anchor), open_t), t])
+            anchor = np.concatenate([np.array(open_anchor, np.int64), anchor])
+            distance = np.concatenate([np.array(open_distance, float), distance])
+            arrival = np.concatenate([np.array(open_arrival, np.int64), arrival])
+        order = np.lexsort((arrival, t))
+        t, anchor, distance, arrival = t[order], anchor[order], distance[order], arrival[order]
+        cuts = np.flatnonzero(np.diff(t)) + 1
+        bounds = [0, *cuts.tolist(), len(t)] if len(t) else [0]
         out = []
-        for t, tick in batch.groupby("t", sort=True):
-            dt = None if last_t is None else t - last_t
-            keep_d, keep_p = (
-                math.exp(-r * (dt if dt is not None and dt > 0 else 1.0 / K.TICK_HZ)) for r in self.rates
-            )
-            for anchor, d in dict(zip(tick["anchor_id"], tick["distance_cm"])).items():
-                i = self.ids.index(anchor)
-                ema[i] = d if seen[i] == NEVER else (1.0 - keep_d) * d + keep_d * ema[i]
-                value[i], seen[i] = d, t
-            raw = self._position([v if t - s <= self.max_age_s else None for v, s in zip(value, seen)])
-            fine = self._position([e if s != NEVER else None for e, s in zip(ema, seen)])
-            before = (x, y) if has_pos else None
-            if fine is not None:
-                if has_pos:
-                    x, y = ((1.0 - keep_p) * f + keep_p * p for f, p in zip(fine, (x, y)))
-                else:
-                    (x, y), has_pos = fine, True
-            if has_pos:
-                samples += 1
-                if before is not None and dt is not None and dt > 0:
-                    step = math.hypot(x - before[0], y - before[1])
-                    path, speeds, top = path + step, speeds + step / dt, max(top, step / dt)
-            last_t = t
-            now = (x, y) if has_pos else (None, None)
-            out.append((key[0], key[1], t, *(raw or (None, None)), *now, samples, path, speeds, top))
-        self.state.update((last_t, x, y, has_pos, samples, path, speeds, top, value, seen, ema))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            after, row = self._tick(held, float(t[a]), anchor[a:b].tolist(), distance[a:b].tolist())
+            if float(t[a]) in new:
+                out.append((key[0], key[1], *row, b - a, late))
+            if b < len(t):
+                held = after
+            else:  # the last stamp stays open: the state before it, and its rows
+                open_t = float(t[a])
+                open_anchor, open_distance, open_arrival = (v[a:b].tolist() for v in (anchor, distance, arrival))
+        self.state.update((*held, late, open_t, open_anchor, open_distance, open_arrival))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
 
     def close(self) -> None:
@@ -107,7 +142,7 @@ def track(
     settings: Mapping[str, float] | None = None,
     ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Position and totals after every tick of a stream of ranges."""
+    """Position and totals after every tick of a stream of ranges; a tick may come again with more ranges."""
     use = {**K.default_settings("2d"), **(settings or {})}
     ranges.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return ranges.groupBy("run_id", "tag_id").transformWithStateInPandas(
@@ -116,3 +151,9 @@ def track(
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )
+
+
+def final_ticks(rows: DataFrame) -> DataFrame:
+    """The last word on every tick of a written track."""
+    rest = [c for c in rows.columns if c not in ("run_id", "tag_id", "t")]
+    return rows.groupBy("run_id", "tag_id", "t").agg(*[F.max_by(c, "n_ranges").alias(c) for c in rest])
