@@ -11,9 +11,9 @@ three far more seldom. Two sets that are 80 % alike share a run for certain whil
 their union fits a sketch, and with a probability of 1 - 5e-7 at the very threshold
 beyond that. Lists of up to ``SHORT`` classes give all their pairs. A longer list,
 such as that of a family of near copies, never does: in every round it pairs its
-members with two centres only, one drawn from all members and one from those
-outside the first one's component, so that members which nothing has linked yet
-become centres. Rounds end when two in a row have linked nothing new. 256-bit
+members with a few centres only, one drawn from all members and ``CENTRES`` from
+those outside the first one's component, so that members which nothing has
+linked yet become centres. Rounds end when two in a row have linked nothing new. 256-bit
 marks of the sketches drop pairs that cannot be alike before they leave a list.
 
 Of the candidate pairs, the smallest values of the union of both sketches estimate
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tagtrack.llm import arrays as A
 from tagtrack.llm.common import saved
 
-SKETCH, RUN, SHORT, BARREN, PERCENT, WORDS = 40, 3, 16, 2, 80, 5
+SKETCH, RUN, SHORT, CENTRES, BARREN, PERCENT, WORDS = 40, 3, 16, 6, 2, 80, 5
 #: ids that are broadcast at most; beyond that texts are shuffled to them
 MAX_BROADCAST = 500_000
 NONE = 1 << 62  # stands for a NULL id where the smallest id is sought
@@ -229,35 +229,50 @@ def _links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     tried = _all_pairs(posts.where(F.col("size") <= SHORT), percent)
     if some_long:
         tried = tried.unionByName(_centred(long, 0, percent))
-    links = _checked(tried.distinct(), classes, docs, words, percent)
+    seen = saved(_estimated(tried.distinct(), classes, percent), "pairs")
+    links = _checked(seen, classes, docs, words, percent)
     salt = barren = 0
     while some_long and barren < BARREN:
         salt += 1
-        rest, labels = long.withColumn("label", F.col("c")), None
+        rest = long.withColumn("label", F.col("c"))
         if links is not None:
             labels = components(links)
             rest = long.join(labels, long["c"] == labels["v"], "left").drop("v").withColumn("label", F.coalesce("label", "c"))
             ends = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
             rest = rest.join(ends.where("x < y").select("key"), "key")
         rest = saved(rest, "rest")
-        # one centre from all members, one from those outside the component of the first
-        head = rest.groupBy("key").agg(F.min_by("label", F.xxhash64(F.lit(salt), "c", "key")).alias("head"))
-        outside = rest.join(head, "key").where("label <> head").drop("head")
-        rank = F.struct(F.xxhash64(F.lit(salt), "c", "key").alias("h"), *MEMBER, "label")
-        centres = rest.groupBy("key").agg(F.min(rank).alias("m")).unionByName(outside.groupBy("key").agg(F.min(rank).alias("m")))
-        fits = _may_link(F.col, lambda f: F.col(f"m.{f}"), percent) & (F.col("label") != F.col("m.label"))
-        pairs = rest.join(centres, "key").where(fits).select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"))
-        found = _checked(pairs.distinct(), classes, docs, words, percent)
+        pairs = _round(rest, salt, percent).join(seen, ["a", "b"], "left_anti")
+        pairs = saved(_estimated(pairs, classes, percent), "pairs")
+        found = _checked(pairs, classes, docs, words, percent)
         if found is None:
             barren += 1
-        else:
-            barren, links = 0, found if links is None else saved(links.unionByName(found), "links")
+            continue
+        barren, seen = 0, seen.unionByName(pairs)
+        links = found if links is None else saved(links.unionByName(found), "links")
     return links
 
 
+def _round(rest: DataFrame, salt: int, percent: int) -> DataFrame:
+    """a, b: the members of each list with centres of other components.
+
+    One centre comes from all members, CENTRES more from those outside the component of the first.
+    """
+    head = rest.groupBy("key").agg(F.min_by("label", F.xxhash64(F.lit(salt), F.lit(0), "c", "key")).alias("head"))
+    outside = rest.join(head, "key").where("label <> head").drop("head")
+
+    def rank(k: int) -> Column:
+        return F.struct(F.xxhash64(F.lit(salt), F.lit(k), "c", "key").alias("h"), *MEMBER, "label")
+
+    first = rest.groupBy("key").agg(F.array(F.min(rank(0))).alias("m"))
+    more = outside.groupBy("key").agg(F.array(*[F.min(rank(k)) for k in range(1, CENTRES + 1)]).alias("m"))
+    centres = first.unionByName(more).select("key", F.explode("m").alias("m")).select("key", *[F.col(f"m.{f}").alias(f"m_{f}") for f in (*MEMBER, "label")])
+    fits = _may_link(F.col, lambda f: F.col(f"m_{f}"), percent) & (F.col("label") != F.col("m_label"))
+    pairs = rest.join(centres.distinct(), "key").where(fits)
+    return pairs.select(F.least("c", "m_c").alias("a"), F.greatest("c", "m_c").alias("b")).distinct()
+
+
 def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
     """The linked ones of the candidate pairs, or None."""
-    pairs = saved(_estimated(pairs, classes, percent), "pairs")
     if not pairs.limit(1).count():
         return None
     found = saved(_verified(pairs, classes, docs, words, percent), "links")

@@ -50,4 +50,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN owners USING (doc_id)
 """
 
-ORACLES = {"op3_chat": CHAT, "op9_decontaminate": DECONTAMINATE}
+NEARDUP = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+grams AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM docs WHERE len(w) > 1)
+  UNION SELECT doc_id, w[1] FROM docs WHERE len(w) = 1
+),
+shingles AS (SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS n, g FROM grams),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept
+FROM docs LEFT JOIN (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
+"""
+
+ORACLES = {"op2_neardup": NEARDUP, "op3_chat": CHAT, "op9_decontaminate": DECONTAMINATE}
