@@ -17,6 +17,10 @@ from tagtrack.functions import geometry as G
 from tagtrack.operators import align
 
 
+#: rows of a band of the grid
+BAND = 12
+
+
 def heat(positions: DataFrame, keys: Sequence[str] = align.KEYS, until: float | None = None) -> DataFrame:
     """Hits per cell from in-court positions; ``until`` freezes a snapshot time."""
     placed = positions.where(G.on_court(F.col("x"), F.col("y")))
@@ -52,18 +56,27 @@ def _inside(row: Column, col: Column) -> Column:
 
 
 def kernel_sums(grid: DataFrame, radius: int = K.HEAT_RADIUS, keys: Sequence[str] = align.KEYS) -> DataFrame:
-    """Weighted hits reaching each cell, before normalisation."""
-    spread = grid.select(*keys, "row", "col", "hits", F.explode(_stencil(radius)).alias("_k"))
+    """Weighted hits reaching each cell, before normalisation.
+
+    A cell is sent to its band of rows and lent to the next one where it reaches
+    that, once or twice in all; the stencil is applied and summed inside the band.
+    """
+    first, last = F.col("row") - radius, F.col("row") + radius
+    reach = F.sequence(F.floor(F.greatest(first, F.lit(0)) / BAND), F.floor(F.least(last, F.lit(K.HEAT_ROWS - 1)) / BAND))
+    bands = grid.select(*keys, "row", "col", "hits", F.explode(reach).alias("_band")).repartition(*keys, "_band")
+    spread = bands.select(*keys, "_band", "row", "col", "hits", F.explode(_stencil(radius)).alias("_k"))
     moved = spread.select(
         *keys,
+        "_band",
         (F.col("row") + F.col("_k.dy")).alias("row"),
         (F.col("col") + F.col("_k.dx")).alias("col"),
         (F.col("hits") * F.col("_k.w")).alias("_v"),
     )
     return (
-        moved.where(_inside(F.col("row"), F.col("col")))
-        .groupBy(*keys, "row", "col")
+        moved.where(_inside(F.col("row"), F.col("col")) & (F.floor(F.col("row") / BAND) == F.col("_band")))
+        .groupBy(*keys, "_band", "row", "col")
         .agg(F.sum("_v").alias("weighted"))
+        .drop("_band")
     )
 
 

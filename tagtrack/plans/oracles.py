@@ -190,6 +190,9 @@ _SCORED = (
 sc AS (SELECT *, least(greatest(100*(1-raw_err/100),0),100) AS raw_precision,
   least(greatest(100*(1-smooth_err/100),0),100) AS smooth_precision FROM sc0)"""
 )
+_AVG3 = (
+    "err3d", "errxy", "errz", "precision", "delay_total_s", "measured_delay", "traj_err_3d", "traj_err_xy", "traj_err_z", "traj_precision",
+)
 _AVG2 = ("raw_err", "smooth_err", "raw_precision", "smooth_precision")
 
 
@@ -612,15 +615,19 @@ ORACLES: dict[str, str] = {
         + """, e3 AS (SELECT e.tag_id, e.t, CASE WHEN e.x IS NOT NULL THEN sqrt((v.x-e.x)**2+(v.y-e.y)**2+(v.z-e.z)**2) END AS err3d,
  CASE WHEN e.x IS NOT NULL THEN sqrt((v.x-e.x)**2+(v.y-e.y)**2) END AS errxy, CASE WHEN e.x IS NOT NULL THEN abs(v.z-e.z) END AS errz,
  CASE WHEN e.x IS NOT NULL THEN sqrt((p.at_x-e.x)**2+(p.at_y-e.y)**2+(p.at_z-e.z)**2) END AS traj_err_3d,
- CASE WHEN e.x IS NOT NULL THEN coalesce(b.measured_delay, 0) END AS md
+ CASE WHEN e.x IS NOT NULL THEN sqrt((p.at_x-e.x)**2+(p.at_y-e.y)**2) END AS traj_err_xy,
+ CASE WHEN e.x IS NOT NULL THEN abs(p.at_z-e.z) END AS traj_err_z,
+ CASE WHEN e.x IS NOT NULL THEN 0.3301::DOUBLE END AS delay_total_s,
+ CASE WHEN e.x IS NOT NULL THEN coalesce(b.measured_delay, 0) END AS measured_delay
  FROM est e JOIN truth_v v USING (tag_id, t) JOIN past p USING (tag_id, t) LEFT JOIN best b USING (tag_id, t)),
- w3 AS (SELECT *, avg(err3d) OVER w AS a1, avg(md) OVER w AS a2, avg(traj_err_3d) OVER w AS a3, max(md) OVER w AS mx FROM e3
+ p3 AS (SELECT *, CASE WHEN err3d IS NOT NULL THEN least(greatest(100*(1-err3d/90),0),100) END AS precision,
+ CASE WHEN err3d IS NOT NULL THEN least(greatest(100*(1-traj_err_3d/90),0),100) END AS traj_precision FROM e3),
+ w3 AS (SELECT *, """ + ", ".join(f"avg({c}) OVER w AS a_{c}" for c in _AVG3) + """, max(measured_delay) OVER w AS mx FROM p3
  WINDOW w AS (PARTITION BY tag_id ORDER BY t))""",
-        f"""SELECT tag_id, {_T}, {_r('err3d', 3, 'err3d')}, {_r('errxy', 3, 'errxy')}, {_r('errz', 3, 'errz')},
- {_r('CASE WHEN err3d IS NOT NULL THEN least(greatest(100*(1-err3d/90),0),100) END', 3, 'precision')}, {_r('traj_err_3d', 3, 'traj_err_3d')},
- {_r('CASE WHEN err3d IS NOT NULL THEN a1 END', 3, 'avg_err3d')}, {_r('CASE WHEN err3d IS NOT NULL THEN a2 END', 3, 'avg_measured_delay')},
- {_r('CASE WHEN err3d IS NOT NULL THEN a3 END', 3, 'avg_traj_err_3d')}, {_r('CASE WHEN err3d IS NOT NULL THEN mx END', 3, 'max_measured_delay')},
- {_r('CASE WHEN err3d IS NOT NULL THEN a1/nullif(a3,0) END', 3, 'path_ratio')} FROM w3""",
+        f"""SELECT tag_id, {_T}, {', '.join(_r(c, 3, c) for c in _AVG3 if c not in ('delay_total_s', 'measured_delay'))},
+ {', '.join(_r(f'CASE WHEN err3d IS NOT NULL THEN a_{c} END', 3, f'avg_{c}') for c in _AVG3)},
+ {_r('CASE WHEN err3d IS NOT NULL THEN mx END', 3, 'max_measured_delay')},
+ {_r('CASE WHEN err3d IS NOT NULL THEN a_err3d/nullif(a_traj_err_3d,0) END', 3, 'path_ratio')} FROM w3""",
     ),
     "settings_sanitize": _with(
         _SET,
@@ -644,7 +651,12 @@ ORACLES["stream_tick_window"] = _with(
  FROM parsed p JOIN messages_v m USING (event_id) GROUP BY 1, 2, 3""",
 )
 ORACLES["stream_sessions"] = ORACLES["session_gaps"]
-ORACLES["stream_repeat_suppress"] = _with(_TEL, "SELECT DISTINCT src, cb FROM telemetry")
+ORACLES["stream_repeat_suppress"] = _with(
+    _TEL,
+    """, c AS (SELECT tag_id, session, src, cb % 20 AS cb, ms FROM telemetry)
+ SELECT tag_id, session, src, cb, ms FROM c
+ QUALIFY cb IS DISTINCT FROM lag(cb) OVER (PARTITION BY tag_id, session, src ORDER BY ms)""",
+)
 ORACLES["stream_track"] = _with(
     _RANGES + "," + _located("r"),
     f"SELECT tag_id, {_T}, {_r('x_raw', 3, 'x_raw')}, {_r('y_raw', 3, 'y_raw')}, {_r('x', 3, 'x')}, {_r('y', 3, 'y')} FROM loc",
@@ -717,3 +729,18 @@ ORACLES["locate_3d_async"] = _with(
  {_r('f.y', 3, 'y')}, {_r('f.z', 3, 'z')} FROM fin f JOIN tickd USING (tag_id, t) LEFT JOIN solved USING (tag_id, t)""",
     recursive=True,
 )
+ORACLES["stream_fresh"] = _with(
+    _RNG,
+    """, l AS (SELECT m.tag_id, p.anchor_id, max(m.ts) AS last_ts, arg_max(p.distance_cm, m.ts) AS distance_cm
+ FROM parsed p JOIN messages_v m USING (event_id) GROUP BY 1, 2)
+ SELECT tag_id, anchor_id, distance_cm FROM l WHERE epoch_us(TIMESTAMP '2024-01-25') - epoch_us(last_ts) <= 86400000000""",
+)
+ORACLES["stream_heat"] = ORACLES["heat_cells"]
+ORACLES["log_files"] = ORACLES["ranges_log"]
+ORACLES["message_files"] = _with(_MSG, """SELECT event_id, tag_id, message || ' note="a,b"' AS message FROM messages_v""")
+ORACLES["ranges_device_time"] = _with(
+    _TEL,
+    f"""SELECT tag_id, {_r('ms/1000::DOUBLE', 4, 't')}, CAST(right(session, 1) AS BIGINT) AS anchor_id, CAST(d1 AS DOUBLE) AS distance_cm
+ FROM telemetry WHERE session IN ('0x1001','0x1002','0x1003','0x1004') AND d1 IS NOT NULL""",
+)
+ORACLES["truth_file"] = _with(_TRUTH, f"SELECT tag_id, {_T}, {_r('x', 4, 'x')}, {_r('y', 4, 'y')}, {_r('z', 4, 'z')} FROM truth_v")

@@ -14,9 +14,11 @@ from tagtrack.operators import accuracy, align, heatmap, ingest, motion, quality
 from tagtrack.plans import eventviews as V
 from tagtrack.plans import locate
 from tagtrack.plans.barrier import fresh_path, shared_checkpoint
+from tagtrack.sources import log
 from tagtrack.sources import messages as M
 from tagtrack.sources import settings as S
-from tagtrack.streaming import jobs, tracker
+from tagtrack.session import ROCKSDB
+from tagtrack.streaming import jobs, repeats, tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
 IDS = (1, 2, 3, 4)
@@ -64,6 +66,36 @@ def ranges_log(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.log_rows(V.messages(spark, sf))
 
 
+def log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibration log written as CSV files and scanned again."""
+    path = fresh_path(spark, "uwb_calibration_*").replace("*", "20260513_141522")
+    log.write_log(V.messages(spark, sf), path)
+    return log.read_log(spark, path).drop("log_file")
+
+
+def message_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages written as CSV, with a quote in every text, and read with their own columns."""
+    path = fresh_path(spark, "messages")
+    quoted = F.concat("message", F.lit(' note="a,b"'))
+    columns = ["ingest_ts", "source_ip", "source_port", "message", "event_id", "tag_id"]
+    V.messages(spark, sf).withColumn("message", quoted).select(columns).write.option("header", True).option("escape", '"').csv(path)
+    rows = M.read_messages(spark, path, "csv", extra="event_id long, tag_id long")
+    return rows.select("event_id", "tag_id", "message")
+
+
+def ranges_device_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges on the boards' own clock, which only device lines have."""
+    kept, _ = ingest.ranges_of(V.messages(spark, sf), "session", time="device")
+    return kept.select("tag_id", _r("t"), "anchor_id", "distance_cm")
+
+
+def truth_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The known trajectory from its table."""
+    path = fresh_path(spark, "truth")
+    V.truth(spark, sf).select("run_id", "tag_id", "t", "x", "y", "z").write.parquet(path)
+    return M.read_truth(spark, path).select("tag_id", _r("t"), *_rs(["x", "y", "z"], 4))
+
+
 def rows_written(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.log_rows(V.messages(spark, sf)).groupBy("source_ip").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -476,8 +508,9 @@ def error_3d(spark: SparkSession, sf: str) -> DataFrame:
     est = _est3d(spark, sf).withColumn("x_raw", F.col("x")).withColumn("delay_total_s", F.lit(0.3301))
     track = est.select(*KEYS, scan.CHUNK, "t", "x", "y", "z", "x_raw", "delay_total_s")
     out = locate.score_3d(track, V.truth(spark, sf), 90.0)
-    cols = ["err3d", "errxy", "errz", "precision", "traj_err_3d", "avg_err3d", "avg_measured_delay", "avg_traj_err_3d",
-            "max_measured_delay", "path_ratio"]
+    cols = ["err3d", "errxy", "errz", "precision", "traj_err_3d", "traj_err_xy", "traj_err_z", "traj_precision", "avg_err3d",
+            "avg_errxy", "avg_errz", "avg_precision", "avg_delay_total_s", "avg_measured_delay", "avg_traj_err_3d",
+            "avg_traj_err_xy", "avg_traj_err_z", "avg_traj_precision", "max_measured_delay", "path_ratio"]
     return out.select("tag_id", _r("t"), *_rs(cols, 3))
 
 
@@ -510,18 +543,28 @@ def alpha_sweep(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------------
 
 
-def _drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what is there and read back the table it wrote."""
+def _drain(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there and read back what it wrote.
+
+    ``append`` rows are final. ``update`` rows are logged with the number of their
+    batch, and the last one of every key is read: a batch that is repeated changes
+    nothing. ``complete`` replaces the table of the batch before.
+    """
     spark = stream.sparkSession
     out, progress = fresh_path(spark, name), fresh_path(spark, f"{name}-progress")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
+    elif mode == "update":
+        query = writer.foreachBatch(lambda df, k: df.withColumn("_batch", F.lit(k)).write.mode("append").parquet(out)).start()
     else:
-        # a complete result replaces the table of the batch before
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    log = spark.read.schema(stream.schema.add("_batch", "long")).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    return log.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in rest])
 
 
 def stream_ranges_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -533,13 +576,13 @@ def stream_ranges_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     live = ingest.parse_ranges(V.messages_of(V.event_stream(spark, sf)))
-    out = _drain(jobs.latest_ranges(live), "latest", "complete")
+    out = _drain(jobs.latest_ranges(live), "latest", "update", ["tag_id", "anchor_id"])
     return out.select("tag_id", "anchor_id", F.unix_micros("last_ts").alias("last_us"), "distance_cm", "n")
 
 
 def stream_tick_window(spark: SparkSession, sf: str) -> DataFrame:
     live = ingest.parse_ranges(V.messages_of(V.event_stream(spark, sf)))
-    out = _drain(jobs.tick_windows(live), "ticks", "complete")
+    out = _drain(jobs.tick_windows(live), "ticks", "update", ["tag_id", "anchor_id", "tick_start"])
     return out.select("tag_id", "anchor_id", F.unix_millis("tick_start").alias("tick_ms"), "distance_cm", "n")
 
 
@@ -553,9 +596,27 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_repeat_suppress(spark: SparkSession, sf: str) -> DataFrame:
     tel = ingest.telemetry(V.messages_of(V.event_stream(spark, sf)))
-    # device time: copies of a counter value lie within the watermark
-    timed = tel.select("src", "cb", F.timestamp_millis("ms").alias("device_ts"))
-    return _drain(jobs.first_of_repeats(timed, "device_ts", ("src", "cb")), "repeats", "append").select("src", "cb")
+    timed = tel.select("tag_id", "session", "src", F.pmod("cb", F.lit(20)).alias("cb"), F.timestamp_millis("ms").alias("device_ts"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    out = _drain(repeats.first_of_repeats(timed, "device_ts"), "repeats", "append")
+    return out.select("tag_id", "session", "src", "cb", F.unix_millis("device_ts").alias("ms"))
+
+
+def stream_fresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Live table of a stream with the values that are fresh at a given time."""
+    live = ingest.parse_ranges(V.messages_of(V.event_stream(spark, sf)))
+    out = _drain(jobs.latest_ranges(live), "fresh", "update", ["tag_id", "anchor_id"])
+    return jobs.fresh(out, "2024-01-25 00:00:00", 86400.0).select("tag_id", "anchor_id", "distance_cm")
+
+
+def stream_heat(spark: SparkSession, sf: str) -> DataFrame:
+    """Running occupancy over a stream of positions."""
+    table = fresh_path(spark, "placed")
+    _pos2d(spark, sf).select(*KEYS, "t", "x", "y").repartition(3).write.parquet(table)
+    schema = spark.read.parquet(table).schema
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(table)
+    out = _drain(jobs.running_heat(live), "heat", "update", [*KEYS, "row", "col"])
+    return out.select("tag_id", "row", "col", "hits")
 
 
 PARTS = 4
@@ -633,5 +694,6 @@ QUERIES: dict[str, Query] = {
         error_3d, settings_sanitize, alpha_sweep, stream_ranges_log, stream_latest, stream_tick_window,
         stream_sessions, stream_repeat_suppress, stream_track, messages_to_positions,
         stream_messages_to_positions, card_from_locate_2d, heat_from_locate_2d, locate_3d_async,
+        stream_fresh, stream_heat, log_files, message_files, ranges_device_time, truth_file,
     )
 }

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 SETTINGS = {
+    # the stateful operators keep more than one column family
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     # message stamps are read and printed in one zone
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -16,7 +20,6 @@ SETTINGS = {
     # checkpoints go when their data frames do
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:

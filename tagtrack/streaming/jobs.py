@@ -73,11 +73,6 @@ def session_gaps(messages: DataFrame, ts: str = "ingest_ts", gap: str = f"{K.STA
     )
 
 
-def first_of_repeats(telemetry: DataFrame, ts: str = "ingest_ts", keys: tuple[str, ...] = ("session", "cb")) -> DataFrame:
-    """Drop re-sent measurements; the watermark also bounds false drops after a restart."""
-    return telemetry.withWatermark(ts, WATERMARK).dropDuplicatesWithinWatermark(list(keys))
-
-
 def running_heat(positions: DataFrame) -> DataFrame:
     """Occupancy so far per tag and cell (update or complete mode)."""
     return heatmap.heat(positions)

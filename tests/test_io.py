@@ -29,6 +29,7 @@ def test_read_messages(spark, table, tmp_path, fmt):
     (writer.option("header", True).option("escape", '"') if fmt == "csv" else writer).save(path)
     got = messages.read_messages(spark, path, fmt).orderBy("ingest_ts").collect()
     assert got[0].message == "A1=5;A2=6" and got[1].source_ip == "10.0.0.2" and len(got) == 3
+    assert got[2].message == 'id=3 dist=7 note="q,x"'
 
 
 def test_read_text_lines(spark, tmp_path):
@@ -109,7 +110,7 @@ def test_tracker_over_files_and_a_restart_equals_batch(spark, tmp_path):
     ranges.where("t > 2.0").coalesce(1).write.mode("append").parquet(src)
     drain()
     batch = locate.locate_2d(ranges, V.LAYOUT)
-    both = spark.read.parquet(out).alias("s").join(batch.alias("b"), ["tag_id", "t"], "full")
+    both = tracker.final_ticks(spark.read.parquet(out)).alias("s").join(batch.alias("b"), ["tag_id", "t"], "full")
     apart = [F.abs(F.col(f"s.{c}") - F.col(f"b.{c}")) > 1e-6 for c in ("x", "y", "x_raw", "y_raw")]
     nulls = [F.col(f"s.{c}").isNull() != F.col(f"b.{c}").isNull() for c in ("x", "x_raw")]
     wrong = both.where(F.greatest(*[F.coalesce(a, F.lit(False)).cast("int") for a in apart + nulls]) == 1)

@@ -156,7 +156,8 @@ def test_quality(spark):
         [("a", 5, "2024-01-01 00:00:00.1"), ("a", 9, "2024-01-01 00:00:00.9"), ("a", 1, "2024-01-01 00:00:01.5"),
          ("b", 9, "2024-01-01 00:00:00.1"), ("b", 2, "2024-01-01 00:00:00.2")], "session string, cb long, ts string",
     ).withColumn("ingest_ts", F.col("ts").cast("timestamp"))
-    rate = {(r.session, r.window_start.second): r.rate for r in quality.response_rate(tel).collect()}
-    assert rate == {("a", 0): 0.4, ("a", 1): 0.0, ("b", 0): None}
+    rows = quality.response_rate(tel, keys=["session"]).collect()
+    rate = {(r.session, r.window_start.second): (r.rate, r.restarts) for r in rows}
+    assert rate == {("a", 0): (0.4, 0), ("a", 1): (0.1, 1), ("b", 0): (0.2, 1)}
     stale = {r.session: (r.age_ms, r.stale) for r in quality.stale_anchors(tel, F.lit("2024-01-01 00:00:03").cast("timestamp")).collect()}
     assert stale == {"a": (1500.0, False), "b": (2800.0, True)}
