@@ -20,9 +20,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def words_of(low: Column) -> Column:
+    """The words of a text whose A-Z are lower-cased already."""
+    return F.array_remove(F.split(low, GAP), "")
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for NULL."""
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
+    return words_of(ascii_lower(F.coalesce(text, F.lit(""))))
 
 
 def text_key(text: Column) -> Column:

@@ -172,7 +172,7 @@ def detections(documents: DataFrame) -> DataFrame:
     Repeated documents share their rows.
     """
     low = C.ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    gated = documents.select("doc_id", "text").where(_gate(low))
+    gated = documents.select("doc_id", "text").where(C.let(low, _gate))
     norm = gated.select("doc_id", C.text_key(F.col("text")).alias("key"), F.array_join(C.words(F.col("text")), " ").alias("norm"))
     hit = norm.select(
         "doc_id", "key", "norm", F.explode(F.filter(_rules_column(), lambda r: F.contains(F.col("norm"), r["key"]))).alias("r")
@@ -221,9 +221,9 @@ def scan(documents: DataFrame, base: dict[str, str] = BASE) -> DataFrame:
     phrase), 0 without any. ``rules`` are the numbers of the rules left, sorted.
     """
     low = C.ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    rows = documents.select(
-        "doc_id", C.text_key(F.col("text")).alias("key"), C.words(F.col("text")).alias("w"), _gate(low).alias("gate")
-    )
+    read = C.let(low, lambda text: F.struct(C.words_of(text).alias("w"), _gate(text).alias("gate")))
+    rows = documents.select("doc_id", C.text_key(F.col("text")).alias("key"), read.alias("read"))
+    rows = rows.select("doc_id", "key", F.col("read.w").alias("w"), F.col("read.gate").alias("gate"))
     none = F.array().cast("array<int>")
     rows = rows.select(
         "doc_id", "key", F.size("w").cast("long").alias("n_words"),

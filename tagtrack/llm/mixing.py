@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tagtrack.llm.common import free_name, starts_of
 
-BLOCK_ROWS, PERIOD, BUCKET_ROWS, MAX_SOURCES, TEMPER = 16, 1000, 20_000, 10_000, 0.7
+BLOCK_ROWS, PERIOD, BUCKET_ROWS, MAX_SOURCES, TEMPER = 16, 1000, 2_000, 10_000, 0.7
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:

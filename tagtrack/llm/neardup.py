@@ -13,7 +13,7 @@ beyond that. Lists of up to ``SHORT`` classes give all their pairs. A longer lis
 such as that of a family of near copies, never does: in every round it pairs its
 members with a few centres only, one drawn from all members and ``CENTRES`` from
 those outside the first one's component, so that members which nothing has
-linked yet become centres. Rounds end when two in a row have linked nothing new. 256-bit
+linked yet become centres. Rounds end with one that links nothing new. 256-bit
 marks of the sketches drop pairs that cannot be alike before they leave a list.
 
 Of the candidate pairs, the smallest values of the union of both sketches estimate
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from tagtrack.llm import arrays as A
 from tagtrack.llm.common import saved
 
-SKETCH, RUN, SHORT, CENTRES, BARREN, PERCENT, WORDS = 40, 3, 16, 6, 2, 80, 5
+SKETCH, RUN, SHORT, CENTRES, BARREN, PERCENT, WORDS = 40, 3, 16, 12, 1, 80, 5
+PART_ROWS = 50_000
 #: ids that are broadcast at most; beyond that texts are shuffled to them
 MAX_BROADCAST = 500_000
 NONE = 1 << 62  # stands for a NULL id where the smallest id is sought
@@ -177,21 +178,44 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return two.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, made of tables of about ``rows`` rows, in as many partitions as that is worth: small tables cost few tasks."""
+    return df.coalesce(1 + rows // PART_ROWS)
+
+
 def components(links: DataFrame) -> DataFrame:
     """v, label: the smallest member of each linked node's component, for (a, b) links."""
-    edges = saved(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
-    labels = saved(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")), "labels")
+    n = links.count()
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = saved(_few(links.select(both.alias("e")).select("e.*").distinct(), n), "edges")
+    labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label"))
+    labels = saved(_few(labels, n), "labels")
     while True:
         near = edges.join(labels.select(F.col("v").alias("b"), F.col("label").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
         low = labels.join(near.select(F.col("a").alias("v"), "m"), "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("m"))
         jump = labels.select(F.col("v").alias("m"), F.col("label").alias("far"))
         following = low.join(jump, "m").select("v", "old", F.least("m", "far").alias("label"))
-        following = saved(following, "labels")
+        following = saved(_few(following, n), "labels")
         if not following.where("label < old").limit(1).count():
             return following.select("v", "label")
         labels = following.select("v", "label")
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """v, label after ``links`` join what ``labels`` (None at first) has: the components of the labels, not of all nodes."""
+    if labels is None:
+        return components(links)
+    own = labels.select("v", "label")
+    ends = links.join(own.select(F.col("v").alias("a"), F.col("label").alias("x")), "a", "left")
+    ends = ends.join(own.select(F.col("v").alias("b"), F.col("label").alias("y")), "b", "left")
+    between = ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    joined = components(saved(_few(between.where("a <> b").distinct(), links.count()), "between"))
+    moved = own.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left")
+    moved = moved.select("v", F.coalesce("to", "label").alias("label"))
+    fresh = joined.join(own.select("v"), "v", "left_anti")
+    return saved(_few(moved.unionByName(fresh), labels.count() + links.count()), "labels")
+
+
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     columns = "n bigint, d1 bigint, d2 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, sketch array<bigint>"
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -199,11 +223,10 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     ids, first = F.coalesce("doc_id", F.lit(NONE)), [F.first(c).alias(c) for c in ("b0", "b1", "b2", "b3", "sketch")]
     classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(ids).alias("rep"), *first)
     classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # the written table fixes the numbers
-    links = _links(classes, docs, words, percent)
-    if links is None:
+    marks = _labels(classes, docs, words, percent)
+    if marks is None:
         named = classes.select("d1", "d2", "n", F.col("rep").alias("least"))
     else:
-        marks = components(links)
         placed = classes.join(marks, classes["c"] == marks["v"], "left")
         placed = placed.select("d1", "d2", "n", "rep", F.coalesce("label", "c").alias("label"))
         named = placed.join(placed.groupBy("label").agg(F.min("rep").alias("least")), "label").select("d1", "d2", "n", "least")
@@ -218,38 +241,37 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     return _grouped(docs, words, percent).drop("text_hash")
 
 
-def _links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """All verified links between classes; None without any."""
+def _labels(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """v, label of every linked class; None without any link."""
     posts = classes.select("c", F.explode(F.array_distinct(_keys(F.col("sketch"), F.col("n")))).alias("key"))
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     posts = posts.join(sizes, "key").join(classes.select(*MEMBER), "c")
     posts = saved(posts, "lists")
-    long = posts.where(F.col("size") > SHORT).drop("size")
-    some_long = bool(long.limit(1).count())
+    long = saved(posts.where(F.col("size") > SHORT).drop("size"), "long")
+    n_long = long.count()
     tried = _all_pairs(posts.where(F.col("size") <= SHORT), percent)
-    if some_long:
+    if n_long:
         tried = tried.unionByName(_centred(long, 0, percent))
     seen = saved(_estimated(tried.distinct(), classes, percent), "pairs")
-    links = _checked(seen, classes, docs, words, percent)
+    found = _checked(seen, classes, docs, words, percent)
+    labels = None if found is None else components(found)
     salt = barren = 0
-    while some_long and barren < BARREN:
+    while n_long and barren < BARREN:
         salt += 1
         rest = long.withColumn("label", F.col("c"))
-        if links is not None:
-            labels = components(links)
+        if labels is not None:
             rest = long.join(labels, long["c"] == labels["v"], "left").drop("v").withColumn("label", F.coalesce("label", "c"))
             ends = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
             rest = rest.join(ends.where("x < y").select("key"), "key")
-        rest = saved(rest, "rest")
+        rest = saved(_few(rest, n_long), "rest")
         pairs = _round(rest, salt, percent).join(seen, ["a", "b"], "left_anti")
         pairs = saved(_estimated(pairs, classes, percent), "pairs")
         found = _checked(pairs, classes, docs, words, percent)
         if found is None:
             barren += 1
             continue
-        barren, seen = 0, seen.unionByName(pairs)
-        links = found if links is None else saved(links.unionByName(found), "links")
-    return links
+        barren, seen, labels = 0, seen.unionByName(pairs), merged(labels, found)
+    return labels
 
 
 def _round(rest: DataFrame, salt: int, percent: int) -> DataFrame:
@@ -275,7 +297,7 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     """The linked ones of the candidate pairs, or None."""
     if not pairs.limit(1).count():
         return None
-    found = saved(_verified(pairs, classes, docs, words, percent), "links")
+    found = saved(_few(_verified(pairs, classes, docs, words, percent), pairs.count()), "links")
     return found if found.limit(1).count() else None
 
 
