@@ -51,6 +51,8 @@ def smooth(
     reference tick.  Ticks of a key must be distinct, and chunks no wider than
     :func:`chunk_width`.
     """
+    if not alpha > 0:
+        raise ValueError("a factor of 0 never forgets: the state of a key would grow without bound")
     keys = list(keys)
     rate = decay_rate(alpha)
     w = scan.chunk_window(keys, [order], chunk)

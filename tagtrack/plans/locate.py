@@ -185,41 +185,38 @@ def alpha_sweep(
     ranges: DataFrame, layout: solve2d.Layout, truth: DataFrame, alphas: Sequence[float], tolerances: Sequence[float],
     offsets: Mapping[str, Mapping[int, tuple[float, float]]] | None = None,
 ) -> DataFrame:
-    """Error of the raw and smoothed solution over a grid of settings.
+    """Error of the smoothed solution over a grid of settings.
 
-    Each smoothing factor is one smoothing pass over the same aligned ticks; tolerances and
-    anchor offsets only add columns to that pass.  No tick is copied per setting.
+    The ticks are aligned and joined with the truth once, in chunks that suit every
+    factor; each factor adds its smoothed columns to the same rows, tolerances and
+    anchor offsets add errors.  No tick is copied per setting before the errors are.
     """
     ids = sorted(layout)
     shifts = {"none": {}, **(offsets or {})}
-    reports = []
-    for alpha in alphas:
-        ticks = align.event_ticks(ranges, ids, width=smooth.chunk_width(alpha))
-        ema = smooth.smooth(
-            ticks, KEYS, {align.dist_col(a): align.smooth_col(a) for a in ids}, alpha, dt=None
-        )
-        rows = accuracy.with_truth(ema, truth)
-        errs = []
+    rows = align.event_ticks(ranges, ids, width=smooth.chunk_width(*alphas))
+    for k, alpha in enumerate(alphas):
+        names = {align.dist_col(a): f"s{k}_{a}" for a in ids}
+        rows = smooth.smooth(rows, KEYS, names, alpha, dt="dt" if k else None)
+    rows = accuracy.with_truth(rows, truth)
+    errs = []
+    for k, alpha in enumerate(alphas):
         for name, moved in shifts.items():
             spot = {
                 a: (layout[a][0] + moved.get(a, (0.0, 0.0))[0], layout[a][1] + moved.get(a, (0.0, 0.0))[1]) for a in ids
             }
-            x, y = solve2d.position(spot, align.smooth_col)
+            x, y = solve2d.position(spot, lambda a, k=k: f"s{k}_{a}")
             err = G.distance_2d(F.col("true_x"), F.col("true_y"), x, y)
-            for tol in tolerances:
-                errs.append(
-                    F.struct(
-                        F.lit(alpha).alias("alpha"),
-                        F.lit(float(tol)).alias("tolerance_cm"),
-                        F.lit(name).alias("anchor_shift"),
-                        err.alias("err"),
-                        G.precision_percent(err, float(tol)).alias("precision"),
-                    )
+            errs += [
+                F.struct(
+                    F.lit(alpha).alias("alpha"),
+                    F.lit(float(tol)).alias("tolerance_cm"),
+                    F.lit(name).alias("anchor_shift"),
+                    err.alias("err"),
+                    G.precision_percent(err, float(tol)).alias("precision"),
                 )
-        reports.append(rows.select(F.explode(F.array(*errs)).alias("_e")).select("_e.*"))
-    every = reports[0]
-    for r in reports[1:]:
-        every = every.unionByName(r)
+                for tol in tolerances
+            ]
+    every = rows.select(F.explode(F.array(*errs)).alias("_e")).select("_e.*")
     return every.where(F.col("err").isNotNull()).groupBy("alpha", "tolerance_cm", "anchor_shift").agg(
         F.count(F.lit(1)).alias("n"), F.avg("err").alias("avg_err"), F.avg("precision").alias("avg_precision")
     )
