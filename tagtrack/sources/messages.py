@@ -33,8 +33,8 @@ def _numbered(rows: DataFrame, wanted: bool) -> DataFrame:
 
 
 def _csv(reader):
-    # quotes inside a quoted field are doubled, as the log writes them
-    return reader.option("header", True).option("escape", '"').option("multiLine", True)
+    # quotes inside a quoted field are doubled, as the log writes them; columns go by place, so the header must agree
+    return reader.option("header", True).option("escape", '"').option("enforceSchema", False)
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", extra: str | None = None, numbered: bool = False) -> DataFrame:

@@ -129,13 +129,17 @@ def test_messages_keep_their_columns_and_order(spark, tmp_path):
     rows = [(1, 10, "A1=5", 3), (1, 11, "A2=6", 4), (None, 12, "A1=7", 5), (1, None, "A1=8", 6), (1, 13, "A1=nan dist=1", 7)]
     df = spark.createDataFrame(rows, "tag_id long, s long, message string, arrival long").withColumn("ingest_ts", F.timestamp_seconds("s"))
     path = str(tmp_path / "m")
-    df.withColumn("run_id", F.lit(9).cast("long")).drop("s").write.option("header", True).csv(path)
+    df = df.withColumns({"source_ip": F.lit("h"), "source_port": F.lit(1), "run_id": F.lit(9).cast("long")})
+    names = ["ingest_ts", "source_ip", "source_port", "message", "run_id", "tag_id", "arrival"]
+    df.select(names).write.option("header", True).csv(path)
     read = messages.read_messages(spark, path, "csv", extra="run_id long, tag_id long, arrival long")
     kept, rejected = ingest.ranges_of(read)
     got = sorted(tuple(r) for r in kept.collect())
     assert got == [(9, 1, 10.0, 3, 1, 5.0), (9, 1, 11.0, 4, 2, 6.0)]
     assert sorted(r.reason for r in rejected.collect()) == ["no tag", "no time"]
-    numbered = messages.read_messages(spark, path, "csv", extra="run_id long, tag_id long", numbered=True)
+    plain = str(tmp_path / "p")
+    df.select(names[:-1]).write.parquet(plain)
+    numbered = messages.read_messages(spark, plain, extra="run_id long, tag_id long", numbered=True)
     assert len({r.arrival for r in numbered.collect()}) == 5
 
 
