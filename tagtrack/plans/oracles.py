@@ -624,8 +624,8 @@ ORACLES: dict[str, str] = {
  CASE WHEN err3d IS NOT NULL THEN least(greatest(100*(1-traj_err_3d/90),0),100) END AS traj_precision FROM e3),
  w3 AS (SELECT *, """ + ", ".join(f"avg({c}) OVER w AS a_{c}" for c in _AVG3) + """, max(measured_delay) OVER w AS mx FROM p3
  WINDOW w AS (PARTITION BY tag_id ORDER BY t))""",
-        f"""SELECT tag_id, {_T}, {', '.join(_r(c, 3, c) for c in _AVG3 if c not in ('delay_total_s', 'measured_delay'))},
- {', '.join(_r(f'CASE WHEN err3d IS NOT NULL THEN a_{c} END', 3, f'avg_{c}') for c in _AVG3)},
+        f"""SELECT tag_id, {_T}, {', '.join(_r(c, 6 if c == 'traj_err_z' else 3, c) for c in _AVG3 if c not in ('delay_total_s', 'measured_delay'))},
+ {', '.join(_r(f'CASE WHEN err3d IS NOT NULL THEN a_{c} END', 6 if c == 'traj_err_z' else 3, f'avg_{c}') for c in _AVG3)},
  {_r('CASE WHEN err3d IS NOT NULL THEN mx END', 3, 'max_measured_delay')},
  {_r('CASE WHEN err3d IS NOT NULL THEN a_err3d/nullif(a_traj_err_3d,0) END', 3, 'path_ratio')} FROM w3""",
     ),

@@ -511,7 +511,9 @@ def error_3d(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["err3d", "errxy", "errz", "precision", "traj_err_3d", "traj_err_xy", "traj_err_z", "traj_precision", "avg_err3d",
             "avg_errxy", "avg_errz", "avg_precision", "avg_delay_total_s", "avg_measured_delay", "avg_traj_err_3d",
             "avg_traj_err_xy", "avg_traj_err_z", "avg_traj_precision", "max_measured_delay", "path_ratio"]
-    return out.select("tag_id", _r("t"), *_rs(cols, 3))
+    # a mean height error may lie on the edge of three digits
+    fine = ["traj_err_z", "avg_traj_err_z"]
+    return out.select("tag_id", _r("t"), *_rs([c for c in cols if c not in fine], 3), *_rs(fine, 6))
 
 
 # --- settings ----------------------------------------------------------------------

@@ -25,13 +25,15 @@ class FirstLines(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         us, cb = self.state.get() if self.state.exists() else (None, None)
-        part = pd.concat(list(rows), ignore_index=True).sort_values("_us", kind="stable")
+        part = pd.concat(list(rows), ignore_index=True)
+        part.columns = [*self.columns, "order_us"]  # by place: names may arrive altered
+        part = part.sort_values("order_us", kind="stable")
         if us is not None:
-            part = part[part["_us"] >= us]
+            part = part[part["order_us"] >= us]
         if len(part):
             counter = part["cb"].to_numpy(np.int64)
             before = np.concatenate([[counter[0] - 1 if cb is None else cb], counter[:-1]])
-            self.state.update((int(part["_us"].iloc[-1]), int(counter[-1])))
+            self.state.update((int(part["order_us"].iloc[-1]), int(counter[-1])))
             part = part[counter != before]
         yield part[self.columns]
 
@@ -45,7 +47,7 @@ def first_of_repeats(telemetry: DataFrame, ts: str = "ingest_ts", keys: Sequence
     A board is one key; ``maxFilesPerTrigger`` or offsets bound what a batch brings of it.
     Needs a state store with several column families (RocksDB), which the session sets.
     """
-    timed = telemetry.withColumn("_us", F.unix_micros(ts))
+    timed = telemetry.withColumn("order_us", F.unix_micros(ts))
     return timed.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=FirstLines(telemetry.columns), outputStructType=telemetry.schema, outputMode="Append", timeMode="None"
     )
