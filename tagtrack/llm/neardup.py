@@ -264,8 +264,8 @@ def _labels(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             ends = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
             rest = rest.join(ends.where("x < y").select("key"), "key")
         rest = saved(_few(rest, n_long), "rest")
-        pairs = _round(rest, salt, percent).join(seen, ["a", "b"], "left_anti")
-        pairs = saved(_estimated(pairs, classes, percent), "pairs")
+        likely = _estimated(_round(rest, salt, percent), classes, percent)
+        pairs = saved(likely.join(seen, ["a", "b"], "left_anti"), "pairs")
         found = _checked(pairs, classes, docs, words, percent)
         if found is None:
             barren += 1
