@@ -13,7 +13,9 @@ beyond that. Lists of up to ``SHORT`` classes give all their pairs. A longer lis
 such as that of a family of near copies, never does: in every round it pairs its
 members with a few centres only, one drawn from all members and ``CENTRES`` from
 those outside the first one's component, so that members which nothing has
-linked yet become centres. Rounds end with one that links nothing new. 256-bit
+linked yet become centres. Rounds only save work: they end with one that links
+nothing new, and then every pair of a long list whose members are still in different
+components is compared, block by block (``_compared``). 256-bit
 marks of the sketches drop pairs that cannot be alike before they leave a list.
 
 Of the candidate pairs, the smallest values of the union of both sketches estimate
@@ -29,6 +31,9 @@ are kept where no other id is in their group; repeated rows are in one group; ot
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +44,8 @@ from tagtrack.llm.common import saved
 
 SKETCH, RUN, SHORT, CENTRES, BARREN, PERCENT, WORDS = 40, 3, 16, 12, 1, 80, 5
 PART_ROWS = 50_000
+#: members of a block of a long list, and pairs whose sketches are merged at once
+BLOCK, AT_ONCE = 128, 20_000
 #: ids that are broadcast at most; beyond that texts are shuffled to them
 MAX_BROADCAST = 500_000
 NONE = 1 << 62  # stands for a NULL id where the smallest id is sought
@@ -271,9 +278,117 @@ def _labels(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             barren += 1
             continue
         barren, seen, labels = 0, seen.unionByName(pairs), merged(labels, found)
+    return _settled(rest, seen, labels, classes, docs, words, percent) if n_long else labels
+
+
+def _settled(
+    rest: DataFrame, seen: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, words: int, percent: int
+) -> DataFrame | None:
+    """``labels`` after every pair of the lists ``rest`` that lies between two components; likely pairs go first.
+
+    A pair whose members a likelier one has brought together meanwhile needs no verification.
+    """
+    left = saved(_compared(rest, classes, percent).join(seen, ["a", "b"], "left_anti"), "between")
+    for high, low in ((2.0, percent / 100), (percent / 100, percent / 100 - 0.1), (percent / 100 - 0.1, -1.0)):
+        pairs = left.where((F.col("likeness") < high) & (F.col("likeness") >= low)).select("a", "b")
+        if labels is not None:
+            own = labels.select("v", "label")
+            pairs = pairs.join(own.select(F.col("v").alias("a"), F.col("label").alias("x")), "a", "left")
+            pairs = pairs.join(own.select(F.col("v").alias("b"), F.col("label").alias("y")), "b", "left")
+            pairs = pairs.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+        found = _checked(saved(pairs, "pairs"), classes, docs, words, percent)
+        labels = labels if found is None else merged(labels, found)
     return labels
 
 
+def _compared(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b, likeness: every pair of two components within a list that the sketches do not rule out, once.
+
+    A list is dealt over blocks of about BLOCK members of like size. Blocks outside the component of a
+    random member (most often the largest) meet all blocks, the others only those. Of
+    the lists that two classes share, the one with the smallest key compares them.
+    """
+    head = rest.groupBy("key").agg(F.min_by("label", F.xxhash64(F.lit(-1), "c", "key")).alias("head"))
+    step = -math.log(percent / 100) * 1.000001 if percent < 100 else 1e-6
+    rows = rest.join(head, "key").select("key", "c", "label", (F.col("label") != F.col("head")).alias("out"))
+    rows = rows.join(classes.select("c", "n", "b0", "b1", "b2", "b3", "sketch"), "c")
+    rows = rows.withColumn("band", F.floor(F.log("n") / step))
+    sizes = rows.groupBy("key", "out", "band").agg(F.count(F.lit(1)).alias("size"))
+    rows = rows.join(sizes, ["key", "out", "band"])
+    part = F.pmod(F.xxhash64(F.lit(-2), "c"), F.ceil(F.col("size") / BLOCK)).alias("part")
+    keys = F.array_distinct(_keys(F.col("sketch"), F.col("n"))).alias("keys")
+    member = F.struct("c", "label", "n", "b0", "b1", "b2", "b3", "sketch", keys)
+    blocks = rows.groupBy("key", "out", "band", part).agg(F.collect_list(member).alias("m"))
+    blocks = saved(blocks, "blocks")
+    x = blocks.where("out").select("key", *[F.col(f).alias(f"{f}_x") for f in ("band", "part", "m")])
+    y = blocks.select("key", *[F.col(f).alias(f"{f}_y") for f in ("out", "band", "part", "m")])
+    after = (F.col("band_x") < F.col("band_y")) | ((F.col("band_x") == F.col("band_y")) & (F.col("part_x") <= F.col("part_y")))
+    both = x.join(y, "key").where((F.abs(F.col("band_x") - F.col("band_y")) <= 1) & (~F.col("out_y") | after))
+    return both.select("key", F.col("m_x").alias("x"), F.col("m_y").alias("y")).mapInArrow(
+        _likely_pairs(percent), "a bigint, b bigint, likeness double"
+    )
+
+
+def _side(members: pa.ListArray, row: int) -> dict[str, np.ndarray]:
+    """The members of one block as arrays; sketches and keys filled up to one width."""
+    one = members.slice(row, 1).flatten()
+    out = {f: one.field(f).to_numpy(zero_copy_only=False) for f in ("c", "label", "n", "b0", "b1", "b2", "b3")}
+    for f in ("sketch", "keys"):
+        lists = one.field(f)
+        lens = np.diff(lists.offsets.to_numpy())
+        wide = np.full((len(lens), SKETCH), np.iinfo(np.int64).max)
+        wide[np.arange(SKETCH) < lens[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        out[f] = wide
+    return out
+
+
+def _merged_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row by row of two tables of sorted sets: all values sorted, which are equal to the one before, which are filling."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    fill = both == np.iinfo(np.int64).max
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & ~fill[:, 1:]
+    return both, again, fill
+
+
+def _likely_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    p = percent / 100
+
+    def likely(key: int, x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values, again, _ = _merged_rows(x["keys"][i], y["keys"][j])
+        first = np.argmax(again, axis=1)
+        here = again.any(axis=1) & (values[np.arange(len(i)), first] == key)
+        i, j = i[here], j[here]
+        _, again, fill = _merged_rows(x["sketch"][i], y["sketch"][j])
+        place = np.cumsum(~again & ~fill, axis=1)
+        total = place[:, -1] if len(i) else np.zeros(0, np.int64)
+        shared = (again & (place <= SKETCH)).sum(axis=1)
+        size = np.minimum(total, SKETCH)
+        whole = (x["n"][i] <= SKETCH) & (y["n"][j] <= SKETCH) & (total <= SKETCH)
+        fits = shared >= np.where(whole, size * p - 1e-9, size * p - 5.6 * np.sqrt(size * p * (1 - p)))
+        return x["c"][i[fits]], y["c"][j[fits]], shared[fits] / size[fits]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key = batch.column("key")[row].as_py()
+                x, y = _side(batch.column("x"), row), _side(batch.column("y"), row)
+                n, m = x["n"][:, None], y["n"][None, :]
+                near = (n * 100 >= m * percent) & (m * 100 >= n * percent) & (x["label"][:, None] != y["label"][None, :])
+                common = np.zeros(near.shape, np.int64)
+                for f in ("b0", "b1", "b2", "b3"):
+                    common += np.bitwise_count(x[f].view(np.uint64)[:, None] & y[f].view(np.uint64)[None, :])
+                i, j = np.nonzero(near & (common >= np.minimum(14, np.floor(np.minimum(n, m) * 0.35))))
+                for at in range(0, len(i), AT_ONCE):
+                    a, b, likeness = likely(key, x, y, i[at : at + AT_ONCE], j[at : at + AT_ONCE])
+                    low, high = np.minimum(a, b), np.maximum(a, b)
+                    _, once = np.unique(np.stack([low, high]), axis=1, return_index=True)
+                    columns = [pa.array(v[once]) for v in (low, high, likeness)]
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "likeness"])
+
+    return run
+
+
 def _round(rest: DataFrame, salt: int, percent: int) -> DataFrame:
     """a, b: the members of each list with centres of other components.
 

@@ -116,3 +116,16 @@ def test_long_text(spark):
     docs = [(1, long), (2, long + " more"), (3, "w1 w2 w3")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(N.grouped(df, 5)) == brute(docs, 5)
+
+
+def test_long_lists_are_settled_without_luck(spark, monkeypatch):
+    """Links that no centre happens to meet: one pair whose common shingles all stand in long lists."""
+    none = lambda posts, salt, percent: posts.select(posts["c"].alias("a"), posts["c"].alias("b")).limit(0)
+    monkeypatch.setattr(N, "_centred", none)
+    monkeypatch.setattr(N, "_round", none)
+    monkeypatch.setattr(N, "BLOCK", 20)
+    texts = family(7, 60, 12) + family(8, 50, 7)
+    docs = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 2)
+    assert rows(N.grouped(df, 2)) == want and len({r[2] for r in want}) < len(docs) / 2
