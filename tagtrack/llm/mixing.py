@@ -2,10 +2,10 @@
 
 Every source's rows, in a seeded random order, form blocks. With weight w, block k
 (from 1) is released at slot floor((k-1)/w) and due at slot ceil(k/w); of the
-released blocks the one due first takes a slot. Weights are rounded to whole
-shares of ``period`` slots, so the schedule repeats after a period: one period is
-scheduled on the driver and every block finds its slot by arithmetic. After any
-number of slots a source has had its share within less than one block.
+released blocks the one due first takes a slot. Weights are the target weights
+themselves, as whole parts of ``period`` (1e-12 each), and all blocks there are get
+their slots on the driver (eight bytes a block). After any number of slots a source
+that still has rows has had its target share within less than one block.
 
 No row is dropped or repeated. A source that runs out leaves its later slots empty;
 the others keep their relative rates. ``position`` numbers the rows in slot order.
@@ -23,41 +23,53 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagtrack.llm.common import free_name, starts_of
 
-BLOCK_ROWS, PERIOD, BUCKET_ROWS, MAX_SOURCES, TEMPER = 16, 1000, 2_000, 10_000, 0.7
+BLOCK_ROWS, PERIOD, BUCKET_ROWS, MAX_SOURCES, TEMPER = 16, 10**12, 2_000, 10_000, 0.7
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of ``period`` next to the weights, at least one each (largest remainders first)."""
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
+    """Whole shares of ``period`` nearest to the weights (largest remainders first), at least one each."""
+    total = sum(map(Fraction, weights.values()))
+    exact = {s: Fraction(w) * period / total for s, w in weights.items()}
+    out = {s: math.floor(x) for s, x in exact.items()}
     rest = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[:rest]:
+    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[:rest]:
         out[s] += 1
+    for s in [s for s, n in out.items() if n == 0]:
+        out[max(out, key=lambda x: (out[x], x))] -= 1
+        out[s] = 1
     return out
 
 
-def schedule(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period: earliest due block first among the released."""
+def schedule(share: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, array]:
+    """Slots of each source's blocks (without ``blocks`` those of one period): earliest due block first among the released."""
     period = sum(share.values())
-    waiting = [(0, s, 1) for s in sorted(share)]  # (release, source, block)
+    blocks = share if blocks is None else blocks
+    waiting = [(0, s, 1) for s in sorted(share) if blocks[s]]  # (release, source, block)
     heapq.heapify(waiting)
     due: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for slot in range(period):
+    slots = {s: array("q") for s in share}
+    slot = 0
+    while waiting or due:
+        if not due:  # slots of sources that have run out
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
             heapq.heappush(due, (-(-k * period // share[s]), s, k))
         _, s, k = heapq.heappop(due)
         slots[s].append(slot)
-        if k < share[s]:
+        if k < blocks[s]:
             heapq.heappush(waiting, (k * period // share[s], s, k + 1))
+        slot += 1
     return slots
 
 
@@ -92,13 +104,11 @@ def mixed(
         given = {"-" if s is None else f"={s}": w for s, w in weights.items() if w > 0}
         least = min(given.values(), default=1.0)
         target = {s: given.get(s, least) for s in counts}
-    period = max(period, 20 * len(target))
-    share = shares(target, period) if target else {}
-    plan = schedule(share) if share else {}
-    table = [(s, -(-counts[s] // bucket_rows), share[s], plan[s]) for s in counts]
-    sources = docs.sparkSession.createDataFrame(table, f"{key} string, _buckets long, _share long, _slots array<int>")
-    sources = sources.select(key, *[F.col(c).alias(free_name(docs, c)) for c in ("_buckets", "_share", "_slots")])
-    buckets, per, slots = sources.columns[1:]
+    share = shares(target, max(period, len(target))) if target else {}
+    plan = schedule(share, {s: -(-counts[s] // block_rows) for s in counts})
+    table = [(s, i, -(-counts[s] // bucket_rows)) for i, s in enumerate(counts)]
+    number, buckets = free_name(docs, "_source"), free_name(docs, "_buckets")
+    sources = docs.sparkSession.createDataFrame(table, f"{key} string, {number} long, {buckets} long")
     row = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in own])
     # the table of sources is bounded by MAX_SOURCES
     rows = docs.withColumn(key, named).withColumn(h, row).join(F.broadcast(sources), key)
@@ -111,25 +121,23 @@ def mixed(
     ranked = rows.withColumn(rank, F.row_number().over(inside) - 1).join(sizes, [key, bucket])
     ranked = ranked.withColumn(rank, F.col(rank) + F.col(first))
     ranked = ranked.withColumn("block", F.expr(f"{rank} div {block_rows}L"))
-    turn = F.expr(f"(block div {per}) * {period}L")
-    ranked = ranked.withColumn("slot", turn + F.get(slots, F.expr(f"cast(block % {per} as int)")))
-    # rows before a slot, from the rows of each block: known from the counts alone
-    blocks = sources.join(docs.sparkSession.createDataFrame(list(counts.items()), f"{key} string, n long"), key)
-    return _positions(ranked, blocks, key, per, slots, rank, block_rows, period).select(*own, "block", "slot", "position")
-
-
-def _positions(
-    ranked: DataFrame, blocks: DataFrame, key: str, per: str, slots: str, rank: str, block_rows: int, period: int
-) -> DataFrame:
-    """``position``: rows in all earlier slots plus the row's place in its block."""
-    each = blocks.select(key, per, slots, "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {block_rows}L)")).alias("b"))
-    each = each.select(
-        (F.expr(f"(b div {per}) * {period}L") + F.get(slots, F.expr(f"cast(b % {per} as int)"))).alias("slot"),
-        F.least(F.lit(block_rows).cast("long"), F.col("n") - F.col("b") * block_rows).alias("n"),
-    )
-    start = free_name(ranked, "_start")
-    out = ranked.join(starts_of(each, "slot").withColumnRenamed("start", start), "slot")
-    return out.withColumn("position", F.col(start) + F.expr(f"{rank} % {block_rows}L"))
+    start = free_name(docs, "_start")
+    blocks = _blocks(docs.sparkSession, [(counts[s], plan[s]) for s in counts], block_rows)
+    placed = blocks.join(starts_of(blocks, "slot"), "slot").select(F.col("source").alias(number), "block", "slot", F.col("start").alias(start))
+    out = ranked.join(placed, [number, "block"])
+    return out.withColumn("position", F.col(start) + F.expr(f"{rank} % {block_rows}L")).select(*own, "block", "slot", "position")
+
+
+def _blocks(spark: SparkSession, plan: list[tuple[int, array]], block_rows: int) -> DataFrame:
+    """source (its place in ``plan``), block, slot and rows ``n`` of every block, from each source's rows and slots."""
+    columns: dict[str, list[np.ndarray]] = {"source": [], "block": [], "slot": [], "n": []}
+    for i, (rows, slots) in enumerate(plan):
+        block = np.arange(len(slots), dtype=np.int64)
+        values = (np.full(len(slots), i, np.int64), block, np.frombuffer(slots, np.int64), np.minimum(block_rows, rows - block * block_rows))
+        for name, value in zip(columns, values, strict=True):
+            columns[name].append(value)
+    none = [np.empty(0, np.int64)]
+    return spark.createDataFrame(pa.table({name: np.concatenate(none + parts) for name, parts in columns.items()}))
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:

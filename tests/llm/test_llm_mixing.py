@@ -62,3 +62,23 @@ def test_nulls_repeats_clashes_and_empty(spark):
     assert sorted(r.position for r in got.collect()) == list(range(len(rows)))
     assert M.mixed(df.limit(0)).count() == 0
     assert M.in_order(df).columns == df.columns
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.98, "b": 0.01, "c": 0.01}, {"a": 0.9996, "b": 0.0004}, {"a": 1 / 3, "b": 1 / 7, "c": 11 / 21}])
+def test_shares_follow_the_target_weights_over_many_blocks(weights):
+    share = M.shares(weights, M.PERIOD)
+    slots = M.schedule(share, {s: int(w * 50_000) + 1 for s, w in weights.items()})
+    for s, w in weights.items():
+        for k, t in enumerate(slots[s]):  # k blocks before slot t, one more after it
+            assert abs(k - w * t) < 1 + 1e-6 and abs(k + 1 - w * (t + 1)) < 1 + 1e-6
+
+
+def test_target_weights_reach_the_rows(spark):
+    weights = {"a": 0.98, "b": 0.01, "c": 0.01}
+    df = spark.range(100_000).selectExpr("id", "case when id < 98000 then 'a' when id < 99000 then 'b' else 'c' end as source")
+    seen = Counter()
+    rows = M.mixed(df, weights, block_rows=4).select("slot", "source").distinct().collect()
+    for slot, source in sorted((r.slot, r.source) for r in rows):
+        seen[source] += 1
+        assert all(abs(seen[s] - w * (slot + 1)) < 1 + 1e-6 for s, w in weights.items())
+    assert seen == {"a": 24_500, "b": 250, "c": 250}
