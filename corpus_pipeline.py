@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtrack.llm import decontaminate, mixing, neardup, quality, sharding
-from tagtrack.llm.common import saved
+from tagtrack.llm.common import free_name, saved
 
 SHARDS = 24
 
@@ -32,9 +32,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and its slot there."""
+    """Every document with its shard and its slot there: shards are runs of the mixed order, shuffled inside stretches."""
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 8
-    return sharding.sharded(docs, SHARDS, row_bytes=size)
+    place = free_name(docs, "_place")
+    return sharding.sharded(mixing.numbered(docs, place), SHARDS, row_bytes=size, order=place)
 
 
 STAGES = [

@@ -144,3 +144,16 @@ def in_order(docs: DataFrame, **options) -> DataFrame:
     """All rows of ``docs`` and only its columns, sorted into mixing order (files in name order, rows in file order)."""
     rows = mixed(docs, **options)
     return rows.orderBy("position").select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot", "position")])
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The written result of ``in_order``, read again, with ``name``: each row's place in it (gapless from 0)."""
+    file, row = free_name(docs, "_file"), free_name(docs, "_row")
+    rows = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    first, table = 0, []
+    for f, n in sorted(rows.groupBy(file).count().collect()):  # a row per file, as in Spark's own list of the files
+        table.append((f, first))
+        first += n
+    start = free_name(docs, "_start")
+    starts = docs.sparkSession.createDataFrame(table, f"{file} string, {start} long")
+    return rows.join(F.broadcast(starts), file).withColumn(name, F.col(start) + F.col(row)).drop(file, row, start)

@@ -44,3 +44,30 @@ def test_run(spark):
     got = P.run(spark, SF)
     assert {"doc_id", "text", "shard", "slot"} <= set(got.columns)
     assert got.count() > 0
+
+
+def test_shards_hold_the_sources_at_their_weights(spark):
+    from collections import Counter
+
+    from tagtrack.llm import mixing
+
+    sizes = {"a": 9000, "b": 2400, "c": 600}
+    docs = spark.createDataFrame([(i, s, f"text {s} {i}") for s, n in sizes.items() for i in range(n)], "doc_id long, source string, text string")
+    mixed = saved(P.mix(spark, docs.repartition(7), SF), "mixed")
+    rows = [(r.shard, r.slot, r.source, r.doc_id) for r in P.shard(spark, mixed, SF).collect()]
+    assert Counter(r[2] for r in rows) == sizes and len(set(rows)) == len(rows) == 12_000
+    weight = mixing.tempered(sizes)
+    total = sum(weight.values())
+    first_out = min(n * total / weight[s] for s, n in sizes.items())  # rows until a source has no more
+    full = [s for s in range(P.SHARDS) if (s + 1) * 500 <= first_out - 16]
+    assert len(full) > 5
+    for s in full:
+        inside = sorted(r[1:] for r in rows if r[0] == s)
+        assert [r[0] for r in inside] == list(range(500))
+        have = Counter(r[1] for r in inside)
+        for x in sizes:
+            assert abs(have[x] - 500 * weight[x] / total) <= 2 * mixing.BLOCK_ROWS
+        ids = [r[2] for r in inside if r[1] == "a"]
+        assert ids != sorted(ids)
+    order = lambda: [(r.shard, r.slot, r.doc_id) for r in P.shard(spark, mixed, SF).orderBy("shard", "slot").collect()]
+    assert order() == order()
