@@ -102,13 +102,18 @@ def _with_hits(documents: DataFrame, benchmark: DataFrame, width: int, max_ngram
         rows = rows.select("doc_id", "key", "n_words", F.posexplode_outer("hits").alias("i", "h"))
         first = F.when(F.coalesce("i", F.lit(0)) == 0, 1).otherwise(0).alias("first")
         return grams, rows.select("doc_id", "key", "n_words", first, "h.*"), True
+    return grams, _joined_hits(base, grams, width), False
+
+
+def _joined_hits(base: DataFrame, grams: DataFrame, width: int) -> DataFrame:
+    """The rows of ``_with_hits`` for (doc_id, key, w) by a shuffled join of all windows with the n-grams."""
     sizes = [r.size for r in grams.select("size").distinct().limit(width).collect()]
     windows = F.concat(F.array(F.lit(None).cast(HIT)), *[_windows(F.col("w"), n) for n in sizes])
     rows = base.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.explode(windows).alias("h"))
     rows = rows.select("doc_id", "key", "n_words", F.when(F.col("h").isNull(), 1).otherwise(0).alias("first"), "h.*")
     plain = rows.where("first = 1")
     hit = rows.where("first = 0").join(grams.select("ngram"), "ngram", "left_semi")
-    return grams, plain.unionByName(hit), False
+    return plain.unionByName(hit)
 
 
 def contamination(
@@ -151,21 +156,26 @@ def decontaminated(
 
     ``documents`` drops every contaminated document; ``spans`` cuts the hit words
     (and the characters between neighbours of one span) out of the text. Both are
-    projections of the scan while the n-grams fit; beyond that, documents whose id
-    is contaminated are taken out by a join.
+    projections of the scan while the n-grams fit; beyond that, the spans of every
+    (doc_id, text) are collected by a shuffle and joined back, with the same result.
     """
-    ngrams = NgramSet.collect(item_ngrams(benchmark, width), max_ngrams)
+    if mode not in ("documents", "spans"):
+        raise ValueError(f"unknown mode {mode!r}")
+    grams = item_ngrams(benchmark, width)
+    ngrams = NgramSet.collect(grams, max_ngrams)
     if ngrams is None:
-        if mode != "documents":
-            raise ValueError("spans can be cut only while the n-grams fit the broadcast set")
-        bad = contamination(documents, benchmark, width, max_ngrams).where("contaminated")
-        ids = bad.select(F.col("doc_id").alias("_bad")).distinct()
-        return documents.join(ids, documents["doc_id"].eqNullSafe(ids["_bad"]), "left_anti")
+        base = documents.select("doc_id", C.text_key(F.col("text")).alias("key"), C.words(F.col("text")).alias("w"))
+        found = _joined_hits(base, grams, width).where("first = 0").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size")).alias("hits"))
+        doc, key, hit = (C.free_name(documents, x) for x in ("_hit_id", "_hit_key", "hits"))
+        found = found.select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("hits").alias(hit))
+        same = documents["doc_id"].eqNullSafe(F.col(doc)) & (C.text_key(documents["text"]) == F.col(key))
+        if mode == "documents":
+            return documents.join(found.select(doc, key), same, "left_anti")
+        rows = documents.join(found, same, "left").drop(doc, key)
+        return rows.withColumn("text", F.when(F.col(hit).isNull(), F.col("text")).otherwise(_cut(F.col("text"), covered(F.col(hit)), F.lit(True)))).drop(hit)
     hits = C.let(C.words(F.col("text")), ngrams.hits)
     if mode == "documents":
         return documents.where(F.size(hits) == 0)
-    if mode != "spans":
-        raise ValueError(f"unknown mode {mode!r}")
     hit = C.free_name(documents, "hits")
     return documents.withColumn(hit, hits).withColumn("text", _cut(F.col("text"), covered(F.col(hit)), F.size(hit) > 0)).drop(hit)
 

@@ -110,3 +110,14 @@ def test_query_digest(spark):
     rows_ = QUERIES["op9_decontaminate"](spark, SF).collect()
     assert all(len(r.items_sha256) == 64 for r in rows_)
     assert {r.items_sha256 for r in rows_ if not r.contaminated} == {hashlib.sha256(b"").hexdigest()}
+
+
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+def test_same_result_at_any_benchmark_size(spark, mode):
+    more = [(None, "clean without an id"), (9, "clean under a repeated id"), (12, f"Keep. {TEN.title()}! And É.")]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in DOCS + more], "doc_id long, text string, hits int, key string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    small, large = (D.decontaminated(docs, items, mode=mode, max_ngrams=n) for n in (20_000, 1))
+    assert large.columns == small.columns == docs.columns
+    assert sorted(map(tuple, large.collect()), key=repr) == sorted(map(tuple, small.collect()), key=repr)
+    assert {"clean without an id", "clean under a repeated id"} <= {r.text for r in large.collect()}
