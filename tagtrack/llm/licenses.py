@@ -5,7 +5,8 @@ space between them), with a label, a priority (1 is strongest) and a confidence.
 ``signatures()`` builds the rules from the license table below: for every license an
 identifier tag, its address, a grant ("licensed under ...") and its bare name,
 and general notices after them. Only texts that hold a keyword are scanned, and
-there only the rules whose own keyword occurs.
+there only the rules of which a keyword occurs. Keywords are read off the parsed
+pattern (``required``): every match of a rule holds one of its keywords.
 
 Detections that lie inside another are suppressed by the stronger rule, and among
 equals by the longer (then earlier rule) one. That is a running maximum over the
@@ -19,6 +20,12 @@ places and score 0; repeated documents give a row each.
 
 from __future__ import annotations
 
+import itertools
+import re._constants as op
+import re._parser as parser
+from functools import cache
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,36 +114,130 @@ NOTICES = [
     ("unknown-license", "licen", r"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:an? )?(?:\S+ ){1,4}?licen[sc]e", 6, 0.3),
 ]
 
-#: every rule's match holds one of these or GATE_CC, so a text without them (A-Z lower-cased) needs no scan
-GATE = ("licen", "gpl", "gfdl", "cc0", "commons", "domain", "reserved", "permission", "redistribution", "wtfpl",
+#: words that the gate is made of where a rule allows it
+COMMON = ("licen", "gpl", "gfdl", "cc0", "commons", "domain", "reserved", "permission", "redistribution", "wtfpl",
         "mozilla", "eclipse", "eupl", "ofl", "bsl11", "creative", "cddl", "mulan", "consortium")
 GATE_CC = r"(?:^|[^a-z0-9])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 
-def signatures() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, confidence) of every rule, in order; patterns fit whole words."""
+#: keywords that are part of this text tell no license from another
+PLAIN = "licensed under the terms of the public license licence version licenses available released distributed published provided shared under"
+MOST = 4  # spellings of one stretch of a pattern
+
+
+def _spellings(node: tuple) -> list[str] | None:
+    """All texts that a part of a pattern fits, if they are MOST at most."""
+    kind, value = node
+    if kind is op.LITERAL:
+        return [chr(value)]
+    if kind is op.IN and all(k is op.LITERAL for k, _ in value):
+        out = [chr(v) for _, v in value]
+    elif kind is op.SUBPATTERN:
+        out = _spelled(value[3])
+    elif kind is op.BRANCH:
+        parts = [_spelled(p) for p in value[1]]
+        out = None if None in parts else sum(parts, [])
+    elif kind is op.MAX_REPEAT and tuple(value[:2]) == (0, 1):
+        out = _spelled(value[2])
+        out = None if out is None else ["", *out]
+    else:
+        out = [""] if kind in (op.ASSERT, op.ASSERT_NOT, op.AT) else None
+    return out if out is not None and len(out) <= MOST else None
+
+
+def _spelled(nodes) -> list[str] | None:
+    out = [""]
+    for node in nodes:
+        one = _spellings(node)
+        if one is None or len(out) * len(one) > MOST:
+            return None
+        out = [a + b for a, b in itertools.product(out, one)]
+    return out
+
+
+def _needs(nodes) -> list[tuple[str, ...]]:
+    """Lists of texts; of each list, every match holds one text at least."""
+    lists, run = [], [""]
+    for node in nodes:
+        kind, value = node
+        if kind is op.ASSERT:
+            lists += _needs(value[1])
+            continue
+        one = _spellings(node)
+        if one is not None and len(run) * len(one) <= MOST:
+            run = [a + b for a, b in itertools.product(run, one)]
+            continue
+        lists.append(run)
+        # what all spellings so far end with; the parser takes a common first letter out of alternatives
+        end = commonprefix([r[::-1] for r in run])[::-1]
+        run = [end + x for x in one] if one else [""]
+        if kind is op.SUBPATTERN:
+            lists += _needs(value[3])
+        elif kind is op.BRANCH:
+            parts = [_needs([*((op.LITERAL, ord(x)) for x in end), *p]) for p in value[1]]
+            if all(parts):
+                lists.append([k for p in parts for k in max(p, key=_worth)])
+        elif kind is op.MAX_REPEAT and value[0] > 0:
+            lists += _needs(value[-1])
+    lists.append(run)
+    return [tuple(sorted(k for k in set(x) if not any(o != k and o in k for o in x))) for x in lists if all(k.strip() for k in x)]
+
+
+def _worth(keys: tuple[str, ...]) -> tuple:
+    return not any(k.strip() in PLAIN for k in keys), min(len(k.strip()) for k in keys), -len(keys)
+
+
+@cache
+def required(pattern: str) -> tuple[str, ...]:
+    """Keywords of which every match of ``pattern`` holds one, as telling as can be."""
+    return max(_needs(parser.parse(pattern)), key=_worth)
+
+
+def _gate_word(key: str) -> str:
+    """A part of ``key`` without spaces: one of COMMON if there is any, "" where GATE_CC does."""
+    if key.startswith("cc by"):
+        return ""
+    return next((g for g in COMMON if g in key), max(key.split(" "), key=len))
+
+
+def _gate_words() -> tuple[str, ...]:
+    words = set()
+    for _, _, pattern, _, _ in signatures():
+        ways = [{_gate_word(k) for k in keys} for keys in _needs(parser.parse(pattern))]
+        words |= max(ways, key=lambda w: (w <= {*COMMON, ""}, min(len(x) or 9 for x in w)))
+    return tuple(sorted(words - {""}))
+
+
+def signatures() -> list[tuple[str, tuple[str, ...], str, int, float]]:
+    """(label, keywords, pattern, priority, confidence) of every rule, in order; patterns fit whole words."""
     rules = []
     terms = r"(?:the )?(?:terms of )?(?:the )?"
     tail = r"(?: (?:public )?licen[sc]e)?(?: (?:version |v)?\d(?: \d)?)?"
     given = r"(?:released|distributed|available|published|provided|shared) under"
     for label, key, name, tag, address in LICENSES:
-        rules.append((label, "spdx", rf"spdx licen[sc]e identifier {tag}", 1, 1.0))
-        rules.append((label, address.split("(")[0].split("[")[0].split(" ")[0], rf"(?:https? )?(?:www )?{address}", 2, 0.95))
-        rules.append((label, "under", f"licen[sc]ed under {terms}{name}{tail}", 2, 0.95))
-        rules.append((label, "under", f"{given} {terms}{name}(?: public)? licen[sc]e{tail}", 2, 0.95))
+        rules.append((label, rf"spdx licen[sc]e identifier {tag}", 1, 1.0))
+        rules.append((label, rf"(?:https? )?(?:www )?{address}", 2, 0.95))
+        rules.append((label, f"licen[sc]ed under {terms}{name}{tail}", 2, 0.95))
+        rules.append((label, f"{given} {terms}{name}(?: public)? licen[sc]e{tail}", 2, 0.95))
         bare = name if "licen" in name else f"{name} licen[sc]e"
         if key == "apache":  # the word may stand inside the name or after it
             bare = rf"(?=(?:\S+ ){{1,4}}licen[sc]e){name}"
-        rules.append((label, key, bare, 3, 0.8))
+        rules.append((label, bare, 3, 0.8))
         if label.startswith("cc"):
-            rules.append((label, key, name, 3, 0.8))
-    rules += NOTICES
-    return [(a, k, rf"(?<![^ ]){p}(?![^ ])", pr, c) for a, k, p, pr, c in rules]
+            rules.append((label, name, 3, 0.8))
+    rules += [(label, *rest) for label, _, *rest in NOTICES]
+    return [(a, required(p), rf"(?<![^ ]){p}(?![^ ])", pr, c) for a, p, pr, c in rules]
+
+
+#: every match of a rule holds one of these or GATE_CC, so a text without them (A-Z lower-cased) needs no scan
+GATE = _gate_words()
 
 
-def _gate(low: Column) -> Column:
+def _gate(low: Column, base: tuple[str, ...] = ()) -> Column:
+    """Texts that may hold a match of a rule or one of the phrases ``base``."""
     out = low.rlike(GATE_CC)
-    for k in GATE:
+    more = {max(p.split(" "), key=len) for p in base if not (f" {p}".count(" cc by ") or any(g in p for g in GATE))}
+    for k in (*GATE, *sorted(more)):
         out = out | F.contains(low, F.lit(k))
     return out
 
@@ -144,14 +245,25 @@ def _gate(low: Column) -> Column:
 def _rules_column() -> Column:
     rows = [
         F.struct(
-            F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(k).alias("key"),
+            F.lit(i).alias("rule"), F.lit(a).alias("label"),
             F.lit(p).alias("pattern"), F.lit(pr).alias("priority"), F.lit(c).alias("confidence"),
         )
-        for i, (a, k, p, pr, c) in enumerate(signatures())
+        for i, (a, _, p, pr, c) in enumerate(signatures())
     ]
     return F.array(*rows)
 
 
+def _rules_of(norm: Column) -> Column:
+    """The rules of which a keyword occurs."""
+    by_key: dict[str, list[int]] = {}
+    for i, (_, keys, *_) in enumerate(signatures()):
+        for k in keys:
+            by_key.setdefault(k, []).append(i)
+    keys = F.array(*[F.struct(F.lit(k).alias("key"), F.array(*map(F.lit, at)).alias("at")) for k, at in by_key.items()])
+    found = F.transform(F.filter(keys, lambda x: F.contains(norm, x["key"])), lambda x: x["at"])
+    return F.transform(F.array_distinct(F.flatten(found)), lambda i: F.get(_rules_column(), i))
+
+
 def phrase_places(w: Column, phrase: str) -> Column:
     """Word positions (from 0) where the words of ``phrase`` stand consecutively."""
     parts = phrase.split(" ")
@@ -172,10 +284,10 @@ def detections(documents: DataFrame) -> DataFrame:
     Repeated documents share their rows.
     """
     low = C.ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    gated = documents.select("doc_id", "text").where(C.let(low, _gate))
+    gated = documents.select("doc_id", "text").where(C.let(low, lambda text: _gate(text)))
     norm = gated.select("doc_id", C.text_key(F.col("text")).alias("key"), F.array_join(C.words(F.col("text")), " ").alias("norm"))
     hit = norm.select(
-        "doc_id", "key", "norm", F.explode(F.filter(_rules_column(), lambda r: F.contains(F.col("norm"), r["key"]))).alias("r")
+        "doc_id", "key", "norm", F.explode(_rules_of(F.col("norm"))).alias("r")
     )
     hit = hit.where(F.expr("norm RLIKE r.pattern"))
     parts = hit.select(
@@ -221,7 +333,7 @@ def scan(documents: DataFrame, base: dict[str, str] = BASE) -> DataFrame:
     phrase), 0 without any. ``rules`` are the numbers of the rules left, sorted.
     """
     low = C.ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    read = C.let(low, lambda text: F.struct(C.words_of(text).alias("w"), _gate(text).alias("gate")))
+    read = C.let(low, lambda text: F.struct(C.words_of(text).alias("w"), _gate(text, tuple(base)).alias("gate")))
     rows = documents.select("doc_id", C.text_key(F.col("text")).alias("key"), read.alias("read"))
     rows = rows.select("doc_id", "key", F.col("read.w").alias("w"), F.col("read.gate").alias("gate"))
     none = F.array().cast("array<int>")

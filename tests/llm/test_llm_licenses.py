@@ -85,3 +85,54 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License. " * 20_000)], "doc_id long, text string")
     r = L.scan(docs).first()
     assert (r.n_words, r.n_base, r.first_word, r.last_word) == (100_000, 20_000, 1, 99_996)
+
+
+def forms(pattern):
+    """Texts for every alternative of every group of a pattern, optional parts present and absent."""
+    import itertools
+    import re._constants as op
+    import re._parser as parser
+
+    def one(node):
+        kind, v = node
+        if kind is op.LITERAL:
+            return [chr(v)]
+        if kind is op.IN:
+            k, x = v[0]
+            return ["1"] if k in (op.CATEGORY, op.RANGE) else [chr(x) for k, x in v]
+        if kind is op.SUBPATTERN:
+            return spread(v[3])
+        if kind is op.BRANCH:
+            return [t for p in v[1] for t in spread(p)]
+        if kind is op.MAX_REPEAT:
+            return ([""] if v[0] == 0 else []) + spread(v[2])
+        return [""]
+
+    def spread(nodes):
+        parts = [one(n) for n in nodes]
+        if len(parts) > 0 and all(parts):
+            longest = max(map(len, parts))
+            few = list(itertools.islice(itertools.product(*parts), 64))
+            return list(dict.fromkeys(["".join(x) for x in few] + ["".join(p[i % len(p)] for p in parts) for i in range(longest)]))
+        return [""]
+
+    return [t for t in spread(parser.parse(pattern)) if re.search(pattern, t)]
+
+
+def test_prefilter_lets_every_form_through():
+    tried = 0
+    for label, keys, pattern, _, _ in L.signatures():
+        for text in forms(pattern):
+            tried += 1
+            assert any(k in text for k in keys), (label, pattern, text, keys)
+            assert any(g in text for g in L.GATE) or re.search(L.GATE_CC, text), (label, pattern, text)
+    assert tried > 2000
+
+
+def test_other_names_and_other_phrases(spark):
+    texts = {"Expat License": "mit", "X11 License": "mit", "PSF License": "python", "the GFDL license": "gfdl",
+             "Common Development and Distribution License": "cddl", "Responsible AI License": "openrail", "Creative Commons Zero": "cc0"}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in L.scan(docs).collect()} == dict(enumerate(texts.values()))
+    docs = spark.createDataFrame([(1, "Hello brave World, hello brave world")], "doc_id long, text string")
+    assert L.scan(docs, {"brave world": "w"}).first().n_base == 2
