@@ -1,11 +1,12 @@
 """Document fingerprints from closed syncmers.
 
-A text is split at white space into tokens (pieces of 16 characters where one is
-very long, so that texts without spaces have tokens too). Of every run of K tokens
+A text is split at white space into tokens; a very long one is cut where a hash of the
+four characters round a place says so, so texts without spaces have tokens too, and
+the same ones where a passage is shifted. Of every run of K tokens
 the S-token pieces inside are hashed; the run is an *anchor* if its smallest piece
 stands at an edge. That depends on the run alone, never on its surroundings, so
 equal passages have equal anchors wherever they stand, and anchors with positions
-match passage to passage.
+match passage to passage. Where no run of a text is one, its smallest run is.
 
 A fingerprint is the ``SIZE`` smallest anchor hashes (32 bits each, as hex text), a
 sketch of the anchor set; ``likeness`` estimates the Jaccard similarity of two anchor
@@ -23,19 +24,39 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtrack.llm.common import free_name
+from tagtrack.llm.common import free_name, let
 
 K, S, SIZE = 6, 2, 48
-LONG, PIECE = 40, 16
+LONG, PIECE, ROUND = 40, 16, 2
 CHUNK_ROWS, MAX_CHUNKS, FAN = 1000, 2048, 64
 
 
 def tokens(text: Column) -> Column:
     plain = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")
-    return F.when(
-        F.exists(plain, lambda t: F.char_length(t) > LONG),
-        F.flatten(F.transform(plain, lambda t: F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))),
-    ).otherwise(plain)
+    long = F.exists(plain, lambda t: F.char_length(t) > LONG)
+    each = F.transform(plain, lambda t: F.when(F.char_length(t) > LONG, _cut(t)).otherwise(F.array(t)))
+    return F.when(long, F.flatten(each)).otherwise(plain)
+
+
+def _cut(token: Column) -> Column:
+    """A token in parts of PIECE characters on average; a cut depends on the ROUND characters on either side of it only."""
+
+    def parts(chars: Column) -> Column:
+        def here(i: Column) -> Column:
+            near = [F.get(chars, i + d) for d in range(-ROUND, ROUND)]
+            return F.pmod(F.xxhash64(*near), F.lit(PIECE)) == 0
+
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))), here)
+        bounds = F.concat(F.array(F.lit(0)), at, F.array(F.size(chars)))
+        return let(
+            bounds,
+            lambda b: F.transform(
+                F.sequence(F.lit(0), F.size(b) - 2),
+                lambda k: F.array_join(F.slice(chars, F.get(b, k) + 1, F.get(b, k + 1) - F.get(b, k)), ""),
+            ),
+        )
+
+    return let(F.split(token, ""), parts)
 
 
 def pieces(toks: Column) -> Column:
@@ -47,14 +68,16 @@ def pieces(toks: Column) -> Column:
 
 
 def anchor_places(h: Column) -> Column:
-    """Starts of the runs whose smallest piece is the first or the last."""
+    """Starts of the runs whose smallest piece is the first or the last; without any, of the run with the smallest hash."""
     w = K - S  # pieces of a run, less one
 
     def edge(i: Column) -> Column:
         ends = F.least(F.get(h, i), F.get(h, i + w))
         return ends <= F.least(*[F.get(h, i + d) for d in range(1, w)])
 
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - 1 - w, F.lit(0))), edge)
+    runs = F.sequence(F.lit(0), F.greatest(F.size(h) - 1 - w, F.lit(0)))
+    least = F.array_min(F.transform(runs, lambda i: F.struct(_hash_at(h, i).alias("hash"), i.alias("pos"))))["pos"]
+    return let(F.filter(runs, edge), lambda at: F.when(F.size(at) > 0, at).otherwise(F.array(least)))
 
 
 def _hash_at(h: Column, i: Column) -> Column:

@@ -82,3 +82,24 @@ def test_query(spark):
         assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
     long = [r for d in docs if len(d.text) > 1500 for r in [got[d.doc_id]]]
     assert sum(r.near_edited > r.near_next for r in long) > 0.9 * len(long)
+
+
+def test_every_text_but_the_empty_one_has_an_anchor(spark):
+    texts = [" ".join(f"t{i}x{n}x{j}" for j in range(n)) for n in (6, 7, 8) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: tuple(r.fp) for r in P.with_fingerprint(docs, "text", "fp").collect()}
+    assert all(got.values()) and len(set(got.values())) == len(texts)
+    assert all(len(r.a) for r in P.with_anchors(docs, "text", "a").collect())
+
+
+def test_shifted_text_without_spaces_keeps_its_anchors(spark):
+    import random
+
+    rng = random.Random(3)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000))
+    docs = spark.createDataFrame([(0, text), (1, "x" + text), (2, text[7:])], "doc_id int, text string")
+    joined = docs.select("doc_id", F.array_join(P.tokens(F.col("text")), "").alias("j")).collect()
+    assert {r.doc_id: r.j for r in joined} == {0: text, 1: "x" + text, 2: text[7:]}
+    fp = {r.doc_id: set(r.fp) for r in P.with_fingerprint(docs, "text", "fp").collect()}
+    for i in (1, 2):
+        assert len(fp[0] & fp[i]) >= 0.9 * len(fp[0]) > 20
