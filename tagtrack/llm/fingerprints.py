@@ -8,9 +8,9 @@ stands at an edge. That depends on the run alone, never on its surroundings, so
 equal passages have equal anchors wherever they stand, and anchors with positions
 match passage to passage. Where no run of a text is one, its smallest run is.
 
-A fingerprint is the ``SIZE`` smallest anchor hashes (32 bits each, as hex text), a
-sketch of the anchor set; ``likeness`` estimates the Jaccard similarity of two anchor
-sets from it and is exact while they have at most ``SIZE`` members.
+A fingerprint is all anchors of a text in order of position (32-bit hashes, with their
+token positions in the query); ``likeness`` is the Jaccard similarity of two
+texts' anchors, every occurrence counted.
 
 Defined results: NULL and empty texts have the empty fingerprint, alike only to
 itself; a text of fewer than K tokens is one anchor, one of white space only too;
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tagtrack.llm.common import free_name, let
 
+#: SIZE is a length for tests of likeness; fingerprints have no bound
 K, S, SIZE = 6, 2, 48
 LONG, PIECE, ROUND = 40, 16, 2
 CHUNK_ROWS, MAX_CHUNKS, FAN = 1000, 2048, 64
@@ -110,34 +111,57 @@ def with_anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def with_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """``docs`` with ``out``: the sorted array of the smallest anchor hashes of a text column."""
+    """``docs`` with ``out``: the hashes of all anchors of a text column, by position."""
     rows, t, h = _tokenised(docs, text)
     many = F.transform(anchor_places(F.col(h)), lambda i: _hash_at(F.col(h), i))
-    hashes = _or_short(text, t, many, _whole(t))
-    return rows.withColumn(out, F.slice(F.sort_array(F.array_distinct(hashes)), 1, SIZE)).drop(t, h)
+    return rows.withColumn(out, _or_short(text, t, many, _whole(t))).drop(t, h)
 
 
-def as_text(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+def hashes(anchors: Column) -> Column:
+    return F.transform(anchors, lambda x: x["hash"])
+
+
+def as_text(anchors: Column) -> Column:
+    """Eight hex digits of the hash and eight of the position of every anchor."""
+    return F.array_join(F.transform(anchors, lambda x: F.concat(F.lpad(F.hex(x["hash"]), 8, "0"), F.lpad(F.hex(x["pos"]), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity: the share of common members among the smallest of the union."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    common = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(a == b, F.lit(1.0)).otherwise(common / F.greatest(F.size(union), F.lit(1)))
+    """Jaccard similarity of two lists of hashes: common occurrences among all, by one pass over both in order of hash."""
+
+    def side(x: Column, k: int) -> Column:
+        return F.transform(x, lambda v: F.struct(v.cast("long").alias("h"), F.lit(k).alias("of_b")))
+
+    def state(h: Column, na: Column, nb: Column, low: Column, high: Column) -> Column:
+        return F.struct(h.alias("h"), na.alias("na"), nb.alias("nb"), low.alias("low"), high.alias("high"))
+
+    def add(s: Column, x: Column) -> Column:
+        same = s["h"] == x["h"]
+        na, nb = F.when(same, s["na"]).otherwise(0) + (1 - x["of_b"]), F.when(same, s["nb"]).otherwise(0) + x["of_b"]
+        low = s["low"] + F.when(same, 0).otherwise(F.least(s["na"], s["nb"]))
+        high = s["high"] + F.when(same, 0).otherwise(F.greatest(s["na"], s["nb"]))
+        return state(F.coalesce(x["h"], F.lit(-1).cast("long")), na, nb, low, high)
+
+    none = state(F.lit(-1).cast("long"), *[F.lit(0)] * 4)  # hashes are not negative
+    share = F.aggregate(
+        F.sort_array(F.concat(side(a, 0), side(b, 1))),
+        none,
+        add,
+        lambda s: (s["low"] + F.least(s["na"], s["nb"])) / F.greatest(s["high"] + F.greatest(s["na"], s["nb"]), F.lit(1)),
+    )
+    return F.when(a == b, F.lit(1.0)).otherwise(share)
 
 
 def matched(a: Column, b: Column) -> Column:
-    """Positional matches of two anchor arrays: (pos of a, pos of the first equal anchor of b), in order of a."""
-    first = F.map_from_entries(
+    """Positional matches of two anchor arrays: (pos of a, pos of b) of every two equal anchors, in order of a, then b."""
+    return F.flatten(
         F.transform(
-            F.array_distinct(F.transform(b, lambda x: x["hash"])),
-            lambda h: F.struct(h, F.array_min(F.transform(F.filter(b, lambda y: y["hash"] == h), lambda y: y["pos"]))),
+            a,
+            lambda x: F.transform(
+                F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: F.struct(x["pos"].alias("a"), y["pos"].alias("b"))
+            ),
         )
     )
-    pairs = F.transform(a, lambda x: F.struct(x["pos"].alias("a"), F.try_element_at(first, x["hash"]).alias("b")))
-    return F.filter(pairs, lambda p: p["b"].isNotNull())
 
 
 def with_next(docs: DataFrame, column: str, out: str) -> DataFrame:

@@ -83,20 +83,18 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = fingerprints.with_fingerprint(docs, "text", "fp").select("doc_id", F.struct("text", "fp").alias("d"))
-    rows = fingerprints.with_next(docs, "d", "next")
-    rows = rows.select(
-        "doc_id", F.char_length("d.text").cast("long").alias("n_chars"), F.col("d.fp").alias("fp"), F.col("next.fp").alias("next_fp"),
-        fingerprints.edited(F.col("d.text"), F.col("next.text")).alias("edited"),
-    )
-    rows = fingerprints.with_fingerprint(rows, "edited", "edited_fp")
+    rows = fingerprints.with_next(docs, "text", "next")
+    rows = rows.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next")))
+    for text, out in (("text", "fp"), ("next", "next_fp"), ("edited", "edited_fp")):  # made again for the next row: less than moving it
+        rows = fingerprints.with_anchors(rows, text, out)
+    own, edited, following = (fingerprints.hashes(F.col(c)) for c in ("fp", "edited_fp", "next_fp"))
     return rows.select(
-        "doc_id", "n_chars",
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprints.as_text(F.col("fp")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        fingerprints.likeness(own, edited).alias("near_edited"),
+        fingerprints.likeness(own, following).alias("near_next"),
     )
 
 

@@ -103,3 +103,24 @@ def test_shifted_text_without_spaces_keeps_its_anchors(spark):
     fp = {r.doc_id: set(r.fp) for r in P.with_fingerprint(docs, "text", "fp").collect()}
     for i in (1, 2):
         assert len(fp[0] & fp[i]) >= 0.9 * len(fp[0]) > 20
+
+
+def test_all_anchors_count(spark):
+    """Two long texts with a passage of 60 words in common, and two that differ in one place."""
+    text = lambda seed, n: [f"w{(i * 7919 + seed) * 104729 % 1000003}" for i in range(n)]
+    a, b, passage = text(1, 4000), text(500_000, 4000), text(77, 60)
+    c = a[:2000] + text(9, 3) + a[2003:]
+    rows = [(" ".join(a[:500] + passage + a[500:]), " ".join(b + passage)), (" ".join(a), " ".join(c))]
+    pairs = spark.createDataFrame(rows, "x string, y string")
+    pairs = P.with_fingerprint(P.with_fingerprint(pairs, "x", "fx"), "y", "fy")
+    one, two = (r.l for r in pairs.withColumn("l", P.likeness(F.col("fx"), F.col("fy"))).collect())
+    assert 0 < one < 0.1 and 0.95 < two < 1
+    cases = spark.createDataFrame([([5, 5, 7], [5, 7, 7, 9], 2 / 5)], "a array<long>, b array<long>, want double")
+    assert all(r.got == r.want for r in cases.withColumn("got", P.likeness(F.col("a"), F.col("b"))).collect())
+
+
+def test_matched_has_every_occurrence(spark):
+    kind = "a array<struct<pos:int,hash:long>>, b array<struct<pos:int,hash:long>>"
+    both = spark.createDataFrame([([(0, 5), (3, 6)], [(1, 5), (2, 6), (9, 5)])], kind)
+    got = both.select(P.matched(F.col("a"), F.col("b")).alias("m")).first().m
+    assert [tuple(x) for x in got] == [(0, 1), (0, 9), (3, 2)]
