@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtrack.llm import chat, decontaminate, fingerprints, licenses, mixing, neardup, quality, sharding, urls, webpages
+from tagtrack.llm import align, capfilters, chat, covertree, decontaminate, fingerprints, licenses, mixing, neardup, quality, sharding, urls, webpages
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -98,6 +98,20 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return capfilters.grouped(_table(spark, sf, "embeddings"))
+
+
+def op12_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows, i = _table(spark, sf, "embeddings"), F.col("vec_id")
+    label = F.when(i % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return covertree.mined(rows, "vec_id", label, F.transform("embedding", lambda x: covertree.steps(x)), i % 100 == 0)
+
+
+def op13_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return align.aligned(_table(spark, sf, "documents"), "doc_id", "text").drop("groups")
+
+
 QUERIES = {
     "op1_urls": op1_urls,
     "op2_neardup": op2_neardup,
@@ -109,4 +123,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_fingerprints": op10_fingerprints,
+    "op11_embeddings": op11_embeddings,
+    "op12_negatives": op12_negatives,
+    "op13_tokens": op13_tokens,
 }
