@@ -1,5 +1,10 @@
 """Alignment of two tokenizers over the same bytes.
 
+No token of either side reaches from a character that is no white space into the space after it (read
+off the vocabulary and the splitting rule; else a text is one unit). So a text is a row of *units*, cut
+before such spaces, whose tokens, groups and links do not depend on their neighbours: every
+distinct unit of a batch is tokenised and aligned once, all of them in one go, and a document is put together from its units.
+
 The tokens of A and of B cut one byte string in two ways. The least groups that both
 cuts have in common are found by pointer jumping: every token points to the farthest-right token of the
 other side that it overlaps, if that one ends later, else to itself; doubling the
@@ -21,8 +26,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +40,10 @@ from tagtrack.llm.common import saved
 
 FOLDER = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: pairs that are broadcast at most, texts' bytes tokenised at once, distinct pairs a task holds before it passes them on
+#: pairs that are broadcast at most, characters of texts taken at once, distinct pairs a task holds before it passes them on
 HEAD, BATCH_BYTES, HELD = 1 << 20, 1 << 20, 1 << 21
+#: units a task remembers
+KNOWN = 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -48,16 +57,14 @@ def _byte_letters() -> dict[str, int]:
 class Side:
     """A tokenizer: ids of texts, and the bytes of every id."""
 
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[list[str]], list[list[int]]]  # of texts with the space before them
     tokens: list[bytes]
+    by_unit: bool  # no token holds a space after another character
     lengths: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
 
-    def bytes_of(self, ids: np.ndarray) -> bytes:
-        return b"".join([self.tokens[i] for i in ids.tolist()])
-
 
 def byte_level(path: str) -> Side:
     """A byte-level BPE: a space goes before the text; special tokens' strings are plain text."""
@@ -68,12 +75,14 @@ def byte_level(path: str) -> Side:
     model.encode_special_tokens = True
     letters = _byte_letters()
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        said = json.load(f)
     tokens = [b""] * model.get_vocab_size()
-    for piece, i in vocab.items():
+    for piece, i in said["model"]["vocab"].items():
         if all(c in letters for c in piece):
             tokens[i] = bytes(letters[c] for c in piece)
-    return Side(lambda texts: [e.ids for e in model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], tokens)
+    splits = said.get("pre_tokenizer") or {}
+    apart = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not said.get("normalizer")
+    return Side(lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)], tokens, apart)
 
 
 def pieces(path: str) -> Side:
@@ -85,7 +94,14 @@ def pieces(path: str) -> Side:
     for i in range(model.get_piece_size()):
         p = model.id_to_piece(i)
         tokens.append(bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode())
-    return Side(lambda texts: model.encode(texts, num_threads=1), tokens)
+    apart = not any(b" " in t.lstrip(b" ") for t in tokens)
+    space = [model.piece_to_id("▁")]
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        ids = model.encode([t[1:] for t in texts], num_threads=1)  # the space is put back, but not before nothing
+        return [i if len(t) > 1 else space for t, i in zip(texts, ids, strict=True)]
+
+    return Side(encode, tokens, apart)
 
 
 def side(path: str) -> Side:
@@ -145,50 +161,116 @@ class Writer:
         return "".join(out.tolist())[:-1]  # without the comma of the last id
 
 
+def _checked(side: Side, units: list[str], want: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all units, how many each has, and whether they give the unit's bytes back."""
+    ids = side.encode(units)
+    many = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = list(chain.from_iterable(ids))
+    out = np.array(flat, np.int64)
+    joined = b"".join(map(side.tokens.__getitem__, flat))
+    bounds = np.append(0, np.cumsum(side.lengths[out]))[np.append(0, np.cumsum(many))]
+    fine = np.diff(bounds) == np.fromiter(map(len, want), np.int64, len(want))
+    if not fine.all() or joined != b"".join(want):
+        cut = bounds.tolist()
+        fine &= np.array([joined[i:j] == w for i, j, w in zip(cut[:-1], cut[1:], want, strict=True)], bool)
+    return out, many, fine
+
+
+class Units:
+    """Tokens, groups and links of the distinct units seen by a task, made once each."""
+
+    def __init__(self, first: Side, second: Side) -> None:
+        self.a, self.b = first, second
+        self.write, self.wide = Writer(max(len(first.tokens), len(second.tokens))), len(second.tokens)
+        self.cut = re.compile(r"(?<=\S)(?= )") if first.by_unit and second.by_unit else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.said: list[str] = []  # groups as text
+        self.counts = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, 1 where the bytes do not come back
+        self.pairs, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def of(self, text: str) -> list[str]:
+        return [" " + text] if self.cut is None else self.cut.split(" " + text)
+
+    def learn(self, units: list[str]) -> None:
+        want = [u.encode() for u in units]
+        (ids_a, n_a, fine), (ids_b, n_b, also) = (_checked(s, units, want) for s in (self.a, self.b))
+        fine &= also
+        ids_a, ids_b = ids_a[np.repeat(fine, n_a)], ids_b[np.repeat(fine, n_b)]
+        n_a, n_b = n_a * fine, n_b * fine
+        ends_a, ends_b = np.cumsum(self.a.lengths[ids_a]), np.cumsum(self.b.lengths[ids_b])
+        counts = np.zeros((len(units), 5), np.int64)
+        counts[:, 0], counts[:, 1], counts[:, 4] = n_a, n_b, ~fine
+        said, pairs = [""] * len(units), np.zeros(0, np.int64)
+        if len(ids_a):
+            group_a, group_b = labels(ends_a, ends_b)
+            at_a, at_b = links(ends_a, ends_b)
+            pairs = ids_a[at_a] * self.wide + ids_b[at_b]
+            unit = np.repeat(np.arange(len(units)), n_a)
+            ends = np.unique(group_b - len(ids_a))  # the last token of B of every group
+            counts[:, 2] = np.bincount(np.repeat(np.arange(len(units)), n_b)[ends], minlength=len(units))
+            counts[:, 3] = np.bincount(unit[at_a], minlength=len(units))
+            parts, bounds = self.write(ids_a, ids_b, group_a, group_b).split(";"), np.cumsum([0, *counts[:, 2]]).tolist()
+            said = [";".join(parts[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        for u in units:
+            self.place[u] = len(self.place)
+        self.said += said
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts[:, 3])])
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.counts = np.concatenate([self.counts, counts])
+
+    def documents(self, texts: list[str], keep_groups: bool) -> list[pa.Array]:
+        """n_a, n_b, n_groups, n_links, groups (or their digest), pairs, times of every text."""
+        if len(self.place) > KNOWN:
+            self.forget()
+        units = [self.of(t) if t else [] for t in texts]
+        new = list(dict.fromkeys(u for us in units for u in us if u not in self.place))
+        if new:
+            self.learn(new)
+        places = [[self.place[u] for u in us] for us in units]
+        many = np.array([len(p) for p in places])
+        at = np.fromiter(chain.from_iterable(places), np.int64, int(many.sum()))
+        doc = np.repeat(np.arange(len(texts)), many)
+        counts = np.zeros((len(texts), 5), np.int64)
+        np.add.at(counts, doc, self.counts[at])
+        lost = (counts[:, 4] > 0) | (many == 0)
+        counts[lost] = 0
+        at, doc = at[~lost[doc]], doc[~lost[doc]]
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(n)
+        pair = self.pairs[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        key = np.sort(np.repeat(doc, n) * (len(self.a.tokens) * self.wide) + pair)
+        new_key = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.append(new_key, len(key)))
+        own, pair = np.divmod(key[new_key], len(self.a.tokens) * self.wide)
+        groups = ["" if x else ";".join([self.said[i] for i in p]) for p, x in zip(places, lost.tolist(), strict=True)]
+        if not keep_groups:
+            groups = [hashlib.sha256(g.encode()).hexdigest() for g in groups]
+        bounds = pa.array(np.searchsorted(own, np.arange(len(texts) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (pair, times.astype(np.int32))]
+        return [*(pa.array(counts[:, k]) for k in range(4)), pa.array(groups, pa.string()), *lists]
+
+
 ROWS = "id {id}, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 
 
 def _tokenised(first: str, second: str, keep_groups: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_side, b_side = side(first), side(second)
-        write, wide = Writer(max(len(a_side.tokens), len(b_side.tokens))), len(b_side.tokens)
+        units = Units(side(first), side(second))
         for batch in batches:
             texts = batch.column("text")
             sizes = np.cumsum([len(t) if t else 0 for t in texts.to_pylist()]) // BATCH_BYTES
-            cuts = np.flatnonzero(np.diff(sizes)) + 1
-            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+            cuts = (np.flatnonzero(np.diff(sizes)) + 1).tolist()
+            for at, to in zip([0, *cuts], [*cuts, len(texts)], strict=True):
                 if at < to:
-                    some = texts.slice(at, to - at).to_pylist()
-                    made = _aligned_texts([t or "" for t in some], a_side, b_side, write, wide, keep_groups)
+                    made = units.documents([t or "" for t in texts.slice(at, to - at).to_pylist()], keep_groups)
                     yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), *made], ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
     return run
 
 
-def _aligned_texts(texts: list[str], a_side: Side, b_side: Side, write: Writer, wide: int, keep_groups: bool) -> list[pa.Array]:
-    counts, groups, pairs, times = [], [], [], []
-    for text, a, b in zip(texts, a_side.encode(texts), b_side.encode(texts), strict=True):
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        want = (" " + text).encode()
-        if not text or a_side.bytes_of(a) != want or b_side.bytes_of(b) != want:
-            counts.append((0, 0, 0, 0))
-            groups.append("")
-            pairs.append([])
-            times.append([])
-            continue
-        ends_a, ends_b = np.cumsum(a_side.lengths[a]), np.cumsum(b_side.lengths[b])
-        group_a, group_b = labels(ends_a, ends_b)
-        at_a, at_b = links(ends_a, ends_b)
-        own, often = np.unique(a[at_a] * wide + b[at_b], return_counts=True)
-        counts.append((len(a), len(b), len(np.unique(group_b)), len(at_a)))
-        said = write(a, b, group_a, group_b)
-        groups.append(said if keep_groups else hashlib.sha256(said.encode()).hexdigest())
-        pairs.append(own)
-        times.append(often.astype(np.int32))
-    numbers = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
-    return [*numbers, pa.array(groups, pa.string()), pa.array(pairs, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
-
-
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """pair, n: in how many rows of a task a pair stands; passed on whenever HELD pairs have gathered."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
