@@ -22,10 +22,10 @@ def smooth_col(anchor_id: int) -> str:
 
 
 def latest_per_anchor(ranges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Last arrival of each anchor; plain ``max_by`` keeps the combine on the map side."""
+    """Newest range of each anchor, of equal stamps the last arrival; ``max_by`` keeps the combine on the map side."""
     return ranges.groupBy(*keys, "anchor_id").agg(
-        F.max_by("t", "arrival").alias("t"),
-        F.max_by("distance_cm", "arrival").alias("distance_cm"),
+        F.max("t").alias("t"),
+        F.max_by("distance_cm", F.struct("t", "arrival")).alias("distance_cm"),
         F.count(F.lit(1)).alias("n"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagtrack import constants as K
 from tagtrack.functions import text as X
+from tagtrack.operators import clock
 
 
 FORMS = (K.ANCHOR_D1, K.ANCHOR_INDEXED, K.D_INDEXED, K.WORD_INDEXED)
@@ -87,19 +88,23 @@ def oversized(messages: DataFrame) -> DataFrame:
 def ranges_of(messages: DataFrame, mode: str = "compat", time: str = "ingest") -> tuple[DataFrame, DataFrame]:
     """Ranges (run_id, tag_id, t, arrival, anchor_id, distance_cm) of messages, and the rejected rows.
 
-    ``t`` is in seconds: of the stamp, or with ``time="device"`` of the board's own
-    clock (``ms`` of a device line).  Missing run, tag and arrival columns stand for
+    ``t`` is in seconds: of the stamp; with ``time="device"`` of the board's own clock, put on the base of the
+    stamps by :mod:`tagtrack.operators.clock`, so that boards and boots share one time; with ``time="uptime"`` the
+    board's milliseconds as they are, which begin again at every restart.  Missing run, tag and arrival columns stand for
     one run, one tag and one arrival.  Rows without a tag or a time, and with a
     distance that is no finite number, have no place in an ordered result: they are
     the second table, with a ``reason``.
     """
-    if time not in ("ingest", "device"):
+    if time not in ("ingest", "device", "uptime"):
         raise ValueError(f"unknown time basis {time!r}")
     for name in ("run_id", "tag_id", "arrival"):
         if name not in messages.columns:
             messages = messages.withColumn(name, F.lit(0).cast("long"))
-    stamp = F.unix_micros("ingest_ts") if time == "ingest" else telemetry_struct(F.col("message"))["ms"] * 1000
-    rows = parse_ranges(messages.withColumn("_us", stamp), mode)
+    if time == "device":
+        rows = parse_ranges(_device_stamped(messages), mode)
+    else:
+        stamp = F.unix_micros("ingest_ts") if time == "ingest" else telemetry_struct(F.col("message"))["ms"] * 1000
+        rows = parse_ranges(messages.withColumn("_us", stamp), mode)
     bad = F.isnan("distance_cm") | (F.abs("distance_cm") == float("inf"))
     reason = (
         F.when(F.col("run_id").isNull() | F.col("tag_id").isNull(), F.lit("no tag"))
@@ -113,6 +118,20 @@ def ranges_of(messages: DataFrame, mode: str = "compat", time: str = "ingest") -
     return kept, rows.where(F.col("reason").isNotNull()).drop("_us")
 
 
+def _device_stamped(messages: DataFrame) -> DataFrame:
+    """Messages with ``_us``, the device time of device lines; NULL for other messages and without a stamp or a tag."""
+    fields = F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("_m")
+    told = messages.select(fields, F.array(telemetry_struct(F.col("message"))).alias("_t"))
+    told = told.select("_m", F.explode_outer("_t").alias("_t"))
+    whole = F.col("_t").isNotNull() & F.col("_m.ingest_ts").isNotNull() & F.col("_m.run_id").isNotNull() & F.col("_m.tag_id").isNotNull()
+    lines = told.where(whole).select(
+        "_m", "_m.run_id", "_m.tag_id", "_t.session", "_t.src", "_t.ms", "_t.cb",
+        F.unix_micros("_m.ingest_ts").alias("us"), F.coalesce("_m.arrival", F.lit(0)).alias("arrival"),
+    )
+    timed = clock.with_device_time(lines).select("_m.*", F.col("device_us").alias("_us"))
+    return timed.unionByName(told.where(~whole).select("_m.*", F.lit(None).cast("long").alias("_us")))
+
+
 def log_rows(messages: DataFrame, mode: str = "compat") -> DataFrame:
     """The nine calibration-log columns, one row per (message, anchor)."""
     df = _with_distances(_with_keys(messages), mode)

@@ -429,12 +429,12 @@ ORACLES: dict[str, str] = {
     ),
     "latest_per_anchor": _with(
         _RANGES,
-        f"""SELECT tag_id, anchor_id, {_r('arg_max(t, event_id)', 4, 't')}, {_r('arg_max(r, event_id)', 3, 'distance_cm')}, count(*) AS n
+        f"""SELECT tag_id, anchor_id, {_r('max(t)', 4, 't')}, {_r('arg_max(r, (t, event_id))', 3, 'distance_cm')}, count(*) AS n
  FROM ranges_v GROUP BY 1, 2""",
     ),
     "live_ranges": _with(
         _RANGES,
-        f""", l AS (SELECT tag_id, anchor_id, arg_max(t, event_id) AS t, arg_max(r, event_id) AS r FROM ranges_v GROUP BY 1, 2),
+        f""", l AS (SELECT tag_id, anchor_id, max(t) AS t, arg_max(r, (t, event_id)) AS r FROM ranges_v GROUP BY 1, 2),
  a AS (SELECT *, max(t) OVER (PARTITION BY tag_id) - t AS age FROM l)
  SELECT tag_id, anchor_id, {_r('r', 3, 'distance_cm')}, {_r('age', 4, 'age_s')} FROM a WHERE age <= 2.0""",
     ),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,23 +26,45 @@ def _schema(extra: str | None) -> T.StructType:
     return T.StructType([*schemas.MESSAGES.fields, *more])
 
 
+def with_arrival(rows: DataFrame, name: str = "arrival") -> DataFrame:
+    """Number the rows of a table just read from files: by path, then by place in the file, without gaps.
+
+    Spark packs the pieces of files into tasks by size, so a task's number says nothing about
+    paths.  Rows of one piece are together, though: a first pass counts the rows of every
+    (path, start of the piece), their running sum is where a piece begins, and
+    a row's number is that plus its place in the piece.  No row moves; the joined table has a row
+    per piece.  The number depends on the files alone, so a second read gives the same.
+    """
+    inside = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    # the place is taken before anything could reorder or drop rows
+    placed = rows.select("*", inside.alias("_piece"), F.monotonically_increasing_id().alias("_id"))
+    pieces = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("_path").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_path", F.col("_piece.path"))
+    files = pieces.groupBy("_path").agg(F.sum("_n").alias("_rows"))
+    start = F.coalesce(F.sum("_rows").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("_path", start.alias("_start"))  # a row per file
+    pieces = pieces.select("_piece", "_path", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_done"))
+    pieces = pieces.join(files, "_path").select("_piece", (F.col("_start") + F.col("_done") - F.col("_first")).alias("_shift"))
+    return placed.join(pieces, "_piece").select(*rows.columns, (F.col("_id") + F.col("_shift")).alias(name))
+
+
 def _numbered(rows: DataFrame, wanted: bool) -> DataFrame:
-    if not wanted or "arrival" in rows.columns:
-        return rows
-    return rows.withColumn("arrival", F.monotonically_increasing_id())
+    return with_arrival(rows) if wanted and "arrival" not in rows.columns else rows
 
 
 def _csv(reader):
-    # quotes inside a quoted field are doubled, as the log writes them; columns go by place, so the header must agree
-    return reader.option("header", True).option("escape", '"').option("enforceSchema", False)
+    # quotes inside a quoted field are doubled, as the log writes them; columns go by place, so the header must agree;
+    # a quoted text may hold line feeds, so a file is read by one task
+    return reader.option("header", True).option("escape", '"').option("enforceSchema", False).option("multiLine", True)
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", extra: str | None = None, numbered: bool = False) -> DataFrame:
     """Message table from files.  ``text`` has one message per line, stamped with the file time.
 
     ``extra`` names further columns of the files that are kept, such as
-    ``run_id long, tag_id long``.  ``numbered`` adds ``arrival``, the rows in file
-    order, where the files bring none; a filter on the stamps then comes after the read.
+    ``run_id long, tag_id long``.  ``numbered`` adds ``arrival``, the rows in order of path and place in
+    the file, where the files bring none; a filter on the stamps then comes after the read.
     """
     if fmt == "text":
         lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("ingest_ts"))
