@@ -32,29 +32,37 @@ LATE_MS = int(K.MAX_AGE_S * 1000)
 POINT_MS, MAX_DRIFT = 60_000, 500e-6
 
 
-def envelope(x: np.ndarray, y: np.ndarray, max_drift: float = MAX_DRIFT) -> tuple[float, float]:
-    """(height at 0, slope) of the line under all points with the least sum of distances; the slope is bounded."""
-    order = np.lexsort((y, x))
-    x, y = x[order].astype(float), y[order].astype(float)
+def lower_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the corners of the lower hull, from left to right."""
     hull: list[int] = []
-    for i in range(len(x)):
+    for i in np.lexsort((y, x)).tolist():
         if hull and x[hull[-1]] == x[i]:
             continue
         while len(hull) > 1:
             a, b = hull[-2:]
-            if (y[b] - y[a]) * (x[i] - x[a]) >= (y[i] - y[a]) * (x[b] - x[a]):
-                hull.pop()
-            else:
+            if (y[b] - y[a]) * (x[i] - x[a]) < (y[i] - y[a]) * (x[b] - x[a]):
                 break
+            hull.pop()
         hull.append(i)
+    return np.array(hull, int)
+
+
+def supporting(x: np.ndarray, y: np.ndarray, middle: float, max_drift: float = MAX_DRIFT) -> tuple[float, float]:
+    """(height at 0, slope) of the hull's edge at ``middle``; the slope is bounded."""
     slope = 0.0
-    if len(hull) > 1:
-        right = min(max(int(np.searchsorted(x[hull], x.mean())), 1), len(hull) - 1)
-        a, b = hull[right - 1], hull[right]
-        slope = float(np.clip((y[b] - y[a]) / (x[b] - x[a]), -max_drift, max_drift))
+    if len(x) > 1:
+        right = min(max(int(np.searchsorted(x, middle)), 1), len(x) - 1)
+        slope = float(np.clip((y[right] - y[right - 1]) / (x[right] - x[right - 1]), -max_drift, max_drift))
     return float((y - slope * x).min()), slope
 
 
+def envelope(x: np.ndarray, y: np.ndarray, max_drift: float = MAX_DRIFT) -> tuple[float, float]:
+    """(height at 0, slope) of the line under all points with the least sum of distances; the slope is bounded."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    at = lower_hull(x, y)
+    return supporting(x[at], y[at], float(x.mean()), max_drift)
+
+
 def boots(lines: DataFrame, keys: Sequence[str] = KEYS, chunk_s: float = 3600.0) -> DataFrame:
     """Add ``boot``, the number of restarts of the board before a line; lines have us (arrival), arrival, ms and cb."""
     rows = lines.withColumn("_o", F.struct("us", "arrival", "ms")).withColumn(scan.CHUNK, scan.chunk_of(F.col("us") / F.lit(1e6), chunk_s))

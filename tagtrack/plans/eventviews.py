@@ -138,3 +138,19 @@ def range_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "tag_id", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")).alias("ingest_ts"),
         "arrival", F.concat(F.lit("A"), F.col("anchor_id").cast("string"), F.lit("="), number).alias("message"),
     )
+
+
+def board_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a board per tag, one every ten seconds: it restarts at every thirtieth, its clock drifts, its lines are delayed.
+
+    ``sent_us`` is when a line was sent, which a job does not know.
+    """
+    seq, ev = F.col("seq").cast("long"), F.col("event_id")
+    boot, sent = F.floor(seq / 30).cast("long"), seq * 10_000_000 + 1_000_000_000_000
+    up_ms = (seq - boot * 30) * 10_000 + 3000
+    drift = (F.col("tag_id") % 5 - 2) * F.lit(40e-6)
+    return sequenced(spark, sf_dir).select(
+        "run_id", "tag_id", F.lit("0x1001").alias("session"), F.lit("0x1111").alias("src"),
+        (sent + ev * 7919 % 1800 * 1000).alias("us"), ev.alias("arrival"),
+        F.floor(up_ms * (1 + drift)).cast("long").alias("ms"), (seq % 30).alias("cb"), sent.alias("sent_us"),
+    )

@@ -651,12 +651,38 @@ ORACLES["stream_tick_window"] = _with(
  FROM parsed p JOIN messages_v m USING (event_id) GROUP BY 1, 2, 3""",
 )
 ORACLES["stream_sessions"] = ORACLES["session_gaps"]
+_BOARDS = """seqd AS (SELECT event_id, user_id AS tag_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+lines AS (SELECT tag_id, event_id AS arrival, seq // 30 AS boot, seq % 30 AS cb, seq * 10000000 + 1000000000000 AS sent_us,
+  seq * 10000000 + 1000000000000 + event_id * 7919 % 1800 * 1000 AS us,
+  CAST(floor(((seq % 30) * 10000 + 3000) * (1 + (tag_id % 5 - 2) * 40e-6::DOUBLE)) AS BIGINT) AS ms FROM seqd)"""
+_CLOCK = _BOARDS + """,
+pts AS (SELECT tag_id, boot, ms::DOUBLE AS x, us / 1000::DOUBLE - ms AS y FROM lines
+  QUALIFY row_number() OVER (PARTITION BY tag_id, boot, ms // 60000 ORDER BY us / 1000::DOUBLE - ms, ms) = 1),
+mid AS (SELECT tag_id, boot, avg(x) AS m FROM pts GROUP BY 1, 2),
+edges AS (SELECT a.tag_id, a.boot, (b.y - a.y) / (b.x - a.x) AS s, b.x - a.x AS wide
+  FROM pts a JOIN pts b ON a.tag_id = b.tag_id AND a.boot = b.boot AND a.x < b.x JOIN mid ON mid.tag_id = a.tag_id AND mid.boot = a.boot
+  WHERE a.x < m AND m <= b.x AND NOT EXISTS (SELECT 1 FROM pts c WHERE c.tag_id = a.tag_id AND c.boot = a.boot
+    AND c.y < a.y + (b.y - a.y) / (b.x - a.x) * (c.x - a.x) - 1e-6)),
+slopes AS (SELECT tag_id, boot, greatest(-500e-6, least(500e-6, arg_max(s, wide)))::DOUBLE AS drift FROM edges GROUP BY 1, 2),
+fitted AS (SELECT p.tag_id, p.boot, coalesce(any_value(drift), 0) AS drift, min(y - coalesce(drift, 0) * x) AS height
+  FROM pts p LEFT JOIN slopes s ON s.tag_id = p.tag_id AND s.boot = p.boot GROUP BY 1, 2),
+ended AS (SELECT f.tag_id, f.boot, drift, height, max(round((ms * (1 + drift) + height) * 1000)) AS e
+  FROM fitted f JOIN lines l ON l.tag_id = f.tag_id AND l.boot = f.boot GROUP BY ALL),
+placed AS (SELECT *, max(e) OVER (PARTITION BY tag_id ORDER BY boot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS floor_us FROM ended),
+timed AS (SELECT l.*, greatest(round((ms * (1 + drift) + height) * 1000), coalesce(floor_us, 0)) / 1e6::DOUBLE AS t
+  FROM lines l JOIN placed p ON l.tag_id = p.tag_id AND l.boot = p.boot)"""
+ORACLES["device_clock"] = _with(_CLOCK, f"SELECT tag_id, arrival, boot, {_r('t', 3, 't')} FROM timed")
+ORACLES["ranges_device_clock"] = _with(_CLOCK, f"SELECT tag_id, arrival, {_r('t', 3, 't')}, 1 AS anchor_id, cb::DOUBLE AS distance_cm FROM timed")
+ORACLES["stream_device_clock"] = _with(
+    _BOARDS, "SELECT tag_id, boot, count(*) AS lines, max(cb) AS last_cb, true AS within_delay FROM lines GROUP BY 1, 2"
+)
 ORACLES["stream_repeat_suppress"] = _with(
     _TEL,
     """, c AS (SELECT tag_id, session, src, cb % 20 AS cb, ms FROM telemetry)
  SELECT tag_id, session, src, cb, ms FROM c
  QUALIFY cb IS DISTINCT FROM lag(cb) OVER (PARTITION BY tag_id, session, src ORDER BY ms)""",
 )
+ORACLES["stream_repeat_shuffled"] = ORACLES["stream_repeat_suppress"]
 ORACLES["stream_track"] = _with(
     _RANGES + "," + _located("r"),
     f"SELECT tag_id, {_T}, {_r('x_raw', 3, 'x_raw')}, {_r('y_raw', 3, 'y_raw')}, {_r('x', 3, 'x')}, {_r('y', 3, 'y')} FROM loc",

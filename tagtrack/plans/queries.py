@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from tagtrack import constants as K
 from tagtrack.functions import geometry as G
 from tagtrack.functions import text as X
-from tagtrack.operators import accuracy, align, heatmap, ingest, motion, quality, scan, smooth, solve2d, solve3d, zones
+from tagtrack.operators import accuracy, align, clock, heatmap, ingest, motion, quality, scan, smooth, solve2d, solve3d, zones
 from tagtrack.plans import eventviews as V
 from tagtrack.plans import locate
 from tagtrack.plans.barrier import fresh_path, shared_checkpoint
 from tagtrack.sources import log
 from tagtrack.sources import messages as M
 from tagtrack.sources import settings as S
-from tagtrack.session import ROCKSDB
-from tagtrack.streaming import jobs, repeats, tracker
+from tagtrack.streaming import boardclock, jobs, repeats, tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
 IDS = (1, 2, 3, 4)
@@ -85,10 +84,27 @@ def message_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranges_device_time(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges on the boards' own clock, which only device lines have."""
-    kept, _ = ingest.ranges_of(V.messages(spark, sf), "session", time="device")
+    kept, _ = ingest.ranges_of(V.messages(spark, sf), "session", time="uptime")
     return kept.select("tag_id", _r("t"), "anchor_id", "distance_cm")
 
 
+def device_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """Board lines on one time base: restarts, drift and delays taken out."""
+    out = clock.with_device_time(V.board_lines(spark, sf), barrier=shared_checkpoint)
+    return out.select("tag_id", "arrival", "boot", _r(F.col("device_us") / 1e6, 3, "t"))
+
+
+def ranges_device_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """The same road from texts: ranges of device lines by the time they were sent."""
+    line = F.concat(
+        F.lit("UWB,session="), "session", F.lit(",src="), "src", F.lit(",dst=0x2222,cb="), F.col("cb").cast("string"), F.lit(",status=0,lastDist="),
+        F.col("cb").cast("string"), F.lit(",d1="), F.col("cb").cast("string"), F.lit(",ms="), F.col("ms").cast("string"),
+    )
+    sent = V.board_lines(spark, sf).select("run_id", "tag_id", "arrival", F.timestamp_micros("us").alias("ingest_ts"), line.alias("message"))
+    kept, _ = ingest.ranges_of(sent, "session", time="device")
+    return kept.select("tag_id", "arrival", _r("t", 3), "anchor_id", "distance_cm")
+
+
 def truth_file(spark: SparkSession, sf: str) -> DataFrame:
     """The known trajectory from its table."""
     path = fresh_path(spark, "truth")
@@ -599,11 +615,46 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def stream_repeat_suppress(spark: SparkSession, sf: str) -> DataFrame:
     tel = ingest.telemetry(V.messages_of(V.event_stream(spark, sf)))
     timed = tel.select("tag_id", "session", "src", F.pmod("cb", F.lit(20)).alias("cb"), F.timestamp_millis("ms").alias("device_ts"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = _drain(repeats.first_of_repeats(timed, "device_ts"), "repeats", "append")
+    # the table is in order already: nothing has to wait
+    out = _drain(repeats.first_of_repeats(timed, "device_ts", wait_s=0.0), "repeats", "append")
+    return out.where("NOT late").select("tag_id", "session", "src", "cb", F.unix_millis("device_ts").alias("ms"))
+
+
+def _closed(rows: DataFrame, table: str) -> DataFrame:
+    """The files of a folder as a stream, one a batch; a last line of no board, far in the future, releases what boards hold."""
+    spark = rows.sparkSession
+    last = spark.createDataFrame([tuple({"tag_id": -1, "session": "end", "src": "end", "cb": 0}.get(c) for c in rows.columns)], rows.schema)
+    last = last.withColumn("device_ts", F.lit("2100-01-01 00:00:00").cast("timestamp"))
+    last.select(*rows.columns).coalesce(1).write.mode("append").parquet(table)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(table)
+
+
+def stream_repeat_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """Device measurements of lines that arrive up to two seconds late, over several batches: as if they had come in order."""
+    tel = ingest.telemetry(V.messages(spark, sf))
+    rows = tel.select("tag_id", "session", "src", F.pmod("cb", F.lit(20)).alias("cb"), F.timestamp_millis(F.col("ms")).alias("device_ts"))
+    came = F.unix_micros("device_ts") + F.pmod(F.xxhash64("tag_id", "device_ts"), F.lit(int(K.MAX_AGE_S * 1e6) - 1000))
+    cuts = rows.select(F.percentile_approx(came, [k / 5 for k in range(1, 5)]).alias("c")).first()["c"]
+    table = fresh_path(spark, "shuffled")
+    for low, high in zip([-1, *cuts], [*cuts, 1 << 62], strict=True):
+        rows.where((came > low) & (came <= high)).coalesce(1).write.mode("append").parquet(table)
+    out = _drain(repeats.first_of_repeats(_closed(rows, table), "device_ts"), "repeats", "append").where("NOT late AND tag_id >= 0")
     return out.select("tag_id", "session", "src", "cb", F.unix_millis("device_ts").alias("ms"))
 
 
+def stream_device_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """Device times of board lines that arrive over several batches: boots counted, times off by the delay and the drift bound at most."""
+    rows = V.board_lines(spark, sf).select("tag_id", "session", "src", "cb", "ms", "sent_us", F.timestamp_micros("us").alias("device_ts"))
+    table = fresh_path(spark, "board-lines")
+    for k in range(PARTS):
+        rows.where(F.floor((F.col("sent_us") - 1_000_000_000_000) / 250_000_000) == k).coalesce(1).write.mode("append").parquet(table)
+    out = _drain(boardclock.device_time(_closed(rows, table), "device_ts"), "board-times", "append").where("NOT late AND tag_id >= 0")
+    off = F.col("device_us") - F.col("sent_us")
+    return out.groupBy("tag_id", "boot").agg(
+        F.count(F.lit(1)).alias("lines"), F.max("cb").alias("last_cb"), F.bool_and(off.between(-150_000, 1_820_000)).alias("within_delay")
+    )
+
+
 def stream_fresh(spark: SparkSession, sf: str) -> DataFrame:
     """Live table of a stream with the values that are fresh at a given time."""
     live = ingest.parse_ranges(V.messages_of(V.event_stream(spark, sf)))
@@ -696,6 +747,6 @@ QUERIES: dict[str, Query] = {
         error_3d, settings_sanitize, alpha_sweep, stream_ranges_log, stream_latest, stream_tick_window,
         stream_sessions, stream_repeat_suppress, stream_track, messages_to_positions,
         stream_messages_to_positions, card_from_locate_2d, heat_from_locate_2d, locate_3d_async,
-        stream_fresh, stream_heat, log_files, message_files, ranges_device_time, truth_file,
+        stream_fresh, stream_heat, device_clock, ranges_device_clock, stream_repeat_shuffled, stream_device_clock, log_files, message_files, ranges_device_time, truth_file,
     )
 }

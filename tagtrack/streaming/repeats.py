@@ -1,53 +1,40 @@
-"""Device measurements over a stream of telemetry: the batch rule with a board's last line as state."""
+"""Device measurements over a stream of telemetry: the batch rule with a board's last counter as state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tagtrack import constants as K
 from tagtrack.operators.quality import BOARD
+from tagtrack.streaming.reorder import in_order
 
 
-class FirstLines(StatefulProcessor):
-    """Passes on the lines whose counter differs from the board's line before; older lines are no news."""
+class FirstLines:
+    """Passes on the lines whose counter differs from the board's line before."""
 
-    def __init__(self, columns: Sequence[str]) -> None:
-        self.columns = list(columns)
+    state, adds = "seen boolean, cb long", ""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("board", "us long, cb long")
+    def start(self) -> tuple:
+        return False, None
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        us, cb = self.state.get() if self.state.exists() else (None, None)
-        part = pd.concat(list(rows), ignore_index=True)
-        part.columns = [*self.columns, "order_us"]  # by place: names may arrive altered
-        part = part.sort_values("order_us", kind="stable")
-        if us is not None:
-            part = part[part["order_us"] >= us]
-        if len(part):
-            counter = part["cb"].to_numpy(np.int64)
-            before = np.concatenate([[counter[0] - 1 if cb is None else cb], counter[:-1]])
-            self.state.update((int(part["order_us"].iloc[-1]), int(counter[-1])))
-            part = part[counter != before]
-        yield part[self.columns]
+    def apply(self, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        if not len(rows):
+            return state, rows
+        seen, cb = state
+        counter = rows["cb"].to_numpy(object)
+        before = np.concatenate([[cb], counter[:-1]])
+        news = counter != before
+        news[0] = news[0] or not seen
+        return (True, counter[-1]), rows[news.astype(bool)]
 
-    def close(self) -> None:
-        pass
 
-
-def first_of_repeats(telemetry: DataFrame, ts: str = "ingest_ts", keys: Sequence[str] = BOARD) -> DataFrame:
+def first_of_repeats(telemetry: DataFrame, ts: str = "ingest_ts", keys: Sequence[str] = BOARD, wait_s: float = K.MAX_AGE_S) -> DataFrame:
     """First line of every measurement of a board, restarts and standing counters included, as in batch.
 
-    A board is one key; ``maxFilesPerTrigger`` or offsets bound what a batch brings of it.
-    Needs a state store with several column families (RocksDB), which the session sets.
+    Lines are put in order first; those that are too late for it come with ``late`` set, for a table of their own.
     """
-    timed = telemetry.withColumn("order_us", F.unix_micros(ts))
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FirstLines(telemetry.columns), outputStructType=telemetry.schema, outputMode="Append", timeMode="None"
-    )
+    return in_order(telemetry, keys, ts, FirstLines(), wait_s)

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagtrack.operators import clock, ingest
+from tagtrack.operators import clock, ingest, quality
 from tagtrack.sources import messages as M
+from tagtrack.streaming import boardclock, repeats
 
 LINES = "run_id long, tag_id long, session string, src string, us long, arrival long, ms long, cb long, true_us long"
 
@@ -87,6 +88,66 @@ def test_ranges_on_the_device_clock_keep_their_order(spark):
     assert [(r.message, r.reason) for r in rest.collect()] == [("A1=9", "no time")]
 
 
+def arriving(spark, rows, schema, path, cuts, name="us"):
+    """Files in order of arrival, one a batch, and a last line that releases what boards hold."""
+    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+        spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(path)
+    live = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return live.withColumn("ts", F.timestamp_micros(name))
+
+
+def drained(stream, tmp_path):
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+    writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(str(tmp_path / "out")).collect()
+
+
+@pytest.mark.parametrize("cuts", [[], [400, 401, 900], [1, 7, 2000, 3000, 3500]])
+def test_streamed_times_never_run_back_at_any_cut(spark, tmp_path, cuts):
+    rows = sorted(fixture(), key=lambda r: r[4]) + [[0, 9, "s", "end", 4 * 10**15, 0, 0, 0, 0]]
+    live = arriving(spark, rows, LINES, str(tmp_path / "in"), cuts).drop("us", "arrival")
+    got = [r for r in drained(boardclock.device_time(live, "ts"), tmp_path) if r.src != "end"]
+    assert len(got) == len(rows) - 1 and not any(r.late for r in got)
+    boards = {}
+    for r in got:
+        assert abs(r.device_us - r.true_us) <= 45_000
+        boards.setdefault((r.tag_id, r.src), []).append(r)
+    assert {k: max(r.boot for r in v) for k, v in boards.items()} == {(1, "a"): 0, (1, "b"): 2, (2, "a"): 0}
+    for rows in boards.values():
+        rows.sort(key=lambda r: (r.boot, r.ms))
+        assert all(a.device_us <= b.device_us for a, b in zip(rows, rows[1:]))
+
+
+REPEATS = "tag_id long, session string, src string, cb long, arrival long, us long, d1 int"
+
+
+@pytest.mark.parametrize("cuts", [[], [30, 31, 32, 100], list(range(10, 380, 37))])
+def test_lines_up_to_two_seconds_late_give_the_batch_result(spark, tmp_path, cuts):
+    rng = random.Random(8)
+    sent = []
+    for tag in (1, 2):
+        cb = 0
+        for k in range(200):
+            cb = 0 if k in (60, 61, 140) else cb + rng.choice([0, 0, 1])
+            sent.append((tag, "s", "a", cb, k, 10**12 + k * 130_000 + tag, None if k % 3 else k))
+    shuffled = sorted(sent, key=lambda r: r[5] + rng.randrange(1_999_000)) + [(9, "s", "end", 0, 0, 4 * 10**15, None)]
+    live = arriving(spark, shuffled, REPEATS, str(tmp_path / "in"), cuts).drop("us")
+    got = [r for r in drained(repeats.first_of_repeats(live, "ts"), tmp_path) if r.src != "end"]
+    assert not any(r.late for r in got)
+    batch = spark.createDataFrame(sent, REPEATS).withColumn("ts", F.timestamp_micros("us"))
+    want = quality.first_of_repeats(batch, "ts").collect()
+    key = lambda r: (r.tag_id, r.cb, r.arrival, r.d1 is None, r.d1 or 0)
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) > 100
+
+
+def test_later_lines_are_told_apart(spark, tmp_path):
+    sent = [(1, "s", "a", k, k, 10**12 + k * 1_000_000, k) for k in range(10)]
+    came = [r for r in sent if r[3] != 3] + [sent[3], (9, "s", "end", 0, 0, 4 * 10**15, 0)]
+    live = arriving(spark, came, REPEATS, str(tmp_path / "in"), [7, 9]).drop("us")
+    got = [r for r in drained(repeats.first_of_repeats(live, "ts"), tmp_path) if r.src != "end"]
+    assert [r.cb for r in got if r.late] == [3] and sorted(r.cb for r in got if not r.late) == [0, 1, 2, 4, 5, 6, 7, 8, 9]
+
+
 def test_arrival_follows_paths_and_places(spark, tmp_path):
     """Whatever the sizes of files and of the pieces they are read in, and the same on a second read."""
     want = []
