@@ -44,7 +44,11 @@ def totals(positions: DataFrame, keys: Sequence[str] = align.KEYS, jump: str | N
 
     Without ``jump`` the jump columns are NULL: they cannot be observed in 2D.
     """
-    seg = segments(positions, keys, jump)
+    return summed(segments(positions, keys, jump), keys, jump)
+
+
+def summed(seg: DataFrame, keys: Sequence[str] = align.KEYS, jump: str | None = None) -> DataFrame:
+    """The totals of segments that are there already."""
     zero = F.lit(0.0)
     if jump:
         jumps = [
@@ -71,7 +75,11 @@ def average_speed(total: DataFrame) -> Column:
 
 def player_card(positions: DataFrame, keys: Sequence[str] = align.KEYS, jump: str | None = None) -> DataFrame:
     """The card figures: km/h, metres, jumps and samples per player."""
-    total = totals(positions, keys, jump)
+    return card(totals(positions, keys, jump), keys)
+
+
+def card(total: DataFrame, keys: Sequence[str] = align.KEYS) -> DataFrame:
+    """Totals in the units of the card."""
     return total.select(
         *keys,
         "samples",

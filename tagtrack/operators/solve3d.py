@@ -204,6 +204,36 @@ def _track_task(ids: Sequence[int], anchors: np.ndarray, alpha_dist: float, alph
     return run
 
 
+def solver(
+    layout: Layout3, alpha_dist: float, alpha_pos: float, keys: Sequence[str], types: Mapping[str, str]
+) -> tuple[list[str], list[str], list[str], Callable[[DataFrame], DataFrame]]:
+    """Names of the distances, of the state and of all columns of the rows that the returned function advances.
+
+    Rows of a (key, piece) are one lane, in the order of ``idx``; a row of kind SEED gives the state before the next one.
+    """
+    keys = list(keys)
+    ids, anchors = _matrix(layout)
+    dist, smoothed = [f"d{a}" for a in ids], [f"s{a}" for a in ids]
+    state = [*smoothed, "x", "y", "z"]
+    cols = [*keys, "piece", "idx", "t", "dt", "kind", *dist, *state]
+    schema = ", ".join(
+        [f"`{k}` {types[k]}" for k in keys]
+        + ["piece long", "idx long", "t double", "dt double", "kind int"]
+        + [f"{c} double" for c in [*dist, *state, "x_raw", "y_raw", "z_raw"]]
+    )
+    task = _track_task(ids, anchors, alpha_dist, alpha_pos, keys)
+
+    def solve(rows: DataFrame) -> DataFrame:
+        placed = rows.select(*cols).repartition(*keys, "piece").sortWithinPartitions(*keys, "piece", "idx", "kind")
+        done = placed.mapInPandas(task, schema)
+        return done.select(
+            *[c for c in done.columns if c not in (*state, "x_raw", "y_raw", "z_raw")],
+            *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in [*state, "x_raw", "y_raw", "z_raw"]],
+        )
+
+    return dist, state, cols, solve
+
+
 def locate_track(
     ticks: DataFrame,
     layout: Layout3,
@@ -221,17 +251,9 @@ def locate_track(
     smoothed distances ``s<n>``, the raw solution and the smoothed position.
     """
     keys = list(keys)
-    ids, anchors = _matrix(layout)
-    dist, smoothed = [f"d{a}" for a in ids], [f"s{a}" for a in ids]
-    state = [*smoothed, "x", "y", "z"]
-    warm_ticks = min(warm_ticks, piece_ticks)
-    cols = [*keys, "piece", "idx", "t", "dt", "kind", *dist, *state]
     types = {f.name: f.dataType.simpleString() for f in ticks.schema.fields}
-    schema = ", ".join(
-        [f"`{k}` {types[k]}" for k in keys]
-        + ["piece long", "idx long", "t double", "dt double", "kind int"]
-        + [f"{c} double" for c in [*dist, *state, "x_raw", "y_raw", "z_raw"]]
-    )
+    dist, state, cols, solve = solver(layout, alpha_dist, alpha_pos, keys, types)
+    warm_ticks = min(warm_ticks, piece_ticks)
     nothing = [F.lit(None).cast("double").alias(c) for c in state]
     at = F.col("idx") - 1
     own = F.floor(at / F.lit(piece_ticks)).cast("long")
@@ -242,16 +264,6 @@ def locate_track(
     )
     kind = F.when(F.col("piece") == F.col("_own"), F.lit(REAL)).otherwise(F.lit(WARM))
     feed = pieces.select(*keys, "piece", "idx", "t", "dt", kind.alias("kind"), *dist, *nothing)
-    task = _track_task(ids, anchors, alpha_dist, alpha_pos, keys)
-
-    def solve(rows: DataFrame) -> DataFrame:
-        placed = rows.select(*cols).repartition(*keys, "piece").sortWithinPartitions(*keys, "piece", "idx", "kind")
-        done = placed.mapInPandas(task, schema)
-        return done.select(
-            *[c for c in done.columns if c not in (*state, "x_raw", "y_raw", "z_raw")],
-            *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in [*state, "x_raw", "y_raw", "z_raw"]],
-        )
-
     out = barrier(solve(feed))
     while True:
         real = out.where(F.col("kind") == REAL)

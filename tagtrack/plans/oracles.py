@@ -770,3 +770,16 @@ ORACLES["ranges_device_time"] = _with(
  FROM telemetry WHERE session IN ('0x1001','0x1002','0x1003','0x1004') AND d1 IS NOT NULL""",
 )
 ORACLES["truth_file"] = _with(_TRUTH, f"SELECT tag_id, {_T}, {_r('x', 4, 'x')}, {_r('y', 4, 'y')}, {_r('z', 4, 'z')} FROM truth_v")
+ORACLES["stream_track_3d"] = _with(
+    _RANGES + "," + _WIDE3 + "," + _TRACK + "," + _STEP,
+    f"""SELECT f.tag_id, {_r('f.t', 4, 't')}, {_r('qx', 3, 'x_raw')}, {_r('qy', 3, 'y_raw')}, {_r('qz', 3, 'z_raw')}, {_r('f.x', 3, 'x')},
+ {_r('f.y', 3, 'y')}, {_r('f.z', 3, 'z')} FROM fin f LEFT JOIN solved USING (tag_id, t)""",
+    recursive=True,
+)
+_QUICK_TRACK = _TRACK.replace("0.08", "0.6").replace("0.12", "0.7")
+ORACLES["card_from_locate_3d"] = ORACLES["stream_card_3d"] = _with(
+    _RANGES + "," + _WIDE3 + "," + _QUICK_TRACK + ", hops AS (SELECT tag_id, t, x, y, greatest(0, z-95) AS jump FROM fin WHERE x IS NOT NULL),"
+    + _SEG.format(src="hops") + _RISE + ", j AS (SELECT s.*, rise.up, rise.jump FROM seg s JOIN rise USING (tag_id, t))",
+    _card("j", f"CAST(count(*) FILTER (up) AS BIGINT) AS jump_count, {_r('max(jump)', 3, 'max_jump_cm')}").replace(", 4) + 0", ", 3) + 0"),
+    recursive=True,
+)

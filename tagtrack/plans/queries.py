@@ -17,7 +17,7 @@ from tagtrack.plans.barrier import fresh_path, shared_checkpoint
 from tagtrack.sources import log
 from tagtrack.sources import messages as M
 from tagtrack.sources import settings as S
-from tagtrack.streaming import boardclock, jobs, repeats, tracker
+from tagtrack.streaming import boardclock, jobs, repeats, track3d, tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
 IDS = (1, 2, 3, 4)
@@ -717,6 +717,36 @@ def card_from_locate_2d(spark: SparkSession, sf: str) -> DataFrame:
     return card.select("tag_id", "samples", *_rs(_CARD, 4), "jump_count", "max_jump_cm")
 
 
+def card_from_locate_3d(spark: SparkSession, sf: str) -> DataFrame:
+    """Player card of the 3D estimate, jumps from its height; quick filters, so that hops of 0.15 s show."""
+    track = locate.locate_3d(V.ranges(spark, sf, slant=True), V.LAYOUT_Z, QUICK)
+    card = motion.player_card(shared_checkpoint(track).withColumn("jump", G.jump_height(F.col("z"))), jump="jump")
+    return card.select("tag_id", "samples", *_rs(_CARD, 3), "jump_count", _r("max_jump_cm", 3))
+
+
+QUICK = {"alpha_dist": 0.7, "alpha_pos": 0.6}
+
+
+def _tracks(spark: SparkSession, sf: str, settings: dict[str, float]) -> track3d.Tracks:
+    """A 3D stream run over the ranges, in files that are cut in the middle of a stamp."""
+    rows = V.ranges(spark, sf, slant=True).select("run_id", "tag_id", "t", "arrival", "anchor_id", "distance_cm")
+    tracks = track3d.Tracks(spark, V.LAYOUT_Z, fresh_path(spark, "tracks"), settings)
+    tracks.start(_arriving(rows, "slant", F.col("t"), F.col("anchor_id")), fresh_path(spark, "tracks-progress")).awaitTermination()
+    return tracks
+
+
+def stream_track_3d(spark: SparkSession, sf: str) -> DataFrame:
+    """The sequential 3D track over several batches, as the batch job gives it."""
+    track, _ = _tracks(spark, sf, {}).finished()
+    return track.select("tag_id", _r("t"), *_rs(["x_raw", "y_raw", "z_raw", "x", "y", "z"], 3))
+
+
+def stream_card_3d(spark: SparkSession, sf: str) -> DataFrame:
+    """The running card of the 3D stream after its last batch."""
+    _, card = _tracks(spark, sf, QUICK).finished()
+    return card.select("tag_id", "samples", *_rs(_CARD, 3), "jump_count", _r("max_jump_cm", 3))
+
+
 def heat_from_locate_2d(spark: SparkSession, sf: str) -> DataFrame:
     """Heat report of the estimate: cells, smoothing and colours in one chain."""
     placed = locate.locate_2d(V.ranges(spark, sf), V.LAYOUT).where(F.col("x").isNotNull())
@@ -747,6 +777,6 @@ QUERIES: dict[str, Query] = {
         error_3d, settings_sanitize, alpha_sweep, stream_ranges_log, stream_latest, stream_tick_window,
         stream_sessions, stream_repeat_suppress, stream_track, messages_to_positions,
         stream_messages_to_positions, card_from_locate_2d, heat_from_locate_2d, locate_3d_async,
-        stream_fresh, stream_heat, device_clock, ranges_device_clock, stream_repeat_shuffled, stream_device_clock, log_files, message_files, ranges_device_time, truth_file,
+        stream_fresh, stream_heat, card_from_locate_3d, stream_track_3d, stream_card_3d, device_clock, ranges_device_clock, stream_repeat_shuffled, stream_device_clock, log_files, message_files, ranges_device_time, truth_file,
     )
 }
