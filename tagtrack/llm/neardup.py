@@ -14,8 +14,9 @@ such as that of a family of near copies, never does: in every round it pairs its
 members with a few centres only, one drawn from all members and ``CENTRES`` from
 those outside the first one's component, so that members which nothing has
 linked yet become centres. Rounds only save work: they end with one that links
-nothing new, and then every pair of a long list whose members are still in different
-components is compared, block by block (``_compared``). 256-bit
+nothing new, and then every pair of classes of long lists that are still in different
+components is a candidate where they share one of their rarest retained values (``_between``): the prefix
+filter that all links pass. 256-bit
 marks of the sketches drop pairs that cannot be alike before they leave a list.
 
 Of the candidate pairs, the smallest values of the union of both sketches estimate
@@ -31,8 +32,7 @@ are kept where no other id is in their group; repeated rows are in one group; ot
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,9 @@ from tagtrack.llm.common import saved
 SKETCH, RUN, SHORT, CENTRES, BARREN, PERCENT, WORDS = 40, 3, 16, 12, 1, 80, 5
 PART_ROWS = 50_000
 #: members of a block of a long list, and pairs whose sketches are merged at once
-BLOCK, AT_ONCE = 128, 20_000
+BLOCK, AT_ONCE = 512, 20_000
+#: classes of a prefix value's list whose pairs are taken without blocks
+CROWD = 64
 #: ids that are broadcast at most; beyond that texts are shuffled to them
 MAX_BROADCAST = 500_000
 NONE = 1 << 62  # stands for a NULL id where the smallest id is sought
@@ -137,12 +139,15 @@ MEMBER = ("c", "n", "b0", "b1", "b2", "b3")
 
 
 def _centred(posts: DataFrame, salt: int, percent: int) -> DataFrame:
-    """a, b: every member of a list with its centre, the member with the smallest salted hash."""
-    rank = F.struct(F.xxhash64(F.lit(salt), "c", "key").alias("h"), *MEMBER)
+    """a, b: every member of a list with its centre, the member with the smallest salted hash.
+
+    The hash is of the class alone, so the many lists of one family mostly have one centre.
+    """
+    rank = F.struct(F.xxhash64(F.lit(salt), "c").alias("h"), *MEMBER)
     centres = posts.groupBy("key").agg(F.min(rank).alias("m"))
     fits = _may_link(F.col, lambda f: F.col(f"m.{f}"), percent)
     pairs = posts.join(centres, "key").where(fits)
-    return pairs.select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"))
+    return pairs.select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b")).distinct()
 
 
 def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
@@ -165,11 +170,11 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH) & (F.size(F.array_union("sa", "sb")) <= SKETCH)
     p = percent / 100
     least = F.when(whole, F.size(union) * p - 1e-9).otherwise(F.size(union) * p - 5.6 * F.sqrt(F.size(union) * p * (1 - p)))
-    return both.where(shared >= least).select("a", "b")
+    return both.where(shared >= least).select("a", "b", (shared / F.size(union)).alias("likeness"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that are linked on their full shingle sets."""
+    """The pairs that are linked on their full shingle sets, as a written table."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep", "d1", "d2", "n"), "c")
     wanted = saved(wanted, "candidates")
     ids = wanted.select(F.col("rep").alias("id")).distinct()
@@ -182,7 +187,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     one = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return two.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+    fits = two.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+    found = saved(_few(fits, pairs.count()), "links")
+    _gone(wanted, sets)
+    return found
+
+
+def _gone(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        for path in t.inputFiles()[:1] if t is not None else ():
+            folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -203,7 +219,9 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("v").alias("m"), F.col("label").alias("far"))
         following = low.join(jump, "m").select("v", "old", F.least("m", "far").alias("label"))
         following = saved(_few(following, n), "labels")
+        _gone(labels)
         if not following.where("label < old").limit(1).count():
+            _gone(edges)
             return following.select("v", "label")
         labels = following.select("v", "label")
 
@@ -220,7 +238,9 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     moved = own.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left")
     moved = moved.select("v", F.coalesce("to", "label").alias("label"))
     fresh = joined.join(own.select("v"), "v", "left_anti")
-    return saved(_few(moved.unionByName(fresh), labels.count() + links.count()), "labels")
+    out = saved(_few(moved.unionByName(fresh), labels.count() + links.count()), "labels")
+    _gone(labels, joined)
+    return out
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -259,36 +279,39 @@ def _labels(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     tried = _all_pairs(posts.where(F.col("size") <= SHORT), percent)
     if n_long:
         tried = tried.unionByName(_centred(long, 0, percent))
-    seen = saved(_estimated(tried.distinct(), classes, percent), "pairs")
+    seen = saved(_estimated(tried.distinct(), classes, percent).select("a", "b"), "pairs")
     found = _checked(seen, classes, docs, words, percent)
     labels = None if found is None else components(found)
-    salt = barren = 0
+    _gone(posts, found)
+    salt, barren, rest = 0, 0, None
     while n_long and barren < BARREN:
-        salt += 1
+        salt, before = salt + 1, rest
         rest = long.withColumn("label", F.col("c"))
         if labels is not None:
             rest = long.join(labels, long["c"] == labels["v"], "left").drop("v").withColumn("label", F.coalesce("label", "c"))
             ends = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
             rest = rest.join(ends.where("x < y").select("key"), "key")
+        _gone(before)
         rest = saved(_few(rest, n_long), "rest")
-        likely = _estimated(_round(rest, salt, percent), classes, percent)
+        likely = _estimated(_round(rest, salt, percent), classes, percent).select("a", "b")
         pairs = saved(likely.join(seen, ["a", "b"], "left_anti"), "pairs")
         found = _checked(pairs, classes, docs, words, percent)
         if found is None:
             barren += 1
             continue
         barren, seen, labels = 0, seen.unionByName(pairs), merged(labels, found)
+        _gone(found)
     return _settled(rest, seen, labels, classes, docs, words, percent) if n_long else labels
 
 
 def _settled(
     rest: DataFrame, seen: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, words: int, percent: int
 ) -> DataFrame | None:
-    """``labels`` after every pair of the lists ``rest`` that lies between two components; likely pairs go first.
+    """``labels`` after every pair of classes of ``rest`` that may be linked and lies between two components; likely pairs go first.
 
     A pair whose members a likelier one has brought together meanwhile needs no verification.
     """
-    left = saved(_compared(rest, classes, percent).join(seen, ["a", "b"], "left_anti"), "between")
+    left = saved(_between(rest.select("c", "label").distinct(), classes, percent).join(seen, ["a", "b"], "left_anti"), "between")
     for high, low in ((2.0, percent / 100), (percent / 100, percent / 100 - 0.1), (percent / 100 - 0.1, -1.0)):
         pairs = left.where((F.col("likeness") < high) & (F.col("likeness") >= low)).select("a", "b")
         if labels is not None:
@@ -296,49 +319,67 @@ def _settled(
             pairs = pairs.join(own.select(F.col("v").alias("a"), F.col("label").alias("x")), "a", "left")
             pairs = pairs.join(own.select(F.col("v").alias("b"), F.col("label").alias("y")), "b", "left")
             pairs = pairs.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-        found = _checked(saved(pairs, "pairs"), classes, docs, words, percent)
+        pairs = saved(pairs, "pairs")
+        found = _checked(pairs, classes, docs, words, percent)
         labels = labels if found is None else merged(labels, found)
+        _gone(pairs, found)
+    _gone(left, rest)
     return labels
 
 
-def _compared(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, likeness: every pair of two components within a list that the sketches do not rule out, once.
+def _needed(size: Column) -> Column:
+    """Retained values that a linked partner shares at least (see :func:`_may_link`): 18 of 40, of smaller sets 0.44 of them."""
+    return F.least(F.lit(18), F.ceil(size * 0.44)).cast("int")
+
 
-    A list is dealt over blocks of about BLOCK members of like size. Blocks outside the component of a
-    random member (most often the largest) meet all blocks, the others only those. Of
-    the lists that two classes share, the one with the smallest key compares them.
+def _between(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b, likeness: every pair of two components among the classes ``rest`` that the sketches do not rule out, once.
+
+    Single retained values are the keys here, behind a prefix filter: with all values in one order, rare ones
+    first, two sets that share t of their k values share one of the first k - t + 1 of each. So values that
+    everyone has, such as those of a passage in thousands of texts, are never expanded. A list of up
+    to CROWD classes gives its pairs; a longer one is compared in blocks, and only what
+    the sketches allow leaves a block.
     """
-    head = rest.groupBy("key").agg(F.min_by("label", F.xxhash64(F.lit(-1), "c", "key")).alias("head"))
-    step = -math.log(percent / 100) * 1.000001 if percent < 100 else 1e-6
-    rows = rest.join(head, "key").select("key", "c", "label", (F.col("label") != F.col("head")).alias("out"))
+    rows = rest.join(classes.select("c", "n", "b0", "b1", "b2", "b3", "sketch"), "c")
+    values = rows.select("c", F.explode("sketch").alias("key"))
+    often = values.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = values.join(often, "key", "left").select("c", F.struct(F.coalesce("often", F.lit(1)).alias("often"), "key").alias("x"))
+    prefix = ranked.groupBy("c").agg(F.array_sort(F.collect_list("x")).alias("x"))  # at most SKETCH of them
+    prefix = prefix.select("c", F.explode(F.slice("x", F.lit(1), F.size("x") - _needed(F.size("x")) + 1)).alias("x")).where("x.often > 1")
+    posts = prefix.select("c", F.col("x.key").alias("key")).join(rest, "c")
+    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
+    posts = saved(posts.join(lists.where("x < y").select("key", "size"), "key"), "prefixes")
+    return _short_lists(posts, classes, percent).unionByName(_long_lists(posts, classes, percent)).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+
+
+def _short_lists(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    member = F.struct(*MEMBER, "label")
+    few = posts.where(F.col("size") <= CROWD).join(classes.select(*MEMBER), "c")
+    lists = few.groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    first = lists.select("m", F.posexplode("m").alias("i", "x"))
+    pairs = first.select("x", F.explode(F.slice("m", F.col("i") + 2, F.lit(CROWD))).alias("y"))
+    near = _may_link(lambda f: F.col(f"x.{f}"), lambda f: F.col(f"y.{f}"), percent) & (F.col("x.label") != F.col("y.label"))
+    return _estimated(pairs.where(near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), classes, percent)
+
+
+def _long_lists(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of long lists, block by block: a task holds two blocks of some BLOCK members, each with its sketch."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = posts.where(F.col("size") > CROWD).withColumn("part", F.pmod(F.xxhash64(F.lit(-2), "c"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("key", "c", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     rows = rows.join(classes.select("c", "n", "b0", "b1", "b2", "b3", "sketch"), "c")
-    rows = rows.withColumn("band", F.floor(F.log("n") / step))
-    sizes = rows.groupBy("key", "out", "band").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(sizes, ["key", "out", "band"])
-    part = F.pmod(F.xxhash64(F.lit(-2), "c"), F.ceil(F.col("size") / BLOCK)).alias("part")
-    keys = F.array_distinct(_keys(F.col("sketch"), F.col("n"))).alias("keys")
-    member = F.struct("c", "label", "n", "b0", "b1", "b2", "b3", "sketch", keys)
-    blocks = rows.groupBy("key", "out", "band", part).agg(F.collect_list(member).alias("m"))
-    blocks = saved(blocks, "blocks")
-    x = blocks.where("out").select("key", *[F.col(f).alias(f"{f}_x") for f in ("band", "part", "m")])
-    y = blocks.select("key", *[F.col(f).alias(f"{f}_y") for f in ("out", "band", "part", "m")])
-    after = (F.col("band_x") < F.col("band_y")) | ((F.col("band_x") == F.col("band_y")) & (F.col("part_x") <= F.col("part_y")))
-    both = x.join(y, "key").where((F.abs(F.col("band_x") - F.col("band_y")) <= 1) & (~F.col("out_y") | after))
-    return both.select("key", F.col("m_x").alias("x"), F.col("m_y").alias("y")).mapInArrow(
-        _likely_pairs(percent), "a bigint, b bigint, likeness double"
-    )
-
-
-def _side(members: pa.ListArray, row: int) -> dict[str, np.ndarray]:
-    """The members of one block as arrays; sketches and keys filled up to one width."""
-    one = members.slice(row, 1).flatten()
-    out = {f: one.field(f).to_numpy(zero_copy_only=False) for f in ("c", "label", "n", "b0", "b1", "b2", "b3")}
-    for f in ("sketch", "keys"):
-        lists = one.field(f)
-        lens = np.diff(lists.offsets.to_numpy())
-        wide = np.full((len(lens), SKETCH), np.iinfo(np.int64).max)
-        wide[np.arange(SKETCH) < lens[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-        out[f] = wide
+    return rows.groupBy("key", "i", "j").applyInArrow(_likely_pairs(percent), "a bigint, b bigint, likeness double")
+
+
+def _side(rows: pa.Table) -> dict[str, np.ndarray]:
+    """The members of one block as arrays; sketches filled up to one width."""
+    out = {f: rows.column(f).to_numpy() for f in ("c", "label", "n", "b0", "b1", "b2", "b3")}
+    lists = rows.column("sketch").combine_chunks()
+    lens = np.diff(lists.offsets.to_numpy())
+    out["sketch"] = np.full((len(lens), SKETCH), np.iinfo(np.int64).max)
+    out["sketch"][np.arange(SKETCH) < lens[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -351,14 +392,10 @@ def _merged_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return both, again, fill
 
 
-def _likely_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _likely_pairs(percent: int) -> Callable[[tuple, pa.Table], pa.Table]:
     p = percent / 100
 
-    def likely(key: int, x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values, again, _ = _merged_rows(x["keys"][i], y["keys"][j])
-        first = np.argmax(again, axis=1)
-        here = again.any(axis=1) & (values[np.arange(len(i)), first] == key)
-        i, j = i[here], j[here]
+    def likely(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         _, again, fill = _merged_rows(x["sketch"][i], y["sketch"][j])
         place = np.cumsum(~again & ~fill, axis=1)
         total = place[:, -1] if len(i) else np.zeros(0, np.int64)
@@ -368,23 +405,20 @@ def _likely_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         fits = shared >= np.where(whole, size * p - 1e-9, size * p - 5.6 * np.sqrt(size * p * (1 - p)))
         return x["c"][i[fits]], y["c"][j[fits]], shared[fits] / size[fits]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                key = batch.column("key")[row].as_py()
-                x, y = _side(batch.column("x"), row), _side(batch.column("y"), row)
-                n, m = x["n"][:, None], y["n"][None, :]
-                near = (n * 100 >= m * percent) & (m * 100 >= n * percent) & (x["label"][:, None] != y["label"][None, :])
-                common = np.zeros(near.shape, np.int64)
-                for f in ("b0", "b1", "b2", "b3"):
-                    common += np.bitwise_count(x[f].view(np.uint64)[:, None] & y[f].view(np.uint64)[None, :])
-                i, j = np.nonzero(near & (common >= np.minimum(14, np.floor(np.minimum(n, m) * 0.35))))
-                for at in range(0, len(i), AT_ONCE):
-                    a, b, likeness = likely(key, x, y, i[at : at + AT_ONCE], j[at : at + AT_ONCE])
-                    low, high = np.minimum(a, b), np.maximum(a, b)
-                    _, once = np.unique(np.stack([low, high]), axis=1, return_index=True)
-                    columns = [pa.array(v[once]) for v in (low, high, likeness)]
-                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "likeness"])
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        part, first, second = rows.column("part").to_numpy(), key[1].as_py(), key[2].as_py()
+        x, y = _side(rows.filter(pa.array(part == first))), _side(rows.filter(pa.array(part == second)))
+        n, m = x["n"][:, None], y["n"][None, :]
+        near = (n * 100 >= m * percent) & (m * 100 >= n * percent) & (x["label"][:, None] != y["label"][None, :])
+        if first == second:
+            near &= x["c"][:, None] < y["c"][None, :]
+        common = np.zeros(near.shape, np.int64)
+        for f in ("b0", "b1", "b2", "b3"):
+            common += np.bitwise_count(x[f].view(np.uint64)[:, None] & y[f].view(np.uint64)[None, :])
+        i, j = np.nonzero(near & (common >= np.minimum(14, np.floor(np.minimum(n, m) * 0.35))))
+        found = [likely(x, y, i[at : at + AT_ONCE], j[at : at + AT_ONCE]) for at in range(0, max(len(i), 1), AT_ONCE)]
+        a, b, likeness = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "likeness": likeness.astype(float)})
 
     return run
 
@@ -394,11 +428,11 @@ def _round(rest: DataFrame, salt: int, percent: int) -> DataFrame:
 
     One centre comes from all members, CENTRES more from those outside the component of the first.
     """
-    head = rest.groupBy("key").agg(F.min_by("label", F.xxhash64(F.lit(salt), F.lit(0), "c", "key")).alias("head"))
+    head = rest.groupBy("key").agg(F.min_by("label", F.xxhash64(F.lit(salt), F.lit(0), "c")).alias("head"))
     outside = rest.join(head, "key").where("label <> head").drop("head")
 
     def rank(k: int) -> Column:
-        return F.struct(F.xxhash64(F.lit(salt), F.lit(k), "c", "key").alias("h"), *MEMBER, "label")
+        return F.struct(F.xxhash64(F.lit(salt), F.lit(k), "c").alias("h"), *MEMBER, "label")
 
     first = rest.groupBy("key").agg(F.array(F.min(rank(0))).alias("m"))
     more = outside.groupBy("key").agg(F.array(*[F.min(rank(k)) for k in range(1, CENTRES + 1)]).alias("m"))
@@ -412,7 +446,7 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     """The linked ones of the candidate pairs, or None."""
     if not pairs.limit(1).count():
         return None
-    found = saved(_few(_verified(pairs, classes, docs, words, percent), pairs.count()), "links")
+    found = _verified(pairs, classes, docs, words, percent)
     return found if found.limit(1).count() else None
 
 

@@ -124,8 +124,40 @@ def test_long_lists_are_settled_without_luck(spark, monkeypatch):
     monkeypatch.setattr(N, "_centred", none)
     monkeypatch.setattr(N, "_round", none)
     monkeypatch.setattr(N, "BLOCK", 20)
+    monkeypatch.setattr(N, "CROWD", 12)
     texts = family(7, 60, 12) + family(8, 50, 7)
     docs = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute(docs, 2)
     assert rows(N.grouped(df, 2)) == want and len({r[2] for r in want}) < len(docs) / 2
+
+
+def test_a_passage_that_unlike_texts_share_makes_no_pairs(spark):
+    """Values that many classes retain stand behind their prefixes."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + " " + passage for _ in range(150)]
+    texts += [t + " more" for t in texts[:20]]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(N.grouped(df, 2)) == brute(docs, 2)
+    signed = N.A.with_columns(df, "text", N._sketches(2), "n bigint, d1 bigint, d2 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, sketch array<bigint>")
+    classes = signed.withColumnRenamed("doc_id", "c").drop("text")
+    found = N._between(classes.select("c", classes["c"].alias("label")), classes, 80).count()
+    assert 20 <= found < 400
+
+
+def test_recall_of_candidates(spark):
+    """Of all links between random pairs at the very threshold, candidates keep 99 in 100 at least."""
+    rng = random.Random(10)
+    docs = []
+    for k in range(300):
+        base = [f"a{k}.{i}" for i in range(200)]
+        other = base[:]
+        for at in rng.sample(range(0, 200, 2), 11):
+            other[at] = f"b{k}.{at}"
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    want = brute(docs, 2)
+    links = sum(not r[3] for r in want)
+    got = rows(N.grouped(spark.createDataFrame(docs, "doc_id long, text string"), 2))
+    assert links > 200 and sum(not r[3] for r in got) >= 0.99 * links
