@@ -10,17 +10,14 @@ one value: a very common shingle is retained by a third of all texts, a run of
 three far more seldom. Two sets that are 80 % alike share a run for certain while
 their union fits a sketch, and with a probability of 1 - 5e-7 at the very threshold
 beyond that. Lists of up to ``SHORT`` classes give all their pairs. A longer list,
-such as that of a family of near copies, never does: in every round it pairs its
-members with a few centres only, one drawn from all members and ``CENTRES`` from
-those outside the first one's component, so that members which nothing has
-linked yet become centres. Rounds only save work: they end with one that links
-nothing new, and then every pair of classes of long lists that are still in different
-components is a candidate where they share one of their rarest retained values (``_between``): the prefix
-filter that all links pass. 256-bit
+such as that of a family of near copies, pairs its members with one centre only, the one
+that most lists of the family have in common; that links most of a family. Then the classes of long lists that are
+still in different components are compared over their whole sets, behind a prefix
+filter that all links pass (``_between``), so the rest is exact and no list gives all its pairs. 256-bit
 marks of the sketches drop pairs that cannot be alike before they leave a list.
 
 Of the candidate pairs, the smallest values of the union of both sketches estimate
-the similarity; what lies over five deviations below the threshold goes. The rest
+the similarity; what lies over four and a half deviations below the threshold goes. The rest
 is verified on full shingle sets, made again from the texts of candidates alone.
 Links then give components by label propagation with pointer jumping. All
 intermediate tables are written to the shared folder.
@@ -32,8 +29,6 @@ are kept where no other id is in their group; repeated rows are in one group; ot
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,14 +37,14 @@ from pyspark.sql import functions as F
 from tagtrack.llm import arrays as A
 from tagtrack.llm.common import saved
 
-SKETCH, RUN, SHORT, CENTRES, BARREN, PERCENT, WORDS = 40, 3, 16, 12, 1, 80, 5
+SKETCH, RUN, SHORT, PERCENT, WORDS = 40, 3, 16, 80, 5
 PART_ROWS = 50_000
-#: members of a block of a long list, and pairs whose sketches are merged at once
-BLOCK, AT_ONCE = 512, 20_000
-#: classes of a prefix value's list whose pairs are taken without blocks
-CROWD = 64
+#: of the estimate below the threshold, at which a pair goes: one linked pair in 300,000 at the very threshold
+DEVIATIONS = 4.5
 #: ids that are broadcast at most; beyond that texts are shuffled to them
 MAX_BROADCAST = 500_000
+#: shingles of full sets that are broadcast at most (8 bytes each)
+MAX_VALUES = 4_000_000
 NONE = 1 << 62  # stands for a NULL id where the smallest id is sought
 
 
@@ -138,12 +133,12 @@ def _keys(sketch: Column, n: Column) -> Column:
 MEMBER = ("c", "n", "b0", "b1", "b2", "b3")
 
 
-def _centred(posts: DataFrame, salt: int, percent: int) -> DataFrame:
-    """a, b: every member of a list with its centre, the member with the smallest salted hash.
+def _centred(posts: DataFrame, percent: int) -> DataFrame:
+    """a, b: every member of a list with its centre, the member with the smallest hash.
 
     The hash is of the class alone, so the many lists of one family mostly have one centre.
     """
-    rank = F.struct(F.xxhash64(F.lit(salt), "c").alias("h"), *MEMBER)
+    rank = F.struct(F.xxhash64(F.lit(0), "c").alias("h"), *MEMBER)
     centres = posts.groupBy("key").agg(F.min(rank).alias("m"))
     fits = _may_link(F.col, lambda f: F.col(f"m.{f}"), percent)
     pairs = posts.join(centres, "key").where(fits)
@@ -169,14 +164,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH) & (F.size(F.array_union("sa", "sb")) <= SKETCH)
     p = percent / 100
-    least = F.when(whole, F.size(union) * p - 1e-9).otherwise(F.size(union) * p - 5.6 * F.sqrt(F.size(union) * p * (1 - p)))
-    return both.where(shared >= least).select("a", "b", (shared / F.size(union)).alias("likeness"))
+    least = F.when(whole, F.size(union) * p - 1e-9).otherwise(F.size(union) * p - DEVIATIONS * F.sqrt(F.size(union) * p * (1 - p)))
+    return both.where(shared >= least).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that are linked on their full shingle sets, as a written table."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep", "d1", "d2", "n"), "c")
-    wanted = saved(wanted, "candidates")
+def _full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """c, shingles: the whole shingle sets of the classes ``wanted``, made again from one text of each."""
+    wanted = saved(wanted.join(classes.select("c", "rep", "d1", "d2", "n"), "c"), "candidates")
     ids = wanted.select(F.col("rep").alias("id")).distinct()
     text = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("id"), "text")
     small = ids.count() <= MAX_BROADCAST
@@ -184,13 +178,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     sets = A.with_columns(text.select("text"), "text", _full(words), "n bigint, d1 bigint, d2 bigint, shingles array<bigint>", False)
     sets = sets.join(wanted.select("c", "d1", "d2", "n"), ["d1", "d2", "n"]).groupBy("c").agg(F.first("shingles").alias("shingles"))
     sets = saved(sets, "sets")
+    _gone(wanted)
+    return sets
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked on their full shingle sets, as a written table."""
+    few = (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= MAX_VALUES
+    sets = F.broadcast(sets) if few else sets
     one = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     fits = two.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
-    found = saved(_few(fits, pairs.count()), "links")
-    _gone(wanted, sets)
-    return found
+    return saved(_few(fits, pairs.count()), "links")
 
 
 def _gone(*tables: DataFrame | None) -> None:
@@ -278,175 +278,72 @@ def _labels(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     n_long = long.count()
     tried = _all_pairs(posts.where(F.col("size") <= SHORT), percent)
     if n_long:
-        tried = tried.unionByName(_centred(long, 0, percent))
-    seen = saved(_estimated(tried.distinct(), classes, percent).select("a", "b"), "pairs")
+        tried = tried.unionByName(_centred(long, percent))
+    seen = saved(_estimated(tried.distinct(), classes, percent), "pairs")
     found = _checked(seen, classes, docs, words, percent)
     labels = None if found is None else components(found)
     _gone(posts, found)
-    salt, barren, rest = 0, 0, None
-    while n_long and barren < BARREN:
-        salt, before = salt + 1, rest
-        rest = long.withColumn("label", F.col("c"))
-        if labels is not None:
-            rest = long.join(labels, long["c"] == labels["v"], "left").drop("v").withColumn("label", F.coalesce("label", "c"))
-            ends = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-            rest = rest.join(ends.where("x < y").select("key"), "key")
-        _gone(before)
-        rest = saved(_few(rest, n_long), "rest")
-        likely = _estimated(_round(rest, salt, percent), classes, percent).select("a", "b")
-        pairs = saved(likely.join(seen, ["a", "b"], "left_anti"), "pairs")
-        found = _checked(pairs, classes, docs, words, percent)
-        if found is None:
-            barren += 1
-            continue
-        barren, seen, labels = 0, seen.unionByName(pairs), merged(labels, found)
-        _gone(found)
-    return _settled(rest, seen, labels, classes, docs, words, percent) if n_long else labels
+    if not n_long:
+        return labels
+    rest = long.withColumn("label", F.col("c"))
+    if labels is not None:
+        rest = long.join(labels, long["c"] == labels["v"], "left").drop("v").withColumn("label", F.coalesce("label", "c"))
+    ends = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    rest = saved(_few(rest.join(ends.where("x < y").select("key"), "key").select("c", "label").distinct(), n_long), "rest")
+    _gone(long)
+    return _settled(rest, seen, labels, classes, docs, words, percent)
 
 
 def _settled(
     rest: DataFrame, seen: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, words: int, percent: int
 ) -> DataFrame | None:
-    """``labels`` after every pair of classes of ``rest`` that may be linked and lies between two components; likely pairs go first.
-
-    A pair whose members a likelier one has brought together meanwhile needs no verification.
-    """
-    left = saved(_between(rest.select("c", "label").distinct(), classes, percent).join(seen, ["a", "b"], "left_anti"), "between")
-    for high, low in ((2.0, percent / 100), (percent / 100, percent / 100 - 0.1), (percent / 100 - 0.1, -1.0)):
-        pairs = left.where((F.col("likeness") < high) & (F.col("likeness") >= low)).select("a", "b")
-        if labels is not None:
-            own = labels.select("v", "label")
-            pairs = pairs.join(own.select(F.col("v").alias("a"), F.col("label").alias("x")), "a", "left")
-            pairs = pairs.join(own.select(F.col("v").alias("b"), F.col("label").alias("y")), "b", "left")
-            pairs = pairs.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-        pairs = saved(pairs, "pairs")
-        found = _checked(pairs, classes, docs, words, percent)
-        labels = labels if found is None else merged(labels, found)
-        _gone(pairs, found)
-    _gone(left, rest)
+    """``labels`` after every pair of classes of ``rest`` that may be linked and lies between two components."""
+    sets = _full_sets(rest.select("c"), classes, docs, words)
+    pairs = _estimated(_between(rest, sets, percent).join(seen, ["a", "b"], "left_anti"), classes, percent)
+    pairs = saved(pairs, "pairs")
+    found = _alike(pairs, sets, percent)
+    labels = merged(labels, found) if found.limit(1).count() else labels
+    _gone(sets, pairs, found, rest)
     return labels
 
 
-def _needed(size: Column) -> Column:
-    """Retained values that a linked partner shares at least (see :func:`_may_link`): 18 of 40, of smaller sets 0.44 of them."""
-    return F.least(F.lit(18), F.ceil(size * 0.44)).cast("int")
+def _between(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of classes of two components that a prefix filter over their whole sets lets through.
 
-
-def _between(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, likeness: every pair of two components among the classes ``rest`` that the sketches do not rule out, once.
-
-    Single retained values are the keys here, behind a prefix filter: with all values in one order, rare ones
-    first, two sets that share t of their k values share one of the first k - t + 1 of each. So values that
-    everyone has, such as those of a passage in thousands of texts, are never expanded. A list of up
-    to CROWD classes gives its pairs; a longer one is compared in blocks, and only what
-    the sketches allow leaves a block.
+    Values that only one class has link nothing, values that everyone has would link all; with all values in one
+    order, rare ones first, two sets of n <= m values that are alike share one of the first
+    n - ceil(2p / (1 + p) n) + 1 of the smaller with one of the first m - ceil(p m) + 1 of the larger.  A text whose
+    own words fill its prefix is compared with nothing; a passage in thousands of texts stands behind
+    their prefixes and is never expanded.
     """
-    rows = rest.join(classes.select("c", "n", "b0", "b1", "b2", "b3", "sketch"), "c")
-    values = rows.select("c", F.explode("sketch").alias("key"))
+    values = sets.select("c", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     often = values.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ranked = values.join(often, "key", "left").select("c", F.struct(F.coalesce("often", F.lit(1)).alias("often"), "key").alias("x"))
-    prefix = ranked.groupBy("c").agg(F.array_sort(F.collect_list("x")).alias("x"))  # at most SKETCH of them
-    prefix = prefix.select("c", F.explode(F.slice("x", F.lit(1), F.size("x") - _needed(F.size("x")) + 1)).alias("x")).where("x.often > 1")
-    posts = prefix.select("c", F.col("x.key").alias("key")).join(rest, "c")
-    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
-    posts = saved(posts.join(lists.where("x < y").select("key", "size"), "key"), "prefixes")
-    return _short_lists(posts, classes, percent).unionByName(_long_lists(posts, classes, percent)).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
-
-
-def _short_lists(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    member = F.struct(*MEMBER, "label")
-    few = posts.where(F.col("size") <= CROWD).join(classes.select(*MEMBER), "c")
-    lists = few.groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("m"))
-    first = lists.select("m", F.posexplode("m").alias("i", "x"))
-    pairs = first.select("x", F.explode(F.slice("m", F.col("i") + 2, F.lit(CROWD))).alias("y"))
-    near = _may_link(lambda f: F.col(f"x.{f}"), lambda f: F.col(f"y.{f}"), percent) & (F.col("x.label") != F.col("y.label"))
-    return _estimated(pairs.where(near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), classes, percent)
-
-
-def _long_lists(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs of long lists, block by block: a task holds two blocks of some BLOCK members, each with its sketch."""
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = posts.where(F.col("size") > CROWD).withColumn("part", F.pmod(F.xxhash64(F.lit(-2), "c"), parts).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("key", "c", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rows = rows.join(classes.select("c", "n", "b0", "b1", "b2", "b3", "sketch"), "c")
-    return rows.groupBy("key", "i", "j").applyInArrow(_likely_pairs(percent), "a bigint, b bigint, likeness double")
-
-
-def _side(rows: pa.Table) -> dict[str, np.ndarray]:
-    """The members of one block as arrays; sketches filled up to one width."""
-    out = {f: rows.column(f).to_numpy() for f in ("c", "label", "n", "b0", "b1", "b2", "b3")}
-    lists = rows.column("sketch").combine_chunks()
-    lens = np.diff(lists.offsets.to_numpy())
-    out["sketch"] = np.full((len(lens), SKETCH), np.iinfo(np.int64).max)
-    out["sketch"][np.arange(SKETCH) < lens[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-    return out
-
-
-def _merged_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row by row of two tables of sorted sets: all values sorted, which are equal to the one before, which are filling."""
-    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
-    fill = both == np.iinfo(np.int64).max
-    again = np.zeros(both.shape, bool)
-    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & ~fill[:, 1:]
-    return both, again, fill
-
-
-def _likely_pairs(percent: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    p = percent / 100
-
-    def likely(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        _, again, fill = _merged_rows(x["sketch"][i], y["sketch"][j])
-        place = np.cumsum(~again & ~fill, axis=1)
-        total = place[:, -1] if len(i) else np.zeros(0, np.int64)
-        shared = (again & (place <= SKETCH)).sum(axis=1)
-        size = np.minimum(total, SKETCH)
-        whole = (x["n"][i] <= SKETCH) & (y["n"][j] <= SKETCH) & (total <= SKETCH)
-        fits = shared >= np.where(whole, size * p - 1e-9, size * p - 5.6 * np.sqrt(size * p * (1 - p)))
-        return x["c"][i[fits]], y["c"][j[fits]], shared[fits] / size[fits]
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        part, first, second = rows.column("part").to_numpy(), key[1].as_py(), key[2].as_py()
-        x, y = _side(rows.filter(pa.array(part == first))), _side(rows.filter(pa.array(part == second)))
-        n, m = x["n"][:, None], y["n"][None, :]
-        near = (n * 100 >= m * percent) & (m * 100 >= n * percent) & (x["label"][:, None] != y["label"][None, :])
-        if first == second:
-            near &= x["c"][:, None] < y["c"][None, :]
-        common = np.zeros(near.shape, np.int64)
-        for f in ("b0", "b1", "b2", "b3"):
-            common += np.bitwise_count(x[f].view(np.uint64)[:, None] & y[f].view(np.uint64)[None, :])
-        i, j = np.nonzero(near & (common >= np.minimum(14, np.floor(np.minimum(n, m) * 0.35))))
-        found = [likely(x, y, i[at : at + AT_ONCE], j[at : at + AT_ONCE]) for at in range(0, max(len(i), 1), AT_ONCE)]
-        a, b, likeness = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "likeness": likeness.astype(float)})
-
-    return run
-
-
-def _round(rest: DataFrame, salt: int, percent: int) -> DataFrame:
-    """a, b: the members of each list with centres of other components.
-
-    One centre comes from all members, CENTRES more from those outside the component of the first.
-    """
-    head = rest.groupBy("key").agg(F.min_by("label", F.xxhash64(F.lit(salt), F.lit(0), "c")).alias("head"))
-    outside = rest.join(head, "key").where("label <> head").drop("head")
-
-    def rank(k: int) -> Column:
-        return F.struct(F.xxhash64(F.lit(salt), F.lit(k), "c").alias("h"), *MEMBER, "label")
-
-    first = rest.groupBy("key").agg(F.array(F.min(rank(0))).alias("m"))
-    more = outside.groupBy("key").agg(F.array(*[F.min(rank(k)) for k in range(1, CENTRES + 1)]).alias("m"))
-    centres = first.unionByName(more).select("key", F.explode("m").alias("m")).select("key", *[F.col(f"m.{f}").alias(f"m_{f}") for f in (*MEMBER, "label")])
-    fits = _may_link(F.col, lambda f: F.col(f"m_{f}"), percent) & (F.col("label") != F.col("m_label"))
-    pairs = rest.join(centres.distinct(), "key").where(fits)
-    return pairs.select(F.least("c", "m_c").alias("a"), F.greatest("c", "m_c").alias("b")).distinct()
+    shared = values.join(often, "key").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("x"))
+    alone = F.col("n") - F.size("x")  # values of this class only come first
+    probe = F.col("n") - F.expr(f"({percent}L * n + 99) div 100") + 1
+    index = F.col("n") - F.expr(f"(2 * {percent}L * n + {percent} + 99) div (100 + {percent})") + 1
+    first = shared.select("c", "n", alone.alias("alone"), index.alias("index"), F.posexplode(F.slice("x", F.lit(1), F.greatest(probe - alone, F.lit(0)).cast("int"))).alias("at", "x"))
+    place = F.col("alone") + F.col("at") + 1
+    posts = first.select("c", "n", F.col("x.key").alias("key"), place.alias("place"), (place <= F.col("index")).alias("short")).join(rest, "c")
+    mixed = posts.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    posts = saved(posts.join(mixed, "key"), "prefixes")
+    y = posts.select("key", *[F.col(f).alias(f"{f}_y") for f in ("c", "n", "place", "label")])
+    # of the first value they share nothing lies before it, so what lies behind must suffice
+    need = F.expr(f"({percent}L * (n + n_y) + {percent} + 99) div (100 + {percent})")
+    enough = F.least(F.col("n") - F.col("place"), F.col("n_y") - F.col("place_y")) + 1 >= need
+    near = (F.col("n") * 100 >= F.col("n_y") * percent) & (F.col("label") != F.col("label_y"))
+    after = (F.col("n") < F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("c") < F.col("c_y")))
+    pairs = posts.where("short").join(y, "key").where(near & after & enough)
+    return pairs.select(F.least("c", "c_y").alias("a"), F.greatest("c", "c_y").alias("b")).distinct()
 
 
 def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
     """The linked ones of the candidate pairs, or None."""
     if not pairs.limit(1).count():
         return None
-    found = _verified(pairs, classes, docs, words, percent)
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), classes, docs, words)
+    found = _alike(pairs, sets, percent)
+    _gone(sets)
     return found if found.limit(1).count() else None
 
 

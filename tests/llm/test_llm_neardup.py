@@ -120,11 +120,8 @@ def test_long_text(spark):
 
 def test_long_lists_are_settled_without_luck(spark, monkeypatch):
     """Links that no centre happens to meet: one pair whose common shingles all stand in long lists."""
-    none = lambda posts, salt, percent: posts.select(posts["c"].alias("a"), posts["c"].alias("b")).limit(0)
+    none = lambda posts, percent: posts.select(posts["c"].alias("a"), posts["c"].alias("b")).limit(0)
     monkeypatch.setattr(N, "_centred", none)
-    monkeypatch.setattr(N, "_round", none)
-    monkeypatch.setattr(N, "BLOCK", 20)
-    monkeypatch.setattr(N, "CROWD", 12)
     texts = family(7, 60, 12) + family(8, 50, 7)
     docs = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -141,10 +138,9 @@ def test_a_passage_that_unlike_texts_share_makes_no_pairs(spark):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(N.grouped(df, 2)) == brute(docs, 2)
-    signed = N.A.with_columns(df, "text", N._sketches(2), "n bigint, d1 bigint, d2 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, sketch array<bigint>")
-    classes = signed.withColumnRenamed("doc_id", "c").drop("text")
-    found = N._between(classes.select("c", classes["c"].alias("label")), classes, 80).count()
-    assert 20 <= found < 400
+    sets = N.A.with_columns(df, "text", N._full(2), "n bigint, d1 bigint, d2 bigint, shingles array<bigint>")
+    sets = sets.select(sets["doc_id"].alias("c"), "shingles")
+    assert 20 <= N._between(sets.select("c", sets["c"].alias("label")), sets, 80).count() < 60
 
 
 def test_recall_of_candidates(spark):
