@@ -89,6 +89,12 @@ def _marks(sketch: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the values that fall on it: two sets differ in as many values at least as their bits."""
+    odd = np.bincount((A.mix(values) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketches(words: int):
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(texts, words)
@@ -102,7 +108,9 @@ def _sketches(words: int):
 def _full(words: int):
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(texts, words)
-        return [pa.array(np.array([len(s) for s in sets], np.int64)), *_digests(sets), _lists(sets)]
+        bits = np.array([_parity(s) for s in sets], np.int64).reshape(-1, 4)
+        columns = [pa.array(bits[:, k]) for k in range(4)]
+        return [pa.array(np.array([len(s) for s in sets], np.int64)), *_digests(sets), *columns, _lists(sets)]
 
     return run
 
@@ -168,15 +176,20 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(shared >= least).select("a", "b")
 
 
+PARITY = ("p0", "p1", "p2", "p3")
+FULL = "n bigint, d1 bigint, d2 bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, shingles array<bigint>"
+
+
 def _full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """c, shingles: the whole shingle sets of the classes ``wanted``, made again from one text of each."""
+    """c, p0..p3, shingles: the whole shingle sets of the classes ``wanted`` and their parities, made again from one text of each."""
     wanted = saved(wanted.join(classes.select("c", "rep", "d1", "d2", "n"), "c"), "candidates")
     ids = wanted.select(F.col("rep").alias("id")).distinct()
     text = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("id"), "text")
     small = ids.count() <= MAX_BROADCAST
     text = text.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    sets = A.with_columns(text.select("text"), "text", _full(words), "n bigint, d1 bigint, d2 bigint, shingles array<bigint>", False)
-    sets = sets.join(wanted.select("c", "d1", "d2", "n"), ["d1", "d2", "n"]).groupBy("c").agg(F.first("shingles").alias("shingles"))
+    sets = A.with_columns(text.select("text"), "text", _full(words), FULL, False)
+    one = [F.first(c).alias(c) for c in (*PARITY, "shingles")]
+    sets = sets.join(wanted.select("c", "d1", "d2", "n"), ["d1", "d2", "n"]).groupBy("c").agg(*one)
     sets = saved(sets, "sets")
     _gone(wanted)
     return sets
@@ -314,7 +327,8 @@ def _between(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     order, rare ones first, two sets of n <= m values that are alike share one of the first
     n - ceil(2p / (1 + p) n) + 1 of the smaller with one of the first m - ceil(p m) + 1 of the larger.  A text whose
     own words fill its prefix is compared with nothing; a passage in thousands of texts stands behind
-    their prefixes and is never expanded.
+    their prefixes and is never expanded.  What share a value must also have room for enough common values
+    behind it, and parities that differ in no more bits than the sets may in values.
     """
     values = sets.select("c", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     often = values.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
@@ -326,14 +340,17 @@ def _between(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     place = F.col("alone") + F.col("at") + 1
     posts = first.select("c", "n", F.col("x.key").alias("key"), place.alias("place"), (place <= F.col("index")).alias("short")).join(rest, "c")
     mixed = posts.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    posts = saved(posts.join(mixed, "key"), "prefixes")
-    y = posts.select("key", *[F.col(f).alias(f"{f}_y") for f in ("c", "n", "place", "label")])
+    posts = saved(posts.join(mixed, "key").join(sets.select("c", *PARITY), "c"), "prefixes")
+    y = posts.select("key", *[F.col(f).alias(f"{f}_y") for f in ("c", "n", "place", "label", *PARITY)])
     # of the first value they share nothing lies before it, so what lies behind must suffice
     need = F.expr(f"({percent}L * (n + n_y) + {percent} + 99) div (100 + {percent})")
     enough = F.least(F.col("n") - F.col("place"), F.col("n_y") - F.col("place_y")) + 1 >= need
     near = (F.col("n") * 100 >= F.col("n_y") * percent) & (F.col("label") != F.col("label_y"))
     after = (F.col("n") < F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("c") < F.col("c_y")))
-    pairs = posts.where("short").join(y, "key").where(near & after & enough)
+    apart = F.lit(0)
+    for p in PARITY:
+        apart = apart + F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_y")))
+    pairs = posts.where("short").join(y, "key").where(near & after & enough & (need * 2 + apart <= F.col("n") + F.col("n_y")))
     return pairs.select(F.least("c", "c_y").alias("a"), F.greatest("c", "c_y").alias("b")).distinct()
 
 

@@ -138,8 +138,8 @@ def test_a_passage_that_unlike_texts_share_makes_no_pairs(spark):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(N.grouped(df, 2)) == brute(docs, 2)
-    sets = N.A.with_columns(df, "text", N._full(2), "n bigint, d1 bigint, d2 bigint, shingles array<bigint>")
-    sets = sets.select(sets["doc_id"].alias("c"), "shingles")
+    sets = N.A.with_columns(df, "text", N._full(2), N.FULL)
+    sets = sets.select(sets["doc_id"].alias("c"), *N.PARITY, "shingles")
     assert 20 <= N._between(sets.select("c", sets["c"].alias("label")), sets, 80).count() < 60
 
 
