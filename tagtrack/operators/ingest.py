@@ -88,19 +88,19 @@ def oversized(messages: DataFrame) -> DataFrame:
 def ranges_of(messages: DataFrame, mode: str = "compat", time: str = "ingest") -> tuple[DataFrame, DataFrame]:
     """Ranges (run_id, tag_id, t, arrival, anchor_id, distance_cm) of messages, and the rejected rows.
 
-    ``t`` is in seconds: of the stamp; with ``time="device"`` of the board's own clock, put on the base of the
-    stamps by :mod:`tagtrack.operators.clock`, so that boards and boots share one time; with ``time="uptime"`` the
+    ``t`` is in seconds: of the stamp; with ``time="clock"`` of the board's own clock, put on the base of the
+    stamps by :mod:`tagtrack.operators.clock`, so that boards and boots share one time; with ``time="device"`` the
     board's milliseconds as they are, which begin again at every restart.  Missing run, tag and arrival columns stand for
     one run, one tag and one arrival.  Rows without a tag or a time, and with a
     distance that is no finite number, have no place in an ordered result: they are
     the second table, with a ``reason``.
     """
-    if time not in ("ingest", "device", "uptime"):
+    if time not in ("ingest", "device", "clock"):
         raise ValueError(f"unknown time basis {time!r}")
     for name in ("run_id", "tag_id", "arrival"):
         if name not in messages.columns:
             messages = messages.withColumn(name, F.lit(0).cast("long"))
-    if time == "device":
+    if time == "clock":
         rows = parse_ranges(_device_stamped(messages), mode)
     else:
         stamp = F.unix_micros("ingest_ts") if time == "ingest" else telemetry_struct(F.col("message"))["ms"] * 1000

@@ -84,7 +84,7 @@ def message_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranges_device_time(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges on the boards' own clock, which only device lines have."""
-    kept, _ = ingest.ranges_of(V.messages(spark, sf), "session", time="uptime")
+    kept, _ = ingest.ranges_of(V.messages(spark, sf), "session", time="device")
     return kept.select("tag_id", _r("t"), "anchor_id", "distance_cm")
 
 
@@ -101,7 +101,7 @@ def ranges_device_clock(spark: SparkSession, sf: str) -> DataFrame:
         F.col("cb").cast("string"), F.lit(",d1="), F.col("cb").cast("string"), F.lit(",ms="), F.col("ms").cast("string"),
     )
     sent = V.board_lines(spark, sf).select("run_id", "tag_id", "arrival", F.timestamp_micros("us").alias("ingest_ts"), line.alias("message"))
-    kept, _ = ingest.ranges_of(sent, "session", time="device")
+    kept, _ = ingest.ranges_of(sent, "session", time="clock")
     return kept.select("tag_id", "arrival", _r("t", 3), "anchor_id", "distance_cm")
 
 

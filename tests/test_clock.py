@@ -82,7 +82,7 @@ def test_ranges_on_the_device_clock_keep_their_order(spark):
     sent = [(100.0, text.format(90, 1, 90_000)), (100.1, text.format(91, 2, 90_100)), (103.2, text.format(0, 3, 200)), (104.0, "A1=9")]
     df = spark.createDataFrame([(1, t, m) for t, m in sent], "tag_id long, s double, message string")
     df = df.withColumn("ingest_ts", F.timestamp_micros((F.col("s") * 1e6).cast("long"))).drop("s")
-    kept, rest = ingest.ranges_of(df, "session", "device")
+    kept, rest = ingest.ranges_of(df, "session", "clock")
     got = sorted((r.t, r.distance_cm) for r in kept.collect())
     assert [d for _, d in got] == [1.0, 2.0, 3.0] and got[0][0] == pytest.approx(100.0) and got[2][0] == pytest.approx(103.2)
     assert [(r.message, r.reason) for r in rest.collect()] == [("A1=9", "no time")]
