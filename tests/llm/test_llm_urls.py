@@ -61,15 +61,14 @@ def symbols(url):
     return rest + "~"
 
 
-def brute_score(train, url, depth, share):
+def brute_score(train, url, depth, least):
     counts = defaultdict(Counter)
     for u, ok in train:
         s = symbols(u)
         for i, c in enumerate(s):
             for k in range(min(i, depth) + 1):
                 counts[s[i - k : i]][c, ok] += 1
-    total = sum(counts[""].values())
-    kept = {c for c, v in counts.items() if sum(v.values()) >= math.ceil(total * share)}
+    kept = {c for c, v in counts.items() if sum(v.values()) >= least or not c}
 
     def p(context, c, ok):
         lower = p(context[1:], c, ok) if context else 1 / len(U.ALPHABET)
@@ -98,20 +97,25 @@ def sites(n, seed):
 def test_model_equals_plain_computation(spark):
     data = sites(300, 1)
     rows = spark.createDataFrame(data, "url string, accepted boolean")
-    model = U.fit(rows, depth=3, min_share=1 / 50)
+    model = U.fit(rows, depth=3, min_count=40)
     held = {r.url for r in rows.where(F.pmod(F.xxhash64("url"), F.lit(U.FOLDS)) == 0).collect()}
     train = [d for d in data if d[0] not in held]
     tests = [u for u, _ in sites(5, 9)] + ["https://Ünseen.host/?q=1"]
     got = spark.createDataFrame([(u,) for u in tests], "url string").select("url", model.score(F.col("url")).alias("s")).collect()
     for r in got:
-        assert abs(r.s - brute_score(train, r.url, 3, 1 / 50)) < 1e-4
+        assert abs(r.s - brute_score(train, r.url, 3, 40)) < 1e-4
 
 
 def test_held_out_accuracy(spark):
     model = U.fit(spark.createDataFrame(sites(800, 2), "url string, accepted boolean"))
     fresh = U.judged(spark.createDataFrame(sites(400, 3), "url string, accepted boolean"), [], model).collect()
     assert sum((r.verdict == "allow") == r.accepted for r in fresh) / len(fresh) > 0.95
-    assert len(model.step) <= (1 + U.DEPTH / U.MIN_SHARE) * len(U.ALPHABET)
+    assert len(model.step) <= sum(len(U.ALPHABET) ** k for k in range(U.DEPTH + 1)) * len(U.ALPHABET)
+
+
+def test_contexts_grow_with_the_corpus(spark):
+    kept = [len(U.fit(spark.createDataFrame(sites(n, 4), "url string, accepted boolean")).step) for n in (100, 400, 1600)]
+    assert kept[0] < kept[1] < kept[2] and kept[2] > 2 * kept[0]
 
 
 def test_nothing_to_learn_from(spark):
