@@ -6,9 +6,13 @@ each n-gram), and only windows round an anchor are spelled out and looked up in
 the n-gram set itself, so a hit is a verified hit. Everything is a column
 expression over one row; the scan needs no shuffle.
 
-The set is broadcast only up to ``max_ngrams`` n-grams (the count is checked
-first). A larger benchmark takes the other way: windows of the documents are
-exploded and joined with the n-grams in a shuffle.
+The set travels inside the plan up to ``max_ngrams`` n-grams (the count is checked
+first). For a larger benchmark the 64-bit hashes of its n-grams are the broadcast
+set, up to ``max_hashes`` of them (checked too, 8 bytes each and the table's own): every
+window is looked up by its hash where it stands, only windows found leave the
+task, and those are spelled out from their text and verified against the n-grams.
+Beyond that the same lookup is a shuffled join of hashes. The rows are the same on
+every way.
 
 Defined results: NULL and wordless texts have no words and no hits; NULL, empty
 and wordless items have no windows; repeated documents give a row each; repeated
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from tagtrack.llm import common as C
 
 WIDTH = 10
-MAX_NGRAMS = 20_000
+MAX_NGRAMS, MAX_HASHES = 20_000, 4_000_000
 HIT = "struct<start:int,size:int,ngram:string>"
 
 
@@ -76,13 +80,16 @@ class NgramSet:
         return F.when(last >= 0, found).otherwise(none)
 
 
-def _windows(w: Column, n: int) -> Column:
-    """All windows of ``n`` words."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
-    every = F.transform(
-        at, lambda s: F.struct(s.alias("start"), F.lit(n).alias("size"), F.concat_ws(" ", F.slice(w, s + 1, n)).alias("ngram"))
-    )
-    return F.when(F.size(w) >= n, every).otherwise(F.array().cast(f"array<{HIT}>"))
+def _window_hashes(w: Column, sizes: list[int]) -> Column:
+    """Array of (start, size, hash of the words) of all windows of ``w`` of the given sizes."""
+    kind = "array<struct<start:int,size:int,hash:bigint>>"
+
+    def windows(n: int) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
+        every = F.transform(at, lambda s: F.struct(s.alias("start"), F.lit(n).alias("size"), F.xxhash64(F.slice(w, s + 1, n)).alias("hash")))
+        return F.when(F.size(w) >= n, every.cast(kind)).otherwise(F.array().cast(kind))
+
+    return F.concat(F.array().cast(kind), *[windows(n) for n in sizes])
 
 
 def covered(hits: Column) -> Column:
@@ -92,7 +99,7 @@ def covered(hits: Column) -> Column:
     )
 
 
-def _with_hits(documents: DataFrame, benchmark: DataFrame, width: int, max_ngrams: int) -> tuple[DataFrame, DataFrame, bool]:
+def _with_hits(documents: DataFrame, benchmark: DataFrame, width: int, max_ngrams: int, max_hashes: int) -> tuple[DataFrame, DataFrame, bool]:
     """doc_id, key, n_words, first (1 once per row), start, size, ngram: a row per hit, or one without a hit."""
     grams = item_ngrams(benchmark, width)
     ngrams = NgramSet.collect(grams, max_ngrams)
@@ -102,28 +109,45 @@ def _with_hits(documents: DataFrame, benchmark: DataFrame, width: int, max_ngram
         rows = rows.select("doc_id", "key", "n_words", F.posexplode_outer("hits").alias("i", "h"))
         first = F.when(F.coalesce("i", F.lit(0)) == 0, 1).otherwise(0).alias("first")
         return grams, rows.select("doc_id", "key", "n_words", first, "h.*"), True
-    return grams, _joined_hits(base, grams, width), False
-
-
-def _joined_hits(base: DataFrame, grams: DataFrame, width: int) -> DataFrame:
-    """The rows of ``_with_hits`` for (doc_id, key, w) by a shuffled join of all windows with the n-grams."""
-    sizes = [r.size for r in grams.select("size").distinct().limit(width).collect()]
-    windows = F.concat(F.array(F.lit(None).cast(HIT)), *[_windows(F.col("w"), n) for n in sizes])
-    rows = base.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.explode(windows).alias("h"))
-    rows = rows.select("doc_id", "key", "n_words", F.when(F.col("h").isNull(), 1).otherwise(0).alias("first"), "h.*")
-    plain = rows.where("first = 1")
-    hit = rows.where("first = 0").join(grams.select("ngram"), "ngram", "left_semi")
-    return plain.unionByName(hit)
+    return grams, _joined_hits(base, grams, width, max_hashes), False
+
+
+def _joined_hits(base: DataFrame, grams: DataFrame, width: int, max_hashes: int) -> DataFrame:
+    """The rows of ``_with_hits`` for (doc_id, key, w): windows are looked up by hash, those found are verified by their words."""
+    plain = base.select(
+        "doc_id", "key", F.size("w").cast("long").alias("n_words"), F.lit(1).alias("first"), F.lit(None).cast(HIT).alias("hit")
+    ).select("doc_id", "key", "n_words", "first", "hit.*")
+    return plain.unionByName(_found(base, grams, width, max_hashes))
+
+
+def _found(base: DataFrame, grams: DataFrame, width: int, max_hashes: int) -> DataFrame:
+    """doc_id, key, n_words, first (0), start, size, ngram: a row per hit of each (doc_id, text)."""
+    sizes = sorted(r.size for r in grams.select("size").distinct().limit(width).collect())
+    hashes = grams.select(F.xxhash64(F.split("ngram", " ")).alias("hash")).distinct()
+    if hashes.limit(max_hashes + 1).count() <= max_hashes:
+        hashes = F.broadcast(hashes)
+    windows = base.select("doc_id", "key", F.explode(C.let(F.col("w"), lambda w: _window_hashes(w, sizes))).alias("h"))
+    windows = windows.select("doc_id", "key", F.col("h.start").alias("start"), F.col("h.size").alias("size"), F.col("h.hash").alias("hash"))
+    # as many spans as a text has windows at most
+    spans = windows.join(hashes, "hash", "left_semi").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "spans")
+    texts = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    spelled = F.transform(
+        "spans",
+        lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), F.concat_ws(" ", F.slice("w", x["start"] + 1, x["size"])).alias("ngram")),
+    )
+    hit = texts.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.lit(0).alias("first"), F.explode(spelled).alias("h"))
+    return hit.select("doc_id", "key", "n_words", "first", "h.*").join(grams.select("ngram"), "ngram", "left_semi")
 
 
 def contamination(
-    documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_ngrams: int = MAX_NGRAMS
+    documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_ngrams: int = MAX_NGRAMS, max_hashes: int = MAX_HASHES
 ) -> DataFrame:
     """doc_id, n_words, n_hit, spans, items, contaminated: a row per document.
 
     ``spans`` are the (start, size) word windows found, ``items`` the sorted ids (as strings) of their items.
     """
-    grams, rows, fits = _with_hits(documents, benchmark, width, max_ngrams)
+    grams, rows, fits = _with_hits(documents, benchmark, width, max_ngrams, max_hashes)
     owners = grams.select("ngram", "items")
     rows = rows.join(F.broadcast(owners) if fits else owners, "ngram", "left")
     none = F.array().cast("array<string>")
@@ -151,13 +175,14 @@ def decontaminated(
     mode: str = "documents",
     width: int = WIDTH,
     max_ngrams: int = MAX_NGRAMS,
+    max_hashes: int = MAX_HASHES,
 ) -> DataFrame:
     """Documents without benchmark passages, all columns kept.
 
     ``documents`` drops every contaminated document; ``spans`` cuts the hit words
     (and the characters between neighbours of one span) out of the text. Both are
-    projections of the scan while the n-grams fit; beyond that, the spans of every
-    (doc_id, text) are collected by a shuffle and joined back, with the same result.
+    projections of the scan while the n-grams fit; beyond that, the verified spans of every
+    (doc_id, text) that has any are joined back, with the same result.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -165,7 +190,7 @@ def decontaminated(
     ngrams = NgramSet.collect(grams, max_ngrams)
     if ngrams is None:
         base = documents.select("doc_id", C.text_key(F.col("text")).alias("key"), C.words(F.col("text")).alias("w"))
-        found = _joined_hits(base, grams, width).where("first = 0").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size")).alias("hits"))
+        found = _found(base, grams, width, max_hashes).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size")).alias("hits"))
         doc, key, hit = (C.free_name(documents, x) for x in ("_hit_id", "_hit_key", "hits"))
         found = found.select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("hits").alias(hit))
         same = documents["doc_id"].eqNullSafe(F.col(doc)) & (C.text_key(documents["text"]) == F.col(key))

@@ -57,11 +57,18 @@ DOCS = [
 ITEMS = [(100, TEN + " eleven"), (3, "alpha, BETA"), (20, "É"), (20, "É"), (5, None), (6, ""), (7, "!!"), (None, "two three four")]
 
 
-@pytest.mark.parametrize("limit", [20_000, 1])
-def test_edges(spark, limit):
+@pytest.mark.parametrize("limit,hashes", [(20_000, 1), (1, 1000), (1, 1)])
+def test_edges(spark, limit, hashes):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in DOCS], "doc_id long, text string, hits int, key string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert rows(D.contamination(docs, items, max_ngrams=limit)) == brute(DOCS, ITEMS)
+    assert rows(D.contamination(docs, items, max_ngrams=limit, max_hashes=hashes)) == brute(DOCS, ITEMS)
+
+
+def test_lookup_by_hash_shuffles_no_windows(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = D.contamination(docs, items, max_ngrams=10)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi, (hash" in plan and "rightHint=(strategy=broadcast)" in plan
 
 
 @pytest.mark.parametrize("limit", [20_000, 10])
