@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tagtrack import constants as K
 from tagtrack.functions import geometry as G
@@ -112,6 +116,55 @@ def truth_brackets(truth: DataFrame, keys: Sequence[str] = align.KEYS) -> DataFr
     )
 
 
+_SPOT = ("t", "x", "y", "z")
+
+
+def remembered(truth: DataFrame, keys: Sequence[str] = align.KEYS, history: int = K.TRUTH_HISTORY, width: float = scan.CHUNK_S) -> DataFrame:
+    """Truth samples (keys, t, x, y, z) with ``next``, the sample after, and ``oldest``, the oldest of the last ``history``.
+
+    Samples are cut into parts by their number, not by time, so a part has the same size at
+    any rate; its last ``history`` - 1 samples are lent to the part after it and its first one
+    to the part before, and both neighbours are plain lag and lead inside a part.
+    """
+    keys = list(keys)
+    size = max(4096, 8 * history)
+    indexed = scan.with_index(scan.with_chunk(truth.select(*keys, *_SPOT), "t", width), keys, ["t"], "_idx")
+    part, place = F.expr(f"(_idx - 1) div {size}"), F.expr(f"(_idx - 1) % {size}")
+    after = F.when(place > size - history, part + 1)
+    before = F.when((place == 0) & (part > 0), part - 1)
+    lent = indexed.select("*", part.alias("_own"), F.explode(F.array_compact(F.array(part, after, before))).alias("_part"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_idx")
+    spot = F.struct(*_SPOT)
+    first = F.first(spot).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = lent.select(
+        *keys, *_SPOT, "_own", "_part",
+        F.lead(spot).over(inside).alias("next"),
+        F.coalesce(F.lag(spot, history - 1).over(inside), first).alias("oldest"),
+    )
+    return rows.where("_own = _part").drop("_own", "_part")
+
+
+def as_of(targets: DataFrame, samples: DataFrame, at: str, name: str, keys: Sequence[str] = align.KEYS, width: float = scan.CHUNK_S) -> DataFrame:
+    """``targets`` with ``name``: the columns of the last sample (by t) not after ``at``, NULL where there is none.
+
+    Both sides are put into chunks of time and ordered together; the first targets of a chunk take the
+    last sample of an earlier one, carried over by a row per chunk.
+    """
+    keys = list(keys)
+    own = [c for c in targets.columns if c not in (*keys, scan.CHUNK)]
+    chunk = lambda t: scan.chunk_of(F.col(t), width).alias(scan.CHUNK)
+    held = F.struct(*[c for c in samples.columns if c not in keys])
+    side0 = samples.select(*keys, chunk("t"), F.col("t").alias("_when"), F.lit(0).alias("_side"), held.alias("_b"))
+    side1 = targets.select(*keys, chunk(at), F.col(at).alias("_when"), F.lit(1).alias("_side"), *own)
+    both = side0.unionByName(side1, allowMissingColumns=True)
+    inside = F.last("_b", ignorenulls=True).over(scan.chunk_window(keys, ["_when", "_side"]))
+    # one row per chunk; chunks that hold targets only are in it as well
+    parts = both.groupBy(*keys, scan.CHUNK).agg(F.max_by("_b", F.when(F.col("_side") == 0, F.col("_when"))).alias("_end"))
+    carry = parts.select(*keys, scan.CHUNK, F.last("_end", ignorenulls=True).over(scan.earlier_chunks(keys)).alias("_before"))
+    found = both.withColumn("_b", inside).where("_side = 1").join(carry, [*keys, scan.CHUNK], "left")
+    return found.select(*keys, *own, F.coalesce("_b", "_before").alias(name))
+
+
 def truth_at(
     targets: DataFrame,
     truth: DataFrame,
@@ -122,44 +175,24 @@ def truth_at(
 ) -> DataFrame:
     """True position at time ``at`` of each target row, from the last ``history`` samples.
 
-    ``targets`` has keys, t and ``at`` <= t; ``truth`` has keys, t, x, y, z at
-    increasing t with a sample at each target's t.  Between two samples the
-    position is interpolated; before the oldest remembered sample it is that
-    sample.  The bracket is found by an as-of join: union, window inside the
-    chunk, and for the first rows of a chunk the last sample of an earlier one.
-    Adds at_x, at_y, at_z.
+    ``targets`` has keys, t and ``at`` <= t; ``truth`` has keys, t, x, y, z at increasing t.
+    What a target remembers are the last ``history`` samples not after its t, which need
+    not be a sample's own stamp.  Between two remembered samples the position is
+    interpolated; before the oldest one it is that sample, after the newest one the
+    newest, and without any it is NULL.  Adds at_x, at_y, at_z.
     """
     keys = list(keys)
-    indexed = scan.with_index(scan.with_chunk(truth, "t", width), keys, ["t"], "_idx")
-    known = truth_brackets(indexed, keys)
-    sample = [c for c in ("t", "x", "y", "z", "next_t", "next_x", "next_y", "next_z")]
-    side0 = known.select(*keys, scan.CHUNK, F.col("t").alias("_when"), F.lit(0).alias("_side"), F.struct(*sample).alias("_b"))
     extra = [c for c in targets.columns if c not in (*keys, scan.CHUNK)]
-    side1 = targets.select(
-        *keys, scan.chunk_of(F.col(at), width).alias(scan.CHUNK), F.col(at).alias("_when"), F.lit(1).alias("_side"), *extra
-    )
-    both = side0.unionByName(side1, allowMissingColumns=True)
-    inside = F.last("_b", ignorenulls=True).over(scan.chunk_window(keys, ["_when", "_side"]))
-    # one row per chunk; chunks that hold targets only are in it as well
-    parts = both.groupBy(*keys, scan.CHUNK).agg(F.max_by("_b", F.when(F.col("_side") == 0, F.col("_when"))).alias("_end"))
-    carry = parts.select(
-        *keys, scan.CHUNK, F.last("_end", ignorenulls=True).over(scan.earlier_chunks(keys)).alias("_before")
-    )
-    found = both.withColumn("_b", inside).where("_side = 1").join(carry, [*keys, scan.CHUNK], "left")
-    found = found.withColumn("_b", F.coalesce("_b", "_before")).drop("_before", "_side", "_when", scan.CHUNK)
-    oldest = indexed.select(*keys, "_idx", *[F.col(c).alias(f"_old_{c}") for c in ("t", "x", "y", "z")])
-    now = indexed.select(*keys, "t", F.greatest(F.col("_idx") - (history - 1), F.lit(1)).alias("_idx"))
-    floor = now.join(oldest, [*keys, "_idx"]).drop("_idx")
-    rows = found.join(floor, [*keys, "t"], "left")
-    b = F.col("_b")
-    span = b["next_t"] - b["t"]
+    known = remembered(truth, keys, history, width)
+    newest = as_of(targets, known.select(*keys, "t", "oldest"), "t", "_now", keys, width)
+    rows = as_of(newest, known.select(*keys, *_SPOT, "next"), at, "_b", keys, width)
+    b, old = F.col("_b"), F.col("_now.oldest")
+    after = F.when(b["next"]["t"] <= F.col("t"), b["next"])
+    span = after["t"] - b["t"]
     u = F.when(span > 0, (F.col(at) - b["t"]) / F.when(span > 0, span))
-    before = b.isNull() | (F.col(at) < F.col("_old_t"))
+    before = b.isNull() | (F.col(at) < old["t"])
     picked = [
-        F.when(before, F.col(f"_old_{c}"))
-        .when(u.isNull(), b[c])
-        .otherwise(G.lerp(b[c], b[f"next_{c}"], u))
-        .alias(f"at_{c}")
+        F.when(before, old[c]).when(u.isNull(), b[c]).otherwise(G.lerp(b[c], after[c], u)).alias(f"at_{c}")
         for c in ("x", "y", "z")
     ]
     return rows.select(*keys, *extra, *picked)
@@ -176,38 +209,76 @@ def best_delay(
 
     ``rows`` has keys, t, the estimate x, y, z and the truth true_x, true_y,
     true_z of the tick.  Of the samples at most ``window_s`` old the closest to
-    the estimate wins, the newest on a tie.  The samples reach a tick through a
-    range frame over time (bounded by the window), never as joined pairs; the
-    end of a chunk is lent to the next one so that no frame is cut off.
+    the estimate wins, the newest on a tie.  Rows are sorted inside chunks and pass in
+    batches, of which only the last ``window_s`` seconds are held; the end of a
+    chunk is lent to the next one so that no window is cut off.
     Ticks without truth are no samples.  Adds measured_delay and delay_err, NULL
     without an estimate or with fewer than two samples so far.
     """
-    keys = list(keys)
+    keys, columns = list(keys), rows.columns
     true = F.col("true_x").isNotNull()
     held = scan.running(scan.with_chunk(rows, "t", width), keys, ["t"], {"_idx": ("count", F.when(true, F.lit(1)))})
-    reach = F.sequence(F.col(scan.CHUNK), scan.chunk_of(F.col("t") + F.lit(window_s), width))
-    lent = held.withColumn("_own", F.col(scan.CHUNK)).withColumn(scan.CHUNK, F.explode(reach))
-    # the frame is a little wide in whole microseconds; the exact test follows
-    lent = lent.withColumn("_us", F.round(F.col("t") * 1e6).cast("long"))
-    frame = Window.partitionBy(*keys, scan.CHUNK).orderBy("_us").rangeBetween(-int(window_s * 1e6) - 10, 0)
-    sample = F.struct("t", F.col("true_x").alias("x"), F.col("true_y").alias("y"), F.col("true_z").alias("z"))
-    seen = lent.withColumn("_seen", F.collect_list(F.when(true, sample)).over(frame)).where(F.col("_own") == F.col(scan.CHUNK))
-    age = lambda s: F.col("t") - s["t"]
-    recent = F.slice(F.array_sort("_seen"), -F.least(F.size("_seen"), F.lit(history)), F.lit(history))
-    usable = F.filter(recent, lambda s: (age(s) >= 0) & (age(s) <= window_s))
-    scored = F.transform(
-        usable,
-        lambda s: F.struct(
-            G.distance_3d(s["x"], s["y"], s["z"], F.col("x"), F.col("y"), F.col("z")).alias("err"),
-            (-s["t"]).alias("nt"),
-            age(s).alias("delay"),
-        ),
-    )
-    best = F.when(F.col("x").isNotNull() & (F.col("_idx") >= 2), F.array_min(scored))
-    out = seen.withColumn("_best", best)
-    return out.select(
-        *rows.columns, F.col("_best.delay").alias("measured_delay"), F.col("_best.err").alias("delay_err")
-    )
+    reach = F.sequence(F.col("_own"), scan.chunk_of(F.col("t") + F.lit(window_s), width))
+    lent = held.withColumn("_own", F.col(scan.CHUNK)).withColumn("_part", F.explode(reach))
+    dealt = lent.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part", "t")
+    schema = StructType([*rows.schema.fields, StructField("measured_delay", DoubleType()), StructField("delay_err", DoubleType())])
+    chunked = F.col(scan.CHUNK).alias("_own") if scan.CHUNK in columns else F.col("_own")
+    names = [F.col(c) for c in columns if c != scan.CHUNK]
+    given = dealt.select(*names, chunked, "_part", F.coalesce("_idx", F.lit(0)).alias("_idx"))
+    return given.mapInArrow(_delays(keys, columns, window_s, history), schema)
+
+
+def _delays(keys: list[str], columns: list[str], window_s: float, history: int):
+    """Task of :func:`best_delay`: sorted batches in, each part's own rows out with their delay."""
+    measured = ("t", "x", "y", "z", "true_x", "true_y", "true_z", "_idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail, last = np.empty((len(measured), 0)), None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            group = [batch.column(c) for c in (*keys, "_part")]
+            starts = np.zeros(n, bool)
+            for c in group:
+                starts[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            if last is None or last != [c[0].as_py() for c in group]:
+                starts[0], tail = True, tail[:, :0]
+            last, m = [c[n - 1].as_py() for c in group], tail.shape[1]
+            now = [pc.cast(batch.column(c), pa.float64()).to_numpy(zero_copy_only=False) for c in measured]
+            values = np.concatenate([tail, np.stack(now)], axis=1)
+            delay, err = _closest(values, m, starts, window_s, history)
+            own = pc.equal(batch.column("_part"), batch.column("_own"))
+            out = [batch.column("_own" if c == scan.CHUNK else c) for c in columns]
+            found = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in (delay, err)]
+            yield pa.RecordBatch.from_arrays([*out, *found], [*columns, "measured_delay", "delay_err"]).filter(own)
+            begin = m + int(np.flatnonzero(starts)[-1]) if starts.any() else 0
+            tail = values[:, max(begin, int(np.searchsorted(values[0, begin:], values[0, -1] - window_s) + begin) - 1) :]
+
+    return run
+
+
+def _closest(values: np.ndarray, m: int, starts: np.ndarray, window_s: float, history: int) -> tuple[np.ndarray, np.ndarray]:
+    """Delay and distance of the closest sample of every row from the ``m``-th on; NaN where there is none.
+
+    All rows step back together, one sample at a time; a row leaves when its samples are too old.
+    """
+    t, estimate, truth, count = values[0], values[1:4], values[4:7], values[7]
+    n = values.shape[1] - m
+    first = np.maximum.accumulate(np.where(starts, np.arange(m, m + n), 0))
+    delay, err = np.full(n, np.nan), np.full(n, np.inf)
+    i = np.flatnonzero(~np.isnan(values[1, m:]) & (count[m:] >= 2)) + m
+    back = 0
+    while len(i):
+        j = i - back
+        i = i[(j >= first[i - m]) & (t[i] - t[np.maximum(j, 0)] <= window_s) & (count[i] - count[np.maximum(j, 0)] < history)]
+        j = i - back
+        away = np.sqrt(((truth[:, j] - estimate[:, i]) ** 2).sum(axis=0))
+        closer = away < err[i - m]
+        err[i[closer] - m], delay[i[closer] - m] = away[closer], t[i[closer]] - t[j[closer]]
+        back += 1
+    err[np.isinf(err)] = np.nan
+    return delay, err
 
 
 def errors_3d(rows: DataFrame, tolerance: float) -> DataFrame:

@@ -33,6 +33,56 @@ def heat(positions: DataFrame, keys: Sequence[str] = align.KEYS, until: float |
     )
 
 
+def interval_of(t: Column, times: Sequence[float]) -> Column:
+    """Number of the first of the ascending ``times`` that is not before ``t``; as many as there are beyond the last.
+
+    A tree of comparisons, so a row costs the logarithm of the number of times.
+    """
+    if not times:
+        return F.lit(0)
+    half = len(times) // 2
+    right = interval_of(t, times[half + 1 :]) + (half + 1)
+    return F.when(t <= F.lit(float(times[half])), interval_of(t, times[:half])).otherwise(right)
+
+
+def heat_snapshots(positions: DataFrame, times: Sequence[float], keys: Sequence[str] = align.KEYS) -> DataFrame:
+    """Occupancy as it stood at each of ``times``: keys, snapshot_id, heat_version, row, col, hits.
+
+    ``snapshot_id`` is the place of the time in ``times``, ``heat_version`` the in-court samples
+    of the key up to it: the same version means the same grid. Positions are read once and
+    counted per cell and interval between two snapshots; a cell's running count then stands
+    for every snapshot until the cell changes again. Windows span the intervals of a cell, one row each.
+    A key has no rows for snapshots before its first in-court sample; equal times give equal
+    grids; no times, or only NULL and NaN ones, no rows.
+    """
+    keys = list(keys)
+    known = [(float(at), i) for i, at in enumerate(times) if at is not None and at == at]
+    moments = sorted({at for at, _ in known})
+    placed = positions.where(G.on_court(F.col("x"), F.col("y")))
+    placed = placed.where(F.col("t") <= F.lit(moments[-1]) if moments else F.lit(False))
+    cells = placed.select(
+        *keys, G.heat_row(F.col("y")).alias("row"), G.heat_col(F.col("x")).alias("col"),
+        interval_of(F.col("t"), moments).alias("_i"),
+    )
+    deltas = cells.groupBy(*keys, "row", "col", "_i").agg(F.count(F.lit(1)).alias("_n"))
+    here = Window.partitionBy(*keys, "row", "col").orderBy("_i")
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.coalesce(F.lead("_i").over(here), F.lit(len(moments))) - 1
+    lasting = deltas.select(*keys, "row", "col", "_i", F.sum("_n").over(so_far).alias("hits"), until.alias("_until"))
+    grids = lasting.withColumn("_i", F.explode(F.sequence("_i", "_until")))
+    versions = deltas.groupBy(*keys, "_i").agg(F.sum("_n").alias("_n"))
+    later = Window.partitionBy(*keys).orderBy("_i")
+    versions = versions.select(
+        *keys, F.col("_i").alias("_from"),
+        F.sum("_n").over(later.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("heat_version"),
+        (F.coalesce(F.lead("_i").over(later), F.lit(len(moments))) - 1).alias("_last"),
+    )
+    versions = versions.select(*keys, F.explode(F.sequence("_from", "_last")).alias("_i"), "heat_version")
+    ids = [F.array(*[F.lit(i) for at, i in known if at == moment]) for moment in moments] or [F.array(F.lit(0))]
+    named = F.explode(F.get(F.array(*ids), F.col("_i"))).alias("snapshot_id")
+    return grids.join(versions, [*keys, "_i"]).select(*keys, named, "heat_version", "row", "col", "hits")
+
+
 def heat_summary(grid: DataFrame, keys: Sequence[str] = align.KEYS) -> DataFrame:
     """Version (number of in-court samples), peak and filled cells of each grid."""
     return grid.groupBy(*keys).agg(

@@ -178,6 +178,11 @@ def _r(expr: str, n: int, name: str) -> str:
 
 
 _T = "round(t, 4) + 0 AS t"
+_RAMP = f"""CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col,
+ CASE WHEN ratio <= 0.5 THEN CAST(trunc(40+215*(ratio*2)) AS INTEGER) ELSE 255 END AS r,
+ CASE WHEN ratio <= 0.5 THEN CAST(trunc(170+55*(1-ratio*2)) AS INTEGER) ELSE CAST(trunc(170*(1-(ratio-0.5)*2)) AS INTEGER) END AS g,
+ {_r('CASE WHEN ratio <= 0.5 THEN 30.0::DOUBLE ELSE 30*(1-(ratio-0.5)*2) END', 3, 'b')},
+ CAST(56+trunc(110*ratio) AS INTEGER) AS a FROM q"""
 _HOPS = _TRUTH + ", hops AS (SELECT tag_id, t, x, y, greatest(0, z-95) AS jump FROM truth_v)," + _SEG.format(src="hops")
 _RISE = """, rise AS (SELECT *, jump >= 12 AND NOT coalesce(lag(jump >= 12) OVER (PARTITION BY tag_id ORDER BY t), false) AS up FROM hops)"""
 _SCORED = (
@@ -570,15 +575,28 @@ ORACLES: dict[str, str] = {
  FROM weights w LEFT JOIN allk USING ("row", col)""",
     ),
     "heatmap_snapshot": _with(_HEAT, 'SELECT tag_id, "row", col, count(*) AS hits FROM cells WHERE t <= 2.0 GROUP BY 1, 2, 3'),
+    "heat_snapshots": _with(
+        _HEAT + """, snaps AS (SELECT i AS snapshot_id, 0.517::DOUBLE + 0.05::DOUBLE*i AS upto FROM range(0, 100) s(i)),
+ shot AS (SELECT tag_id, snapshot_id, "row", col, count(*) AS hits FROM cells JOIN snaps ON t <= upto GROUP BY 1, 2, 3, 4)""",
+        """SELECT tag_id, CAST(snapshot_id AS INTEGER) AS snapshot_id, CAST(sum(hits) OVER (PARTITION BY tag_id, snapshot_id) AS BIGINT) AS heat_version,
+ "row", col, hits FROM shot""",
+    ),
+    "heat_snapshots_rgba": _with(
+        _HEAT
+        + """, snaps AS (SELECT * FROM (VALUES (0, 1::DOUBLE), (1, 2::DOUBLE), (2, 4::DOUBLE)) s(snapshot_id, upto)),
+ shot AS (SELECT snapshot_id, "row", col, count(*) AS hits FROM cells JOIN snaps ON t <= upto GROUP BY 1, 2, 3),
+ versions AS (SELECT snapshot_id, CAST(sum(hits) AS BIGINT) AS heat_version FROM shot GROUP BY 1),
+ shotk AS (SELECT snapshot_id, h."row"+o.dy AS "row", h.col+o.dx AS col, sum(h.hits*o.w) AS weighted FROM shot h CROSS JOIN offs o
+  WHERE h."row"+o.dy BETWEEN 0 AND 59 AND h.col+o.dx BETWEEN 0 AND 111 GROUP BY 1, 2, 3),
+ v AS (SELECT snapshot_id, heat_version, "row", col, round(weighted/ws, 6) AS value FROM shotk JOIN weights USING ("row", col) JOIN versions USING (snapshot_id)),
+ q AS (SELECT *, least(greatest(value/max(value) OVER (PARTITION BY snapshot_id), 0), 1) AS ratio FROM v)""",
+        f"SELECT snapshot_id, heat_version, {_RAMP}",
+    ),
     "heat_rgba": _with(
         _HEAT
         + """, v AS (SELECT "row", col, round(weighted/ws, 6) AS value FROM allk JOIN weights USING ("row", col)),
  q AS (SELECT *, least(greatest(value/max(value) OVER (), 0), 1) AS ratio FROM v)""",
-        f"""SELECT CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col,
- CASE WHEN ratio <= 0.5 THEN CAST(trunc(40+215*(ratio*2)) AS INTEGER) ELSE 255 END AS r,
- CASE WHEN ratio <= 0.5 THEN CAST(trunc(170+55*(1-ratio*2)) AS INTEGER) ELSE CAST(trunc(170*(1-(ratio-0.5)*2)) AS INTEGER) END AS g,
- {_r('CASE WHEN ratio <= 0.5 THEN 30.0::DOUBLE ELSE 30*(1-(ratio-0.5)*2) END', 3, 'b')},
- CAST(56+trunc(110*ratio) AS INTEGER) AS a FROM q""",
+        f"SELECT {_RAMP}",
     ),
     "zone_time": _with(
         _POS + "," + _HOOP, f"SELECT tag_id, {_ZONE} AS zone, count(*) AS samples, {_r('count(*)*0.05::DOUBLE', 4, 'seconds')} FROM hp GROUP BY 1, 2"
@@ -606,6 +624,19 @@ ORACLES: dict[str, str] = {
         _POS + "," + _at("0.3301::DOUBLE", 40).replace("{src}", "pos2d"),
         f"SELECT tag_id, {_T}, {_r('at_x', 3, 'at_x')}, {_r('at_y', 3, 'at_y')}, {_r('at_z', 3, 'at_z')} FROM past",
     ),
+    "truth_between_samples": _with(
+        _POS + """,
+brk AS (SELECT tag_id, t, x, y, z, lead(t) OVER w AS nt, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz,
+  first_value(t) OVER h AS ot, first_value(x) OVER h AS ox, first_value(y) OVER h AS oy, first_value(z) OVER h AS oz
+  FROM truth_v WINDOW w AS (PARTITION BY tag_id ORDER BY t), h AS (PARTITION BY tag_id ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+aims AS (SELECT tag_id, t + 0.0213::DOUBLE AS t, t - 0.2301::DOUBLE AS tau FROM pos2d),
+now AS (SELECT a.tag_id, a.t, a.tau, k.ot, k.ox, k.oy, k.oz FROM aims a ASOF LEFT JOIN brk k ON a.tag_id=k.tag_id AND a.t >= k.t),
+past AS (SELECT c.tag_id, c.t, """ + ", ".join(
+            f"CASE WHEN b.t IS NULL OR c.tau < c.ot THEN c.o{a} WHEN b.nt > b.t AND b.nt <= c.t THEN b.{a} + (b.n{a}-b.{a})*((c.tau-b.t)/(b.nt-b.t)) ELSE b.{a} END AS at_{a}"
+            for a in "xyz"
+        ) + " FROM now c ASOF LEFT JOIN brk b ON c.tag_id=b.tag_id AND c.tau >= b.t)",
+        f"SELECT tag_id, {_T}, {_r('at_x', 3, 'at_x')}, {_r('at_y', 3, 'at_y')}, {_r('at_z', 3, 'at_z')} FROM past",
+    ),
     "best_delay": _with(
         _POS + "," + _BEST,
         f"SELECT e.tag_id, {_r('e.t', 4, 't')}, {_r('measured_delay', 4, 'measured_delay')}, {_r('delay_err', 3, 'delay_err')} FROM est e LEFT JOIN best USING (tag_id, t)",

@@ -455,6 +455,23 @@ def heatmap_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return heatmap.heat(_pos2d(spark, sf), until=2.0).select("tag_id", "row", "col", "hits")
 
 
+#: a hundred snapshots, one every 0.05 s
+SNAPSHOTS = [round(0.517 + 0.05 * i, 3) for i in range(100)]
+
+
+def heat_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    out = heatmap.heat_snapshots(_pos2d(spark, sf), SNAPSHOTS)
+    return out.select("tag_id", "snapshot_id", "heat_version", "row", "col", "hits")
+
+
+def heat_snapshots_rgba(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothed and coloured grids of three snapshots of all tags together."""
+    keys = ["run_id", "snapshot_id", "heat_version"]
+    grids = heatmap.heat_snapshots(_pos2d(spark, sf), [1.0, 2.0, 4.0], ["run_id"])
+    fixed = heatmap.smooth_heat(grids, keys=keys).withColumn("value", F.round("value", 6))
+    return heatmap.coloured(fixed, keys).select("snapshot_id", "heat_version", "row", "col", "r", "g", _r("b", 3), "a")
+
+
 def heat_rgba(spark: SparkSession, sf: str) -> DataFrame:
     smoothed = heatmap.smooth_heat(heatmap.heat(_pos2d(spark, sf), ["run_id"]), keys=["run_id"])
     # the ramp truncates, so both sides must start from the same decimals
@@ -510,6 +527,13 @@ def truth_at_delay(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tag_id", _r("t"), *_rs(["at_x", "at_y", "at_z"], 3))
 
 
+def truth_between_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Delayed truth of ticks that lie between the samples of the truth."""
+    aims = _pos2d(spark, sf).select(*KEYS, (F.col("t") + 0.0213).alias("t"), (F.col("t") - 0.2301).alias("at"))
+    out = accuracy.truth_at(aims, V.truth(spark, sf), "at", history=10)
+    return out.select("tag_id", _r("t"), *_rs(["at_x", "at_y", "at_z"], 3))
+
+
 def _est3d(spark: SparkSession, sf: str) -> DataFrame:
     est = _ticks2d(spark, sf).withColumn("z", F.when(F.col("x").isNotNull(), F.lit(95.0)))
     return accuracy.with_truth(est, V.truth(spark, sf))
@@ -772,8 +796,9 @@ QUERIES: dict[str, Query] = {
         tick_window_100ms, run_segments, active_layout, ema_distance, ema_position, project_ground, locate_2d,
         locate_2d_full, locate_2d_frame, locate_3d_to_2d, circle_pairs, locate_3d_point, locate_3d_track, score_3d_track, segment_speed,
         player_card, player_card_3d, jumps, running_max, trail_220, trail_lines, running_total_lines, heat_cells,
-        heatmap_max, heatmap_kernel, heatmap_smooth, heatmap_dense, heatmap_snapshot, heat_rgba, zone_time,
-        hoop_distance, error_final_2d, error_running_2d, precision, filter_delay, truth_at_delay, best_delay,
+        heatmap_max, heatmap_kernel, heatmap_smooth, heatmap_dense, heatmap_snapshot, heat_snapshots,
+        heat_snapshots_rgba, heat_rgba, zone_time,
+        hoop_distance, error_final_2d, error_running_2d, precision, filter_delay, truth_at_delay, truth_between_samples, best_delay,
         error_3d, settings_sanitize, alpha_sweep, stream_ranges_log, stream_latest, stream_tick_window,
         stream_sessions, stream_repeat_suppress, stream_track, messages_to_positions,
         stream_messages_to_positions, card_from_locate_2d, heat_from_locate_2d, locate_3d_async,

@@ -161,3 +161,84 @@ def test_quality(spark):
     assert rate == {("a", 0): (0.4, 0), ("a", 1): (0.1, 1), ("b", 0): (0.2, 1)}
     stale = {r.session: (r.age_ms, r.stale) for r in quality.stale_anchors(tel, F.lit("2024-01-01 00:00:03").cast("timestamp")).collect()}
     assert stale == {"a": (1500.0, False), "b": (2800.0, True)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100])
+def test_interval_of(spark, n):
+    times = [i * 0.5 for i in range(n)]
+    rows = spark.range(-3, 250).select((F.col("id") / 4).alias("t")).withColumn("i", heatmap.interval_of(F.col("t"), times))
+    for r in rows.collect():
+        assert r.i == sum(x < r.t for x in times)
+
+
+def test_heat_snapshots(spark):
+    rnd = random.Random(11)
+    rows = [(tag, rnd.uniform(0, 30), rnd.choice([10.0, 700.0, 9000.0, 1300.0]), rnd.choice([400.0, 800.0])) for tag in (1, 2) for _ in range(300)]
+    rows += [(1, 5.0, 10.0, 400.0)] * 4 + [(3, 29.0, 10.0, 400.0), (4, 3.0, 9000.0, 400.0), (5, None, 10.0, 400.0), (6, 1.0, None, 400.0)]
+    df = spark.createDataFrame([(0, *r) for r in rows], "run_id long, tag_id long, t double, x double, y double")
+    times = [20.0, 5.0, -1.0, 5.0, None, 25.5, float("nan")]
+    got = heatmap.heat_snapshots(df, times)
+    assert got.columns == ["run_id", "tag_id", "snapshot_id", "heat_version", "row", "col", "hits"]
+    seen = {}
+    for r in got.collect():
+        seen.setdefault((r.tag_id, r.snapshot_id), []).append((r.row, r.col, r.hits, r.heat_version))
+    for i, at in enumerate(times):
+        if at is None or at != at:
+            assert not [k for k in seen if k[1] == i]
+            continue
+        grid = heatmap.heat(df, until=at).collect()
+        for tag in range(1, 7):
+            cells = sorted((r.row, r.col, r.hits) for r in grid if r.tag_id == tag)
+            version = sum(c[2] for c in cells)
+            assert sorted(seen.pop((tag, i), [])) == [(*c, version) for c in cells]
+    assert not seen
+    assert heatmap.heat_snapshots(df, []).count() == heatmap.heat_snapshots(df.limit(0), times).count() == 0
+    plan = heatmap.heat_snapshots(df, [float(i) for i in range(100)])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2
+
+
+def test_truth_between_stamps_remembers_what_the_tick_has_seen(spark):
+    kind = "run_id long, tag_id long, t double"
+    truth = spark.createDataFrame([(0, 1, float(i), 10.0 * i, 0.0, 0.0) for i in range(9)], kind + ", x double, y double, z double")
+    aims = [(5.0, 2.5), (5.5, 2.5), (5.5, 4.25), (5.5, 5.25), (0.0, -3.0), (0.5, 0.25), (-1.0, -1.0), (100.0, 7.5), (100.0, 50.0)]
+    targets = spark.createDataFrame([(0, 1, *a) for a in aims], kind + ", at double")
+    got = {(r.t, r.at): r.at_x for r in accuracy.truth_at(targets, truth, "at", history=2, width=2.0).collect()}
+    assert got == {(5.0, 2.5): 40.0, (5.5, 2.5): 40.0, (5.5, 4.25): 42.5, (5.5, 5.25): 50.0, (0.0, -3.0): 0.0, (0.5, 0.25): 0.0,
+                   (-1.0, -1.0): None, (100.0, 7.5): 75.0, (100.0, 50.0): 80.0}
+
+
+def test_memory_over_parts_of_the_truth(spark):
+    """Truth at 1 kHz over several parts: the oldest remembered sample and the next one across their borders."""
+    n, history = 10_000, 600
+    truth = spark.range(n).selectExpr("0L AS run_id", "1L AS tag_id", "id / 1000D AS t", "cast(id AS double) AS x", "0D AS y", "0D AS z")
+    got = {round(r.t * 1000): r for r in accuracy.remembered(truth, history=history, width=1.0).collect()}
+    assert len(got) == n
+    for i, r in got.items():
+        assert r.oldest.x == max(0, i - history + 1) and (r.next.x if r.next else None) == (i + 1 if i + 1 < n else None)
+
+
+def test_best_delay_in_small_batches(spark):
+    """The window passes batch borders, keys and lent rows; against the sum over all pairs."""
+    rnd, rows = random.Random(8), []
+    for tag in (1, 2, 3):
+        t = rnd.uniform(0, 2)
+        for i in range(400):
+            t += rnd.choice([0.001, 0.02, 0.3])
+            x = rnd.uniform(0, 50) if i % 7 else None
+            rows.append((0, tag, round(t, 4), x, x, x, *([float(i), 1.0, 2.0] if i % 5 else [None] * 3), {"k": i}))
+    kind = "run_id long, tag_id long, t double, x double, y double, z double, true_x double, true_y double, true_z double, m map<string,int>"
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {(r.tag_id, r.t): r for r in accuracy.best_delay(spark.createDataFrame(rows, kind), history=25, width=3.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(rows)
+    for tag in (1, 2, 3):
+        mine = [r for r in rows if r[1] == tag]
+        for k, r in enumerate(mine):
+            known = [s for s in mine[: k + 1] if s[6] is not None][-25:]
+            best = min(((math.dist(s[6:9], r[3:6]), -s[2], r[2] - s[2]) for s in known if r[2] - s[2] <= 1.2), default=None) if r[3] is not None else None
+            want = (pytest.approx(best[2]), pytest.approx(best[0])) if best and sum(s[6] is not None for s in mine[: k + 1]) >= 2 else (None, None)
+            found = got[tag, r[2]]
+            assert (found.measured_delay, found.delay_err) == want and found.m == r[9]
