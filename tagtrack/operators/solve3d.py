@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagtrack import constants as K
@@ -23,9 +23,12 @@ from tagtrack.operators import align, scan, solve2d
 from tagtrack.plans.barrier import shared_checkpoint
 
 Layout3 = Mapping[int, tuple[float, float, float]]
+#: a smoothing factor, or one for each value of the key column SETTING
+Alpha = float | Sequence[float]
+SETTING = "setting"
 START = (K.CENTER_X, K.CENTER_Y, K.TAG_BASE_Z)
-PIECE_TICKS = 16384
-WARM_TICKS = 4096
+PIECE_TICKS = 2048
+WARM_TICKS = 512
 # rows held by a task while it advances its tracks together
 LANES, LANE_ROWS = 256, 400_000
 WARM, REAL, SEED = 0, 1, 2
@@ -128,7 +131,7 @@ def locate_points(
 
 
 def _advance(
-    batch: list[pd.DataFrame], ids: Sequence[int], anchors: np.ndarray, alpha_dist: float, alpha_pos: float
+    batch: list[pd.DataFrame], ids: Sequence[int], anchors: np.ndarray, alpha_dist: Alpha, alpha_pos: Alpha
 ) -> pd.DataFrame:
     """Run the recurrence over several tracks at once; returns their rows with state."""
     n, lanes = len(ids), len(batch)
@@ -142,6 +145,10 @@ def _advance(
     state = np.full((lanes, 3), np.nan)
     raw_out = np.full((len(rows), 3), np.nan)
     out = np.full((len(rows), n + 3), np.nan)
+    by_dist, by_pos = (
+        np.full((lanes, 1), a) if np.ndim(a) == 0 else np.asarray(a, float)[rows[SETTING].to_numpy()[start]][:, None]
+        for a in (alpha_dist, alpha_pos)
+    )
     for j in range(int(sizes.max())):
         lane = np.flatnonzero(sizes > j)
         at = start[lane] + j
@@ -153,7 +160,7 @@ def _advance(
             if lane.size == 0:
                 continue
         new, old = dist[at], smoothed[lane]
-        mixed = np.where(np.isnan(old), new, alpha_dist * new + (1.0 - alpha_dist) * old)
+        mixed = np.where(np.isnan(old), new, by_dist[lane] * new + (1.0 - by_dist[lane]) * old)
         smoothed[lane] = np.where(np.isnan(new), old, mixed)
         guess = np.where(np.isnan(state[lane]), START, state[lane])
         both = gauss_newton(
@@ -161,7 +168,7 @@ def _advance(
         )
         raw, est = both[: lane.size], both[lane.size :]
         old = state[lane]
-        mixed = np.where(np.isnan(old), est, alpha_pos * est + (1.0 - alpha_pos) * old)
+        mixed = np.where(np.isnan(old), est, by_pos[lane] * est + (1.0 - by_pos[lane]) * old)
         state[lane] = np.where(np.isnan(est), old, mixed)
         raw_out[at] = raw
         out[at, :n] = smoothed[lane]
@@ -177,7 +184,7 @@ def _advance(
     return rows[(kind == REAL) | last]
 
 
-def _track_task(ids: Sequence[int], anchors: np.ndarray, alpha_dist: float, alpha_pos: float, keys: Sequence[str]):
+def _track_task(ids: Sequence[int], anchors: np.ndarray, alpha_dist: Alpha, alpha_pos: Alpha, keys: Sequence[str]):
     group = [*keys, "piece"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +212,7 @@ def _track_task(ids: Sequence[int], anchors: np.ndarray, alpha_dist: float, alph
 
 
 def solver(
-    layout: Layout3, alpha_dist: float, alpha_pos: float, keys: Sequence[str], types: Mapping[str, str]
+    layout: Layout3, alpha_dist: Alpha, alpha_pos: Alpha, keys: Sequence[str], types: Mapping[str, str]
 ) -> tuple[list[str], list[str], list[str], Callable[[DataFrame], DataFrame]]:
     """Names of the distances, of the state and of all columns of the rows that the returned function advances.
 
@@ -237,8 +244,8 @@ def solver(
 def locate_track(
     ticks: DataFrame,
     layout: Layout3,
-    alpha_dist: float,
-    alpha_pos: float,
+    alpha_dist: Alpha,
+    alpha_pos: Alpha,
     keys: Sequence[str] = align.KEYS,
     piece_ticks: int = PIECE_TICKS,
     warm_ticks: int = WARM_TICKS,
@@ -247,13 +254,19 @@ def locate_track(
 ) -> DataFrame:
     """Sequential mode over tick rows with ``idx`` (1-based position in the track).
 
-    Constant smoothing factors, as the recurrence is defined per tick.  Adds the
+    Constant smoothing factors, as the recurrence is defined per tick; lists of factors
+    are indexed by the key column ``setting``.  Adds the
     smoothed distances ``s<n>``, the raw solution and the smoothed position.
+
+    Every piece starts from a warm-up on the end of the one before.  Where that start differs from the true
+    end, the piece is solved again from the end and written by itself as a further generation; only
+    seams after such pieces can be wrong then.  The last generation of a piece is its result.
     """
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in ticks.schema.fields}
     dist, state, cols, solve = solver(layout, alpha_dist, alpha_pos, keys, types)
     warm_ticks = min(warm_ticks, piece_ticks)
+    piece = [*keys, "piece"]
     nothing = [F.lit(None).cast("double").alias(c) for c in state]
     at = F.col("idx") - 1
     own = F.floor(at / F.lit(piece_ticks)).cast("long")
@@ -263,37 +276,44 @@ def locate_track(
         "*", F.explode(F.when(lends, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))).alias("piece")
     )
     kind = F.when(F.col("piece") == F.col("_own"), F.lit(REAL)).otherwise(F.lit(WARM))
-    feed = pieces.select(*keys, "piece", "idx", "t", "dt", kind.alias("kind"), *dist, *nothing)
-    out = barrier(solve(feed))
+    feed = pieces.select(*piece, "idx", "t", "dt", kind.alias("kind"), *dist, *nothing)
+
+    def renamed(to: str, of: str = "") -> list[Column]:
+        return [F.col(of + c).alias(to + c) for c in state]
+
+    first = barrier(solve(feed))
+    follows = first.where((F.col("kind") == REAL) & (F.pmod(F.col("idx") - 1, F.lit(piece_ticks)) == 0)).select(*piece)
+    # one row per piece and generation from here on, but for the redone pieces themselves
+    starts = first.where(F.col("kind") != REAL).select(*piece, F.lit(0).alias("_gen"), *renamed("b_"))
+    done, redone = first.where(F.col("kind") == REAL).withColumn("_gen", F.lit(0)), first.where(F.col("kind") == REAL)
+    apart = F.lit(False)
+    for c in state:
+        start, end = F.col(f"b_{c}"), F.col(f"e_{c}")
+        apart = apart | F.coalesce(F.abs(start - end) > tolerance_cm, F.lit(False)) | (start.isNull() != end.isNull())
+    rounds = 0
     while True:
-        real = out.where(F.col("kind") == REAL)
-        ends = real.where(F.col("idx") % piece_ticks == 0).select(
-            *keys, (F.col("piece") + 1).alias("piece"), "idx", "t", "dt", *[F.col(c).alias(f"e_{c}") for c in state]
+        ends = redone.where(F.col("idx") % piece_ticks == 0).select(
+            *keys, (F.col("piece") + 1).alias("piece"), "idx", "t", "dt", *renamed("e_")
         )
-        guessed = out.where(F.col("kind") != REAL).select(*keys, "piece", *state)
-        follows = real.where(F.pmod(F.col("idx") - 1, F.lit(piece_ticks)) == 0).select(*keys, "piece")
-        apart = F.lit(False)
-        for c in state:
-            both = F.coalesce(F.abs(F.col(c) - F.col(f"e_{c}")) > tolerance_cm, F.lit(False))
-            apart = apart | both | (F.col(c).isNull() != F.col(f"e_{c}").isNull())
-        seams = follows.join(ends, [*keys, "piece"]).join(guessed, [*keys, "piece"], "left")
-        wrong = barrier(seams.where(apart).drop(*state))
+        seams = follows.join(ends, piece).join(starts, piece, "left")
+        wrong = barrier(seams.where(apart).select(*piece, "idx", "t", "dt", *[f"e_{c}" for c in state]))
         if wrong.isEmpty():
-            return real.drop("kind", "piece")
+            break
+        rounds += 1
         seed = wrong.select(
-            *keys, "piece", "idx", "t", "dt", F.lit(SEED).alias("kind"),
-            *[F.lit(None).cast("double").alias(c) for c in dist], *[F.col(f"e_{c}").alias(c) for c in state],
-        )
-        again = feed.where(F.col("kind") == REAL).join(wrong.select(*keys, "piece"), [*keys, "piece"], "left_semi")
-        redone = solve(again.select(*cols).unionByName(seed)).where(F.col("kind") == REAL)
-        # the redone pieces now start from the state they are compared with
-        settled = wrong.select(
-            *keys, "piece", "idx", "t", "dt", F.lit(SEED).alias("kind"),
-            *[F.lit(None).cast("double").alias(c) for c in dist], *[F.col(f"e_{c}").alias(c) for c in state],
-            *[F.lit(None).cast("double").alias(c) for c in ("x_raw", "y_raw", "z_raw")],
-        )
-        kept = out.join(wrong.select(*keys, "piece"), [*keys, "piece"], "left_anti")
-        out = barrier(kept.unionByName(redone).unionByName(settled))
+            *piece, "idx", "t", "dt", F.lit(SEED).alias("kind"),
+            *[F.lit(None).cast("double").alias(c) for c in dist], *renamed("", "e_"),
+        )
+        again = feed.where(F.col("kind") == REAL).join(wrong.select(*piece), piece, "left_semi")
+        redone = barrier(solve(again.select(*cols).unionByName(seed)).where(F.col("kind") == REAL))
+        done = done.unionByName(redone.withColumn("_gen", F.lit(rounds)))
+        # a redone piece starts from the state it was compared with
+        settled = wrong.select(*piece, F.lit(rounds).alias("_gen"), *renamed("b_", "e_"))
+        starts = barrier(starts.join(wrong.select(*piece), piece, "left_anti").unionByName(settled))
+    if rounds:
+        last = starts.select(*piece, F.col("_gen").alias("_last"))
+        done = done.join(last, piece, "left").where(F.col("_gen") == F.coalesce("_last", F.lit(0))).drop("_last")
+    return done.drop("kind", "piece", "_gen")
 
 
 def with_track_index(ticks: DataFrame, keys: Sequence[str] = align.KEYS, order: str = "t") -> DataFrame:

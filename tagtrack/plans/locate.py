@@ -220,3 +220,50 @@ def alpha_sweep(
     return every.where(F.col("err").isNotNull()).groupBy("alpha", "tolerance_cm", "anchor_shift").agg(
         F.count(F.lit(1)).alias("n"), F.avg("err").alias("avg_err"), F.avg("precision").alias("avg_precision")
     )
+
+
+def alpha_sweep_3d(
+    ranges: DataFrame,
+    layout: solve3d.Layout3,
+    truth: DataFrame,
+    settings: Sequence[Mapping[str, float]],
+    barrier: Barrier = shared_checkpoint,
+    **pieces: float,
+) -> DataFrame:
+    """Errors of the 3D track under each of ``settings`` (alpha_dist, alpha_pos, precision_tolerance_cm).
+
+    Ticks are aligned once; a setting is a further key of the solver, whose lanes hold
+    all settings of a track side by side. The list is driver-sized; rows grow with it. Per setting: the settings,
+    n scored ticks, average errors against the truth of the tick and against that
+    of the filters' delay, and average precision.
+    """
+    use = [{**K.default_settings("3d"), **s} for s in settings]
+    if not use:
+        raise ValueError("no settings")
+    ids, name = sorted(layout), solve3d.SETTING
+    ticks = barrier(solve3d.with_track_index(align.with_dt(align.event_ticks(ranges, ids))))
+    each = ticks.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(len(use) - 1))))
+    by = {k: [float(s[k]) for s in use] for k in ("alpha_dist", "alpha_pos", "precision_tolerance_cm")}
+    track = solve3d.locate_track(each, layout, by["alpha_dist"], by["alpha_pos"], [*KEYS, name], barrier=barrier, **pieces)
+
+    def of(k: str) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in by[k]]), F.col(name))
+
+    dt = F.coalesce(F.col("dt"), F.lit(0.0))
+    delay = G.filter_delay(of("alpha_dist"), dt) + G.filter_delay(of("alpha_pos"), dt)
+    aimed = track.withColumn("delay_total_s", delay).withColumn("_at", F.col("t") - F.col("delay_total_s"))
+    rows = accuracy.with_truth(accuracy.truth_at(aimed, truth, "_at"), truth)
+    rows = rows.where("true_x IS NOT NULL AND x_raw IS NOT NULL AND x IS NOT NULL")
+    est, true = [F.col(c) for c in ("x", "y", "z")], [F.col(f"true_{c}") for c in ("x", "y", "z")]
+    past = [F.coalesce(F.col(f"at_{c}"), F.col(f"true_{c}")) for c in ("x", "y", "z")]
+    err = G.distance_3d(*true, *est)
+    out = rows.groupBy(name).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(err).alias("avg_err3d"),
+        F.avg(G.distance_2d(*true[:2], *est[:2])).alias("avg_errxy"),
+        F.avg(F.abs(true[2] - est[2])).alias("avg_errz"),
+        F.avg(G.distance_3d(*past, *est)).alias("avg_traj_err_3d"),
+        F.avg("delay_total_s").alias("avg_delay_total_s"),
+        F.avg(G.precision_percent(err, of("precision_tolerance_cm"))).alias("avg_precision"),
+    )
+    return out.select(name, *[of(k).alias(k) for k in by], *[c for c in out.columns if c != name])

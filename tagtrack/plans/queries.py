@@ -609,6 +609,13 @@ def _drain(stream: DataFrame, name: str, mode: str, keys: list[str] | None = Non
     return log.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in rest])
 
 
+def alpha_sweep_3d(spark: SparkSession, sf: str) -> DataFrame:
+    settings = [{}, {"alpha_dist": 0.5, "alpha_pos": 0.5, "precision_tolerance_cm": 200.0}, {"alpha_dist": 0.9, "alpha_pos": 0.3}]
+    out = locate.alpha_sweep_3d(V.ranges(spark, sf, slant=True), V.LAYOUT_Z, V.truth(spark, sf), settings)
+    averages = [c for c in out.columns if c.startswith("avg_")]
+    return out.select("setting", "alpha_dist", "alpha_pos", "precision_tolerance_cm", "n", *_rs(averages, 3))
+
+
 def stream_ranges_log(spark: SparkSession, sf: str) -> DataFrame:
     live = V.messages_of(V.event_stream(spark, sf))
     out, progress = fresh_path(spark, "log"), fresh_path(spark, "log-progress")
@@ -799,7 +806,7 @@ QUERIES: dict[str, Query] = {
         heatmap_max, heatmap_kernel, heatmap_smooth, heatmap_dense, heatmap_snapshot, heat_snapshots,
         heat_snapshots_rgba, heat_rgba, zone_time,
         hoop_distance, error_final_2d, error_running_2d, precision, filter_delay, truth_at_delay, truth_between_samples, best_delay,
-        error_3d, settings_sanitize, alpha_sweep, stream_ranges_log, stream_latest, stream_tick_window,
+        error_3d, settings_sanitize, alpha_sweep, alpha_sweep_3d, stream_ranges_log, stream_latest, stream_tick_window,
         stream_sessions, stream_repeat_suppress, stream_track, messages_to_positions,
         stream_messages_to_positions, card_from_locate_2d, heat_from_locate_2d, locate_3d_async,
         stream_fresh, stream_heat, card_from_locate_3d, stream_track_3d, stream_card_3d, device_clock, ranges_device_clock, stream_repeat_shuffled, stream_device_clock, log_files, message_files, ranges_device_time, truth_file,

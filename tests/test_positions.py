@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tagtrack import constants as K
 from tagtrack.operators import align, scan, solve2d, solve3d
 from tagtrack.plans import locate
+from tagtrack.plans.barrier import shared_checkpoint
 from tagtrack.sources import settings as S
 
 FLAT = {a: xy for a, xy in K.LAYOUTS_2D[4][1].items()}
@@ -208,6 +209,47 @@ def test_track_equals_a_tick_loop(spark, pieces):
                 assert have == pytest.approx(tuple(want), abs=1e-5)
 
 
+def test_redone_pieces_alone_are_written(spark):
+    """Pieces with too short a warm-up are solved again, and only they; slow factors need several generations."""
+    rows, _ = walk(120, slant=True)
+    layout, df, sizes = K.LAYOUTS_3D[4][1], spark.createDataFrame(rows, RANGES), []
+
+    def counted(t):
+        t = shared_checkpoint(t)
+        sizes.append(t.count())
+        return t
+
+    slow = {"alpha_dist": 0.05, "alpha_pos": 0.05}
+    whole = {r.t: (r.x, r.y, r.z) for r in locate.locate_3d(df, layout, slow).collect()}
+    cut = locate.locate_3d(df, layout, slow, barrier=counted, piece_ticks=20, warm_ticks=5).collect()
+    assert len(cut) == len(whole)
+    for r in cut:
+        assert (r.x, r.y, r.z) == pytest.approx(whole[r.t], abs=1e-4) if None not in whole[r.t] else r.x is None
+    # ticks and the first generation, then for every round its wrong seams, the redone rows and the starts of the pieces
+    first, wrong, redone = sizes[1], sizes[2::3], sizes[3::3]
+    assert redone and all(n <= 20 * seams for n, seams in zip(redone, wrong)) and max(redone) < first and wrong[-1] == 0
+
+
+def test_sweep_of_3d_settings_equals_separate_runs(spark):
+    rows, _ = walk(70, slant=True)
+    layout, df = K.LAYOUTS_3D[4][1], spark.createDataFrame(rows, RANGES)
+    stamps = sorted({r[2] for r in rows})
+    truth = spark.createDataFrame([(0, 1, t, 500 + 40 * t, 600 + 30 * t, 95.0) for t in stamps], "run_id long, tag_id long, t double, x double, y double, z double")
+    truth = truth.join(df.select("run_id", "tag_id").distinct().withColumnsRenamed({"run_id": "r", "tag_id": "g"})).select(
+        F.col("r").alias("run_id"), F.col("g").alias("tag_id"), "t", "x", "y", "z"
+    )
+    settings = [{}, {"alpha_dist": 0.6, "alpha_pos": 0.3}, {"alpha_pos": 0.9, "precision_tolerance_cm": 700.0}]
+    got = {r.setting: r for r in locate.alpha_sweep_3d(df, layout, truth, settings, piece_ticks=16, warm_ticks=4).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for i, use in enumerate(settings):
+        one = locate.locate_3d(df, layout, use, truth=truth).where("err3d IS NOT NULL")
+        names = ["err3d", "errxy", "errz", "traj_err_3d", "delay_total_s", "precision"]
+        want = one.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).first()
+        assert got[i].n == want.n > 0
+        for c in names:
+            assert got[i][f"avg_{c}"] == pytest.approx(want[c], abs=1e-6), c
+
+
 def test_ground_mode_keeps_the_slant_ranges(spark):
     rows, _ = walk(30, slant=True, drop=0.0)
     got = locate.locate_3d_to_2d(spark.createDataFrame(rows, RANGES), FLAT).orderBy("t").collect()
