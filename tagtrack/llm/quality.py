@@ -12,6 +12,11 @@ k is not a guess: the weight at which labelled documents kept out of the target
 model separate best (mean accuracy on good and bad) is the cut, and k is the number
 of documents at or above it.
 
+``drawn`` is the plain form of the method, for drawing a corpus of a given size: the weight is the
+whole log ratio (the sum over the n-grams), the noise has temperature 1, and k is given, or the share
+of good documents among the labelled ones. The k documents so drawn are a sample without
+replacement in proportion to the ratio of the two models.
+
 The raw model counts every document. The target model is fitted on a bounded
 sample, the ``MAX_LABELLED`` labelled rows with the smallest seeded hash; that table
 alone is broadcast. Models are arrays of BUCKETS numbers.
@@ -172,11 +177,14 @@ def kth_largest(values: DataFrame, column: str, k: int, few: int = 10_000) -> fl
 
 
 def resampled(docs: DataFrame, labels: DataFrame, noise: float = NOISE, seed: int = SEED) -> tuple[DataFrame, QualityModel, float]:
-    """A row per document: doc_id, n_tokens, log_weight, key, kept; with the model and the key's cut."""
+    """A row per document: doc_id, n_tokens, log_weight, key, log_ratio, draw_key, kept; with the model and the key's cut."""
     sample = labelled(labels, seed)
     model = fit(docs, sample)
     rows = scored(docs.select("doc_id", "text"), model)
-    rows = saved(rows.withColumn("key", F.col("log_weight") + F.lit(noise) * gumbel("doc_id", "text", seed=seed)).drop("text"), "quality")
+    draw = gumbel("doc_id", "text", seed=seed)
+    grams = F.greatest(2 * F.col("n_tokens") - 1, F.lit(0)) + SHRINK
+    rows = rows.withColumn("key", F.col("log_weight") + F.lit(noise) * draw).withColumn("log_ratio", F.col("log_weight") * grams)
+    rows = saved(rows.withColumn("draw_key", F.col("log_ratio") + draw).drop("text"), "quality")
     held = rows.join(F.broadcast(sample.where("held").drop("held")), "doc_id").select("good", "log_weight")
     cut = best_cut(held)
     k = rows.where(F.col("log_weight") >= F.lit(cut)).count()
@@ -184,6 +192,18 @@ def resampled(docs: DataFrame, labels: DataFrame, noise: float = NOISE, seed: in
     return rows.withColumn("kept", F.col("key") >= F.lit(at)), model, at
 
 
+def drawn(rows: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of ``resampled`` with ``drawn``: among the ``k`` with the largest log ratio plus Gumbel noise.
+
+    Without ``k`` the share of good documents among the labelled ones is drawn; without labels every row is. Equal keys
+    at the cut are all drawn; k of no rows or less draws none.
+    """
+    if k is None:
+        good, n = labelled(labels, seed).agg(F.sum(F.col("good").cast("long")), F.count(F.lit(1))).first()
+        k = round(rows.count() * (good / n if n else 1.0))
+    return rows.withColumn("drawn", F.col("draw_key") >= F.lit(kth_largest(rows, "draw_key", k)))
+
+
 def filtered(docs: DataFrame, labels: DataFrame, noise: float = NOISE, seed: int = SEED) -> DataFrame:
     """The resampled documents with all their columns; texts are scored again rather than shuffled."""
     _, model, at = resampled(docs, labels, noise, seed)

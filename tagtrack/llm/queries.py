@@ -69,8 +69,9 @@ def op7_licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _, _ = quality.resampled(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
-    return rows
+    labels = _table(spark, sf, "labels")
+    rows, _, _ = quality.resampled(_table(spark, sf, "documents"), labels)
+    return quality.drawn(rows, labels)
 
 
 def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:

@@ -107,3 +107,34 @@ def test_defined_results(spark):
     some = spark.createDataFrame([(1, 1, None), (2, 0, 1), (2, 1, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.good for r in Q.labelled(some).collect()} == {1: True, 2: False}
     assert Q.resampled(df.limit(0), some)[0].count() == 0
+
+
+def test_drawn_follows_the_whole_ratio_of_the_models(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows, model, _ = Q.resampled(docs, labels)
+    known = Q.labelled(labels).collect()
+    share = sum(r.good for r in known) / len(known)
+    got = Q.drawn(rows, labels).collect()
+    assert sum(r.drawn for r in got) == round(len(got) * share)
+    assert min(r.draw_key for r in got if r.drawn) > max(r.draw_key for r in got if not r.drawn)
+    texts = {r.doc_id: r.text for r in docs.limit(40).collect()}
+    for r in got:
+        if r.doc_id in texts:
+            (_, data, starts), = A.chunks(pa.array([texts[r.doc_id]]))
+            assert r.log_ratio == pytest.approx(model.log_ratio[Q._buckets(data, starts)[0]].sum(), abs=1e-6)
+    noise = [r.draw_key - r.log_ratio for r in got]
+    assert np.mean(noise) == pytest.approx(np.euler_gamma, abs=0.15) and np.std(noise) == pytest.approx(math.pi / 6**0.5, abs=0.15)
+    few = Q.drawn(rows, labels, k=7).where("drawn").count()
+    assert few == 7 and Q.drawn(rows, labels, k=0).where("drawn").count() == 0
+    none = labels.limit(0)
+    assert Q.drawn(Q.resampled(docs.limit(20), none)[0], none).where("drawn").count() == 20
+
+
+def test_noise_decides_among_like_ratios(spark):
+    """Rows with ratios 1 and e are drawn in that proportion; equal keys at the cut together."""
+    rows = spark.range(20_000).select("id", (F.col("id") % 2).cast("double").alias("log_ratio"))
+    rows = rows.withColumn("draw_key", F.col("log_ratio") + Q.gumbel("id")).cache()
+    top = {r.log_ratio: r["count"] for r in Q.drawn(rows, None, k=600).where("drawn").groupBy("log_ratio").count().collect()}
+    assert top[1.0] + top[0.0] == 600 and top[1.0] / top[0.0] == pytest.approx(math.e, rel=0.25)
+    same = spark.range(5).select(F.lit(1.0).alias("draw_key"))
+    assert Q.drawn(same, None, k=2).where("drawn").count() == 5
