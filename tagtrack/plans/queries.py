@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tagtrack import constants as K
 from tagtrack.functions import geometry as G
@@ -585,8 +586,31 @@ def alpha_sweep(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------------
 
 
-def _drain(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over what is there and read back what it wrote.
+Parts = Iterable[object]
+
+
+def _staged(rows: DataFrame, part: Column, n: int, name: str) -> tuple[DataFrame, Parts]:
+    """A stream over an empty folder, and the ``n`` parts of the rows that come into it, one with every step of an iteration.
+
+    The rows are made once and written by part; a part is as many files as tasks write.
+    """
+    spark = rows.sparkSession
+    staged, table = fresh_path(spark, f"{name}-parts"), fresh_path(spark, name)
+    rows.withColumn("_part", part.cast("int")).write.partitionBy("_part").parquet(staged)
+    every = spark.read.schema(StructType([*rows.schema.fields, StructField("_part", IntegerType())])).parquet(staged)
+    # the folder is there before its first part
+    spark.createDataFrame([], rows.schema).write.parquet(table)
+
+    def come() -> Iterator[int]:
+        for k in range(n):
+            every.where(F.col("_part") == k).select(*rows.columns).write.mode("append").parquet(table)
+            yield k
+
+    return spark.readStream.schema(rows.schema).parquet(table), come()
+
+
+def _drain(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None, parts: Parts = (None,)) -> DataFrame:
+    """Run a stream over what is there and read back what it wrote; with ``parts``, again after each of them has come.
 
     ``append`` rows are final. ``update`` rows are logged with the number of their
     batch, and the last one of every key is read: a batch that is repeated changes
@@ -596,12 +620,13 @@ def _drain(stream: DataFrame, name: str, mode: str, keys: list[str] | None = Non
     out, progress = fresh_path(spark, name), fresh_path(spark, f"{name}-progress")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
+        writer = writer.format("parquet").option("path", out)
     elif mode == "update":
-        query = writer.foreachBatch(lambda df, k: df.withColumn("_batch", F.lit(k)).write.mode("append").parquet(out)).start()
+        writer = writer.foreachBatch(lambda df, k: df.withColumn("_batch", F.lit(k)).write.mode("append").parquet(out))
     else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
+        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    for _ in parts:
+        writer.start().awaitTermination()
     if mode != "update":
         return spark.read.schema(stream.schema).parquet(out)
     log = spark.read.schema(stream.schema.add("_batch", "long")).parquet(out)
@@ -651,13 +676,13 @@ def stream_repeat_suppress(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("NOT late").select("tag_id", "session", "src", "cb", F.unix_millis("device_ts").alias("ms"))
 
 
-def _closed(rows: DataFrame, table: str) -> DataFrame:
-    """The files of a folder as a stream, one a batch; a last line of no board, far in the future, releases what boards hold."""
-    spark = rows.sparkSession
-    last = spark.createDataFrame([tuple({"tag_id": -1, "session": "end", "src": "end", "cb": 0}.get(c) for c in rows.columns)], rows.schema)
-    last = last.withColumn("device_ts", F.lit("2100-01-01 00:00:00").cast("timestamp"))
-    last.select(*rows.columns).coalesce(1).write.mode("append").parquet(table)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(table)
+def _closed(rows: DataFrame, part: Column, n: int, name: str) -> tuple[DataFrame, Parts]:
+    """Rows as a stream in ``n`` parts, one a batch; a last line of no board, far in the future, releases what boards hold."""
+    last = rows.sparkSession.createDataFrame([tuple({"tag_id": -1, "session": "end", "src": "end", "cb": 0}.get(c) for c in rows.columns)], rows.schema)
+    last = last.withColumn("device_ts", F.lit("2100-01-01 00:00:00").cast("timestamp")).withColumn("_end", F.lit(n))
+    every = rows.withColumn("_end", part.cast("int")).unionByName(last)
+    live, parts = _staged(every, F.col("_end"), n + 1, name)
+    return live.drop("_end"), parts
 
 
 def stream_repeat_shuffled(spark: SparkSession, sf: str) -> DataFrame:
@@ -665,21 +690,19 @@ def stream_repeat_shuffled(spark: SparkSession, sf: str) -> DataFrame:
     tel = ingest.telemetry(V.messages(spark, sf))
     rows = tel.select("tag_id", "session", "src", F.pmod("cb", F.lit(20)).alias("cb"), F.timestamp_millis(F.col("ms")).alias("device_ts"))
     came = F.unix_micros("device_ts") + F.pmod(F.xxhash64("tag_id", "device_ts"), F.lit(int(K.MAX_AGE_S * 1e6) - 1000))
-    cuts = rows.select(F.percentile_approx(came, [k / 5 for k in range(1, 5)]).alias("c")).first()["c"]
-    table = fresh_path(spark, "shuffled")
-    for low, high in zip([-1, *cuts], [*cuts, 1 << 62], strict=True):
-        rows.where((came > low) & (came <= high)).coalesce(1).write.mode("append").parquet(table)
-    out = _drain(repeats.first_of_repeats(_closed(rows, table), "device_ts"), "repeats", "append").where("NOT late AND tag_id >= 0")
+    cuts = rows.select(F.percentile_approx(came, [k / 5 for k in range(1, 5)]).alias("c")).first()["c"] or []
+    part = sum(((came > c).cast("int") for c in cuts), F.lit(0))
+    live, parts = _closed(rows, part, len(cuts) + 1, "shuffled")
+    out = _drain(repeats.first_of_repeats(live, "device_ts"), "repeats", "append", parts=parts).where("NOT late AND tag_id >= 0")
     return out.select("tag_id", "session", "src", "cb", F.unix_millis("device_ts").alias("ms"))
 
 
 def stream_device_clock(spark: SparkSession, sf: str) -> DataFrame:
     """Device times of board lines that arrive over several batches: boots counted, times off by the delay and the drift bound at most."""
     rows = V.board_lines(spark, sf).select("tag_id", "session", "src", "cb", "ms", "sent_us", F.timestamp_micros("us").alias("device_ts"))
-    table = fresh_path(spark, "board-lines")
-    for k in range(PARTS):
-        rows.where(F.floor((F.col("sent_us") - 1_000_000_000_000) / 250_000_000) == k).coalesce(1).write.mode("append").parquet(table)
-    out = _drain(boardclock.device_time(_closed(rows, table), "device_ts"), "board-times", "append").where("NOT late AND tag_id >= 0")
+    part = F.least(F.floor((F.col("sent_us") - 1_000_000_000_000) / 250_000_000), F.lit(PARTS - 1))
+    live, parts = _closed(rows, part, PARTS, "board-lines")
+    out = _drain(boardclock.device_time(live, "device_ts"), "board-times", "append", parts=parts).where("NOT late AND tag_id >= 0")
     off = F.col("device_us") - F.col("sent_us")
     return out.groupBy("tag_id", "boot").agg(
         F.count(F.lit(1)).alias("lines"), F.max("cb").alias("last_cb"), F.bool_and(off.between(-150_000, 1_820_000)).alias("within_delay")
@@ -706,22 +729,17 @@ def stream_heat(spark: SparkSession, sf: str) -> DataFrame:
 PARTS = 4
 
 
-def _arriving(rows: DataFrame, name: str, t: Column, anchor: Column) -> DataFrame:
-    """Rows as a stream of files in time order, one per batch, cut in the middle of a stamp."""
-    spark, table = rows.sparkSession, fresh_path(rows.sparkSession, name)
+def _arriving(rows: DataFrame, name: str, t: Column, anchor: Column) -> tuple[DataFrame, Parts]:
+    """Rows as a stream in time order, a part per batch, cut in the middle of a stamp."""
     part = F.floor((t / V.TICK_S + (anchor - 1) / 4 + 0.5) / 20)
-    for k in range(PARTS):
-        here = part == k if k < PARTS - 1 else part >= k
-        rows.where(here).coalesce(1).write.mode("append").parquet(table)
-    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
-    return reader.parquet(table)
+    return _staged(rows, F.least(part, F.lit(PARTS - 1)), PARTS, name)
 
 
 def stream_track(spark: SparkSession, sf: str) -> DataFrame:
     """Stateful tracking over the ranges, written out first so that they arrive as files."""
     rows = V.ranges(spark, sf).select("run_id", "tag_id", "t", "arrival", "anchor_id", "distance_cm")
-    live = _arriving(rows, "ranges", F.col("t"), F.col("anchor_id"))
-    out = tracker.final_ticks(_drain(tracker.track(live, V.LAYOUT), "track", "append"))
+    live, parts = _arriving(rows, "ranges", F.col("t"), F.col("anchor_id"))
+    out = tracker.final_ticks(_drain(tracker.track(live, V.LAYOUT), "track", "append", parts=parts))
     return out.select("tag_id", _r("t"), *_rs(["x_raw", "y_raw", "x", "y"], 3))
 
 
@@ -736,9 +754,9 @@ def stream_messages_to_positions(spark: SparkSession, sf: str) -> DataFrame:
     """The same road over a stream of messages."""
     sent = V.range_messages(spark, sf)
     anchor = F.substring("message", 2, 1).cast("int")
-    live = _arriving(sent, "messages", F.unix_micros("ingest_ts") / 1e6, anchor)
+    live, parts = _arriving(sent, "messages", F.unix_micros("ingest_ts") / 1e6, anchor)
     ranges, _ = ingest.ranges_of(live)
-    out = tracker.final_ticks(_drain(tracker.track(ranges, V.LAYOUT), "positions", "append"))
+    out = tracker.final_ticks(_drain(tracker.track(ranges, V.LAYOUT), "positions", "append", parts=parts))
     return out.select("tag_id", _r("t"), *_rs(["x_raw", "y_raw", "x", "y"], 3))
 
 
@@ -762,7 +780,10 @@ def _tracks(spark: SparkSession, sf: str, settings: dict[str, float]) -> track3d
     """A 3D stream run over the ranges, in files that are cut in the middle of a stamp."""
     rows = V.ranges(spark, sf, slant=True).select("run_id", "tag_id", "t", "arrival", "anchor_id", "distance_cm")
     tracks = track3d.Tracks(spark, V.LAYOUT_Z, fresh_path(spark, "tracks"), settings)
-    tracks.start(_arriving(rows, "slant", F.col("t"), F.col("anchor_id")), fresh_path(spark, "tracks-progress")).awaitTermination()
+    live, parts = _arriving(rows, "slant", F.col("t"), F.col("anchor_id"))
+    progress = fresh_path(spark, "tracks-progress")
+    for _ in parts:
+        tracks.start(live, progress).awaitTermination()
     return tracks
 
 

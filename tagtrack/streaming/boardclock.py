@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from tagtrack import constants as K
@@ -21,16 +20,17 @@ class BoardClock:
     runs back, neither within a boot nor at a restart.
     """
 
+    reads = "order_us", "ms", "cb"
     state = "boot long, ms long, cb long, y double, n long, sum_x double, hull_x array<double>, hull_y array<double>, last_us long"
     adds = "boot long, device_us long"
 
     def start(self) -> tuple:
         return 0, None, None, 0.0, 0, 0.0, [], [], None
 
-    def apply(self, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    def apply(self, state: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple | None]]:
         boot, ms, cb, y, n, sum_x, hull_x, hull_y, last = state
-        boots, times = [], []
-        for us, new_ms, new_cb in zip(rows["order_us"], rows["ms"], rows["cb"], strict=True):
+        timed: list[tuple | None] = []
+        for us, new_ms, new_cb in rows:
             new_y = us / 1000 - new_ms
             if ms is not None and (new_ms < ms or new_cb < cb) and new_y - y > clock.LATE_MS:
                 boot, n, sum_x, hull_x, hull_y = boot + 1, 0, 0.0, [], []
@@ -41,9 +41,8 @@ class BoardClock:
             height, drift = clock.supporting(x[at], h[at], sum_x / n)
             sent = round((ms * (1 + drift) + height) * 1000)
             last = sent if last is None else max(last, sent)
-            boots.append(boot)
-            times.append(last)
-        return (boot, ms, cb, y, n, sum_x, list(hull_x), list(hull_y), last), rows.assign(boot=boots, device_us=times)
+            timed.append((boot, last))
+        return (boot, ms, cb, y, n, sum_x, list(hull_x), list(hull_y), last), timed
 
 
 def device_time(telemetry: DataFrame, ts: str = "ingest_ts", keys: Sequence[str] = BOARD, wait_s: float = K.MAX_AGE_S) -> DataFrame:

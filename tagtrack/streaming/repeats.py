@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from tagtrack import constants as K
@@ -16,20 +14,18 @@ from tagtrack.streaming.reorder import in_order
 class FirstLines:
     """Passes on the lines whose counter differs from the board's line before."""
 
-    state, adds = "seen boolean, cb long", ""
+    reads, state, adds = ("cb",), "seen boolean, cb long", ""
 
     def start(self) -> tuple:
         return False, None
 
-    def apply(self, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        if not len(rows):
-            return state, rows
-        seen, cb = state
-        counter = rows["cb"].to_numpy(object)
-        before = np.concatenate([[cb], counter[:-1]])
-        news = counter != before
-        news[0] = news[0] or not seen
-        return (True, counter[-1]), rows[news.astype(bool)]
+    def apply(self, state: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple | None]]:
+        seen, before = state
+        news: list[tuple | None] = []
+        for (cb,) in rows:
+            news.append(None if seen and cb == before else ())
+            seen, before = True, cb
+        return (seen, before), news
 
 
 def first_of_repeats(telemetry: DataFrame, ts: str = "ingest_ts", keys: Sequence[str] = BOARD, wait_s: float = K.MAX_AGE_S) -> DataFrame:
