@@ -2,8 +2,10 @@
 
 The streaming counterpart of the event-mode planar job: per (run, tag) it keeps
 the latest and smoothed distance of each anchor, the smoothed position and the
-player totals.  One state value per tag; rows of a micro-batch are taken in
-(t, arrival) order, and the source options bound how many there are.
+player totals.  One state row per tag; rows of a micro-batch are taken in
+(t, arrival) order, and the source options bound how many there are.  Tags are
+dealt over lanes (:mod:`tagtrack.streaming.reorder`): a call and its exchanges with
+the state store cost milliseconds, which the tags of a lane share.
 
 The clock never runs back: rows older than the tag's open stamp are counted as
 late and leave the track alone.  The last stamp stays open: its rows are kept in
@@ -28,9 +30,10 @@ from tagtrack import constants as K
 from tagtrack.functions.geometry import decay_rate
 from tagtrack.operators import solve2d
 from tagtrack.session import ROCKSDB
+from tagtrack.streaming.reorder import lane_of
 
 STATE = (
-    "last_t double, x double, y double, has_pos boolean, samples long, distance_cm double, speed_sum_cm_s double, "
+    "run_id long, tag_id long, touched_ms long, last_t double, x double, y double, has_pos boolean, samples long, distance_cm double, speed_sum_cm_s double, "
     "max_speed_cm_s double, value array<double>, seen_t array<double>, ema array<double>, "
     "late long, open_t double, open_anchor array<long>, open_distance array<double>, open_arrival array<long>"
 )
@@ -38,6 +41,7 @@ OUTPUT = (
     "run_id long, tag_id long, t double, x_raw double, y_raw double, x double, y double, samples long, "
     "distance_cm double, speed_sum_cm_s double, max_speed_cm_s double, n_ranges long, late long"
 )
+FED = ["run_id", "tag_id", "t", "arrival", "anchor_id", "distance_cm"]
 NEVER = -math.inf
 
 
@@ -57,7 +61,7 @@ class TagTracker(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tag", STATE, ttlDurationMs=self.ttl_ms)
+        self.state = handle.getListState("tags", STATE, ttlDurationMs=self.ttl_ms)
 
     def _position(self, dist: Sequence[float | None]) -> tuple[float, float] | None:
         if self.solved is None or any(d is None for d in dist):
@@ -95,16 +99,37 @@ class TagTracker(StatefulProcessor):
         return [t, x, y, has_pos, samples, path, speeds, top, value, seen, ema], out
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
+        tags = {tuple(s)[:2]: tuple(s)[2:] for s in self.state.get()} if self.state.exists() else {}
+        if self.ttl_ms:  # of the lane, the tags that have been silent for long
+            tags = {k: s for k, s in tags.items() if s[0] + self.ttl_ms > now}
+        part = pd.concat(list(rows), ignore_index=True).iloc[:, : len(FED)]
+        part.columns = FED
+        out = []
+        order = part.sort_values(["run_id", "tag_id"], kind="stable")
+        run, tag = order["run_id"].to_numpy(np.int64), order["tag_id"].to_numpy(np.int64)
+        known = order["anchor_id"].isin(self.ids).to_numpy()
+        t, anchor = order["t"].to_numpy(float), order["anchor_id"].to_numpy(np.int64)
+        distance, arrival = order["distance_cm"].to_numpy(float), order["arrival"].to_numpy(np.int64)
+        cuts = np.flatnonzero((np.diff(run) != 0) | (np.diff(tag) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(run)]):
+            at, own = (int(run[a]), int(tag[a])), known[a:b]
+            after, ticks = self._advanced(at, tags.get(at), *(v[a:b][own] for v in (t, anchor, distance, arrival)))
+            tags[at] = (now, *after)
+            out += ticks
+        self.state.put([(*k, *s) for k, s in tags.items()])
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
+
+    def _advanced(
+        self, at: tuple[int, int], state: tuple | None, t: np.ndarray, anchor: np.ndarray, distance: np.ndarray, arrival: np.ndarray
+    ) -> tuple[tuple, list[tuple]]:
+        """The state of a tag after the rows of a batch, and their ticks."""
         n = len(self.ids)
-        if self.state.exists():
-            *held, late, open_t, open_anchor, open_distance, open_arrival = self.state.get()
+        if state is not None:
+            _, *held, late, open_t, open_anchor, open_distance, open_arrival = state
         else:
             held = [None, 0.0, 0.0, False, 0, 0.0, 0.0, 0.0, [0.0] * n, [NEVER] * n, [0.0] * n]
             late, open_t, open_anchor, open_distance, open_arrival = 0, None, [], [], []
-        part = pd.concat(list(rows), ignore_index=True)
-        part = part[part["anchor_id"].isin(self.ids)]
-        t, anchor = part["t"].to_numpy(float), part["anchor_id"].to_numpy(np.int64)
-        distance, arrival = part["distance_cm"].to_numpy(float), part["arrival"].to_numpy(np.int64)
         if open_t is not None:
             old = t < open_t
             late += int(old.sum())
@@ -116,21 +141,18 @@ class TagTracker(StatefulProcessor):
             distance = np.concatenate([np.array(open_distance, float), distance])
             arrival = np.concatenate([np.array(open_arrival, np.int64), arrival])
         order = np.lexsort((arrival, t))
-        t, anchor, distance, arrival = t[order], anchor[order], distance[order], arrival[order]
-        cuts = np.flatnonzero(np.diff(t)) + 1
-        bounds = [0, *cuts.tolist(), len(t)] if len(t) else [0]
+        t, anchor, distance, arrival = (v[order].tolist() for v in (t, anchor, distance, arrival))
+        bounds = [0, *(i for i in range(1, len(t)) if t[i] != t[i - 1]), len(t)] if t else [0]
         out = []
         for a, b in zip(bounds[:-1], bounds[1:]):
-            after, row = self._tick(held, float(t[a]), anchor[a:b].tolist(), distance[a:b].tolist())
-            if float(t[a]) in new:
-                out.append((key[0], key[1], *row, b - a, late))
+            after, row = self._tick(held, t[a], anchor[a:b], distance[a:b])
+            if t[a] in new:
+                out.append((*at, *row, b - a, late))
             if b < len(t):
                 held = after
             else:  # the last stamp stays open: the state before it, and its rows
-                open_t = float(t[a])
-                open_anchor, open_distance, open_arrival = (v[a:b].tolist() for v in (anchor, distance, arrival))
-        self.state.update((*held, late, open_t, open_anchor, open_distance, open_arrival))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
+                open_t, open_anchor, open_distance, open_arrival = t[a], anchor[a:b], distance[a:b], arrival[a:b]
+        return (*held, late, open_t, open_anchor, open_distance, open_arrival), out
 
     def close(self) -> None:
         pass
@@ -145,7 +167,8 @@ def track(
     """Position and totals after every tick of a stream of ranges; a tick may come again with more ranges."""
     use = {**K.default_settings("2d"), **(settings or {})}
     ranges.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return ranges.groupBy("run_id", "tag_id").transformWithStateInPandas(
+    fed = ranges.select(*FED, lane_of(["run_id", "tag_id"]).alias("lane"))
+    return fed.groupBy("lane").transformWithStateInPandas(
         statefulProcessor=TagTracker(layout, use["alpha_dist"], use["alpha_pos"], ttl_ms=ttl_ms),
         outputStructType=OUTPUT,
         outputMode="Append",
