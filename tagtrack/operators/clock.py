@@ -15,7 +15,7 @@ and a boot never begins before the one before it has ended.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -87,12 +87,15 @@ def boot_lines(numbered: DataFrame, keys: Sequence[str] = KEYS, point_ms: int =
     kinds = {f.name: f.dataType.simpleString() for f in numbered.schema.fields}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["boot long, height double, drift double, top long"])
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        height, drift = envelope(part["x"].to_numpy(), part["y"].to_numpy())
-        return part.iloc[:1][[*keys, "boot"]].assign(height=height, drift=drift, top=part["top"].max())
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            lines = [envelope(x, y) for x, y in zip(part["x"], part["y"], strict=True)]
+            out = part[[*keys, "boot"]].assign(height=[h for h, _ in lines], drift=[d for _, d in lines])
+            yield out.assign(top=part["top"])
 
-    rows = points.select(*keys, "boot", "p.x", "p.y", "top")
-    fitted = rows.groupBy(*keys, "boot").applyInPandas(lambda part: fit(part), schema)
+    # a row per boot with its points: a group of its own per boot would cost milliseconds a boot
+    rows = points.groupBy(*keys, "boot").agg(F.array_sort(F.collect_list("p")).alias("p"), F.max("top").alias("top"))
+    fitted = rows.select(*keys, "boot", "p.x", "p.y", "top").mapInPandas(fit, schema)
     before = Window.partitionBy(*keys).orderBy("boot").rowsBetween(Window.unboundedPreceding, -1)  # a row per boot
     end = on_base(F.col("top"), F.col("height"), F.col("drift"))
     return fitted.select(*keys, "boot", "height", "drift", F.max(end).over(before).alias("floor_us"))

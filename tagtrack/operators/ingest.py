@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagtrack import constants as K
 from tagtrack.functions import text as X
 from tagtrack.operators import clock
+from tagtrack.plans.barrier import shared_checkpoint
 
 
 FORMS = (K.ANCHOR_D1, K.ANCHOR_INDEXED, K.D_INDEXED, K.WORD_INDEXED)
@@ -122,13 +123,14 @@ def _device_stamped(messages: DataFrame) -> DataFrame:
     """Messages with ``_us``, the device time of device lines; NULL for other messages and without a stamp or a tag."""
     fields = F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("_m")
     told = messages.select(fields, F.array(telemetry_struct(F.col("message"))).alias("_t"))
-    told = told.select("_m", F.explode_outer("_t").alias("_t"))
+    # decoded once: the boots, the fits and the lines themselves are three readers
+    told = shared_checkpoint(told.select("_m", F.explode_outer("_t").alias("_t")))
     whole = F.col("_t").isNotNull() & F.col("_m.ingest_ts").isNotNull() & F.col("_m.run_id").isNotNull() & F.col("_m.tag_id").isNotNull()
     lines = told.where(whole).select(
         "_m", "_m.run_id", "_m.tag_id", "_t.session", "_t.src", "_t.ms", "_t.cb",
         F.unix_micros("_m.ingest_ts").alias("us"), F.coalesce("_m.arrival", F.lit(0)).alias("arrival"),
     )
-    timed = clock.with_device_time(lines).select("_m.*", F.col("device_us").alias("_us"))
+    timed = clock.with_device_time(lines, barrier=shared_checkpoint).select("_m.*", F.col("device_us").alias("_us"))
     return timed.unionByName(told.where(~whole).select("_m.*", F.lit(None).cast("long").alias("_us")))
 
 
