@@ -30,7 +30,7 @@ START = (K.CENTER_X, K.CENTER_Y, K.TAG_BASE_Z)
 PIECE_TICKS = 2048
 WARM_TICKS = 512
 # rows held by a task while it advances its tracks together
-LANES, LANE_ROWS = 256, 400_000
+LANES, LANE_ROWS = 1024, 400_000
 WARM, REAL, SEED = 0, 1, 2
 
 
@@ -48,43 +48,53 @@ def gauss_newton(
     """
     low = np.array([K.WORLD_X[0], K.WORLD_Y[0], K.WORLD_Z[0]])
     high = np.array([K.WORLD_X[1], K.WORLD_Y[1], K.WORLD_Z[1]])
-    point = seed.astype(float).copy()
+    point = seed.astype(float)
     best = point.copy()
     best_err = np.full(len(point), np.inf)
     solvable = ~np.isnan(dist).any(axis=1)
     if len(anchors) < 4:
         solvable[:] = False
     live = np.flatnonzero(solvable)
-    eye = damping * np.eye(3)
+    live_point, live_dist = point[live], dist[live]
     for _ in range(iterations):
         if live.size == 0:
             break
-        delta = point[live, None, :] - anchors[None, :, :]
-        reach = np.sqrt(np.maximum((delta * delta).sum(axis=2), 1e-9))
-        resid = reach - dist[live]
-        jac = delta / np.maximum(reach, 1e-6)[:, :, None]
-        normal = np.einsum("nki,nkj->nij", jac, jac) + eye
-        rhs = -np.einsum("nki,nk->ni", jac, resid)
-        # rows of the adjugate are cross products of the columns
-        adj = np.stack(
-            [
-                np.cross(normal[:, 1], normal[:, 2]),
-                np.cross(normal[:, 2], normal[:, 0]),
-                np.cross(normal[:, 0], normal[:, 1]),
-            ],
-            axis=1,
-        )
-        det = (normal[:, 0] * adj[:, 0]).sum(axis=1)
+        # one array per axis and anchor: plain products, no small matrices
+        n00, n01, n02, n11, n12, n22 = (np.zeros(live.size) for _ in range(6))
+        r0, r1, r2, off = (np.zeros(live.size) for _ in range(4))
+        for k, anchor in enumerate(anchors):
+            dx, dy, dz = (live_point[:, i] - anchor[i] for i in range(3))
+            reach = np.sqrt(np.maximum(dx * dx + dy * dy + dz * dz, 1e-9))
+            resid, length = reach - live_dist[:, k], np.maximum(reach, 1e-6)
+            jx, jy, jz = dx / length, dy / length, dz / length
+            n00 += jx * jx
+            n01 += jx * jy
+            n02 += jx * jz
+            n11 += jy * jy
+            n12 += jy * jz
+            n22 += jz * jz
+            r0 += jx * resid
+            r1 += jy * resid
+            r2 += jz * resid
+            off += np.abs(resid)
+        for diagonal in (n00, n11, n22):
+            diagonal += damping
+        # the adjugate of a symmetric matrix
+        a00, a01, a02 = n11 * n22 - n12 * n12, n12 * n02 - n01 * n22, n01 * n12 - n11 * n02
+        a11, a12, a22 = n22 * n00 - n02 * n02, n02 * n01 - n12 * n00, n00 * n11 - n01 * n01
+        det = n00 * a00 + n01 * a01 + n02 * a02
         ok = np.abs(det) >= K.SINGULAR
-        live, resid, adj, det, rhs = live[ok], resid[ok], adj[ok], det[ok], rhs[ok]
-        step = np.einsum("nij,nj->ni", adj, rhs) / det[:, None]
-        moved = np.clip(point[live] + step, low, high)
-        point[live] = moved
-        err = np.abs(resid).mean(axis=1)
-        better = err < best_err[live]
+        bottom = np.where(ok, det, 1.0)
+        step = np.column_stack(
+            [-(a00 * r0 + a01 * r1 + a02 * r2) / bottom, -(a01 * r0 + a11 * r1 + a12 * r2) / bottom, -(a02 * r0 + a12 * r1 + a22 * r2) / bottom]
+        )
+        moved = np.clip(live_point + step, low, high)
+        err = off / len(anchors)
+        better = ok & (err < best_err[live])
         best[live[better]] = moved[better]
         best_err[live[better]] = err[better]
-        live = live[np.sqrt((step * step).sum(axis=1)) >= K.SOLVER_STOP_CM]
+        on = ok & (np.sqrt((step * step).sum(axis=1)) >= K.SOLVER_STOP_CM)
+        live, live_point, live_dist = live[on], moved[on], live_dist[on]
     best[~solvable] = np.nan
     return best
 
@@ -131,13 +141,18 @@ def locate_points(
 
 
 def _advance(
-    batch: list[pd.DataFrame], ids: Sequence[int], anchors: np.ndarray, alpha_dist: Alpha, alpha_pos: Alpha
+    batch: list[pd.DataFrame], sizes: np.ndarray, ids: Sequence[int], anchors: np.ndarray, alpha_dist: Alpha, alpha_pos: Alpha
 ) -> pd.DataFrame:
-    """Run the recurrence over several tracks at once; returns their rows with state."""
-    n, lanes = len(ids), len(batch)
-    sizes = np.array([len(b) for b in batch])
+    """Run the recurrence over several tracks at once; returns their rows with state.
+
+    ``sizes`` are the rows of each track, one after the other in the frames of the batch.
+    """
+    n, lanes = len(ids), len(sizes)
     rows = pd.concat(batch, ignore_index=True)
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    # the longest lane first: at every step the lanes that go on are the first ones
+    longest = np.argsort(-sizes, kind="stable")
+    start, going = start[longest], np.searchsorted(-sizes[longest], -np.arange(int(sizes.max())), side="left")
     dist = rows[[f"d{a}" for a in ids]].to_numpy(dtype=float)
     kind = rows["kind"].to_numpy()
     given = rows[[f"s{a}" for a in ids] + ["x", "y", "z"]].to_numpy(dtype=float)
@@ -149,15 +164,16 @@ def _advance(
         np.full((lanes, 1), a) if np.ndim(a) == 0 else np.asarray(a, float)[rows[SETTING].to_numpy()[start]][:, None]
         for a in (alpha_dist, alpha_pos)
     )
-    for j in range(int(sizes.max())):
-        lane = np.flatnonzero(sizes > j)
-        at = start[lane] + j
+    for j, m in enumerate(going.tolist()):
+        at = start[:m] + j
+        lane: slice | np.ndarray = slice(0, m)
         seeding = kind[at] == SEED
         if seeding.any():
-            smoothed[lane[seeding]] = given[at[seeding], :n]
-            state[lane[seeding]] = given[at[seeding], n:]
-            lane, at = lane[~seeding], at[~seeding]
-            if lane.size == 0:
+            seeds = np.flatnonzero(seeding)
+            smoothed[seeds] = given[at[seeding], :n]
+            state[seeds] = given[at[seeding], n:]
+            lane, at = np.flatnonzero(~seeding), at[~seeding]
+            if at.size == 0:
                 continue
         new, old = dist[at], smoothed[lane]
         mixed = np.where(np.isnan(old), new, by_dist[lane] * new + (1.0 - by_dist[lane]) * old)
@@ -166,7 +182,7 @@ def _advance(
         both = gauss_newton(
             anchors, np.vstack([new, smoothed[lane]]), np.vstack([guess, guess])
         )
-        raw, est = both[: lane.size], both[lane.size :]
+        raw, est = both[: at.size], both[at.size :]
         old = state[lane]
         mixed = np.where(np.isnan(old), est, by_pos[lane] * est + (1.0 - by_pos[lane]) * old)
         state[lane] = np.where(np.isnan(est), old, mixed)
@@ -189,24 +205,39 @@ def _track_task(ids: Sequence[int], anchors: np.ndarray, alpha_dist: Alpha, alph
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows arrive sorted by (key, piece, idx); a piece may span batches
-        tail: pd.DataFrame | None = None
+        tail: list[pd.DataFrame] = []
         waiting: list[pd.DataFrame] = []
-        held = 0
+        sizes: list[int] = []
+        held = open_rows = 0
+        last: tuple | None = None
         for pdf in batches:
-            if tail is not None:
-                pdf = pd.concat([tail, pdf], ignore_index=True)
-            cut = pdf[group].ne(pdf[group].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-            for lo, hi in zip(cut, cut[1:]):
-                waiting.append(pdf.iloc[lo:hi])
-                held += hi - lo
-                if len(waiting) >= LANES or held >= LANE_ROWS:
-                    yield _advance(waiting, ids, anchors, alpha_dist, alpha_pos)
-                    waiting, held = [], 0
-            tail = pdf.iloc[cut[-1] :] if cut else None
-        if tail is not None and len(tail):
-            waiting.append(tail)
-        if waiting:
-            yield _advance(waiting, ids, anchors, alpha_dist, alpha_pos)
+            if not len(pdf):
+                continue
+            first = np.zeros(len(pdf), bool)
+            for c in group:
+                v = pdf[c].to_numpy()
+                first[1:] |= v[1:] != v[:-1]
+            first[0] = last is None or last != tuple(pdf[c].iloc[0] for c in group)
+            last = tuple(pdf[c].iloc[-1] for c in group)
+            cut = np.flatnonzero(first).tolist()
+            if not cut:  # all of it goes on with the open piece
+                tail.append(pdf)
+                open_rows += len(pdf)
+                continue
+            if open_rows + cut[0]:
+                sizes.append(open_rows + cut[0])
+            sizes += [b - a for a, b in zip(cut, cut[1:])]
+            waiting += [*tail, pdf.iloc[: cut[-1]]]
+            held += open_rows + cut[-1]
+            tail, open_rows = [pdf.iloc[cut[-1] :]], len(pdf) - cut[-1]
+            if len(sizes) >= LANES or held >= LANE_ROWS:
+                yield _advance(waiting, np.array(sizes), ids, anchors, alpha_dist, alpha_pos)
+                waiting, sizes, held = [], [], 0
+        if open_rows:
+            waiting += tail
+            sizes.append(open_rows)
+        if sizes:
+            yield _advance(waiting, np.array(sizes), ids, anchors, alpha_dist, alpha_pos)
 
     return run
 
