@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtrack.llm import align, capfilters, chat, covertree, decontaminate, fingerprints, licenses, mixing, neardup, quality, sharding, urls, webpages
+from tagtrack.plans.barrier import fresh_path
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -55,13 +56,15 @@ def op5_html(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    docs = _table(spark, sf, "documents").select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    return sharding.sharded(docs, 24).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    docs, text = _table(spark, sf, "documents"), F.coalesce("text", F.lit(""))
+    size, path = F.octet_length(text) + 8, fresh_path(spark, "shards")
+    placed = sharding.sharded(docs, 24, row_bytes=size)
+    sharding.write_shards(placed, path)
+    shards = spark.read.schema(placed.schema).parquet(path)
+    return shards.select(
+        "doc_id", size.cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op7_licenses(spark: SparkSession, sf: str) -> DataFrame:
