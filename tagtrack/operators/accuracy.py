@@ -186,13 +186,15 @@ def truth_at(
     known = remembered(truth, keys, history, width)
     newest = as_of(targets, known.select(*keys, "t", "oldest"), "t", "_now", keys, width)
     rows = as_of(newest, known.select(*keys, *_SPOT, "next"), at, "_b", keys, width)
-    b, old = F.col("_b"), F.col("_now.oldest")
-    after = F.when(b["next"]["t"] <= F.col("t"), b["next"])
-    span = after["t"] - b["t"]
-    u = F.when(span > 0, (F.col(at) - b["t"]) / F.when(span > 0, span))
-    before = b.isNull() | (F.col(at) < old["t"])
+    # a column a step: in one expression every axis and branch would work all of it out again
+    b, at_s = F.col("_b"), F.col(at)
+    rows = rows.withColumn("_after", F.when(b["next"]["t"] <= F.col("t"), b["next"])).withColumn("_old", F.col("_now.oldest"))
+    after, old, u = F.col("_after"), F.col("_old"), F.col("_u")
+    rows = rows.withColumn("_span", after["t"] - b["t"])
+    rows = rows.withColumn("_u", F.when(F.col("_span") > 0, (at_s - b["t"]) / F.when(F.col("_span") > 0, F.col("_span"))))
+    rows = rows.withColumn("_before", b.isNull() | (at_s < old["t"]))
     picked = [
-        F.when(before, old[c]).when(u.isNull(), b[c]).otherwise(G.lerp(b[c], after[c], u)).alias(f"at_{c}")
+        F.when(F.col("_before"), old[c]).when(u.isNull(), b[c]).otherwise(G.lerp(b[c], after[c], u)).alias(f"at_{c}")
         for c in ("x", "y", "z")
     ]
     return rows.select(*keys, *extra, *picked)
