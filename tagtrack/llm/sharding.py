@@ -90,5 +90,5 @@ def _deal(bucket: Column, n: Column, seed: int) -> Column:
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """One folder per shard; a bucket's part of a shard is one file in slot order."""
-    placed.write.partitionBy("shard").parquet(path)
+    """One folder per shard; a bucket's part of a shard is one file in slot order. Shards are kept, so they are packed well."""
+    placed.write.option("compression", "zstd").partitionBy("shard").parquet(path)
