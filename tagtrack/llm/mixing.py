@@ -116,16 +116,20 @@ def mixed(
     sizes = rows.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     first = free_name(docs, "_first")
-    sizes = sizes.select(key, bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    sizes = sizes.select(key, bucket, "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
     inside = Window.partitionBy(key, bucket).orderBy(h)
-    ranked = rows.withColumn(rank, F.row_number().over(inside) - 1).join(sizes, [key, bucket])
-    ranked = ranked.withColumn(rank, F.col(rank) + F.col(first))
-    ranked = ranked.withColumn("block", F.expr(f"{rank} div {block_rows}L"))
-    start = free_name(docs, "_start")
+    ranked = rows.withColumn(rank, F.row_number().over(inside) - 1)
+    start, places, place = (free_name(docs, x) for x in ("_start", "_places", "_place"))
     blocks = _blocks(docs.sparkSession, [(counts[s], plan[s]) for s in counts], block_rows)
     placed = blocks.join(starts_of(blocks, "slot"), "slot").select(F.col("source").alias(number), "block", "slot", F.col("start").alias(start))
-    out = ranked.join(placed, [number, "block"])
-    return out.withColumn("position", F.col(start) + F.expr(f"{rank} % {block_rows}L")).select(*own, "block", "slot", "position")
+    # a bucket's blocks go to it as one list: the rows are dealt by bucket already and do not move again
+    spans = sizes.join(F.broadcast(sources), key).withColumn("block", F.explode(F.sequence(F.expr(f"{first} div {block_rows}L"), F.expr(f"({first} + n - 1) div {block_rows}L"))))
+    spans = spans.join(placed, [number, "block"]).groupBy(key, bucket, first)
+    spans = spans.agg(F.array_sort(F.collect_list(F.struct("block", "slot", start))).alias(places))
+    out = ranked.join(spans, [key, bucket]).withColumn(rank, F.col(rank) + F.col(first))
+    out = out.withColumn(place, F.get(places, F.expr(f"cast({rank} div {block_rows}L - {first} div {block_rows}L as int)")))
+    position = F.col(f"{place}.{start}") + F.expr(f"{rank} % {block_rows}L")
+    return out.select(*[F.col(f"`{c}`") for c in own], f"{place}.block", f"{place}.slot", position.alias("position"))
 
 
 def _blocks(spark: SparkSession, plan: list[tuple[int, array]], block_rows: int) -> DataFrame:

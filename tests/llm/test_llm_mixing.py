@@ -82,3 +82,16 @@ def test_target_weights_reach_the_rows(spark):
         seen[source] += 1
         assert all(abs(seen[s] - w * (slot + 1)) < 1 + 1e-6 for s, w in weights.items())
     assert seen == {"a": 24_500, "b": 250, "c": 250}
+
+
+def test_rows_move_twice_on_their_way_into_order(spark):
+    """Dealt by bucket and sorted by position; what joins them is small and comes to them."""
+    df = spark.range(5000).selectExpr("id", "concat('text', id) as text", "if(id % 3 = 0, 'a', 'b') as source")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = M.in_order(df)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    nodes = [n.split("\n") for n in plan.split("\n\n")]
+    assert sum(n[0].endswith(") Exchange") and "text#" in n[1] for n in nodes if len(n) > 1) == 2
