@@ -142,12 +142,14 @@ MEMBER = ("c", "n", "b0", "b1", "b2", "b3")
 
 
 def _centred(posts: DataFrame, percent: int) -> DataFrame:
-    """a, b: every member of a list with its centre, the member with the smallest hash.
+    """a, b: every member of a list with its centre, the member that stands in the most of the lists (the smallest hash of equal ones).
 
-    The hash is of the class alone, so the many lists of one family mostly have one centre.
+    What the members of a family have in common makes its lists, so the member with the fewest edits of its own is in
+    the most of them and is nearest to all others; the many lists of one family mostly have one centre.
     """
-    rank = F.struct(F.xxhash64(F.lit(0), "c").alias("h"), *MEMBER)
-    centres = posts.groupBy("key").agg(F.min(rank).alias("m"))
+    often = posts.groupBy("c").agg(F.count(F.lit(1)).alias("lists"))
+    rank = F.struct((-F.col("lists")).alias("few"), F.xxhash64(F.lit(0), "c").alias("h"), *MEMBER)
+    centres = posts.join(often, "c").groupBy("key").agg(F.min(rank).alias("m"))
     fits = _may_link(F.col, lambda f: F.col(f"m.{f}"), percent)
     pairs = posts.join(centres, "key").where(fits)
     return pairs.select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b")).distinct()

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagtrack.llm import neardup as N
 
@@ -157,3 +158,11 @@ def test_recall_of_candidates(spark):
     links = sum(not r[3] for r in want)
     got = rows(N.grouped(spark.createDataFrame(docs, "doc_id long, text string"), 2))
     assert links > 200 and sum(not r[3] for r in got) >= 0.99 * links
+
+
+def test_the_member_of_most_lists_is_their_centre(spark):
+    """Every list holds one class and four that other lists do not hold: each pair has the one as an end."""
+    posts = [(k, c, 100, -1, -1, -1, -1) for k in range(20) for c in (50, *range(1000 * k, 1000 * k + 4))]
+    df = spark.createDataFrame(posts, "key long, c long, n long, b0 long, b1 long, b2 long, b3 long")
+    pairs = N._centred(df, 80).collect()
+    assert len(pairs) == 80 and all(50 in (r.a, r.b) for r in pairs)
