@@ -11,13 +11,14 @@ three far more seldom. Two sets that are 80 % alike share a run for certain whil
 their union fits a sketch, and with a probability of 1 - 5e-7 at the very threshold
 beyond that. Lists of up to ``SHORT`` classes give all their pairs. A longer list,
 such as that of a family of near copies, pairs its members with one centre only, the one
-that most lists of the family have in common; that links most of a family. Then the classes of long lists that are
+that stands in most of the family's lists; that links most of a family. Then the classes of long lists that are
 still in different components are compared over their whole sets, behind a prefix
 filter that all links pass (``_between``), so the rest is exact and no list gives all its pairs. 256-bit
 marks of the sketches drop pairs that cannot be alike before they leave a list.
 
-Of the candidate pairs, the smallest values of the union of both sketches estimate
-the similarity; what lies over four and a half deviations below the threshold goes. The rest
+Of the candidate pairs, those go whose sets' parities differ in more bits than linked sets may in
+values; then the smallest values of the union of both sketches estimate
+the similarity, and what lies over four and a half deviations below the threshold goes. The rest
 is verified on full shingle sets, made again from the texts of candidates alone.
 Links then give components by label propagation with pointer jumping. All
 intermediate tables are written to the shared folder.
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtrack.llm import arrays as A
@@ -69,10 +70,10 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def _lists(sets: list[np.ndarray]) -> pa.Array:
+def _lists(sets: list[np.ndarray], kind: type = np.int64) -> pa.Array:
     ends = np.cumsum([0] + [len(s) for s in sets])
     flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(kind)))
 
 
 def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -95,12 +96,20 @@ def _parity(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+PARITY = ("p0", "p1", "p2", "p3")
+SKETCHED = "n bigint, d1 bigint, d2 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, sketch array<int>"
+
+
 def _sketches(words: int):
+    """Columns of ``SKETCHED``; a sketch has the upper half of its values, which keeps their order."""
+
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(texts, words)
         marks = np.array([_marks(s[:SKETCH]) for s in sets], np.uint64).reshape(-1, 4).astype(np.int64)
+        bits = np.array([_parity(s) for s in sets], np.int64).reshape(-1, 4)
         sizes = pa.array(np.array([len(s) for s in sets], np.int64))
-        return [sizes, *_digests(sets), *(pa.array(marks[:, k]) for k in range(4)), _lists([s[:SKETCH] for s in sets])]
+        columns = [pa.array(x[:, k]) for x in (marks, bits) for k in range(4)]
+        return [sizes, *_digests(sets), *columns, _lists([s[:SKETCH] >> np.uint64(32) for s in sets], np.int32)]
 
     return run
 
@@ -165,20 +174,35 @@ def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
 
 
+def _common(n: str, m: str, percent: int) -> Column:
+    """The values that two linked sets of ``n`` and ``m`` have in common at least."""
+    return F.expr(f"({percent}L * ({n} + {m}) + {percent} + 99) div (100 + {percent})")
+
+
+def _near_enough(n: str, m: str, parities: list[tuple[str, str]], percent: int) -> Column:
+    """Parities that differ in no more bits than two linked sets may in values."""
+    apart = F.lit(0)
+    for x, y in parities:
+        apart = apart + F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    return _common(n, m, percent) * 2 + apart <= F.col(n) + F.col(m)
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose union sketch does not rule the threshold out."""
-    side = classes.select("c", "n", "sketch")
-    both = pairs.join(side.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    both = both.join(side.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    """The pairs whose parities and union sketch do not rule the threshold out."""
+
+    def side(end: str) -> DataFrame:
+        return classes.select(*[F.col(x).alias(y + end) for x, y in (("c", ""), ("n", "n"), ("sketch", "s"), *zip(PARITY, PARITY))])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_near_enough("na", "nb", [(f"{p}a", f"{p}b") for p in PARITY], percent))
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH) & (F.size(F.array_union("sa", "sb")) <= SKETCH)
     p = percent / 100
-    least = F.when(whole, F.size(union) * p - 1e-9).otherwise(F.size(union) * p - DEVIATIONS * F.sqrt(F.size(union) * p * (1 - p)))
+    # two values of a whole set may have one upper half
+    least = F.when(whole, F.size(union) * p - 1).otherwise(F.size(union) * p - DEVIATIONS * F.sqrt(F.size(union) * p * (1 - p)))
     return both.where(shared >= least).select("a", "b")
 
 
-PARITY = ("p0", "p1", "p2", "p3")
 FULL = "n bigint, d1 bigint, d2 bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, shingles array<bigint>"
 
 
@@ -190,11 +214,15 @@ def _full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: in
     small = ids.count() <= MAX_BROADCAST
     text = text.join(F.broadcast(ids) if small else ids, "id", "left_semi")
     sets = A.with_columns(text.select("text"), "text", _full(words), FULL, False)
-    one = [F.first(c).alias(c) for c in (*PARITY, "shingles")]
-    sets = sets.join(wanted.select("c", "d1", "d2", "n"), ["d1", "d2", "n"]).groupBy("c").agg(*one)
+    sets = sets.join(wanted.select("c", "d1", "d2", "n"), ["d1", "d2", "n"]).select("c", *PARITY, "shingles")
     sets = saved(sets, "sets")
     _gone(wanted)
-    return sets
+    # a class comes twice only where rows of one id have one set: whole sets move for that alone
+    if not sets.groupBy("c").count().where("count > 1").limit(1).count():
+        return sets
+    once = saved(sets.groupBy("c").agg(*[F.first(c).alias(c) for c in (*PARITY, "shingles")]), "sets")
+    _gone(sets)
+    return once
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -259,10 +287,9 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    columns = "n bigint, d1 bigint, d2 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, sketch array<bigint>"
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    signed = saved(A.with_columns(rows, "text", _sketches(words), columns, False), "sketches")
-    ids, first = F.coalesce("doc_id", F.lit(NONE)), [F.first(c).alias(c) for c in ("b0", "b1", "b2", "b3", "sketch")]
+    signed = saved(A.with_columns(rows, "text", _sketches(words), SKETCHED, False), "sketches")
+    ids, first = F.coalesce("doc_id", F.lit(NONE)), [F.first(c).alias(c) for c in ("b0", "b1", "b2", "b3", *PARITY, "sketch")]
     classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(ids).alias("rep"), *first)
     classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # the written table fixes the numbers
     marks = _labels(classes, docs, words, percent)
@@ -286,8 +313,8 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 def _labels(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
     """v, label of every linked class; None without any link."""
     posts = classes.select("c", F.explode(F.array_distinct(_keys(F.col("sketch"), F.col("n")))).alias("key"))
-    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posts = posts.join(sizes, "key").join(classes.select(*MEMBER), "c")
+    posts = posts.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
+    posts = posts.join(classes.select(*MEMBER), "c")
     posts = saved(posts, "lists")
     long = saved(posts.where(F.col("size") > SHORT).drop("size"), "long")
     n_long = long.count()
@@ -345,14 +372,12 @@ def _between(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     posts = saved(posts.join(mixed, "key").join(sets.select("c", *PARITY), "c"), "prefixes")
     y = posts.select("key", *[F.col(f).alias(f"{f}_y") for f in ("c", "n", "place", "label", *PARITY)])
     # of the first value they share nothing lies before it, so what lies behind must suffice
-    need = F.expr(f"({percent}L * (n + n_y) + {percent} + 99) div (100 + {percent})")
+    need = _common("n", "n_y", percent)
     enough = F.least(F.col("n") - F.col("place"), F.col("n_y") - F.col("place_y")) + 1 >= need
     near = (F.col("n") * 100 >= F.col("n_y") * percent) & (F.col("label") != F.col("label_y"))
     after = (F.col("n") < F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("c") < F.col("c_y")))
-    apart = F.lit(0)
-    for p in PARITY:
-        apart = apart + F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_y")))
-    pairs = posts.where("short").join(y, "key").where(near & after & enough & (need * 2 + apart <= F.col("n") + F.col("n_y")))
+    fits = _near_enough("n", "n_y", [(p, f"{p}_y") for p in PARITY], percent)
+    pairs = posts.where("short").join(y, "key").where(near & after & enough & fits)
     return pairs.select(F.least("c", "c_y").alias("a"), F.greatest("c", "c_y").alias("b")).distinct()
 
 

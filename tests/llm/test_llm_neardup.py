@@ -166,3 +166,17 @@ def test_the_member_of_most_lists_is_their_centre(spark):
     df = spark.createDataFrame(posts, "key long, c long, n long, b0 long, b1 long, b2 long, b3 long")
     pairs = N._centred(df, 80).collect()
     assert len(pairs) == 80 and all(50 in (r.a, r.b) for r in pairs)
+
+
+def test_parities_rule_pairs_out_before_their_whole_sets_are_made(spark):
+    """Sets whose sketches may be of linked ones, but which differ in more values than those may."""
+    rng, docs = random.Random(12), []
+    for k in range(40):
+        base = [f"a{k}.{i}" for i in range(200)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited(rng, base, 18)))]
+    df = spark.createDataFrame(docs, "c long, text string")
+    made = N.A.with_columns(df, "text", N._sketches(2), N.SKETCHED)
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(40)], "a long, b long")
+    assert not any(not r[3] for r in brute(docs, 2))
+    assert N._estimated(pairs, made.withColumns({p: F.lit(0).cast("long") for p in N.PARITY}), 80).count() > 20
+    assert N._estimated(pairs, made, 80).count() < 20
