@@ -5,7 +5,8 @@ the latest and smoothed distance of each anchor, the smoothed position and the
 player totals.  One state row per tag; rows of a micro-batch are taken in
 (t, arrival) order, and the source options bound how many there are.  Tags are
 dealt over lanes (:mod:`tagtrack.streaming.reorder`): a call and its exchanges with
-the state store cost milliseconds, which the tags of a lane share.
+the state store cost milliseconds, which the tags of a lane share.  The tags of a lane
+advance together over arrays; only the filters and sums go from tick to tick, in order.
 
 The clock never runs back: rows older than the tag's open stamp are counted as
 late and leave the track alone.  The last stamp stays open: its rows are kept in
@@ -32,17 +33,50 @@ from tagtrack.operators import solve2d
 from tagtrack.session import ROCKSDB
 from tagtrack.streaming.reorder import lane_of
 
-STATE = (
-    "run_id long, tag_id long, touched_ms long, last_t double, x double, y double, has_pos boolean, samples long, distance_cm double, speed_sum_cm_s double, "
-    "max_speed_cm_s double, value array<double>, seen_t array<double>, ema array<double>, "
-    "late long, open_t double, open_anchor array<long>, open_distance array<double>, open_arrival array<long>"
-)
+#: of a tag, what :func:`_record` describes and the rows of its open stamp, as bytes: a row of the store costs little
+STATE = "run_id long, tag_id long, touched_ms long, held binary, open binary"
 OUTPUT = (
     "run_id long, tag_id long, t double, x_raw double, y_raw double, x double, y double, samples long, "
     "distance_cm double, speed_sum_cm_s double, max_speed_cm_s double, n_ranges long, late long"
 )
 FED = ["run_id", "tag_id", "t", "arrival", "anchor_id", "distance_cm"]
 NEVER = -math.inf
+OPEN = np.dtype([("anchor", "i8"), ("distance", "f8"), ("arrival", "i8")])
+
+
+def _record(n: int) -> np.dtype:
+    """State of a tag of ``n`` anchors before its open stamp; NaN stands for no time."""
+    whole = [(f, "i8") for f in ("has_pos", "samples", "late")]
+    real = [(f, "f8") for f in ("last_t", "x", "y", "path", "speeds", "top", "open_t")]
+    return np.dtype([*whole, *real, *((f, "f8", (n,)) for f in ("value", "seen", "ema"))])
+
+
+def _summed(parts: Sequence[np.ndarray]) -> np.ndarray:
+    """Compensated sums, as Python's ``sum`` gives of floats."""
+    total, lost = np.zeros(len(parts[0])), np.zeros(len(parts[0]))
+    for v in parts:
+        after = total + v
+        lost += np.where(np.abs(total) >= np.abs(v), (total - after) + v, (v - after) + total)
+        total = after
+    return total + lost
+
+
+def _folded(keep: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """y of y = keep * y + add, row by row; where ``keep`` is 0 a tag begins anew."""
+    out, y = [], 0.0
+    for k, a in zip(keep.tolist(), add.tolist()):
+        y = k * y + a if k else a
+        out.append(y)
+    return np.array(out, float)
+
+
+def _highest(first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The highest value so far, anew at every ``first``."""
+    out, y = [], 0.0
+    for f, v in zip(first.tolist(), values.tolist()):
+        y = v if f or v > y else y
+        out.append(y)
+    return np.array(out, float)
 
 
 class TagTracker(StatefulProcessor):
@@ -63,40 +97,13 @@ class TagTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getListState("tags", STATE, ttlDurationMs=self.ttl_ms)
 
-    def _position(self, dist: Sequence[float | None]) -> tuple[float, float] | None:
-        if self.solved is None or any(d is None for d in dist):
-            return None
+    def _position(self, dist: Sequence[np.ndarray], usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x, y of the ticks that are usable, NaN elsewhere."""
+        if self.solved is None:
+            return np.full(len(usable), np.nan), np.full(len(usable), np.nan)
         weights, const = self.solved
-        return tuple(
-            const[axis] + sum(weights[a][axis] * d * d for a, d in zip(self.ids, dist)) for axis in (0, 1)
-        )
-
-    def _tick(self, held: list, t: float, anchors: Sequence[int], distances: Sequence[float]) -> tuple[list, tuple]:
-        """The state after one tick and its output; the state given is left as it is."""
-        last_t, x, y, has_pos, samples, path, speeds, top, value, seen, ema = held
-        value, seen, ema = list(value), list(seen), list(ema)
-        dt = None if last_t is None else t - last_t
-        keep_d, keep_p = (math.exp(-r * (dt if dt is not None and dt > 0 else 1.0 / K.TICK_HZ)) for r in self.rates)
-        for anchor, d in dict(zip(anchors, distances)).items():
-            i = self.ids.index(anchor)
-            ema[i] = d if seen[i] == NEVER else (1.0 - keep_d) * d + keep_d * ema[i]
-            value[i], seen[i] = d, t
-        raw = self._position([v if t - s <= self.max_age_s else None for v, s in zip(value, seen)])
-        fine = self._position([e if s != NEVER else None for e, s in zip(ema, seen)])
-        before = (x, y) if has_pos else None
-        if fine is not None:
-            if has_pos:
-                x, y = ((1.0 - keep_p) * f + keep_p * p for f, p in zip(fine, (x, y)))
-            else:
-                (x, y), has_pos = fine, True
-        if has_pos:
-            samples += 1
-            if before is not None and dt is not None and dt > 0:
-                step = math.hypot(x - before[0], y - before[1])
-                path, speeds, top = path + step, speeds + step / dt, max(top, step / dt)
-        now = (x, y) if has_pos else (None, None)
-        out = (t, *(raw or (None, None)), *now, samples, path, speeds, top)
-        return [t, x, y, has_pos, samples, path, speeds, top, value, seen, ema], out
+        at = (const[axis] + _summed([weights[a][axis] * d * d for a, d in zip(self.ids, dist)]) for axis in (0, 1))
+        return tuple(np.where(usable, v, np.nan) for v in at)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
@@ -105,54 +112,127 @@ class TagTracker(StatefulProcessor):
             tags = {k: s for k, s in tags.items() if s[0] + self.ttl_ms > now}
         part = pd.concat(list(rows), ignore_index=True).iloc[:, : len(FED)]
         part.columns = FED
-        out = []
-        order = part.sort_values(["run_id", "tag_id"], kind="stable")
-        run, tag = order["run_id"].to_numpy(np.int64), order["tag_id"].to_numpy(np.int64)
-        known = order["anchor_id"].isin(self.ids).to_numpy()
-        t, anchor = order["t"].to_numpy(float), order["anchor_id"].to_numpy(np.int64)
-        distance, arrival = order["distance_cm"].to_numpy(float), order["arrival"].to_numpy(np.int64)
-        cuts = np.flatnonzero((np.diff(run) != 0) | (np.diff(tag) != 0)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(run)]):
-            at, own = (int(run[a]), int(tag[a])), known[a:b]
-            after, ticks = self._advanced(at, tags.get(at), *(v[a:b][own] for v in (t, anchor, distance, arrival)))
-            tags[at] = (now, *after)
-            out += ticks
+        run, tag = part["run_id"].to_numpy(np.int64), part["tag_id"].to_numpy(np.int64)
+        order = np.lexsort((tag, run))
+        run, tag = run[order], tag[order]
+        first = np.concatenate([[True], (np.diff(run) != 0) | (np.diff(tag) != 0)])
+        group, begins = np.cumsum(first) - 1, np.flatnonzero(first)
+        at = list(zip(run[begins].tolist(), tag[begins].tolist()))
+        own = part["anchor_id"].isin(self.ids).to_numpy()[order]
+        kinds = (("t", float), ("anchor_id", np.int64), ("distance_cm", float), ("arrival", np.int64))
+        columns = [part[c].to_numpy(kind)[order][own] for c, kind in kinds]
+        held, opened, ticks = self._advanced([tags.get(k) for k in at], group[own], *columns)
+        size = held.dtype.itemsize
+        whole = held.tobytes()
+        for i, k in enumerate(at):
+            tags[k] = (now, whole[i * size : (i + 1) * size], opened[i])
         self.state.put([(*k, *s) for k, s in tags.items()])
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
+        of = ticks.pop(0)
+        ids = [run[begins][of], tag[begins][of]]
+        yield pd.DataFrame(dict(zip([f.split()[0] for f in OUTPUT.split(", ")], [*ids, *ticks])))
 
     def _advanced(
-        self, at: tuple[int, int], state: tuple | None, t: np.ndarray, anchor: np.ndarray, distance: np.ndarray, arrival: np.ndarray
-    ) -> tuple[tuple, list[tuple]]:
-        """The state of a tag after the rows of a batch, and their ticks."""
-        n = len(self.ids)
-        if state is not None:
-            _, *held, late, open_t, open_anchor, open_distance, open_arrival = state
-        else:
-            held = [None, 0.0, 0.0, False, 0, 0.0, 0.0, 0.0, [0.0] * n, [NEVER] * n, [0.0] * n]
-            late, open_t, open_anchor, open_distance, open_arrival = 0, None, [], [], []
-        if open_t is not None:
-            old = t < open_t
-            late += int(old.sum())
-            t, anchor, distance, arrival = (a[~old] for a in (t, anchor, distance, arrival))
-        new = set(t.tolist())
-        if open_t is not None:  # the rows of the open stamp once more, before whatever came now
-            t = np.concatenate([np.full(len(open_anchor), open_t), t])
-            anchor = np.concatenate([np.array(open_anchor, np.int64), anchor])
-            distance = np.concatenate([np.array(open_distance, float), distance])
-            arrival = np.concatenate([np.array(open_arrival, np.int64), arrival])
-        order = np.lexsort((arrival, t))
-        t, anchor, distance, arrival = (v[order].tolist() for v in (t, anchor, distance, arrival))
-        bounds = [0, *(i for i in range(1, len(t)) if t[i] != t[i - 1]), len(t)] if t else [0]
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            after, row = self._tick(held, t[a], anchor[a:b], distance[a:b])
-            if t[a] in new:
-                out.append((*at, *row, b - a, late))
-            if b < len(t):
-                held = after
-            else:  # the last stamp stays open: the state before it, and its rows
-                open_t, open_anchor, open_distance, open_arrival = t[a], anchor[a:b], distance[a:b], arrival[a:b]
-        return (*held, late, open_t, open_anchor, open_distance, open_arrival), out
+        self, states: list[tuple | None], group: np.ndarray, t: np.ndarray, anchor: np.ndarray, distance: np.ndarray, arrival: np.ndarray
+    ) -> tuple[np.ndarray, list[bytes], list[np.ndarray]]:
+        """State and open rows of each tag of a lane after the rows of a batch, and the ticks that these rows give, column by column.
+
+        All tags advance together over one table of ticks, in which a tag's ticks stand in order behind a row that has its state.
+        """
+        n, kind = len(self.ids), _record(len(self.ids))
+        blank = np.zeros(1, kind)
+        for f, v in (("last_t", np.nan), ("open_t", np.nan), ("seen", NEVER)):
+            blank[f] = v
+        fresh = blank.tobytes()
+        s = np.frombuffer(b"".join(fresh if x is None else bytes(x[1]) for x in states), kind).copy()
+        opened = [b"" if x is None else bytes(x[2]) for x in states]
+        late = t < s["open_t"][group]
+        s["late"] += np.bincount(group[late], minlength=len(s))
+        group, t, anchor, distance, arrival = (v[~late] for v in (group, t, anchor, distance, arrival))
+        # the rows of the open stamps once more, before whatever came now
+        again = np.frombuffer(b"".join(opened), OPEN)
+        of = np.repeat(np.arange(len(s)), [len(b) // OPEN.itemsize for b in opened])
+        new = np.concatenate([np.zeros(len(of), bool), np.ones(len(t), bool)])
+        group, t = np.concatenate([of, group]), np.concatenate([s["open_t"][of], t])
+        rows = np.empty(len(t), OPEN)
+        for f, v in zip(OPEN.names, (anchor, distance, arrival)):
+            rows[f] = np.concatenate([again[f], v])
+        order = np.lexsort((rows["arrival"], t, group))
+        group, t, new, rows = group[order], t[order], new[order], rows[order]
+        if not len(t):
+            return s, opened, [np.empty(0, np.int64), *(np.empty(0) for _ in range(8)), *(np.empty(0, np.int64) for _ in range(2))]
+
+        begins = np.flatnonzero(np.concatenate([[True], (np.diff(group) != 0) | (np.diff(t) != 0)]))
+        ends = np.concatenate([begins[1:], [len(t)]])
+        tick = np.repeat(np.arange(len(begins)), ends - begins)
+        owner, is_new = group[begins], np.logical_or.reduceat(new, begins)
+        first = np.concatenate([[True], np.diff(owner) != 0])
+        seed = np.flatnonzero(first) + np.arange(first.sum())  # a tag's state, then its ticks
+        at = np.arange(len(begins)) + np.cumsum(first)
+        total, tags = len(at) + len(seed), owner[first]
+        is_seed = np.zeros(total, bool)
+        is_seed[seed] = True
+
+        def laid(states: np.ndarray, ticks: np.ndarray | float) -> np.ndarray:
+            out = np.empty(total, np.result_type(states, ticks))
+            out[seed], out[at] = states[tags], ticks
+            return out
+
+        def before(v: np.ndarray) -> np.ndarray:
+            return np.concatenate([v[:1], v[:-1]])
+
+        time = laid(s["last_t"], t[begins])
+        dt = time - before(time)
+        moves = ~is_seed & (dt > 0)
+        keep_d, keep_p = (np.exp(-r * np.where(moves, dt, 1.0 / K.TICK_HZ)) for r in self.rates)
+        value, seen, ema = [], [], []
+        for i, a in enumerate(self.ids):
+            mine = rows["anchor"] == a
+            told, has = laid(s["value"][:, i], 0.0), is_seed.copy()
+            told[at[tick[mine]]] = rows["distance"][mine]  # the last of a stamp stays
+            has[at[tick[mine]]] = True
+            source = np.maximum.accumulate(np.where(has, np.arange(total), 0))
+            value.append(told[source])
+            seen.append(np.where(is_seed, laid(s["seen"][:, i], 0.0), time)[source])
+            begun = before(seen[i]) != NEVER
+            keep = np.where(is_seed, 0.0, np.where(has, np.where(begun, keep_d, 0.0), 1.0))
+            add = np.where(is_seed, laid(s["ema"][:, i], 0.0), np.where(has, np.where(begun, (1.0 - keep_d) * told, told), 0.0))
+            ema.append(_folded(keep, add))
+        known = np.logical_and.reduce([v != NEVER for v in seen]) & (self.solved is not None)
+        raw = self._position(value, np.logical_and.reduce([time - v <= self.max_age_s for v in seen]))
+        fine = self._position(ema, known)
+        placed = laid(s["has_pos"], 0).astype(bool)
+        placed[at] = known[at] | s["has_pos"][owner].astype(bool)
+        had = before(placed)
+        x, y = (
+            _folded(
+                np.where(is_seed, 0.0, np.where(known, np.where(had, keep_p, 0.0), 1.0)),
+                np.where(is_seed, laid(s[f], 0.0), np.where(known, np.where(had, (1.0 - keep_p) * v, v), 0.0)),
+            )
+            for f, v in zip("xy", fine)
+        )
+        counted = np.cumsum(np.where(is_seed, 0, placed))
+        counted += np.repeat(s["samples"][tags] - counted[seed], np.diff([*seed, total]))
+        step = np.where(moves & placed & had, np.hypot(x - before(x), y - before(y)), 0.0)
+        speed = step / np.where(moves, dt, 1.0)
+        on = np.where(is_seed, 0.0, 1.0)
+        path, speeds = (_folded(on, np.where(is_seed, laid(s[f], 0.0), v)) for f, v in (("path", step), ("speeds", speed)))
+        top = _highest(is_seed, np.where(is_seed, laid(s["top"], 0.0), speed))
+
+        out = at[is_new]
+        here = [np.where(placed, v, np.nan)[out] for v in (x, y)]
+        ticks = [owner[is_new], time[out], raw[0][out], raw[1][out], *here, counted[out], path[out], speeds[out], top[out]]
+        ticks += [(ends - begins)[is_new], s["late"][owner[is_new]]]
+        # the last stamp of a tag stays open: the state before it, and its rows
+        last = np.concatenate([np.flatnonzero(first)[1:], [len(at)]]) - 1
+        then = at[last] - 1
+        for f, v in (("last_t", time), ("x", x), ("y", y), ("has_pos", placed), ("samples", counted), ("path", path), ("speeds", speeds), ("top", top)):
+            s[f][tags] = v[then]
+        for f, v in (("value", value), ("seen", seen), ("ema", ema)):
+            s[f][tags] = np.stack([c[then] for c in v], axis=1)
+        s["open_t"][tags] = time[at[last]]
+        for g, a, b in zip(tags.tolist(), begins[last].tolist(), ends[last].tolist()):
+            opened[g] = rows[a:b].tobytes()
+        return s, opened, ticks
 
     def close(self) -> None:
         pass

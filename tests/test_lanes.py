@@ -1,6 +1,7 @@
 """Stateful streams deal their keys over lanes: one call holds the rows of many keys."""
 
 import math
+import sys
 from types import SimpleNamespace
 
 import pandas as pd
@@ -82,6 +83,25 @@ def test_tags_of_a_lane_are_tracked_each_for_itself_and_forgotten_alone():
     assert [r[1] for r in store.values["tags"]] == [2, 3]  # tag 1 has been silent for longer than its time to live
 
 
+def test_ticks_of_a_lane_cost_no_calls_of_their_own():
+    layout = {1: (0.0, 0.0), 2: (2800.0, 0.0), 3: (0.0, 1500.0)}
+
+    def calls(ticks):
+        rows = [(0, tag, 0.05 * i, 3 * i + a, a, math.dist((500.0 * tag, 600.0 + i), layout[a])) for i in range(ticks) for tag in range(4) for a in layout]
+        job, store, seen = tracker.TagTracker(layout, 0.5, 0.5), Store(), []
+        job.init(store)
+        part = pd.DataFrame(rows, columns=tracker.FED)
+        sys.setprofile(lambda frame, event, _: seen.append(1) if event == "call" and frame.f_code.co_filename == tracker.__file__ else None)
+        try:
+            got = pd.concat(job.handleInputRows((0,), iter([part]), None))
+        finally:
+            sys.setprofile(None)
+        assert len(got) == 4 * ticks and (got["samples"].max(), got["n_ranges"].min()) == (ticks, 3)
+        return len(seen)
+
+    assert calls(400) == calls(40)
+
+
 def test_board_lines_beyond_the_last_cut_come_too(spark, tmp_path):
     ev = spark.range(260).select(
         F.col("id").alias("event_id"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
