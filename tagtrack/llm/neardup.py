@@ -19,7 +19,8 @@ marks of the sketches drop pairs that cannot be alike before they leave a list.
 Of the candidate pairs, those go whose sets' parities differ in more bits than linked sets may in
 values; then the smallest values of the union of both sketches estimate
 the similarity, and what lies over four and a half deviations below the threshold goes. The rest
-is verified on full shingle sets, made again from the texts of candidates alone.
+is verified on full shingle sets, made again from the texts of candidates alone: texts meet by pair,
+as they are less than half of their sets' hashes, and the sets are made where both texts are.
 Links then give components by label propagation with pointer jumping. All
 intermediate tables are written to the shared folder.
 
@@ -30,6 +31,8 @@ are kept where no other id is in their group; repeated rows are in one group; ot
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -114,6 +117,19 @@ def _sketches(words: int):
     return run
 
 
+def _signed(words: int):
+    """Columns of ``SIGNED``: what tells a text's class."""
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        sets = shingle_sets(texts, words)
+        return [pa.array(np.array([len(s) for s in sets], np.int64)), *_digests(sets)]
+
+    return run
+
+
+FULL = "n bigint, d1 bigint, d2 bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, shingles array<bigint>"
+
+
 def _full(words: int):
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(texts, words)
@@ -189,6 +205,10 @@ def _near_enough(n: str, m: str, parities: list[tuple[str, str]], percent: int)
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose parities and union sketch do not rule the threshold out."""
+    pairs = saved(pairs, "tried")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    if ids.count() <= MAX_BROADCAST:  # only sketches that stand in a pair are dealt out
+        classes = classes.join(F.broadcast(ids), "c", "left_semi")
 
     def side(end: str) -> DataFrame:
         return classes.select(*[F.col(x).alias(y + end) for x, y in (("c", ""), ("n", "n"), ("sketch", "s"), *zip(PARITY, PARITY))])
@@ -203,36 +223,51 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(shared >= least).select("a", "b")
 
 
-FULL = "n bigint, d1 bigint, d2 bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, shingles array<bigint>"
+SIGNED = "n bigint, d1 bigint, d2 bigint"
 
 
-def _full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """c, p0..p3, shingles: the whole shingle sets of the classes ``wanted`` and their parities, made again from one text of each."""
-    wanted = saved(wanted.join(classes.select("c", "rep", "d1", "d2", "n"), "c"), "candidates")
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """c, n, p0..p3, text: one text of each of the classes ``wanted``, with their sizes and parities."""
+    wanted = saved(wanted.join(classes.select("c", "rep", "d1", "d2", "n", *PARITY), "c"), "candidates")
     ids = wanted.select(F.col("rep").alias("id")).distinct()
     text = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("id"), "text")
     small = ids.count() <= MAX_BROADCAST
     text = text.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    sets = A.with_columns(text.select("text"), "text", _full(words), FULL, False)
-    sets = sets.join(wanted.select("c", "d1", "d2", "n"), ["d1", "d2", "n"]).select("c", *PARITY, "shingles")
-    sets = saved(sets, "sets")
+    # the text of an id may be of another class: ids may repeat
+    signed = A.with_columns(text.select("text"), "text", _signed(words), SIGNED)
+    texts = signed.join(wanted.select("c", "d1", "d2", "n", *PARITY), ["d1", "d2", "n"]).select("c", "n", *PARITY, "text")
+    texts = saved(texts, "texts")
     _gone(wanted)
-    # a class comes twice only where rows of one id have one set: whole sets move for that alone
-    if not sets.groupBy("c").count().where("count > 1").limit(1).count():
-        return sets
-    once = saved(sets.groupBy("c").agg(*[F.first(c).alias(c) for c in (*PARITY, "shingles")]), "sets")
-    _gone(sets)
+    # a class comes twice only where rows of one id have one set: whole texts move for that alone
+    if not texts.groupBy("c").count().where("count > 1").limit(1).count():
+        return texts
+    once = saved(texts.groupBy("c").agg(*[F.first(c).alias(c) for c in ("n", *PARITY, "text")]), "texts")
+    _gone(texts)
     return once
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that are linked on their full shingle sets, as a written table."""
-    few = (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= MAX_VALUES
-    sets = F.broadcast(sets) if few else sets
-    one = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a")
-    two = one.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    fits = two.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+    few = (texts.agg(F.sum("n")).first()[0] or 0) <= MAX_VALUES
+    texts = F.broadcast(texts) if few else texts
+    one = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("x")), "a")
+    two = one.join(texts.select(F.col("c").alias("b"), F.col("text").alias("y")), "b")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, of = [], []
+            for c in ("x", "y"):  # texts that stand in many pairs are hashed once a batch
+                once = batch.column(c).dictionary_encode()
+                sets.append(shingle_sets(once.dictionary, words))
+                of.append(once.indices.to_pylist())
+            xs, ys = sets
+            fits = []
+            for i, j in zip(*of):
+                common = len(np.intersect1d(xs[i], ys[j], assume_unique=True))
+                fits.append(common * 100 >= (len(xs[i]) + len(ys[j]) - common) * percent)
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    fits = two.select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint")
     return saved(_few(fits, pairs.count()), "links")
 
 
@@ -340,12 +375,13 @@ def _settled(
     rest: DataFrame, seen: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, words: int, percent: int
 ) -> DataFrame | None:
     """``labels`` after every pair of classes of ``rest`` that may be linked and lies between two components."""
-    sets = _full_sets(rest.select("c"), classes, docs, words)
+    texts = _texts(rest.select("c"), classes, docs, words)
+    sets = A.with_columns(texts.select("c", "text"), "text", _full(words), FULL, False)
     pairs = _estimated(_between(rest, sets, percent).join(seen, ["a", "b"], "left_anti"), classes, percent)
     pairs = saved(pairs, "pairs")
-    found = _alike(pairs, sets, percent)
+    found = _alike(pairs, texts, words, percent)
     labels = merged(labels, found) if found.limit(1).count() else labels
-    _gone(sets, pairs, found, rest)
+    _gone(texts, pairs, found, rest)
     return labels
 
 
@@ -385,9 +421,9 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     """The linked ones of the candidate pairs, or None."""
     if not pairs.limit(1).count():
         return None
-    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), classes, docs, words)
-    found = _alike(pairs, sets, percent)
-    _gone(sets)
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), classes, docs, words)
+    found = _alike(pairs, texts, words, percent)
+    _gone(texts)
     return found if found.limit(1).count() else None
 
 

@@ -180,3 +180,18 @@ def test_parities_rule_pairs_out_before_their_whole_sets_are_made(spark):
     assert not any(not r[3] for r in brute(docs, 2))
     assert N._estimated(pairs, made.withColumns({p: F.lit(0).cast("long") for p in N.PARITY}), 80).count() > 20
     assert N._estimated(pairs, made, 80).count() < 20
+
+
+def test_texts_meet_by_pair_and_only_sketches_of_pairs_are_dealt_out(spark):
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(900)) for _ in range(300)) for _ in range(6)]
+    docs = [(k, t) for k, t in enumerate([*base, base[0] + " one more", base[1] + " two", base[2]])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    made = N.A.with_columns(df, "text", N._sketches(2), N.SKETCHED)
+    classes = made.where("doc_id < 8").select(F.col("doc_id").alias("c"), F.col("doc_id").alias("rep"), *[c for c in made.columns if c not in ("doc_id", "text")])
+    texts = N._texts(classes.select("c"), classes, df, 2)
+    assert set(texts.columns) == {"c", "n", *N.PARITY, "text"} and dict(texts.select("c", "text").collect()) == dict(docs[:8])
+    pairs = spark.createDataFrame([(0, 6), (1, 7), (3, 4)], "a bigint, b bigint")
+    assert sorted(map(tuple, N._alike(pairs, texts, 2, 80).collect())) == [(0, 6), (1, 7)]
+    plan = N._estimated(pairs, classes, 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
