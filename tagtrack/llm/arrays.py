@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: of a batch that goes to Python, about: rows alone do not bound it, as texts have any length
+BATCH_BYTES = 1 << 21
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 RADIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE, WORD, MARK = 0, 1, 2
@@ -83,18 +86,34 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` for rows with texts. The session's batches hold about BATCH_BYTES from now on; a smaller limit stays.
+
+    Without it a batch is 10,000 rows of any length, and an executor keeps several copies of one for each of its tasks.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_LIMIT, str(2**31 - 1))) > BATCH_BYTES:
+        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def with_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], list[pa.Array]], out: str, keep_text: bool = True) -> DataFrame:
     """``df`` with the columns of the schema text ``out``, which ``fn`` makes from a batch of ``text`` (NULL as empty)."""
     added = [p.strip().split(" ", 1)[0] for p in out.split(",")]
     kept = [c for c in df.columns if c.lower() not in {a.lower() for a in added} and (keep_text or c != text)]
     rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [out])
+    if kept.count(text) == 1 and dict(df.dtypes)[text] == "string":  # a text that is kept goes to Python once
+        at, last = kept.index(text), len(kept)
+        rows = rows.drop("_text")
+    else:
+        at = last = len(kept)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:last]] + [out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names[:-1]
-            made = fn(batch.column(len(names)))
+            names = batch.schema.names[:last]
+            made = fn(batch.column(at).fill_null(""))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, *added])
 
-    done = rows.mapInArrow(run, schema)
+    done = mapped(rows, run, schema)
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *added)

@@ -267,7 +267,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                 fits.append(common * 100 >= (len(xs[i]) + len(ys[j]) - common) * percent)
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    fits = two.select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint")
+    fits = A.mapped(two.select("a", "b", "x", "y"), linked, "a bigint, b bigint")
     return saved(_few(fits, pairs.count()), "links")
 
 

@@ -105,7 +105,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> QualityModel:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(target), rows["doc_id"] == target["_id"], "left")
     rows = rows.select("text", F.col("_id").isNotNull().alias("target"))
-    counts = rows.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
+    counts = A.mapped(rows, _count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in counts.collect():
         raw[bucket], target[bucket] = r, t
@@ -180,11 +180,11 @@ def resampled(docs: DataFrame, labels: DataFrame, noise: float = NOISE, seed: in
     """A row per document: doc_id, n_tokens, log_weight, key, log_ratio, draw_key, kept; with the model and the key's cut."""
     sample = labelled(labels, seed)
     model = fit(docs, sample)
-    rows = scored(docs.select("doc_id", "text"), model)
-    draw = gumbel("doc_id", "text", seed=seed)
+    rows = scored(docs.select("doc_id", "text", gumbel("doc_id", "text", seed=seed).alias("draw")), model, False)
+    draw = F.col("draw")
     grams = F.greatest(2 * F.col("n_tokens") - 1, F.lit(0)) + SHRINK
     rows = rows.withColumn("key", F.col("log_weight") + F.lit(noise) * draw).withColumn("log_ratio", F.col("log_weight") * grams)
-    rows = saved(rows.withColumn("draw_key", F.col("log_ratio") + draw).drop("text"), "quality")
+    rows = saved(rows.withColumn("draw_key", F.col("log_ratio") + draw).drop("draw"), "quality")
     held = rows.join(F.broadcast(sample.where("held").drop("held")), "doc_id").select("good", "log_weight")
     cut = best_cut(held)
     k = rows.where(F.col("log_weight") >= F.lit(cut)).count()
