@@ -89,10 +89,11 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow`` for rows with texts. The session's batches hold about BATCH_BYTES from now on; a smaller limit stays.
 
-    Without it a batch is 10,000 rows of any length, and an executor keeps several copies of one for each of its tasks.
+    Without it a batch is 10,000 rows or 64 MB, and an executor keeps several copies of one for each of its tasks.
     """
     conf = df.sparkSession.conf
-    if int(conf.get(BATCH_LIMIT, str(2**31 - 1))) > BATCH_BYTES:
+    in_bytes = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if in_bytes(conf.get(BATCH_LIMIT, "64m")) > BATCH_BYTES:
         conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 

@@ -39,9 +39,9 @@ def test_the_classifier_bounds_its_batches_and_keeps_a_smaller_limit(spark, unse
     sample = spark.createDataFrame([(1, True, False)], "doc_id long, good boolean, held boolean")
     Q.fit(docs, sample)
     assert int(unset.get(LIMIT)) <= 4 << 20
-    unset.set(LIMIT, "1000")
+    unset.set(LIMIT, "1k")
     Q.fit(docs, sample)
-    assert unset.get(LIMIT) == "1000"
+    assert unset.get(LIMIT) == "1k"
 
 
 def test_hashes_are_the_same_whatever_the_runs_of_rows(monkeypatch):
